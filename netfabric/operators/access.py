@@ -11,6 +11,7 @@ from netfabric.functions.net import is_ip, is_ipv4, short_host
 from netfabric.functions.skew import lookup_join, top_rows
 from netfabric.operators.entities import (
     communication_between, configured_policies, find_entities, governed_policies, select_pair,
+    tagged_values,
 )
 from netfabric.operators.flows import alerts_for_ips, observers_for_ips
 from netfabric.operators.topology import enforcement_points, find_path
@@ -76,10 +77,9 @@ def explain_access(
     picked = cut_lineage(between.join(chosen, [*keys, "client_id", "server_id"], "left_semi"))
     totals = picked.groupBy(*keys).agg(F.sum("sessions").alias("sessions"), F.sum("bytes").alias("bytes"))
     value_sets = (
-        picked.select(*keys, F.explode(F.concat(*[
-            F.transform(F.col(c), lambda v, c=c: F.struct(F.lit(c).alias("what"), v.cast("string").alias("value")))
-            for c in ("ports", "providers", "observer_hosts")
-        ])).alias("_v")).select(*keys, "_v.*")
+        picked.select(*keys, F.explode(
+            F.concat(*[tagged_values(c) for c in ("ports", "providers", "observer_hosts")])
+        ).alias("_v")).select(*keys, "_v.*")
         .groupBy(*keys).agg(
             _distinct_list(F.when(F.col("what") == "ports", F.col("value").cast("int"))).alias("ports"),
             _distinct_list(F.when(F.col("what") == "providers", F.col("value"))).alias("providers"),

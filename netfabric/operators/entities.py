@@ -155,6 +155,11 @@ def flows_with_assets(flows: DataFrame, addresses: DataFrame, tenant: str = DEFA
     ))
 
 
+def tagged_values(name: str) -> Column:
+    """The values of an array column as ``(what, value)`` structs."""
+    return F.transform(F.col(name), lambda v: F.struct(F.lit(name).alias("what"), v.cast("string").alias("value")))
+
+
 def merge_communication(rows: DataFrame, tenant: str = DEFAULT_TENANT) -> DataFrame:
     """Sum and union communication rows that share both ends.
 
@@ -166,10 +171,7 @@ def merge_communication(rows: DataFrame, tenant: str = DEFAULT_TENANT) -> DataFr
         F.sum("sessions").alias("sessions"), F.sum("bytes").alias("bytes"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
     )
-    tagged = F.concat(*[
-        F.transform(F.col(c), lambda v, c=c: F.struct(F.lit(c).alias("what"), v.cast("string").alias("value")))
-        for c in COMM_SETS
-    ])
+    tagged = F.concat(*[tagged_values(c) for c in COMM_SETS])
     values = rows.select(*keys, F.explode(tagged).alias("_v")).select(*keys, "_v.*").filter(text("value") != "")
     sets = values.groupBy(*keys).agg(*[
         F.array_sort(F.collect_set(F.when(F.col("what") == c, F.col("value").cast("int") if c == "ports" else F.col("value")))).alias(c)

@@ -59,6 +59,7 @@ def within_depth(adjacency: DataFrame, starts: DataFrame, depth: int) -> DataFra
 
     ``adjacency(src, dst)`` holds both directions; ``starts(start)`` are node ids.
     """
+    adjacency = cut_lineage(adjacency)
     reached = cut_lineage(
         starts.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("hops"))
     )
@@ -98,7 +99,7 @@ def shortest_paths(adjacency: DataFrame, pairs: DataFrame) -> DataFrame:
     frontier = reached
     found = reached.join(wanted.withColumnRenamed("dst", "node"), ["src", "node"])
     open_pairs = cut_lineage(wanted.filter(F.col("src") != F.col("dst")))
-    edges = adjacency.select(F.col("src").alias("node"), F.col("dst").alias("_to"))
+    edges = cut_lineage(adjacency.select(F.col("src").alias("node"), F.col("dst").alias("_to")))
     while not open_pairs.isEmpty():
         active = frontier.join(open_pairs.select("src").distinct(), "src", "left_semi")
         stepped = (

@@ -76,11 +76,16 @@ FROM {d.table("events")}"""
 
 
 def _arp_obs(d: Dialect) -> str:
+    """Client addresses change MACs; servers up to .24 keep one, later ones are never seen."""
     return f"""
 SELECT CAST(o_orderdate AS TIMESTAMP) AS observed_at, concat('FW-', CAST(o_orderkey % 5 AS STRING), '.lab') AS source_device,
   concat('10.0.0.', CAST(o_custkey % 250 AS STRING)) AS ip,
   concat('02:00:00:00:0', CAST(o_custkey % 2 AS STRING), ':', CAST(10 + o_custkey % 90 AS STRING)) AS mac
-FROM {d.table("orders")}"""
+FROM {d.table("orders")}
+UNION ALL
+SELECT CAST(ts AS TIMESTAMP), concat('fw-', CAST(event_id % 5 AS STRING)), concat('10.1.0.', CAST((event_id * 7) % 40 AS STRING)),
+  concat('02:00:00:00:bb:', CAST(10 + (event_id * 7) % 40 AS STRING))
+FROM {d.table("events")} WHERE (event_id * 7) % 40 < 25"""
 
 
 def _rules(d: Dialect) -> str:

@@ -1 +1,66 @@
-"""Placeholder."""
+"""Access explanation over every talking address pair."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from netfabric.operators import access as op
+from netfabric.operators import topology as to
+from netfabric.plans import adapter as ad
+from netfabric.plans.adapter import AS_OF, SINCE
+from netfabric.plans.queries import REGISTRY
+from netfabric.plans.queries.entities import ALL_STEPS, PAIRS, tables
+from netfabric.session import cut_lineage
+
+CHOSEN = """g AS (SELECT b.client, b.server, b.client_id, b.server_id, max(c.observer_hosts <> '') AS pv, CAST(sum(c.sessions) AS BIGINT) AS sessions,
+  CAST(sum(c.bytes) AS BIGINT) AS bytes, max(c.last_seen) AS ls FROM btw b JOIN comm c USING (edge_id) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY client, server ORDER BY pv DESC, sessions DESC, ls DESC, client_id DESC, server_id DESC) AS rn FROM g),
+ch AS (SELECT * FROM r WHERE rn = 1),
+ho AS (SELECT DISTINCT ch.client, ch.server, split_part(res.observer_hostname, '.', 1) AS fw FROM ch JOIN btw b USING (client, server, client_id, server_id)
+  JOIN res ON res.edge_id = b.edge_id WHERE res.observer_hostname <> ''),
+hl AS (SELECT client, server, string_agg(fw, ',' ORDER BY fw) AS firewalls, count(*) AS n, min(fw) AS one FROM ho GROUP BY ALL),
+cc AS (SELECT ho.client, ho.server, count(*) AS n FROM ho JOIN rules ON rules.device_name = ho.fw GROUP BY ALL),
+oc AS (SELECT ch.client, ch.server, count(DISTINCT (gov.provider, gov.rule)) AS n FROM ch JOIN btw b USING (client, server, client_id, server_id)
+  JOIN gov ON gov.src_id = b.edge_id GROUP BY ALL)"""
+
+
+@REGISTRY.add("explain_access", f"""{PAIRS}, {CHOSEN}
+SELECT ch.client, ch.server, ch.client_id, ch.server_id, ch.sessions, ch.bytes, coalesce(hl.firewalls, '') AS firewalls,
+  CASE WHEN hl.n IS NULL THEN 'no_path_firewall' ELSE 'provenance' END AS firewall_basis, CASE WHEN hl.n = 1 THEN hl.one END AS attributed_firewall,
+  CAST(coalesce(cc.n, 0) AS INT) AS coverage_configured, CAST(coalesce(oc.n, 0) AS INT) AS controls, true AS path_found, 1 AS hops
+FROM ch LEFT JOIN hl USING (client, server) LEFT JOIN cc USING (client, server) LEFT JOIN oc USING (client, server)""")
+def explain_access(spark, sf_dir):
+    seen, entities, gov = tables(spark, sf_dir)
+    events = ad.events(spark, sf_dir)
+    edges = cut_lineage(to.flow_edges(to.flow_pairs(events, AS_OF, since=SINCE)))
+    nodes = to.placeholder_nodes(edges, ad.graph_nodes(spark, sf_dir))
+    ips = seen.flows.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct().select(
+        F.substring(F.sha1(F.concat(F.lit("t_main|host|ip:"), "ip")), 1, 16).alias("node_id"), F.col("ip").alias("_ip")
+    )
+    nodes = nodes.join(ips, "node_id", "left").withColumn(
+        "identifiers", F.when(F.col("_ip").isNotNull(), F.create_map(F.lit("ip"), F.col("_ip"))).otherwise(F.col("identifiers"))
+    ).drop("_ip")
+    nodes = cut_lineage(nodes)
+    pairs = seen.flows.select(F.col("src_ip").alias("client"), F.col("dst_ip").alias("server")).distinct()
+    df = op.explain_access(pairs, entities, cut_lineage(seen.communication), gov, nodes, edges, events, AS_OF, since=SINCE)
+    return df.select(
+        "client", "server", F.col("client_entity.entity_id").alias("client_id"), F.col("server_entity.entity_id").alias("server_id"),
+        "sessions", "bytes", F.array_join("firewalls", ",").alias("firewalls"), "firewall_basis", "attributed_firewall", "coverage_configured",
+        F.greatest(F.size("controls"), F.lit(0)).alias("controls"), F.col("topology_path.found").alias("path_found"), F.col("topology_path.hops").alias("hops"),
+    )
+
+
+@REGISTRY.add("observed_by", f"""{ALL_STEPS}, lk AS (SELECT DISTINCT source_ip AS lookup FROM net_events),
+cand AS (SELECT l.lookup, a.entity_id, s.mac, s.last_seen, coalesce(s.mac, s.first_ip) AS name,
+  row_number() OVER (PARTITION BY l.lookup ORDER BY CASE WHEN s.mac IS NULL THEN 0 ELSE 1 END DESC, s.last_seen DESC, a.entity_id) AS rn
+  FROM lk l JOIN (SELECT DISTINCT ip, entity_id FROM addr) a ON a.ip = l.lookup JOIN asset s USING (entity_id)),
+best AS (SELECT * FROM cand WHERE rn = 1),
+ips AS (SELECT lookup, lookup AS ip FROM best UNION SELECT b.lookup, a.ip FROM best b JOIN addr a USING (entity_id)),
+ob AS (SELECT source_ip AS ip, observer_hostname FROM net_events WHERE observer_hostname <> '' UNION SELECT destination_ip, observer_hostname FROM net_events WHERE observer_hostname <> ''),
+f AS (SELECT DISTINCT i.lookup, split_part(o.observer_hostname, '.', 1) AS fw FROM ips i JOIN ob o ON o.ip = i.ip)
+SELECT b.lookup, b.entity_id, b.name, (SELECT coalesce(string_agg(fw, ',' ORDER BY fw), '') FROM f WHERE f.lookup = b.lookup) AS firewalls FROM best b""")
+def observed_by(spark, sf_dir):
+    _, entities, _ = tables(spark, sf_dir)
+    events = ad.events(spark, sf_dir)
+    ids = events.select(F.col("source_ip").alias("lookup")).distinct()
+    return op.observed_by(entities, events, ids, AS_OF, since=SINCE).withColumn("firewalls", F.array_join("firewalls", ","))
