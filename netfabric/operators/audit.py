@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from datetime import datetime
 from functools import reduce
 
@@ -162,18 +161,19 @@ def build_audit_rows(calls: DataFrame) -> DataFrame:
 _LINK_SCHEMA = "tier string, server_id string, rank long, prev_hash string, row_hash string"
 
 
-def _link_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Hash one bounded block of one chain, in rank order, from the block's seed."""
-    pdf = pdf.sort_values("rank")
-    prev = pdf["seed"].iloc[0] or ""
-    prevs, hashes = [], []
-    for body in pdf["body"]:
-        prevs.append(prev)
-        prev = hashlib.sha256(f"{prev}\n{body}".encode()).hexdigest()
-        hashes.append(prev)
-    return pd.DataFrame({
-        "tier": pdf["tier"], "server_id": pdf["server_id"], "rank": pdf["rank"], "prev_hash": prevs, "row_hash": hashes,
-    })
+def _block_linker():
+    """The function that hashes one bounded block of one chain; local, so it travels with the plan."""
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        prev = pdf["seed"].iloc[0] or ""
+        prevs, hashes = [], []
+        for body in pdf["body"]:
+            prevs.append(prev)
+            prev = hashlib.sha256(f"{prev}\n{body}".encode()).hexdigest()
+            hashes.append(prev)
+        return pdf[["tier", "server_id", "rank"]].assign(prev_hash=prevs, row_hash=hashes)
+
+    return link
 
 
 def append_chained(rows: DataFrame, tails: DataFrame, order: tuple[str, ...] = ("ts",), block_rows: int = LINK_BLOCK_ROWS) -> DataFrame:
@@ -197,7 +197,7 @@ def append_chained(rows: DataFrame, tails: DataFrame, order: tuple[str, ...] = (
         part = bodies.filter(F.col("_block") == block).join(seeds, list(CHAIN_KEYS), "left").select(
             *CHAIN_KEYS, "rank", "body", F.coalesce("seed", F.lit("")).alias("seed")
         )
-        done = cut_lineage(part.groupBy(*CHAIN_KEYS).applyInPandas(_link_block, _LINK_SCHEMA))
+        done = cut_lineage(part.groupBy(*CHAIN_KEYS).applyInPandas(_block_linker(), _LINK_SCHEMA))
         seeds = done.groupBy(*CHAIN_KEYS).agg(F.max_by("row_hash", "rank").alias("seed"))
         linked = done if linked is None else linked.unionByName(done)
     if linked is None:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netfabric.functions.ids import text
 
@@ -38,30 +39,36 @@ def match_tolerance(agent: Column, reference: Column, tolerance: Column, toleran
     return F.coalesce(F.abs(agent - reference) <= allowed, F.lit(False))
 
 
-def _normal(value):
-    if isinstance(value, dict):
-        return {k: _normal(v) for k, v in value.items()}
-    if isinstance(value, list):
-        items = [_normal(v) for v in value]
-        if any(isinstance(v, (dict, list)) for v in items):
-            return items
-        return sorted(items, key=lambda v: (v is None, str(v)))
-    if isinstance(value, bool):
-        return int(value)
-    if isinstance(value, float) and value.is_integer():
-        return int(value)
-    return value
-
-
-@F.pandas_udf("string")
-def normal_json(documents: pd.Series) -> pd.Series:
-    """JSON with sorted keys, lists of scalars sorted and equal numbers spelled alike."""
+def normal_json(document: Column) -> Column:
+    """JSON with sorted keys, lists of scalars sorted and equal numbers spelled alike.
+
+    Arrow-batched Python, because answers may nest to any depth.  The helpers
+    are local so that they travel with the plan and executors need no package.
+    """
+    def normal(value):
+        if isinstance(value, dict):
+            return {k: normal(v) for k, v in value.items()}
+        if isinstance(value, list):
+            items = [normal(v) for v in value]
+            if any(isinstance(v, (dict, list)) for v in items):
+                return items
+            return sorted(items, key=lambda v: (v is None, str(v)))
+        if isinstance(value, bool):
+            return int(value)
+        if isinstance(value, float) and value.is_integer():
+            return int(value)
+        return value
+
     def one(doc):
         try:
-            return None if doc is None else json.dumps(_normal(json.loads(doc)), sort_keys=True)
+            return None if doc is None else json.dumps(normal(json.loads(doc)), sort_keys=True)
         except ValueError:
             return None
-    return documents.map(one)
+
+    def batch(documents: pd.Series) -> pd.Series:
+        return documents.map(one)
+
+    return F.pandas_udf(batch, T.StringType())(document)
 
 
 def match_json(agent: Column, expected: Column) -> Column:
