@@ -44,7 +44,7 @@ DUCK = Dialect()
 
 def _net_events(d: Dialect) -> str:
     return f"""
-SELECT CAST(ts AS TIMESTAMP) AS timestamp, event_id AS event_no, sha1(CAST(event_id AS STRING)) AS event_id,
+SELECT CAST(ts AS TIMESTAMP) AS timestamp, event_id AS event_no, event_type, sha1(CAST(event_id AS STRING)) AS event_id,
   't_main' AS tenant_id,
   CASE WHEN event_type = 'error' THEN 'alert' ELSE 'event' END AS event_kind,
   CASE event_type WHEN 'view' THEN 'flow_session_create' WHEN 'click' THEN 'flow_session_close'
@@ -225,7 +225,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("panw.panos.severity"), F.col("pan_severity"), F.lit("syslog.severity"), F.col("syslog_severity"),
     )
     df = view(spark, sf_dir, "net_events").withColumn("ext", F.map_filter(pairs, lambda _k, v: v.isNotNull()))
-    return df.drop("ids_severity", "ids_signature", "pan_severity", "syslog_severity")
+    return df.drop("ids_severity", "ids_signature", "pan_severity", "syslog_severity", "event_type")
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
