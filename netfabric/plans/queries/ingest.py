@@ -55,8 +55,8 @@ def route_feeds_counts(spark, sf_dir):
 
 @REGISTRY.add("structured_data_map", f"""{EV} SELECT n, 12 AS fields, rule_name AS policy, coalesce(destination_ip, 'fe80::1') AS dst FROM b""")
 def structured_data_map(spark, sf_dir):
-    m = syslog.structured_data_map(F.col("message"))
-    df = lines.srx_lines(spark, sf_dir).select(F.col("event_no").alias("n"), m.alias("m"))
+    m = syslog.structured_data_map(F.col("structured_data"))
+    df = syslog.parse_syslog_header(lines.srx_lines(spark, sf_dir)).select(F.col("event_no").alias("n"), m.alias("m"))
     return df.select("n", F.size("m").alias("fields"), F.col("m")["policy-name"].alias("policy"), F.col("m")["destination-address"].alias("dst"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netfabric.functions.net import ipv4_or_null
 from netfabric.sources import redact
 from netfabric.sources.syslog import (
-    KNOWN_DEVICES, escaped_param, event_rows, ext_map, known_device, param, parse_syslog_header, port,
+    KNOWN_DEVICES, escaped_param, event_rows, ext_map, keep_if, known_device, param, parse_syslog_header, port, structured_data_map,
 )
 
 # Message ids with their category, action and outcome.
@@ -47,10 +47,20 @@ def normalise_junos_audit(raw: DataFrame, hash_key: bytes, devices: tuple[str, .
     """Audit lines to events, with secrets and failed users taken out of every field and of the line."""
     df = parse_syslog_header(raw)
     line = F.col("message")
-    df = df.filter(audit_gate()).withColumns({
+    df = keep_if(df, audit_gate()).withColumns({
         "app": F.lower(F.coalesce("appname", F.lit(""))), "id": F.coalesce("msgid", F.lit("")),
-        "user": param(line, "username"), "path0": param(line, "pathname"),
-        "old_value": escaped_param(line, "data"), "new_value": escaped_param(line, "value"),
+        "f": structured_data_map(F.coalesce("structured_data", "message")),
+    })
+    f = F.col("f")
+    change_id = F.col("id").isin(*CHANGES)
+    df = df.withColumns({
+        "user": param(f, "username"), "path0": F.when(change_id, param(f, "pathname")),
+        "old_value": F.when(F.col("id") == "UI_CFG_AUDIT_SET", escaped_param(f, "data")),
+        "new_value": F.when(F.col("id").isin("UI_CFG_AUDIT_SET", "UI_CFG_AUDIT_OTHER"), escaped_param(f, "value")),
+    }).withColumn("community", F.when(F.col("path0").contains("community"), redact.community_name(F.col("path0"))))
+    df = df.withColumn("path", redact.scrub_secret(F.col("path0"), F.col("community")))
+    df = df.withColumns({
+        "hide_old": redact.is_secret(F.col("path"), F.col("old_value")), "hide_new": redact.is_secret(F.col("path"), F.col("new_value")),
     })
     ident, body = F.col("id"), F.coalesce("body", F.lit(""))
     # The two failure ids are tested before the free-form "Accepted" line.
@@ -66,30 +76,25 @@ def normalise_junos_audit(raw: DataFrame, hash_key: bytes, devices: tuple[str, .
     user = F.when(matched, F.regexp_extract(body, ACCEPTED, 1)).when(ident.isin(*HASHED_USER), redact.hash_user(failed_user, hash_key)).when(
         ident.isin(*PLAIN_USER), F.col("user")
     )
-    change = ident.isin(*CHANGES) & ~ssh_ok
-    path0 = F.when(change, F.col("path0"))
-    path = redact.redact_community(path0, path0)
-    old = F.when(ident == "UI_CFG_AUDIT_SET", F.col("old_value"))
-    new = F.when(ident.isin("UI_CFG_AUDIT_SET", "UI_CFG_AUDIT_OTHER"), F.col("new_value"))
-    shown_path = F.coalesce(path, F.lit(""))
+    path, old, new = F.col("path"), F.col("old_value"), F.col("new_value")
     clean = redact.scrub_user(line, failed_user)
-    clean = redact.redact_community(clean, path0)
-    clean = redact.redact_value(clean, shown_path, old)
-    clean = redact.redact_value(clean, shown_path, new)
+    clean = redact.scrub_secret(clean, F.col("community"))
+    clean = redact.scrub_secret(clean, F.when(F.col("hide_old"), old))
+    clean = redact.scrub_secret(clean, F.when(F.col("hide_new"), new))
     clean = redact.redact_leftovers(clean)
 
     host = F.split_part(F.coalesce("hostname", F.lit("")), F.lit("."), F.lit(1))
     commit = ident == "UI_COMMIT"
     pairs = [
         ("junos.sys.appname", F.col("app")), ("junos.sys.msgid", F.col("msgid")),
-        ("junos.sys.limit", F.when(ident == "SSHD_LOGIN_ATTEMPTS_THRESHOLD", param(line, "limit"))),
-        ("junos.sys.commit_message", F.when(commit, param(line, "message"))), ("junos.sys.command", F.when(commit, param(line, "command"))),
-        ("junos.sys.pathname", path), ("junos.sys.data", redact.shown_value(shown_path, old)),
-        ("junos.sys.value", redact.shown_value(shown_path, new)),
-        ("junos.sys.action", F.when(ident.isin("UI_CFG_AUDIT_SET", "UI_CFG_AUDIT_SET_SECRET"), param(line, "action"))),
+        ("junos.sys.limit", F.when(ident == "SSHD_LOGIN_ATTEMPTS_THRESHOLD", param(f, "limit"))),
+        ("junos.sys.commit_message", F.when(commit, param(f, "message"))), ("junos.sys.command", F.when(commit, param(f, "command"))),
+        ("junos.sys.pathname", path), ("junos.sys.data", F.when(F.col("hide_old"), redact.REDACTED).otherwise(old)),
+        ("junos.sys.value", F.when(F.col("hide_new"), redact.REDACTED).otherwise(new)),
+        ("junos.sys.action", F.when(ident.isin("UI_CFG_AUDIT_SET", "UI_CFG_AUDIT_SET_SECRET"), param(f, "action"))),
         ("junos.sys.secret", F.when(ident == "UI_CFG_AUDIT_SET_SECRET", "true")),
     ]
-    peer = F.when(matched, F.regexp_extract(body, ACCEPTED, 2)).when(ident == "SSHD_LOGIN_FAILED", param(line, "source-address"))
+    peer = F.when(matched, F.regexp_extract(body, ACCEPTED, 2)).when(ident == "SSHD_LOGIN_FAILED", param(f, "source-address"))
     return event_rows(
         df, "junos_sys", "juniper", timestamp=F.coalesce("header_ts", "received_at"),
         event_category=F.array(F.coalesce(category, F.lit("host"))), event_action=action, event_outcome=outcome,

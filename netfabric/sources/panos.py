@@ -33,8 +33,8 @@ def normalise_panos(raw: DataFrame, devices: tuple[str, ...] | None = KNOWN_DEVI
     """Raw CSV lines to events.  The split is plain; quoted commas are not honoured."""
     df = parse_syslog_header(raw)
     # The payload starts at the first comma: its first field is empty.
-    body = F.when(F.col("message").contains(","), F.regexp_extract("message", r"(?s)^[^,]*(,.*)\z", 1)).otherwise(F.col("message"))
-    df = df.withColumn("f", F.split(F.regexp_replace(body, r"\s+\z", ""), ","))
+    line = F.rtrim("message", F.lit(" \r\n"))
+    df = df.withColumn("f", F.split(F.substring(line, F.greatest(F.locate(",", line), F.lit(1)), F.length(line)), ","))
     df = df.withColumns({f"c_{name}": _at(i) for name, i in COMMON.items()})
     c = {name: F.col(f"c_{name}") for name in COMMON}
     kind, subtype = F.upper(c["type"]), F.lower(c["subtype"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netfabric.functions.net import ipv4_or_null
 from netfabric.sources.redact import hash_user, scrub_user
-from netfabric.sources.syslog import event_rows, ext_map, found, parse_syslog_header, port
+from netfabric.sources.syslog import event_rows, ext_map, found, keep_if, parse_syslog_header, port
 
 # Programs and message marks that are kept, and the message patterns.
 APPS = ("pvedaemon", "pveproxy", "pct", "qm", "pvesh")
@@ -37,15 +37,17 @@ def proxmox_gate() -> Column:
 def normalise_proxmox(raw: DataFrame, hash_key: bytes) -> DataFrame:
     """Kept lines to events; the user of a failed login is hashed and scrubbed from the line."""
     df = parse_syslog_header(raw)
-    df = df.filter(proxmox_gate()).withColumns({
-        "app": F.lower("appname"), "msg": F.regexp_replace(F.coalesce("body", F.lit("")), r"\s+\z", ""),
+    df = keep_if(df, proxmox_gate()).withColumns({
+        "app": F.lower("appname"), "msg": F.rtrim(F.coalesce("body", F.lit("")), F.lit(" \r\n")),
     })
     msg, sshd = F.col("msg"), F.col("app").startswith("sshd")
+    # A plain substring test comes before each pattern, so most lines meet one pattern.
+    hit = lambda mark, pattern: msg.contains(mark) & msg.rlike(pattern)
     df = df.withColumns({
-        "ok_ssh": sshd & msg.rlike(ACCEPTED), "bad_ssh": sshd & ~msg.rlike(ACCEPTED) & msg.rlike(FAILED),
-        "task": ~sshd & msg.rlike(TASK), "upid": F.when(~sshd, found(msg, TASK, 2)),
+        "ok_ssh": sshd & hit("Accepted ", ACCEPTED), "task": ~sshd & hit(" task UPID:", TASK),
     }).withColumns({
-        "bad_web": ~sshd & ~F.col("task") & msg.rlike(WEB_FAILED),
+        "bad_ssh": sshd & ~F.col("ok_ssh") & hit("Failed password", FAILED), "upid": F.when(F.col("task"), found(msg, TASK, 2)),
+        "bad_web": ~sshd & ~F.col("task") & hit("authentication failure", WEB_FAILED),
     }).withColumn("ok_web", ~sshd & ~F.col("task") & ~F.col("bad_web") & msg.contains(WEB_OK_MARK))
     ok_ssh, bad_ssh, task = F.col("ok_ssh"), F.col("bad_ssh"), F.col("task")
     bad_web, ok_web, upid = F.col("bad_web"), F.col("ok_web"), F.col("upid")
@@ -72,7 +74,7 @@ def normalise_proxmox(raw: DataFrame, hash_key: bytes) -> DataFrame:
         task, F.array(F.lit("configuration"))
     ).otherwise(F.array(F.lit("host")))
     # A hashed name has no realm; the plain one does.
-    realm = F.when(~bad_ssh & ~bad_web, found(user, r"@(\S+)$"))
+    realm = F.when(~bad_ssh & ~bad_web & user.contains("@"), found(user, r"@(\S+)$"))
     pairs = [
         ("proxmox.appname", F.col("app")), ("proxmox.node", F.col("hostname")),
         ("proxmox.source_addr", F.when(ipv4_or_null(peer).isNull(), peer)),

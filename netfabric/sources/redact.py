@@ -35,6 +35,10 @@ def scrub_user(raw: Column, user: Column) -> Column:
     return _scrub(raw, user, HASHED)
 
 
+def scrub_secret(text: Column, secret: Column) -> Column:
+    return _scrub(text, secret, REDACTED)
+
+
 def community_name(path: Column) -> Column:
     return found(path, COMMUNITY_NAME)
 
@@ -46,7 +50,8 @@ def redact_community(text: Column, path: Column) -> Column:
 
 def is_secret(path: Column, value: Column) -> Column:
     """The value belongs under a secret-shaped path or is already encrypted."""
-    return F.coalesce(F.lower(path).rlike(SECRET_PATH), F.lit(False)) | F.coalesce(value.rlike(ENCRYPTED), F.lit(False))
+    shaped = F.coalesce(F.lower(path).rlike(SECRET_PATH), F.lit(False)) | F.coalesce(value.rlike(ENCRYPTED), F.lit(False))
+    return value.isNotNull() & shaped
 
 
 def shown_value(path: Column, value: Column) -> Column:
@@ -59,4 +64,4 @@ def redact_value(raw: Column, path: Column, value: Column) -> Column:
 
 def redact_leftovers(raw: Column) -> Column:
     """Last net: any encrypted marker still in the line."""
-    return F.regexp_replace(raw, ENCRYPTED_ANYWHERE, REDACTED)
+    return F.when(raw.contains("$"), F.regexp_replace(raw, ENCRYPTED_ANYWHERE, REDACTED)).otherwise(raw)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netfabric.functions.net import ipv4_or_null
 from netfabric.sources.syslog import (
-    KNOWN_DEVICES, event_rows, known_device, no_entries, parse_syslog_header, port, structured_data_map,
+    KNOWN_DEVICES, event_rows, keep_if, known_device, no_entries, parse_syslog_header, port, structured_data_map,
 )
 
 # Message ids of sessions and the transport numbers.
@@ -42,8 +42,8 @@ def _number(fields: Column, key: str, kind: str = "long") -> Column:
 def normalise_srx(raw: DataFrame, devices: tuple[str, ...] | None = KNOWN_DEVICES) -> DataFrame:
     """Raw lines of the shared security port to events (a pure projection)."""
     df = parse_syslog_header(raw)
-    df = df.filter(security_route(df)).withColumns({
-        "f": F.when(F.col("parsed"), structured_data_map(F.col("message"))).otherwise(no_entries()),
+    df = keep_if(df, security_route(df)).withColumns({
+        "f": F.when(F.col("parsed"), structured_data_map(F.coalesce("structured_data", "message"))).otherwise(no_entries()),
         "code": F.lower(F.coalesce("msgid", F.lit(""))),
     })
     f, code, parsed = F.col("f"), F.col("code"), F.col("parsed")

@@ -9,10 +9,15 @@ from netfabric import schemas
 from netfabric.functions.ids import DEFAULT_TENANT, event_id
 
 # RFC 5424: <pri>version time host app procid msgid structured-data message.
-_SD = r'(?:-|(?:\[(?:[^\]"\\]|\\.|"(?:[^"\\]|\\.)*")*\])+)'
-RFC5424 = rf"(?s)^<(\d{{1,3}})>(\d{{1,2}}) (\S+) (\S+) (\S+) (\S+) (\S+) ({_SD})(?: (.*))?\z"
+# Possessive repeats: no backtracking and no deep recursion on long lines.
+_QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_SD = rf'(?:-|(?:\[[^\]"]*+(?:{_QUOTED}[^\]"]*+)*+\])++)'
+RFC5424 = rf"(?s)^<(\d{{1,3}})>\d{{1,2}} (\S++) (\S++) (\S++) (\S++) (\S++) ({_SD})(?: (.*))?\z"
 # RFC 3164: [<pri>]Mon dd HH:MM:SS host [app[pid]:] message.
-RFC3164 = r"(?s)^(?:<(\d{1,3})>)?([A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2}) (\S+) ?(?:([^\s:\[,]+)(?:\[(\d+)\])?: )?(.*)\z"
+RFC3164 = r"(?s)^(?:<(\d{1,3})>)?([A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2}) (\S++) ?(?:([^\s:\[,]++)(?:\[(\d++)\])?: )?(.*)\z"
+PAIR = r'([^\s="\[\]]++)="([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+# Field separators inside the one replacement that takes a header apart.
+_FS, _MODERN, _LEGACY = "\x1f", "\x1eA", "\x1eB"
 
 # Names of devices that may act as event observers.
 KNOWN_DEVICES = (
@@ -34,46 +39,68 @@ def found(value: Column, pattern: str, group: int = 1) -> Column:
 
 
 def parse_syslog_header(df: DataFrame, message: str = "message", received_at: str = "received_at") -> DataFrame:
-    """Adds the header fields of both syslog forms; ``parsed`` is false when neither fits."""
+    """Adds the header fields of both syslog forms; ``parsed`` is false when neither fits.
+
+    Each line meets each pattern once: a match is rewritten into separated
+    fields, which are then split, instead of one extraction per field.
+    """
     m = F.col(message)
-    modern, legacy = m.rlike(RFC5424), m.rlike(RFC3164)
 
-    def pick(new: int, old: int | None) -> Column:
-        value = F.when(F.col("_modern"), F.regexp_extract(m, RFC5424, new))
-        if old is not None:
-            value = value.when(F.col("_legacy"), F.regexp_extract(m, RFC3164, old))
-        return F.nullif(F.nullif(value, F.lit("-")), F.lit(""))
+    def fields(pattern: str, mark: str, groups: tuple[str, ...]) -> Column:
+        return F.split(F.regexp_replace(m, pattern, mark + "".join(_FS + g for g in groups)), _FS, len(groups) + 1)
+
+    # Both forms in the order: priority, time, host, program, process, message id, data, text.
+    modern = fields(RFC5424, _MODERN, tuple(f"${i}" for i in range(1, 9)))
+    legacy = fields(RFC3164, _LEGACY, ("$1", "$2", "$3", "$4", "$5", "", "", "$6"))
+    df = df.withColumn("_h", F.when(m.startswith("<"), modern))
+    df = df.withColumn("_h", F.when(F.col("_h")[0] == _MODERN, F.col("_h")).otherwise(legacy))
+    kind = F.col("_h")[0]
+    parsed = kind.isin(_MODERN, _LEGACY)
 
-    flagged = df.withColumns({"_modern": modern, "_legacy": ~modern & legacy})
-    stamp = F.regexp_replace(F.regexp_extract(m, RFC3164, 2), r"\s+", " ")
+    def part(i: int) -> Column:
+        value = F.try_element_at("_h", F.lit(i + 1))
+        return F.when(parsed, F.nullif(F.nullif(value, F.lit("-")), F.lit("")))
+
+    stamp = F.regexp_replace(part(2), " +", " ")
     at = F.try_to_timestamp(F.concat(F.year(received_at).cast("string"), F.lit(" "), stamp), F.lit("yyyy MMM d HH:mm:ss"))
+    out = df.withColumn("header_ts", F.when(kind == _MODERN, F.try_to_timestamp(part(2))).when(kind == _LEGACY, at))
     # The legacy form has no year; a line from the future belongs to last year.
-    at = F.when(at > F.col(received_at) + F.expr("INTERVAL 1 DAY"), at - F.expr("INTERVAL 1 YEAR")).otherwise(at)
-    return flagged.withColumns({
-        "priority": pick(1, 1).try_cast("int"),
-        "header_ts": F.when(F.col("_modern"), F.try_to_timestamp(F.regexp_extract(m, RFC5424, 3))).when(F.col("_legacy"), at),
-        "hostname": pick(4, 3), "appname": pick(5, 4), "procid": pick(6, 5), "msgid": pick(7, None),
-        "structured_data": pick(8, None),
-        "body": F.when(F.col("_modern"), F.regexp_extract(m, RFC5424, 9)).when(F.col("_legacy"), F.regexp_extract(m, RFC3164, 6)),
-        "parsed": F.coalesce(F.col("_modern") | F.col("_legacy"), F.lit(False)),
-    }).drop("_modern", "_legacy")
+    late = (kind == _LEGACY) & (F.col("header_ts") > F.col(received_at) + F.expr("INTERVAL 1 DAY"))
+    return out.withColumns({
+        "header_ts": F.when(late, F.col("header_ts") - F.expr("INTERVAL 1 YEAR")).otherwise(F.col("header_ts")),
+        "priority": part(1).try_cast("int"), "hostname": part(3), "appname": part(4), "procid": part(5), "msgid": part(6),
+        "structured_data": part(7), "body": F.when(parsed, F.try_element_at("_h", F.lit(9))), "parsed": F.coalesce(parsed, F.lit(False)),
+    }).drop("_h")
+
 
+def keep_if(df: DataFrame, condition: Column) -> DataFrame:
+    """A filter that stays where it is.
 
-def structured_data_map(message: Column) -> Column:
-    """Every ``key="value"`` pair of the first structured-data block; a repeated key keeps its last value."""
-    block = F.regexp_extract(message, r'\[(?:[^\]]*?) ((?:\S+="[^"]*" ?)+)\]', 1)
-    pair = F.lit(r'([^=\s]+)="([^"]*)"')
-    return F.map_from_arrays(F.regexp_extract_all(block, pair, F.lit(1)), F.regexp_extract_all(block, pair, F.lit(2)))
+    The optimizer moves an ordinary filter below the projections it reads and
+    repeats their expressions inside it, so every line would be parsed again
+    for each mention of a parsed field.  A generator is not moved.
+    """
+    once = F.when(condition, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return df.withColumn("_keep", F.explode(once)).drop("_keep")
+
+
+def structured_data_map(data: Column) -> Column:
+    """The ``key="value"`` pairs of structured data; a repeated key keeps its last value.
+
+    Escaped quotes belong to their value.
+    """
+    text = F.coalesce(data, F.lit(""))
+    return F.map_from_arrays(F.regexp_extract_all(text, F.lit(PAIR), F.lit(1)), F.regexp_extract_all(text, F.lit(PAIR), F.lit(2)))
 
 
-def param(message: Column, name: str) -> Column:
-    """One structured-data parameter, NULL when absent or empty; stops at the first quote."""
-    return found(message, rf'(?<![\w-]){name}="([^"]*)"')
+def param(fields: Column, name: str) -> Column:
+    """A parameter cut at its first quote, NULL when absent or empty."""
+    return F.nullif(F.split_part(fields[name], F.lit('"'), F.lit(1)), F.lit(""))
 
 
-def escaped_param(message: Column, name: str) -> Column:
-    """The same for values that may hold escaped quotes."""
-    return found(message, rf'(?<![\w-]){name}="((?:[^"\\]|\\.)*)"')
+def escaped_param(fields: Column, name: str) -> Column:
+    """A whole parameter, escaped quotes included, NULL when absent or empty."""
+    return F.nullif(fields[name], F.lit(""))
 
 
 def known_device(hostname: Column, devices: tuple[str, ...] | None = KNOWN_DEVICES) -> Column:

@@ -19,8 +19,9 @@ EXT_FIELDS = {
     "unifi.src_zone": "UNIFIsrcZone", "unifi.dst_zone": "UNIFIdstZone", "unifi.dst_region": "UNIFIdstRegion",
 }
 # Seven header fields split by unescaped bars, then the extension.
-_HEADER = r"(?s)CEF:(\d+)\|((?:[^|\\]|\\.)*)\|((?:[^|\\]|\\.)*)\|((?:[^|\\]|\\.)*)\|((?:[^|\\]|\\.)*)\|((?:[^|\\]|\\.)*)\|((?:[^|\\]|\\.)*)\|(.*)\z"
-_PAIR = r"(\w+)=((?:[^\\]|\\.)*?)(?=\s+\w+=|\s*\z)"
+_PART = r"([^|\\]*+(?:\\.[^|\\]*+)*+)\|"
+_HEADER = rf"(?s)^.*?CEF:(\d++)\|{_PART * 6}(.*)\z"
+_FS, _MARK = "\x1f", "\x1eC"
 HEADER_FIELDS = ("version", "vendor", "product", "device_version", "signature_id", "name", "severity")
 
 
@@ -34,16 +35,18 @@ def parse_cef(df: DataFrame, message: str = "message") -> DataFrame:
 
     Values keep inner spaces; a value ends before the next ``word=``.
     """
-    line = F.regexp_replace(message, r"\s+\z", "")
-    ext = F.regexp_extract(line, _HEADER, 8)
-    pair = F.lit(_PAIR)
-    values = F.transform(
-        F.regexp_extract_all(ext, pair, F.lit(2)), lambda v: F.regexp_replace(v, r"\\([\\=|])", "$1")
-    )
-    columns = {"cef_ok": line.rlike(_HEADER), "cef": F.map_from_arrays(F.regexp_extract_all(ext, pair, F.lit(1)), values)}
-    for i, name in enumerate(HEADER_FIELDS, start=1):
-        columns[f"cef_{name}"] = F.regexp_extract(line, _HEADER, i)
-    return df.withColumns(columns)
+    line = F.rtrim(message, F.lit(" \r\n\t"))
+    spread = _MARK + "".join(f"{_FS}${i}" for i in range(1, 9))
+    df = df.withColumn("_c", F.split(F.regexp_replace(line, _HEADER, spread), _FS, 9))
+    df = df.withColumn("cef_ok", F.col("_c")[0] == _MARK)
+    part = lambda i: F.when(F.col("cef_ok"), F.try_element_at("_c", F.lit(i + 1)))
+    pairs = F.filter(F.split(F.trim(F.coalesce(part(8), F.lit(""))), r"\s+(?=\w+=)"), lambda p: p.rlike(r"^\w+="))
+    value = lambda p: F.substring(p, F.locate("=", p) + 1, F.length(p))
+    plain = lambda v: F.when(v.contains("\\"), F.regexp_replace(v, r"\\([\\=|])", "$1")).otherwise(v)
+    entries = F.transform(pairs, lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("key"), plain(value(p)).alias("value")))
+    columns = {"cef": F.map_from_entries(entries)}
+    columns.update({f"cef_{name}": part(i) for i, name in enumerate(HEADER_FIELDS, start=1)})
+    return df.withColumns(columns).drop("_c")
 
 
 def normalise_unifi(raw: DataFrame) -> DataFrame:
