@@ -73,7 +73,7 @@ def within_depth(adjacency: DataFrame, starts: DataFrame, depth: int) -> DataFra
         )
         if frontier.isEmpty():
             break
-        reached = cut_lineage(reached.unionByName(frontier))
+        reached = reached.unionByName(frontier)
     return reached
 
 
@@ -86,37 +86,38 @@ def _expand(adjacency: DataFrame, frontier: DataFrame, carry: list[str]) -> Data
 def shortest_paths(adjacency: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(src, dst, path)`` for the pairs that are connected.
 
-    All sources advance together, one hop per round; a source stops when its
-    targets are found.  Among equally short paths the lexicographically
-    smallest is kept: a best path to a node extends a best path to a
-    predecessor, so one path per (source, node) is enough.
+    The side with fewer distinct nodes is the root side, and all roots advance
+    together, one hop per round; a root stops when its partners are found.
+    Among equally short paths the lexicographically smallest is kept: a best
+    path extends a best path of the node before (or, searched from the far end,
+    of the node after), so one path per (root, node) is enough.
     """
     wanted = cut_lineage(pairs.select("src", "dst").distinct())
-    reached = cut_lineage(
-        wanted.select("src").distinct()
-        .select("src", F.col("src").alias("node"), F.array("src").alias("path"))
-    )
-    frontier = reached
-    found = reached.join(wanted.withColumnRenamed("dst", "node"), ["src", "node"])
-    open_pairs = cut_lineage(wanted.filter(F.col("src") != F.col("dst")))
+    sides = wanted.agg(F.count_distinct("src").alias("s"), F.count_distinct("dst").alias("d")).first()
+    backward = sides["d"] < sides["s"]
+    root, far = ("dst", "src") if backward else ("src", "dst")
+    asked = wanted.select(F.col(root).alias("root"), F.col(far).alias("node"))
     edges = cut_lineage(adjacency.select(F.col("src").alias("node"), F.col("dst").alias("_to")))
+    frontier = cut_lineage(asked.select("root").distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path")))
+    reached = frontier.select("root", "node")
+    found = frontier.join(asked, ["root", "node"])
+    open_pairs = cut_lineage(asked.filter(F.col("root") != F.col("node")))
+    longer = F.concat(F.array("_to"), "path") if backward else F.concat("path", F.array("_to"))
     while not open_pairs.isEmpty():
-        active = frontier.join(open_pairs.select("src").distinct(), "src", "left_semi")
+        active = lookup_join(frontier, open_pairs.select("root").distinct(), "root", "left_semi")
         stepped = (
-            lookup_join(edges, active, "node")
-            .select("src", F.col("_to").alias("node"), F.concat("path", F.array("_to")).alias("path"))
-            .groupBy("src", "node").agg(F.min("path").alias("path"))
+            lookup_join(edges, active, "node").select("root", F.col("_to").alias("node"), longer.alias("path"))
+            .groupBy("root", "node").agg(F.min("path").alias("path"))
         )
-        frontier = cut_lineage(stepped.join(reached.select("src", "node"), ["src", "node"], "left_anti"))
+        frontier = cut_lineage(stepped.join(reached, ["root", "node"], "left_anti"))
         if frontier.isEmpty():
             break
-        reached = cut_lineage(reached.select("src", "node").unionByName(frontier.select("src", "node")))
-        hits = frontier.join(open_pairs.withColumnRenamed("dst", "node"), ["src", "node"])
-        found = cut_lineage(found.select("src", "node", "path").unionByName(hits.select("src", "node", "path")))
-        open_pairs = cut_lineage(
-            open_pairs.join(hits.select("src", F.col("node").alias("dst")), ["src", "dst"], "left_anti")
-        )
-    return found.select("src", F.col("node").alias("dst"), "path")
+        # Every part of these unions is a written table.
+        reached = reached.unionByName(frontier.select("root", "node"))
+        hits = cut_lineage(frontier.join(open_pairs, ["root", "node"]).select("root", "node", "path"))
+        found = found.unionByName(hits)
+        open_pairs = cut_lineage(open_pairs.join(hits.select("root", "node"), ["root", "node"], "left_anti"))
+    return found.select(F.col("root").alias(root), F.col("node").alias(far), "path").select("src", "dst", "path")
 
 
 def reaches_root(links: DataFrame, root: str = "") -> DataFrame:
@@ -146,7 +147,8 @@ def reaches_root(links: DataFrame, root: str = "") -> DataFrame:
         stepped = cut_lineage(
             lookup_join(left, jump, ["chain", "ptr"]).select("chain", "id", F.col("_next").alias("ptr")).distinct()
         )
-        arrived = cut_lineage(arrived.unionByName(newly))
+        # Every part of this union is a written table.
+        arrived = arrived.unionByName(newly)
         if span > limit or stepped.isEmpty():
             # Rows still open after doubling past their number are on a cycle.
             break
