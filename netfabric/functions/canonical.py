@@ -57,10 +57,10 @@ def ascii_json_string(value: Column) -> Column:
         mark = F.lit(_SLASH + "u")
         pair = F.concat(mark, F.substring(units, 1, 4), mark, F.substring(units, 5, 4))
         escaped = F.when(F.length(units) > 4, pair).otherwise(F.concat(mark, units))
-        return F.when(ch.rlike(r"[^\x00-\x7f]"), escaped).otherwise(ch)
+        return F.when(ch.rlike(r"[^\x00-\x7e]"), escaped).otherwise(ch)
 
     wide = F.concat_ws("", F.transform(F.split(plain, ""), escape))
-    return F.when(plain.rlike(r"[^\x00-\x7f]"), wide).otherwise(plain)
+    return F.when(plain.rlike(r"[^\x00-\x7e]"), wide).otherwise(plain)
 
 
 def spaced_json_object(pairs: list[tuple[str, Column]]) -> Column:
