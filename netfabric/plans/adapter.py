@@ -111,11 +111,12 @@ FROM {d.table("part")}"""
 def _rule_history(d: Dialect) -> str:
     """Three past versions per rule; the newest equals the current one for some rules."""
     return f"""
-SELECT 't_main' AS tenant_id, r.provider, r.device_name, r.rule_name, v.n AS version_no,
-  {d.epoch(f"{EPOCH_2024} + v.n * 86400 + r.position")} AS valid_from,
-  CASE WHEN v.n = 2 AND r.position % 2 = 0 THEN r.action ELSE concat('old-', CAST(v.n AS STRING)) END AS action,
+SELECT 't_main' AS tenant_id, r.provider, r.device_name, r.rule_name, r.n AS version_no,
+  {d.epoch(f"{EPOCH_2024} + r.n * 86400 + r.position")} AS valid_from,
+  CASE WHEN r.n = 2 AND r.position % 2 = 0 THEN r.action ELSE concat('old-', CAST(r.n AS STRING)) END AS action,
   r.from_zone, r.to_zone, r.enabled, CAST(r.position AS STRING) AS position
-FROM rules r JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) v ON v.n <= r.position % 4"""
+FROM (SELECT *, 0 AS n FROM rules UNION ALL SELECT *, 1 FROM rules WHERE position % 4 >= 1
+  UNION ALL SELECT *, 2 FROM rules WHERE position % 4 >= 2) r"""
 
 
 def _graph_nodes(d: Dialect) -> str:
