@@ -287,18 +287,24 @@ def reconcile_twins(
 
 # ---------------------------------------------------------------- lookups
 
-def find_entities(entities: DataFrame, ids: DataFrame, *, best_only: bool = False) -> DataFrame:
-    """Every entity matching each ``lookup`` by id or identifier value, best first by ``rank``.
+def find_entities(
+    entities: DataFrame, ids: DataFrame, *, best_only: bool = False, aliases: DataFrame | None = None,
+) -> DataFrame:
+    """Every entity matching each ``lookup`` by id or identifier value.
 
-    The order is confidence, then recency.  Only the head of the ranking is
-    computed with ``best_only``.
+    With ``best_only`` just the head of the ranking by confidence, then recency.
+    ``aliases(entity_id, alias)`` adds identifiers kept outside the map, such as
+    the addresses of assets that have very many.
     """
-    aliases = entities.select(
-        "entity_id", "confidence", "last_seen",
-        F.explode(F.array_distinct(F.concat(F.array("entity_id"), F.map_values("identifiers")))).alias("_alias"),
+    scored = entities.select("entity_id", "confidence", "last_seen")
+    known = entities.select(
+        "entity_id", F.explode(F.concat(F.array("entity_id"), F.map_values("identifiers"))).alias("_alias")
     )
+    if aliases is not None:
+        known = known.unionByName(aliases.select("entity_id", F.col("alias").alias("_alias")))
     wanted = ids.select("lookup").distinct().withColumn("_alias", lookup_form("lookup"))
-    hits = lookup_join(aliases, wanted, "_alias").select("lookup", "entity_id", "confidence", "last_seen")
+    matched = lookup_join(known, wanted, "_alias").select("lookup", "entity_id").distinct()
+    hits = lookup_join(matched, scored, "entity_id")
     if best_only:
         hits = top_rows(hits, ["lookup"], [F.col("confidence").desc(), F.col("last_seen").desc(), F.col("entity_id")])
     rest = [c for c in ENTITY_COLUMNS if c not in ("entity_id", "confidence", "last_seen")]

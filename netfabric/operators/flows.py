@@ -84,25 +84,22 @@ def top_talkers(
 def describe(events: DataFrame, tenant: str | None = None) -> DataFrame:
     """One row: row count, time range and the distinct actions, outcomes, providers and zones.
 
-    The value sets are low-cardinality columns; each is cut to 100 entries, the
-    alphabetically first.
+    Each value set is cut to 100 entries, the alphabetically first.  Values are
+    made distinct and cut before they are gathered, so no task holds a column's
+    whole value set.
     """
-    def values(name: str) -> Column:
-        found = F.array_sort(F.collect_set(F.when(F.col(name) != "", F.col(name))))
-        return F.slice(found, 1, DESCRIBE_MAX_VALUES)
-
     df = _tenant(events, tenant)
-    zones = F.array_union(
-        F.collect_set("observer_ingress_zone"), F.collect_set("observer_egress_zone")
-    )
-    return df.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.min("timestamp").alias("earliest"),
-        F.max("timestamp").alias("latest"),
-        values("event_action").alias("actions"),
-        values("event_outcome").alias("outcomes"),
-        values("event_provider").alias("providers"),
-        F.slice(F.array_sort(F.filter(zones, lambda z: z != "")), 1, DESCRIBE_MAX_VALUES).alias("zones"),
+    kinds = {"actions": ("event_action",), "outcomes": ("event_outcome",), "providers": ("event_provider",),
+             "zones": ("observer_ingress_zone", "observer_egress_zone")}
+    pairs = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col(c).alias("value")) for kind, columns in kinds.items() for c in columns
+    ])
+    values = df.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("value") != "").distinct()
+    cut = top_rows(values, ["kind"], [F.col("value")], DESCRIBE_MAX_VALUES)
+    lists = cut.agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("value")))).alias(k) for k in kinds])
+    totals = df.agg(F.count(F.lit(1)).alias("row_count"), F.min("timestamp").alias("earliest"), F.max("timestamp").alias("latest"))
+    return totals.unionByName(lists, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ("row_count", "earliest", "latest", *kinds)]
     )
 
 

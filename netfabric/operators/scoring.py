@@ -108,19 +108,24 @@ def score(questions: DataFrame, answers: DataFrame, references: DataFrame, obser
     ``questions(id, tier, category, difficulty, required_tools, ptype, match,
     min_overlap, tolerance, tolerance_pct, expected)``, ``answers(id, answer,
     values, number, error)``, ``references(id, value)`` with the rows of each
-    reference query, ``observed(id, tools)``.
+    reference query, ``observed(id, tools)``.  Sets are compared by counts of
+    distinct rows, so a reference result may be of any size.
     """
-    refs = references.groupBy("id").agg(
-        F.array_sort(F.collect_set("value")).alias("ref_values"), F.min("value").alias("ref_first")
-    )
+    ref_rows = references.select("id", "value").distinct()
+    refs = ref_rows.groupBy("id").agg(F.count(F.lit(1)).alias("ref_n"), F.min("value").alias("ref_first"))
+    said = answers.select("id", F.explode("values").alias("value")).distinct()
+    agent = said.groupBy("id").agg(F.count(F.lit(1)).alias("agent_n"))
+    common = said.join(ref_rows, ["id", "value"]).groupBy("id").agg(F.count(F.lit(1)).alias("common_n"))
     one_answer = answers.groupBy("id").agg(F.min(F.struct("answer", "values", "number", "error")).alias("_a"))
     joined = (
-        questions.join(one_answer, "id", "left").join(refs, "id", "left").join(observed.select("id", "tools"), "id", "left")
+        questions.join(one_answer, "id", "left").join(refs, "id", "left").join(agent, "id", "left").join(common, "id", "left")
+        .join(observed.select("id", "tools"), "id", "left")
     )
+    agent_n, ref_n, common_n = (F.coalesce(c, F.lit(0)) for c in ("agent_n", "ref_n", "common_n"))
     answer, error = F.col("_a.answer"), F.col("_a.error")
     by_reference = (
-        F.when(F.col("match") == "exact", match_exact(F.col("_a.values"), F.col("ref_values")))
-        .when(F.col("match") == "set_overlap", match_overlap(F.col("_a.values"), F.col("ref_values"), F.col("min_overlap")))
+        F.when(F.col("match") == "exact", (common_n == agent_n) & (common_n == ref_n))
+        .when(F.col("match") == "set_overlap", common_n >= F.col("min_overlap"))
         .when(F.col("match") == "numeric_tolerance", match_tolerance(
             F.col("_a.number"), F.col("ref_first").try_cast("double"), F.col("tolerance"), F.col("tolerance_pct")))
     )

