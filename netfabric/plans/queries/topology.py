@@ -114,7 +114,7 @@ mem AS (SELECT g, a AS node_id FROM dv UNION ALL SELECT g, b FROM dv), can AS (S
 
 @REGISTRY.add("device_canonical_ids", f"{DEVICES} SELECT m.node_id, c.canonical_id FROM mem m JOIN can c USING (g)")
 def device_canonical_ids(spark, sf_dir):
-    return op.device_canonical_ids(op.nodes_from_observations(inventory(spark, sf_dir)))
+    return op.device_canonical_ids(cut_lineage(op.nodes_from_observations(inventory(spark, sf_dir))))
 
 
 @REGISTRY.add("merge_devices", f"""{DEVICES}, t AS (SELECT g, min(k) AS k0, max(k) AS k1 FROM dv GROUP BY g)
@@ -122,7 +122,7 @@ SELECT c.canonical_id AS node_id, 'device' AS kind, '192.0.2.' || CAST(c.g AS VA
   make_timestamp((CAST({ad.EPOCH_2024} AS BIGINT) + k0) * 1000000) AS first_seen, make_timestamp((CAST({ad.EPOCH_2024} AS BIGINT) + k1) * 1000000) AS last_seen
 FROM can c JOIN t USING (g)""")
 def merge_devices(spark, sf_dir):
-    nodes = op.nodes_from_observations(inventory(spark, sf_dir))
+    nodes = cut_lineage(op.nodes_from_observations(inventory(spark, sf_dir)))
     merged = op.merge_devices(nodes, op.device_canonical_ids(nodes))
     return merged.select("node_id", "kind", F.col("identifiers")["mgmt_ip"].alias("mgmt_ip"), "first_seen", "last_seen")
 
@@ -143,7 +143,7 @@ def links(spark, sf_dir):
 SELECT {geid("e.src_id", "c.canonical_id", "attaches_to", "l2")} AS edge_id, e.src_id, c.canonical_id AS dst_id, 1.0::DOUBLE AS confidence, 'junos,unifi' AS evidence
 FROM e JOIN can c USING (g)""")
 def remap_edges(spark, sf_dir):
-    canonical = op.device_canonical_ids(op.nodes_from_observations(inventory(spark, sf_dir)))
+    canonical = op.device_canonical_ids(cut_lineage(op.nodes_from_observations(inventory(spark, sf_dir))))
     moved = op.edge_confidence(op.remap_edges(op.edges_from_observations(links(spark, sf_dir)), canonical))
     return moved.select("edge_id", "src_id", "dst_id", "confidence", F.col("attrs")["evidence"].alias("evidence"))
 

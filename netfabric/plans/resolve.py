@@ -90,7 +90,8 @@ def entity_tables(observed: EntityResolution, configured: dict[str, DataFrame])
 
 def resolve_topology(observations: DataFrame, flow_edges: DataFrame, tenant: str = DEFAULT_TENANT) -> tuple[DataFrame, DataFrame]:
     """Graph nodes and edges from observations and flow edges, devices fused."""
-    nodes = to.nodes_from_observations(observations, tenant)
+    # Fusion reads the nodes several times; the observations are scanned once for them.
+    nodes = cut_lineage(to.nodes_from_observations(observations, tenant))
     edges = to.edges_from_observations(observations, tenant)
     canonical = to.device_canonical_ids(nodes)
     nodes = to.merge_devices(nodes, canonical)
