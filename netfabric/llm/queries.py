@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netfabric.llm import mixing, sharding
+from netfabric.llm import langid, mixing, sharding
 from netfabric.session import prepare
 
 
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """The fifth of the rows that no model of a query may learn from."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -23,9 +29,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(~held_out()))
+    found = langid.identify(docs.select("doc_id", "text"), model, F.col("text"))
+    return found.select("doc_id", held_out().alias("held_out"), "_lang.lang_pred", "_lang.score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op8_sharding": op8_sharding,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
