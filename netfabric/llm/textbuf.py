@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
-_P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
+#: Bases of the polynomial hashes, odd and so invertible modulo 2^64.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 #: The bytes between words, 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
@@ -54,18 +54,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _P, np.uint64), np.full(size, _P_INV, np.uint64)
+@lru_cache(maxsize=4)
+def _powers(size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]:
     size = CHUNK_BYTES * 2
     while size < n:
         size *= 2
-    up, down = _powers(size)
+    up, down = _powers(size, base)
     return up[:n], down[:n]
 
 
@@ -87,15 +87,15 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         lo = hi
 
 
-def running_hash(data: np.ndarray) -> np.ndarray:
+def running_hash(data: np.ndarray, base: int = BASES[0]) -> np.ndarray:
     """Polynomial sums such that ``span_hash`` gives the hash of any span."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0], out=sums[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), base)[0], out=sums[1:])
     return sums
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
+def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
+    return mix((sums[ends] - sums[starts]) * powers(len(sums), base)[1][starts])
 
 
 def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> Words:
