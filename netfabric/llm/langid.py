@@ -15,6 +15,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         for batch in batches:
             lang = batch.column("lang")
             for name in lang.unique().to_pylist():
-                texts = batch.filter(pa.compute.equal(lang, name)).column("text")
+                texts = batch.filter(pc.equal(lang, name)).column("text")
                 for chunk in textbuf.chunks(texts, textbuf.CHUNK_BYTES * 4):
                     grams = [g for g, _ in gram_hashes(chunk.data, chunk.offsets)]
                     gram, n = np.unique(np.concatenate([*grams, np.zeros(0, np.uint64)]), return_counts=True)

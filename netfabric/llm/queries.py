@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netfabric.llm import langid, minhash, mixing, sharding
+from netfabric.llm import langid, linededup, minhash, mixing, sharding
 from netfabric.session import prepare
 
 
@@ -20,6 +20,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = linededup.drop_lines(docs, linededup.build_index(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -41,6 +47,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op6_minhash": op6_minhash,
     "op8_sharding": op8_sharding,
@@ -48,5 +55,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": linededup.LINES_SQL,
     "op3_mixing": mixing.MIX_SQL,
 }
