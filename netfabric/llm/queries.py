@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netfabric.llm import langid, linededup, minhash, mixing, sharding
+from netfabric.llm import langid, linededup, minhash, mixing, sharding, warc
 from netfabric.session import prepare
 
 
@@ -35,6 +35,14 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = warc.archive_folder(spark)
+    warc.write_archives(pages, folder, min_revisit=0)
+    read = warc.resolve(warc.reassemble(warc.read_records(spark, folder)))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
 
@@ -50,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op6_minhash": op6_minhash,
+    "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
     "op10_language_id": op10_language_id,
 }
@@ -57,4 +66,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_line_dedup": linededup.LINES_SQL,
     "op3_mixing": mixing.MIX_SQL,
+    "op7_warc": warc.WARC_SQL,
 }
