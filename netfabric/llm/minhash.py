@@ -4,11 +4,11 @@
    key per band of minima, and a digest of the whole set.
 2. Texts with equal sets form classes; only each class's smallest id goes on.
 3. Ids that share a band key are candidates.  First, every id is compared on
-   whole sets with the bucket minimum it shares most bands with; verified links
+   whole sets with the bucket hub it shares most bands with; verified links
    give components.
-4. Buckets that still hold several components have their signatures compared
-   across components, in blocks; pairs whose estimate can belong to a link are
-   compared on whole sets.  Pairs inside a component cannot change it.
+4. In buckets that still hold several components, texts are compared across
+   components, in blocks: first their signatures, then, where the estimate can
+   belong to a link, their whole sets.  Pairs inside a component cannot change it.
 5. Components by alternating large-star and small-star.
 
 No step emits all pairs of a group, and none bounds the partners of a document.
@@ -33,7 +33,7 @@ SEED = 20240607
 #: Five and a half standard deviations of an estimate at similarity 0.8 below it.
 SLACK = 5.5
 STAR_ROWS = 2000
-BLOCK_ROWS = 4000
+BLOCK_SHINGLES = 2_000_000
 SIGNED = "id long, n_shingles long, set_hi long, set_lo long, bands array<long>, signature binary"
 
 
@@ -145,72 +145,73 @@ def verify_stars(texts: DataFrame, stars: DataFrame, shingle: int, percent: int)
     return groups.select("id", "hub", "text").mapInArrow(run, "a long, b long")
 
 
-def verify_pairs(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` that are links, by their whole texts."""
+def across_components(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between different components of one bucket, at least one for each pair of them that has any.
 
-    @F.arrow_udf("boolean")
-    def linked(left: pa.Array, right: pa.Array) -> pa.Array:
-        sets = []
-        for column in (left, right):
-            own = []
-            for _, _, h, counts in shingle_sets(column, shingle):
-                own += np.split(h, np.cumsum(counts)[:-1])
-            sets.append(own)
-        return pa.array([len(a) > 0 and len(b) > 0 and similar(a, b, percent) for a, b in zip(*sets, strict=True)], pa.bool_())
-
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("_left"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("_right"))
-    return pairs.join(left, "a").join(right, "b").filter(linked("_left", "_right")).select("a", "b")
-
-
-def across_components(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b, estimate)`` from different components of one bucket whose signatures may belong to a link.
-
-    ``rows`` is ``(key, id, component, signature)``.  A bucket above ``BLOCK_ROWS``
-    is cut into blocks, and each pair of blocks is compared by a group of its own.
+    ``rows`` is ``(key, id, component, n_shingles, bands, signature, text)``.  A bucket
+    of more than ``BLOCK_SHINGLES`` is cut into blocks, and each pair of blocks is
+    compared by a group of its own.  Pairs whose signatures are too far apart for a
+    link are left out; the others are compared on whole sets, in the first bucket that
+    they share only.  A row gives one link for each other component.
     """
-    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    blocks = rows.groupBy("key").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "component", "id", "signature")
+        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "component", "id", "bands",
+        "signature", "text")
     cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "component")
     n = BANDS * ROWS
     share = percent / 100
     least = max(1, int(np.floor(n * share - SLACK * np.sqrt(n * share * (1 - share)))))
 
-    def compare(cell: tuple, rows: list[tuple]) -> pa.RecordBatch:
+    def compare(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         """All rows of one cell, in order of component."""
-        a, b, est = [], [], []
-        component = np.array([r[1] for r in rows])
-        ids = np.array([r[2] for r in rows])
-        block = np.array([r[0] for r in rows])
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), n)
-        after = np.searchsorted(component, component, "right")
-        for i, j in enumerate(after):
-            if j == len(rows):
-                continue
+        cell = pa.Table.from_batches(parts).combine_chunks()
+        m = cell.num_rows
+        key, lo, hi = (cell.column(c)[0].as_py() for c in ("key", "lo", "hi"))
+        component, ids, block = (cell.column(c).to_numpy() for c in ("component", "id", "block"))
+        bands = np.array(cell.column("bands").combine_chunks().flatten()).reshape(m, BANDS)
+        sig = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint16).reshape(m, n)
+        sets = []
+        for _, _, h, counts in shingle_sets(cell.column("text").combine_chunks(), shingle):
+            sets += np.split(h, np.cumsum(counts)[:-1])
+        size = np.array([len(x) for x in sets])
+        a, b = [], []
+        for i, j in enumerate(np.searchsorted(component, component, "right")):
+            if j == m:
+                break
             same = (sig[j:] == sig[i]).sum(axis=1)
-            ok = (same >= least) & ((block[j:] != block[i]) | (cell[1] == cell[2]))
-            for k in np.flatnonzero(ok) + j:
-                a.append(min(ids[i], ids[k]))
-                b.append(max(ids[i], ids[k]))
-                est.append(int(same[k - j]))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(est, pa.int32())], ["a", "b", "estimate"])
+            fits = 100 * np.minimum(size[j:], size[i]) >= percent * np.maximum(size[j:], size[i])
+            near = np.flatnonzero((same >= least) & fits & ((block[j:] != block[i]) | (lo == hi))) + j
+            near = near[bands[i][(bands[near] == bands[i]).argmax(axis=1)] == key]
+            if not len(near):
+                continue
+            flat = np.concatenate([sets[k] for k in near])
+            held = sets[i][np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)] == flat
+            both = np.add.reduceat(held.astype(np.int64), np.cumsum(size[near]) - size[near])
+            linked = near[100 * both >= percent * (size[near] + size[i] - both)]
+            _, first = np.unique(component[linked], return_index=True)
+            a += [ids[i]] * len(first)
+            b += ids[linked[first]].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "lo", "hi", "block", "component", "id", "signature")]
-            for key, lo, hi, *row in zip(*columns, strict=True):
-                if (key, lo, hi) != cell:
-                    if len(held) > 1:
-                        yield compare(cell, held)
-                    cell, held = (key, lo, hi), []
-                held.append(tuple(row))
-        if len(held) > 1:
-            yield compare(cell, held)
-
-    return cells.mapInArrow(run, "a long, b long, estimate int").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "lo", "hi")])
+            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for start, end in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if start == end:
+                    continue
+                if (now := tuple(keys[:, start])) != cell:
+                    if held:
+                        yield compare(held)
+                    cell, held = now, []
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield compare(held)
+
+    return cells.mapInArrow(run, "a long, b long")
 
 
 def label(df: DataFrame, components: DataFrame, id_col: str, name: str) -> DataFrame:
@@ -238,27 +239,24 @@ def near_duplicates(
     classes = cut_lineage(usable.groupBy("set_hi", "set_lo").agg(F.min("id").alias("rep")))
     reps = usable.select("id", "bands").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     keyed = reps.select("id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").drop("last")
-    members = cut_lineage(keyed.join(shared, "key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    members = cut_lineage(keyed.join(shared.filter("lo < hi").select("key", "n"), "key"))
     texts = cut_lineage(source.join(members.select("id").distinct(), "id", "left_semi"))
 
-    votes = members.filter("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    # The hub of a bucket is its member with most company over all buckets: the middle of a group of copies.
+    company = members.groupBy("id").agg(F.sum("n").alias("company"))
+    hubs = members.join(company, "id").groupBy("key").agg(F.max_by("id", F.struct("company", -F.col("id"))).alias("hub"))
+    votes = members.join(hubs, "key").filter("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
     stars = cut_lineage(votes.groupBy("id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")))
     links = cut_lineage(verify_stars(texts, stars, shingle, percent).distinct())
-    tried = stars.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
     components = connected_components(links)
 
     labelled = cut_lineage(label(members.select("key", "id"), components, "id", "component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_rows = labelled.join(mixed, "key", "left_semi").join(usable.select("id", "signature").dropDuplicates(["id"]), "id")
-    pairs = cut_lineage(across_components(open_rows, percent).join(tried, ["a", "b"], "left_anti"))
-    if pairs.take(1):
-        # First each id's best partner, which joins most components; then what is still between two.
-        best = pairs.groupBy("a").agg(F.max_by("b", "estimate").alias("b"))
-        links = cut_lineage(links.unionByName(verify_pairs(texts, best, shingle, percent)))
-        components = connected_components(links)
-        left = label(label(pairs, components, "a", "ca"), components, "b", "cb").filter("ca <> cb").select("a", "b")
-        more = verify_pairs(texts, left.join(best, ["a", "b"], "left_anti"), shingle, percent)
+    signs = usable.select("id", "n_shingles", "bands", "signature").dropDuplicates(["id"])
+    open_rows = labelled.join(mixed, "key", "left_semi").join(signs, "id").join(texts.dropDuplicates(["id"]), "id")
+    more = cut_lineage(across_components(open_rows, shingle, percent))
+    if more.take(1):
         components = connected_components(links.unionByName(more))
 
     found = label(classes, components, "rep", "component")
