@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netfabric.session import _checkpoint_root
+from netfabric.session import _checkpoint_root, cut_lineage
 
 VERSION = b"WARC/1.1"
 END = "\r\n\r\n"
@@ -133,10 +133,11 @@ def write_archives(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "first")]
+            made = []
             for page_id, url, payload, sha1, first in zip(*columns, strict=True):
                 digest = b32encode(bytes.fromhex(sha1)).decode()
-                made = b"\r\n\r\n".join(records_of(page_id, url, payload, digest, first, segment_bytes))
-                yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary()).cast(pa.string())], ["value"])
+                made.append(END.encode().join(records_of(page_id, url, payload, digest, first, segment_bytes)))
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()).cast(pa.string())], ["value"])
 
     lines = placed.select("page_id", "url", "payload", "sha1", "first").mapInArrow(run, "value string")
     lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
@@ -209,8 +210,8 @@ def reassemble(records: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                r = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
+            out = []
+            for r in batch.to_pylist():
                 segments = [(p["segment"], p["block"]) for p in r["parts"]]
                 block, error = (segments[0][1], None) if segments[0][0] == 0 else join_segments(segments, r["total_length"])
                 payload = None
@@ -221,9 +222,12 @@ def reassemble(records: DataFrame) -> DataFrame:
                         error = str(broken)
                 if payload is not None and r["type"] != "revisit" and r["digest"] and r["digest"] != digest_of(payload):
                     error = "digest differs"
-                yield pa.RecordBatch.from_pylist([{
-                    "record_id": r["record_id"], "type": r["type"], "refers_to": r["refers_to"], "digest": r["digest"], "payload": payload, "error": error}],
-                    schema=schema)
+                out.append({c: r[c] for c in ("record_id", "type", "refers_to", "digest")} | {"payload": payload, "error": error})
+                if len(out) == 256:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()),
                         ("payload", pa.binary()), ("error", pa.string())])
@@ -240,9 +244,10 @@ def resolve(payloads: DataFrame) -> DataFrame:
 
     A revisit has the length and digest of the payload that it refers to, or an error if that is not there.
     """
-    read = payloads.select(
+    # Written once: responses and revisits would each read all archives again.
+    read = cut_lineage(payloads.select(
         page_of("record_id").alias("page_id"), F.col("type").alias("record_type"), page_of("refers_to").alias("refers_to"),
-        F.length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "error")
+        F.length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "error"))
     responses = read.filter("record_type = 'response'")
     stored = responses.select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
     revisits = read.filter("record_type = 'revisit'").join(stored, "refers_to", "left")
