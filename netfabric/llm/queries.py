@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netfabric.llm import langid, linededup, minhash, mixing, sharding, warc
+from netfabric.llm import langid, linededup, minhash, mixing, sharding, toxicity, warc
 from netfabric.session import prepare
 
 
@@ -20,6 +20,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    scored = toxicity.score_toxicity(docs, model, F.col("text"))
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = linededup.drop_lines(docs, linededup.build_index(docs))
@@ -55,6 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op6_minhash": op6_minhash,
