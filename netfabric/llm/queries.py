@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netfabric.llm import langid, linededup, minhash, mixing, sharding, toxicity, warc
+from netfabric.llm import decontaminate, langid, linededup, minhash, mixing, sharding, toxicity, warc
 from netfabric.session import prepare
 
 
@@ -38,6 +38,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
+    "op4_decontamination": op4_decontamination,
     "op6_minhash": op6_minhash,
     "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
