@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netfabric.llm import decontaminate, langid, linededup, minhash, mixing, sharding, toxicity, warc
+from netfabric.llm import decontaminate, langid, linededup, minhash, mixing, sharding, toolcalls, toxicity, warc
 from netfabric.session import prepare
 
 
@@ -58,6 +58,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return toolcalls.link_calls(calls, results, toolcalls.default_schemas(spark))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.filter(~held_out()))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash": op6_minhash,
     "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
+    "op9_tool_calls": op9_tool_calls,
     "op10_language_id": op10_language_id,
 }
 
@@ -80,4 +86,5 @@ ORACLES: dict[str, str] = {
     "op2_line_dedup": linededup.LINES_SQL,
     "op3_mixing": mixing.MIX_SQL,
     "op7_warc": warc.WARC_SQL,
+    "op9_tool_calls": toolcalls.CALLS_SQL,
 }
