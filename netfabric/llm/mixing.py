@@ -98,6 +98,18 @@ def draw_thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return cut_lineage(docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        id_hash(F.col(id_col)).alias("hash")))
+
+
+def mixing_plan(rows: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
+    """The plan of ``draw_thresholds`` for ``rows (doc_id, source, size, hash)``."""
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return draw_thresholds(rows, source_targets(sizes, weights, cap))
+
+
 def mix_sources(
     docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text",
     source_col: str = "source",
@@ -109,11 +121,8 @@ def mix_sources(
     are taken or left together.  An empty table gives no rows.  Extra columns
     are ignored.
     """
-    rows = cut_lineage(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        id_hash(F.col(id_col)).alias("hash")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = draw_thresholds(rows, source_targets(sizes, weights, cap))
+    rows = sized(docs, id_col, text_col, source_col)
+    plan = mixing_plan(rows, weights, cap)
     copies = F.col("p.full") + (F.col("r.hash") < F.col("p.threshold")).cast("long")
     return (
         rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
@@ -121,6 +130,21 @@ def mix_sources(
     )
 
 
+def mixed_rows(
+    docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it takes it, as ``mix_sources`` decides.
+
+    The plan has a row per source, so texts are not moved.
+    """
+    plan = mixing_plan(sized(docs, id_col, text_col, source_col), weights, cap).select(
+        F.col("source").alias("_of"), "full", "threshold")
+    copies = F.col("p.full") + (id_hash(F.col(f"d.{id_col}")) < F.col("p.threshold")).cast("long")
+    joined = docs.alias("d").join(plan.alias("p"), F.col(f"d.{source_col}").eqNullSafe(F.col("p._of")))
+    return joined.select("d.*", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[F.col(f"d.{c}") for c in docs.columns])
+
+
 MIX_SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,

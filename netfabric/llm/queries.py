@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netfabric.llm import decontaminate, langid, linededup, minhash, mixing, sharding, toolcalls, toxicity, warc
+from netfabric.llm import decontaminate, langid, linededup, minhash, mixing, rangejoin, sharding, toolcalls, toxicity, warc
 from netfabric.session import prepare
 
 
@@ -42,6 +42,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangejoin.link_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_embeddings": op5_embeddings,
     "op6_minhash": op6_minhash,
     "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
