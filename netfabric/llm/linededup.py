@@ -191,8 +191,8 @@ def build_index(
 def _recount(index: LineIndex, refs: DataFrame, touched: DataFrame) -> LineIndex:
     """The index over ``refs``, of which only keys in ``touched`` have changed."""
     touched = cut_lineage(touched.select(*KEY).distinct())
-    fresh = cut_lineage(count_references(refs.join(touched, KEY, "left_semi")).filter(F.col("n_docs") > 1))
-    counts = cut_lineage(index.counts.join(touched, KEY, "left_anti").unionByName(fresh))
+    fresh = cut_lineage(count_references(refs.join(touched, KEY, "left_semi")).filter(F.col("n_docs") > 1)).select(*index.counts.columns)
+    counts = cut_lineage(fresh.unionByName(index.counts.join(touched, KEY, "left_anti")))
     often = lambda c: c.filter(F.col("n_docs") >= index.min_docs).select("shard", *KEY)
     was, now = often(index.counts.join(touched, KEY, "left_semi")), often(fresh)
     changes = now.join(was, KEY, "left_anti").withColumn("gain", F.lit(True)).unionByName(

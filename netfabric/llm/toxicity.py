@@ -102,12 +102,19 @@ def bag_texts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             start = end
 
 
-def sample_labels(labels: DataFrame, rows: int, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
-    """``(id, label)`` of about ``rows`` labelled ids, drawn by a hash of the id: all of them, if there are no more."""
-    usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    chosen = usable.filter(draw < min(1.0, rows / max(1, usable.count())))
-    return cut_lineage(chosen.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")))
+def sample_texts(
+    docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+) -> DataFrame:
+    """``(id, text, label)`` of about ``rows`` labelled texts, drawn by a hash of the id: all of them, if there are no more.
+
+    The draw is made on both sides, so only texts that were drawn are moved to their labels.
+    """
+    usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = draw < min(1.0, rows / max(1, usable.count()))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(drawn)
+    return cut_lineage(texts.join(usable.filter(drawn), "id").withColumn("id", F.col("id").cast("string")))
 
 
 def telling_buckets(sample: DataFrame, share: float) -> np.ndarray:
@@ -198,10 +205,7 @@ def train(
     ``docs`` has the texts and ``labels`` the classes 0 and 1.  With one class only, or
     none, every text gets that class's share as its score.
     """
-    chosen = sample_labels(labels, rows, id_col, label_col)
-    sample = cut_lineage(
-        docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id")
-        .withColumn("id", F.col("id").cast("string")))
+    sample = sample_texts(docs, labels, rows, id_col, text_col, label_col)
     share = sample.agg(F.avg("label")).first()[0]
     vocabulary = telling_buckets(sample, share) if share and share < 1 else np.zeros(0, np.int64)
     return fit(collect_bags(sample, vocabulary))
