@@ -33,6 +33,8 @@ LCS_ALONE = 0.7
 LCS_WITH_ANSWER = 0.5
 ANSWER = 0.8
 ANSWER_WORDS = 8
+#: Classes of term weights, by which a window's cosines are bounded before it is projected.
+LEVELS = (1.0, 2.0, 3.5, 5.0, 7.0, 9.0)
 #: Latent spaces are sent to the executors in groups of at most so many bytes.
 GROUP_BYTES = 128 << 20
 TO_WORD = np.array([textbuf.LOWER[b] if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(256)], np.uint8)
@@ -42,7 +44,10 @@ MATCH = "doc_id long, item_id long, part int, cosine double, lcs_share double, a
 
 
 class Space(NamedTuple):
-    """A latent space: its terms in order, their weights and axes, and its passages."""
+    """A latent space: its terms in order, their weights and axes, and its passages.
+
+    ``levels`` classes the terms by weight; ``mass`` has the root of each passage's share in each class.
+    """
 
     terms: np.ndarray
     idf: np.ndarray
@@ -52,6 +57,8 @@ class Space(NamedTuple):
     items: np.ndarray
     parts: np.ndarray
     rare: float
+    levels: np.ndarray
+    mass: np.ndarray
 
 
 def words_of(chunk: textbuf.Chunk) -> textbuf.Words:
@@ -75,7 +82,7 @@ def passages_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     schema = pa.schema([("item_id", pa.int64()), ("part", pa.int32()), ("block", pa.int32()), ("terms", pa.list_(pa.int64()))])
-    rows = benchmark.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = benchmark.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text"))
     return rows.mapInArrow(run, PASSAGE)
 
 
@@ -205,7 +212,7 @@ def randomized_svd(rows: DataFrame, k: int) -> DataFrame:
 
 
 def fit_spaces(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> list[Space]:
-    """Latent spaces of the benchmark's passages, ``BLOCK`` passages each."""
+    """Latent spaces of the benchmark's passages, ``BLOCK`` passages each; texts of ``docs (id, text)`` are in lower case."""
     passages = cut_lineage(passages_of(benchmark, id_col, text_col))
     total, n = passages.count(), docs.count()
     if not total or not n:
@@ -217,8 +224,7 @@ def fit_spaces(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str
     terms = passages.select(F.explode("terms").alias("term")).distinct()
     idf = cut_lineage(terms.join(document_frequencies(docs, terms), "term", "left").select(
         "term", F.log(F.lit(1.0 + n) / (1.0 + F.coalesce("df", F.lit(0)))).alias("idf")))
-    weighted = placed.select("item_id", "part", "block", F.explode("terms").alias("term")).groupBy("item_id", "part", "block", "term").agg(
-        F.count(F.lit(1)).alias("tf")).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    weighted = placed.select("item_id", "part", "block", F.explode("terms").alias("term")).distinct().join(idf, "term").withColumn("w", F.col("idf"))
     rows = cut_lineage(weighted.filter("w > 0").groupBy("item_id", "part", "block").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("tw")).select(
         "item_id", "part", "block", F.col("tw.term").alias("terms"), F.col("tw.w").alias("weights"))
         .join(placed.select("item_id", "part", F.col("terms").alias("words")), ["item_id", "part"]))
@@ -234,47 +240,51 @@ def fit_spaces(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str
         order = np.argsort(term)
         vectors = np.array(axes.column("vector").combine_chunks().flatten()).reshape(-1, k)[order].astype(np.float32)
         term = term[order]
-        latent = []
+        weight = axes.column("idf").to_numpy()[order]
+        levels, latent, mass = np.digitize(weight, LEVELS), [], []
         for t, w in zip(held.column("terms").to_pylist(), held.column("weights").to_pylist(), strict=True):
-            w = np.array(w)
-            latent.append(w @ vectors[np.searchsorted(term, np.array(t, np.int64).view(np.uint64))] / np.sqrt((w * w).sum()))
+            w, at = np.array(w), np.searchsorted(term, np.array(t, np.int64).view(np.uint64))
+            latent.append(w @ vectors[at] / np.sqrt((w * w).sum()))
+            mass.append(np.sqrt(np.bincount(levels[at], w * w, minlength=len(LEVELS) + 1) / (w * w).sum()))
         words = [np.array(x, np.int64).view(np.uint64) for x in held.column("words").to_pylist()]
-        spaces.append(Space(term, axes.column("idf").to_numpy()[order], vectors, np.array(latent, np.float32), words,
-                            held.column("item_id").to_numpy(), held.column("part").to_numpy(), float(np.log(1.0 + n))))
+        spaces.append(Space(term, weight, vectors, np.array(latent, np.float32), words, held.column("item_id").to_numpy(),
+                            held.column("part").to_numpy(), float(np.log(1.0 + n)), levels, np.array(mass)))
     return spaces
 
 
 def window_cosines(space: Space, w: textbuf.Words) -> Iterator[tuple[int, int, np.ndarray]]:
-    """``(row, first word, cosines with all passages)`` of the windows that can reach ``COSINE``.
+    """``(row, first word, cosines with all passages)`` of the windows that reach ``COSINE`` with one of them.
 
-    The part of a window's weight in the space's terms bounds its cosine from above, so
-    most windows need no projection.
+    Within a class of term weights, the shares of a window and of a passage bound what the
+    class adds to their cosine (Cauchy-Schwarz), so most windows need no projection.
     """
-    counts = np.diff(w.bounds)
-    halves = -(-counts // STEP)
-    if not halves.sum():
+    halves = -(-np.diff(w.bounds) // STEP)
+    n, terms, classes = int(halves.sum()), len(space.terms), len(LEVELS) + 1
+    if not n or not terms:
         return
     owner = textbuf.owners(w.bounds)
     at = lookup(space.terms, w.hashes)
-    hit = at >= 0
     first_half = np.concatenate([[0], np.cumsum(halves)])
-    half = first_half[owner] + (np.arange(len(w.hashes)) - w.bounds[owner]) // STEP
-    weight = np.full(len(w.hashes), space.rare)
-    weight[hit] = space.idf[at[hit]]
-    mass = np.bincount(half, weight**2, minlength=first_half[-1])
-    known = np.bincount(half[hit], weight[hit] ** 2, minlength=first_half[-1])
     row = textbuf.owners(first_half)
-    last = np.append(row[1:] != row[:-1], True)
-    with_next = lambda x: x + np.where(last, 0, np.append(x[1:], 0))
-    mass, known = with_next(mass), with_next(known)
-    open_ = np.flatnonzero(known >= COSINE**2 * mass)
-    open_ = open_[(mass[open_] > 0) & ~(last[open_] & (open_ > first_half[row[open_]]))]
-    starts = np.searchsorted(half, np.arange(first_half[-1] + 1))
-    for window in open_:
-        span = slice(starts[window], starts[window + (1 if last[window] else 2)])
-        use = np.flatnonzero(hit[span]) + span.start
-        vector = weight[use].astype(np.float32) @ space.axes[at[use]]
-        yield row[window], span.start - w.bounds[row[window]], space.latent @ vector / np.sqrt(mass[window])
+    half = first_half[owner] + (np.arange(len(w.hashes)) - w.bounds[owner]) // STEP
+    # A window is a half and the next one of its row; the last half alone is one only if there is no other.
+    follows = np.append(False, row[1:] == row[:-1])
+    hit = np.flatnonzero(at >= 0)
+    both = hit[follows[half[hit]]]
+    pairs = np.unique(np.concatenate([half[hit] * terms + at[hit], (half[both] - 1) * terms + at[both]]))
+    window, term = pairs // terms, pairs % terms
+    known = np.bincount(window * classes + space.levels[term], space.idf[term] ** 2, minlength=n * classes).reshape(n, classes)
+    other = np.bincount(half[at < 0], minlength=n) * space.rare**2
+    mass = other + np.append(np.where(follows[1:], other[1:], 0.0), 0.0) + known.sum(axis=1)
+    usable = np.flatnonzero((mass > 0) & (np.append(follows[1:], False) | ~follows))
+    usable = usable[known[usable].sum(axis=1) >= COSINE**2 * mass[usable]]
+    bound = np.sqrt(known[usable] / mass[usable][:, None]) @ space.mass.T
+    starts = np.searchsorted(window, np.arange(n + 1))
+    for k in usable[(bound >= COSINE - 1e-6).any(axis=1)]:
+        own = term[starts[k] : starts[k + 1]]
+        cosines = space.latent @ (space.idf[own].astype(np.float32) @ space.axes[own]) / np.sqrt(mass[k])
+        if cosines.max() >= COSINE:
+            yield row[k], (k - first_half[row[k]]) * STEP, cosines
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -287,6 +297,9 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
 
 def verify(passage: np.ndarray, words: np.ndarray) -> tuple[float, float]:
     """Shares of a passage, and of its answer (its last words), that a stretch of words has in order."""
+    # No subsequence is longer than what the passage shares with the stretch in any order.
+    if np.isin(passage, words).mean() < LCS_WITH_ANSWER:
+        return 0.0, 0.0
     answer = passage[-ANSWER_WORDS:]
     return lcs(passage, words) / len(passage), lcs(answer, words) / len(answer)
 
@@ -302,7 +315,7 @@ def find_contamination(
     items of that kind are held by nothing.  Rows that repeat give one row; a null id
     stays null.  Without documents or items there are no rows; extra columns are ignored.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text"))
     spaces = fit_spaces(source, benchmark, item_col, item_text_col)
     groups, room = [], 0
     for space in spaces:
