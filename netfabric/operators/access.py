@@ -45,14 +45,14 @@ def observed_by(
 
 def explain_access(
     pairs: DataFrame, entities: DataFrame, entity_edges: DataFrame, gov_edges: DataFrame, nodes: DataFrame,
-    edges: DataFrame, events: DataFrame, as_of: TimeArg, *, since: TimeArg = "now-24h",
+    edges: DataFrame, events: DataFrame, as_of: TimeArg, *, since: TimeArg = "now-24h", detection_limit: int | None = 200,
 ) -> DataFrame:
     """One row per ``(client, server)`` lookup pair.
 
     ``entity_edges`` are typed communicated_with edges; ``gov_edges`` holds
     governed_by edges of both provenances.  The lists in the result are bounded
-    by their definition: at most 200 detections, and the rules of the firewalls
-    on one path.
+    by their definition: the newest ``detection_limit`` detections (``None``: all), and
+    the rules of the firewalls on one path.
     """
     keys = ["client", "server"]
     asked = pairs.select(*keys).distinct()
@@ -121,7 +121,7 @@ def explain_access(
         .filter(is_ipv4("ip")).distinct()
     )
     detection = F.struct("timestamp", "signature", "signature_id", "category", "severity", "source_ip", "destination_ip")
-    detections = alerts_for_ips(events, ips, as_of, since=since, keys=keys).groupBy(*keys).agg(
+    detections = alerts_for_ips(events, ips, as_of, since=since, keys=keys, limit=detection_limit).groupBy(*keys).agg(
         F.reverse(F.array_sort(F.collect_list(detection))).alias("detections")
     )
     paths = find_path(nodes, edges, as_nodes, as_of, since=since).select(

@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from netfabric.functions.net import short_host
 from netfabric.functions.skew import lookup_join, top_rows
@@ -18,18 +19,19 @@ FLOW_COLUMNS = (
     "destination_ip", "destination_port", "network_transport", "network_bytes", "rule_name",
     "observer_ingress_zone", "observer_egress_zone", "user_name",
 )
-FLOW_MAX_LIMIT = 1000
-TALKER_MAX_LIMIT = 100
-ALERT_MAX_LIMIT = 2000
-DESCRIBE_MAX_VALUES = 100
 SEVERITY_NUM = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 ALERT_EXT_PREFIXES = ("unifi.ips.", "panw.", "syslog.")
 
 TimeArg = str | datetime
 
 
-def clamp(value: int, low: int, high: int) -> int:
-    return min(max(int(value), low), high)
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """``df`` up to a limit; ``None`` is no limit."""
+    if limit is None:
+        return df
+    if int(limit) < 0:
+        raise ValueError("a limit is 0 or more, or None for all rows")
+    return df.limit(int(limit))
 
 
 def _tenant(df: DataFrame, tenant: str | None) -> DataFrame:
@@ -40,10 +42,10 @@ def query_flows(
     events: DataFrame, as_of: TimeArg, *, src_ip: str | None = None, dst_ip: str | None = None,
     dst_port: int | None = None, action: str | None = None, outcome: str | None = None,
     provider: str | None = None, zone: str | None = None, since: TimeArg = "now-24h",
-    until: TimeArg = "now", limit: int = 100, tenant: str | None = None,
+    until: TimeArg = "now", limit: int | None = 100, tenant: str | None = None,
     tiebreak: Sequence[str] = ("event_id",), date_column: str | None = None,
 ) -> DataFrame:
-    """Newest matching events; every filter reaches the scan and the limit is a top-k."""
+    """Newest matching events; every filter reaches the scan and the limit (``None``: all) is a top-k."""
     equal = {
         "source_ip": src_ip, "destination_ip": dst_ip, "destination_port": dst_port,
         "event_action": action, "event_outcome": outcome, "event_provider": provider,
@@ -57,15 +59,15 @@ def query_flows(
     if zone is not None:
         df = df.filter((F.col("observer_ingress_zone") == zone) | (F.col("observer_egress_zone") == zone))
     ordered = df.orderBy(F.col("timestamp").desc(), *[F.col(c) for c in tiebreak])
-    return ordered.limit(clamp(limit, 1, FLOW_MAX_LIMIT)).select(*FLOW_COLUMNS)
+    return first_rows(ordered, limit).select(*FLOW_COLUMNS)
 
 
 def top_talkers(
     events: DataFrame, as_of: TimeArg, *, by: str = "bytes", side: str = "src",
-    since: TimeArg = "now-24h", until: TimeArg = "now", limit: int = 10, tenant: str | None = None,
+    since: TimeArg = "now-24h", until: TimeArg = "now", limit: int | None = 10, tenant: str | None = None,
     date_column: str | None = None,
 ) -> DataFrame:
-    """Addresses with the most bytes or flows."""
+    """Addresses with the most bytes or flows; all of them with ``limit=None``."""
     if by not in ("bytes", "flows"):
         raise ValueError("by must be 'bytes' or 'flows'")
     if side not in ("src", "dst"):
@@ -78,15 +80,15 @@ def top_talkers(
         .groupBy(F.col(ip).alias("ip"))
         .agg(F.sum("network_bytes").alias("bytes"), F.count(F.lit(1)).alias("flows"))
     )
-    return totals.orderBy(F.col(by).desc_nulls_last(), "ip").limit(clamp(limit, 1, TALKER_MAX_LIMIT))
+    return first_rows(totals.orderBy(F.col(by).desc_nulls_last(), "ip"), limit)
 
 
-def describe(events: DataFrame, tenant: str | None = None) -> DataFrame:
+def describe(events: DataFrame, tenant: str | None = None, max_values: int | None = None) -> DataFrame:
     """One row: row count, time range and the distinct actions, outcomes, providers and zones.
 
-    Each value set is cut to 100 entries, the alphabetically first.  Values are
-    made distinct and cut before they are gathered, so no task holds a column's
-    whole value set.
+    ``max_values`` keeps the alphabetically first values of each kind, and ``truncated``
+    says whether it left any out.  Values are made distinct and cut before they are
+    gathered; ``distinct_values`` gives them as rows where a column has very many.
     """
     df = _tenant(events, tenant)
     kinds = {"actions": ("event_action",), "outcomes": ("event_outcome",), "providers": ("event_provider",),
@@ -95,25 +97,36 @@ def describe(events: DataFrame, tenant: str | None = None) -> DataFrame:
         F.struct(F.lit(kind).alias("kind"), F.col(c).alias("value")) for kind, columns in kinds.items() for c in columns
     ])
     values = df.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("value") != "").distinct()
-    cut = top_rows(values, ["kind"], [F.col("value")], DESCRIBE_MAX_VALUES)
-    lists = cut.agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("value")))).alias(k) for k in kinds])
+    cut, over = values, F.lit(False)
+    if max_values is not None:
+        # One value more than is shown tells that there are more.
+        cut = values.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy("value"))).filter(F.col("_n") <= max_values + 1)
+        over = F.coalesce(F.max(F.col("_n") > max_values), F.lit(False))
+    shown = F.lit(True) if max_values is None else F.col("_n") <= max_values
+    lists = cut.agg(*[F.array_sort(F.collect_list(F.when((F.col("kind") == k) & shown, F.col("value")))).alias(k) for k in kinds], over.alias("truncated"))
     totals = df.agg(F.count(F.lit(1)).alias("row_count"), F.min("timestamp").alias("earliest"), F.max("timestamp").alias("latest"))
     return totals.unionByName(lists, allowMissingColumns=True).agg(
-        *[F.max(c).alias(c) for c in ("row_count", "earliest", "latest", *kinds)]
+        *[F.max(c).alias(c) for c in ("row_count", "earliest", "latest", *kinds, "truncated")]
     )
 
 
+def distinct_values(events: DataFrame, columns: Sequence[str], tenant: str | None = None) -> DataFrame:
+    """``(column, value)``: every distinct value of some columns, however many."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    return _tenant(events, tenant).select(F.explode(pairs).alias("p")).select("p.*").filter("value IS NOT NULL").distinct()
+
+
 def describe_columns(df: DataFrame) -> DataFrame:
     """Column names and types of a table."""
     rows = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
     return df.sparkSession.createDataFrame(rows, "name string, type string")
 
 
-def adhoc_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame], max_rows: int = 1000) -> DataFrame:
-    """A SELECT over the given views with a row cap.  Convenience, not a security boundary."""
+def adhoc_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame], max_rows: int | None = None) -> DataFrame:
+    """A SELECT over the given views, cut only if ``max_rows`` is given.  Convenience, not a security boundary."""
     for name, df in views.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(sql).limit(max_rows)
+    return first_rows(spark.sql(sql), max_rows)
 
 
 def window_totals(
@@ -172,7 +185,7 @@ def alert_gate() -> Column:
 
 def recent_alerts(
     events: DataFrame, as_of: TimeArg, *, since: TimeArg = "now-24h", min_severity: str = "high",
-    providers: Sequence[str] = (), limit: int = 500, tenant: str | None = None,
+    providers: Sequence[str] = (), limit: int | None = 500, tenant: str | None = None,
 ) -> DataFrame:
     """Newest alerts at or above a severity.  The floor is applied before the limit."""
     floor = SEVERITY_NUM.get(min_severity, SEVERITY_NUM["high"])
@@ -180,7 +193,7 @@ def recent_alerts(
     if providers:
         df = df.filter(F.col("event_provider").isin(*providers))
     graded = normalise_severity(df).filter(F.col("severity_num") >= floor)
-    top = graded.orderBy(F.col("timestamp").desc(), "event_id").limit(clamp(limit, 1, ALERT_MAX_LIMIT))
+    top = first_rows(graded.orderBy(F.col("timestamp").desc(), "event_id"), limit)
     keep = F.map_filter(
         F.col("ext"), lambda k, _v: F.exists(
             F.array(*[F.lit(p) for p in ALERT_EXT_PREFIXES]), lambda p: F.startswith(k, p)
@@ -220,9 +233,9 @@ def _touching(events: DataFrame, ips: DataFrame, keys: Sequence[str]) -> DataFra
 
 def alerts_for_ips(
     events: DataFrame, ips: DataFrame, as_of: TimeArg, *, since: TimeArg = "now-24h",
-    keys: Sequence[str] = ("ip_key",), limit: int = 200, provider: str = "unifi",
+    keys: Sequence[str] = ("ip_key",), limit: int | None = 200, provider: str = "unifi",
 ) -> DataFrame:
-    """Newest detections per request that touch any of its addresses.
+    """Newest detections per request that touch any of its addresses; all of them with ``limit=None``.
 
     ``ips`` holds (request keys, ip).  With the default key each address is its
     own request.
@@ -242,6 +255,8 @@ def alerts_for_ips(
     )
     hits = _touching(alerts, ips, keys)
     newest = [F.col("timestamp").desc(), F.col("event_id")]
+    if limit is None:
+        return hits.dropDuplicates([*keys, "event_id"])
     # Each event can occur at most twice per request and the copies are equal,
     # so the cut keeps twice the limit, and the distinct then sees few rows.
     cut = top_rows(hits, keys, newest, 2 * limit).dropDuplicates([*keys, "event_id"])

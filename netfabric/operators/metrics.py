@@ -7,10 +7,9 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from netfabric.functions.ids import DEFAULT_TENANT, hmac_sha256
-from netfabric.functions.skew import lookup_join
+from netfabric.functions.skew import lookup_join, with_rank
 from netfabric.functions.timeargs import parse_time, ts_lit, window_filter
 from netfabric.operators.upsert import latest_by_key
 
@@ -49,8 +48,6 @@ BUCKET_SECONDS = 300
 LOOKBACK_HOURS = 1
 BASELINE_DAYS = 30
 TOP_ENTITIES = 20
-SNAPSHOT_MAX_NODES = 64
-SNAPSHOT_MAX_EDGES = 256
 CONNECTION_TUPLE = ("source_ip", "source_port", "destination_ip", "destination_port", "network_transport")
 
 
@@ -317,21 +314,22 @@ def reidentify(surrogates: DataFrame, pseudonyms: DataFrame) -> DataFrame:
 def public_topology_snapshot(
     nodes: DataFrame, edges: DataFrame, allowlist: DataFrame, as_of: TimeArg, salt: str, *,
     reachable_within_hours: float = 1.0, activity_within_hours: float = 24.0,
-    max_nodes: int = SNAPSHOT_MAX_NODES, max_edges: int = SNAPSHOT_MAX_EDGES,
+    max_nodes: int | None = None, max_edges: int | None = None,
 ) -> dict[str, DataFrame]:
     """Publishable topology: ``nodes``, ``edges`` and a one-row ``summary``.
 
     ``allowlist(name, site, ollama)`` names the devices cleared for display.
     Ids follow a salted digest, so their order says nothing about the names.
-    Pass a fresh random salt per snapshot.
+    Pass a fresh random salt per snapshot.  Without limits all nodes and edges are
+    shown; ``truncated`` says whether a limit left any out.
     """
     now = parse_time(as_of)
     devices = nodes.filter(F.col("kind") == "device").join(allowlist, "name")
     current = latest_by_key(devices, ["name"], "last_seen")
     digest = F.sha2(F.concat(F.lit(salt), F.col("name")), 256)
-    shown = current.withColumn("_digest", digest).orderBy("_digest").limit(max_nodes)
-    # At most max_nodes rows reach this window.
-    ranked = shown.withColumn("_n", F.row_number().over(Window.orderBy("_digest")))
+    ranked = with_rank(current.withColumn("_digest", digest), [], ["_digest"], "_n")
+    if max_nodes is not None:
+        ranked = ranked.filter(F.col("_n") <= max_nodes)
     opaque = ranked.select(
         "node_id", F.concat(F.lit("n"), F.col("_n").cast("string")).alias("id"), "site", "ollama", "last_seen"
     )
@@ -340,7 +338,7 @@ def public_topology_snapshot(
         F.coalesce(F.col("last_seen") >= ts_lit(now - timedelta(hours=reachable_within_hours)), F.lit(False)).alias("reachable"),
         "ollama", "site",
     )
-    ends = F.broadcast(opaque.select("node_id", "id", "site"))
+    ends = opaque.select("node_id", "id", "site")
     src = ends.select(F.col("node_id").alias("src_id"), F.col("id").alias("source"), F.col("site").alias("_ss"))
     dst = ends.select(F.col("node_id").alias("dst_id"), F.col("id").alias("target"), F.col("site").alias("_ds"))
     linked = (
@@ -349,7 +347,8 @@ def public_topology_snapshot(
         .withColumn("_lo", F.least("source", "target")).withColumn("_hi", F.greatest("source", "target"))
     )
     pairs = latest_by_key(linked, ["_lo", "_hi"], "last_seen", ["edge_id"])
-    out_edges = pairs.orderBy(F.col("last_seen").desc(), "_lo", "_hi").limit(max_edges).select(
+    newest = pairs if max_edges is None else pairs.orderBy(F.col("last_seen").desc(), "_lo", "_hi").limit(max_edges)
+    out_edges = newest.select(
         "source", "target", ((F.col("_ss") == "remote") | (F.col("_ds") == "remote")).alias("remote"),
         F.coalesce(F.col("last_seen") >= ts_lit(now - timedelta(hours=activity_within_hours)), F.lit(False)).alias("recent_activity"),
     )
@@ -358,9 +357,10 @@ def public_topology_snapshot(
         .unionByName(pairs.agg(F.count(F.lit(1)).alias("_all_edges")).withColumn("_all_nodes", F.lit(0)))
         .agg(F.max("_all_nodes").alias("_all_nodes"), F.max("_all_edges").alias("_all_edges"))
     )
+    # least() skips a limit that is not given.
+    kept = lambda n, most: F.least(F.col(n), F.lit(most).cast("long"))
     summary = counts.select(
-        F.least(F.col("_all_nodes"), F.lit(max_nodes)).alias("node_count"),
-        F.least(F.col("_all_edges"), F.lit(max_edges)).alias("edge_count"),
-        ((F.col("_all_nodes") > max_nodes) | (F.col("_all_edges") > max_edges)).alias("truncated"),
+        kept("_all_nodes", max_nodes).alias("node_count"), kept("_all_edges", max_edges).alias("edge_count"),
+        ((F.col("_all_nodes") > kept("_all_nodes", max_nodes)) | (F.col("_all_edges") > kept("_all_edges", max_edges))).alias("truncated"),
     )
     return {"nodes": out_nodes, "edges": out_edges, "summary": summary}

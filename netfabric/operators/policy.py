@@ -22,7 +22,6 @@ COVERAGE_START_SLACK = timedelta(hours=1)
 COVERAGE_END_SLACK = timedelta(hours=2)
 COUNTER_MAX_AGE = timedelta(hours=24)
 UNUSED_WINDOW = "now-7d"
-HISTORY_MAX_LIMIT = 500
 USAGE_KEYS = ("tenant_id", "bucket_start", "provider", "observer_hostname", "rule_name")
 REASON_NO_LOGS = "usage rollup does not cover the window"
 REASON_NO_COUNTER = "device hit-counter was not collected for this rule"
@@ -30,6 +29,11 @@ REASON_STALE = "device hit-counter is stale"
 REASON_DISAGREE = "log rollup and device hit-counter disagree"
 REASON_AGREE = "log rollup and device hit-counter agree"
 
+# Columns of a rule that are not match clauses of its own vendor; every other column is, and is carried.
+RULE_COLUMNS = (
+    "tenant_id", "provider", "device_name", "rule_name", "rule_id", "rule_uuid", "action", "position", "enabled", "collected_at",
+    "hit_count", "hit_count_collected_at",
+)
 LIST_ATTRS = ("from_zone", "to_zone", "source_addresses", "dest_addresses", "application", "service")
 
 
@@ -37,6 +41,19 @@ def _csv(value: Column) -> Column:
     return F.array_join(F.filter(value, lambda v: v != ""), ",")
 
 
+def clause_columns(df: DataFrame) -> list[str]:
+    """Match clauses beyond zones, addresses, applications and services: negations, identities, schedules and the like."""
+    return [c for c in df.columns if c not in (*RULE_COLUMNS, *LIST_ATTRS)]
+
+
+def _attribute(df: DataFrame, name: str) -> Column:
+    """A clause as an attribute: lists joined by commas, anything else as it is; an empty one is absent."""
+    column = F.col(name)
+    if df.schema[name].dataType.typeName() == "array":
+        column = _csv(column.cast("array<string>"))
+    return F.nullif(column, F.lit("")) if df.schema[name].dataType.typeName() in ("array", "string") else column
+
+
 def firewall_entities(rules: DataFrame, tenant: str = DEFAULT_TENANT) -> DataFrame:
     """One firewall per device with its rule count."""
     grouped = rules.groupBy("device_name").agg(
@@ -58,14 +75,16 @@ def policy_key() -> Column:
 def policy_entities(rules: DataFrame, tenant: str = DEFAULT_TENANT) -> DataFrame:
     """One configured policy per (provider, device, rule); the last position wins.
 
-    List attributes are comma-joined with empties dropped.
+    List attributes are comma-joined with empties dropped.  Every clause that restricts
+    the match is carried under its own name, so that no rule reads wider than it is.
     """
     rows = latest_by_key(rules, ["provider", "device_name", "rule_name"], ["collected_at", "position"])
-    extra = [c for c in ("match_unknown", "hit_count", "hit_count_collected_at") if c in rules.columns]
+    extra = [c for c in ("hit_count", "hit_count_collected_at") if c in rules.columns]
+    clauses = [_attribute(rules, c).alias(c) for c in clause_columns(rules)]
     return rows.select(
         entity_id(F.lit(tenant), F.lit("policy"), policy_key()).alias("entity_id"), F.lit(tenant).alias("tenant_id"),
         F.lit("policy").alias("kind"), F.col("rule_name").alias("name"), "provider", "device_name", "rule_name", "action",
-        *[_csv(F.col(c)).alias(c) for c in LIST_ATTRS], "position", "enabled", *extra,
+        *[_csv(F.col(c)).alias(c) for c in LIST_ATTRS], "position", "enabled", *clauses, *extra,
         F.lit(CONFIGURED).alias("source"), F.lit("").alias("identity_basis"), F.lit(1.0).alias("confidence"),
         "collected_at", F.col("collected_at").alias("first_seen"), F.col("collected_at").alias("last_seen"),
     )
@@ -98,7 +117,8 @@ def policies_as_entities(policies: DataFrame) -> DataFrame:
         F.lit("rule"), F.col("rule_name"), F.lit("provider"), F.col("provider"), F.lit("device_name"), F.col("device_name")
     )
     names = ["provider", "device_name", "action", *LIST_ATTRS, "position", "enabled"]
-    names += [c for c in ("match_unknown", "hit_count") if c in policies.columns]
+    fixed = ("entity_id", "kind", "name", "source", "identity_basis", "confidence", "first_seen", "last_seen", "identifiers", "attrs")
+    names += [c for c in clause_columns(policies) if c not in fixed] + [c for c in ("hit_count",) if c in policies.columns]
     pairs = [x for c in names for x in (F.lit(c), F.col(c).cast("string"))]
     if "hit_count_collected_at" in policies.columns:
         pairs += [F.lit("hit_count_collected_at"), F.date_format("hit_count_collected_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")]
@@ -161,12 +181,11 @@ def rule_usage_totals(rules: DataFrame, buckets: DataFrame, policies: DataFrame)
     )
 
 
-def rule_history(rules: DataFrame, versions: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest versions of each requested rule."""
+def rule_history(rules: DataFrame, versions: DataFrame, limit: int | None = 50) -> DataFrame:
+    """Newest versions of each requested rule; all of them with ``limit=None``."""
     keys = ["device_name", "rule_name"]
-    n = min(max(int(limit), 1), HISTORY_MAX_LIMIT)
     rows = lookup_join(versions, rules.select(*keys).distinct(), keys)
-    cut = top_rows(rows, keys, [F.col("valid_from").desc(), F.col("content_hash")], n)
+    cut = rows if limit is None else top_rows(rows, keys, [F.col("valid_from").desc(), F.col("content_hash")], int(limit))
     return cut.select(*keys, "valid_from", "content_hash", "action", "from_zone", "to_zone", "enabled", "position")
 
 
@@ -216,9 +235,13 @@ def unused_rules(
 
 def explain_rule(
     rules: DataFrame, policies: DataFrame, usage: DataFrame, versions: DataFrame, as_of: TimeArg, *,
-    since: TimeArg = UNUSED_WINDOW, until: TimeArg = "now", recent_versions: int = 5,
+    since: TimeArg = UNUSED_WINDOW, until: TimeArg = "now", recent_versions: int | None = 5,
 ) -> DataFrame:
-    """Configuration, usage, last versions, verdict and a summary line per requested rule."""
+    """Configuration, usage, last versions, verdict and a summary line per requested rule.
+
+    A rule that no configuration has gets a row with ``found`` false.  ``version_count``
+    counts all versions, of which ``recent_versions`` (``None``: all) are listed.
+    """
     keys = ["device_name", "rule_name"]
     wanted = rules.select(*keys).distinct()
     config = policies.join(wanted, keys, "left_semi").select(*keys, "action", "from_zone", "to_zone", "enabled", F.col("position").cast("string").alias("position"), "hit_count", "hit_count_collected_at")
@@ -228,10 +251,16 @@ def explain_rule(
     recent = history.groupBy(*keys).agg(
         F.reverse(F.array_sort(F.collect_list(F.struct("valid_from", "content_hash", "action", "enabled", "position")))).alias("recent_versions")
     )
-    joined = config.drop("hit_count", "hit_count_collected_at").join(totals, keys).join(verdicts, keys).join(recent, keys, "left")
+    counted = lookup_join(versions.select(*keys), wanted, keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("version_count"))
+    joined = (
+        wanted.join(config.drop("hit_count", "hit_count_collected_at").withColumn("found", F.lit(True)), keys, "left")
+        .join(totals, keys, "left").join(verdicts, keys, "left").join(recent, keys, "left").join(counted, keys, "left")
+        .withColumns({"found": F.coalesce("found", F.lit(False)), "version_count": F.coalesce("version_count", F.lit(0))})
+    )
     summary = F.format_string(
         "%s on %s: action=%s, enabled=%s, sessions_in_window=%s, device_hit_count=%s, usage_status=%s.",
         F.col("rule_name"), F.col("device_name"), F.col("action"), F.col("enabled").cast("string"),
         F.col("total_sessions").cast("string"), F.coalesce(F.col("device_hit_count").cast("string"), F.lit("none")), F.col("status"),
     )
-    return joined.withColumn("summary", summary)
+    missing = F.format_string("%s on %s: not_found.", F.col("rule_name"), F.col("device_name"))
+    return joined.withColumn("summary", F.when(F.col("found"), summary).otherwise(missing))

@@ -578,8 +578,11 @@ def topology_snapshot(
     nodes: DataFrame, edges: DataFrame, as_of: TimeArg, *, layer: str | None = None, since: TimeArg = DEFAULT_WINDOW,
     role: str | None = None, kind: str | None = None, limit: int | None = None,
 ) -> dict[str, DataFrame]:
-    """``nodes``, ``edges`` and a one-row ``summary`` with counts and a truncation flag."""
-    in_window, recent = subgraph(nodes, edges, as_of, since=since, limit=limit)
+    """``nodes``, ``edges`` and a one-row ``summary`` with counts and a truncation flag.
+
+    All filters come before the limit, so it takes the newest of the wanted edges.
+    """
+    in_window, recent = subgraph(nodes, edges, as_of, since=since)
     if role is not None or kind is not None:
         in_window = nodes_by_attr(nodes, role=role, kind=kind)
         keep = in_window.select("node_id")
@@ -587,10 +590,16 @@ def topology_snapshot(
             recent = lookup_join(recent, keep.withColumnRenamed("node_id", end), end, "left_semi")
     if layer is not None:
         recent = recent.filter(F.col("layer") == layer)
-    cap = F.lit(limit).cast("bigint")
+    wanted = recent
+    if limit is not None:
+        recent = wanted.orderBy(F.col("last_seen").desc(), "edge_id").limit(int(limit))
+        if role is None and kind is None:
+            ends = recent.select(F.explode(F.array("src_id", "dst_id")).alias("node_id")).distinct()
+            in_window = in_window.join(ends, "node_id", "left_semi")
     summary = (
-        in_window.select(F.lit(1).alias("n"), F.lit(0).alias("e")).unionAll(recent.select(F.lit(0), F.lit(1)))
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("node_count"), F.coalesce(F.sum("e"), F.lit(0)).alias("edge_count"))
-        .withColumn("truncated", F.coalesce(F.col("node_count") >= cap, F.lit(False)))
+        in_window.select(F.lit(1).alias("n"), F.lit(0).alias("e"), F.lit(0).alias("w"))
+        .unionAll(recent.select(F.lit(0), F.lit(1), F.lit(0))).unionAll(wanted.select(F.lit(0), F.lit(0), F.lit(1)))
+        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("n", "node_count"), ("e", "edge_count"), ("w", "_wanted"))])
+        .withColumn("truncated", F.col("_wanted") > F.col("edge_count")).drop("_wanted")
     )
     return {"nodes": in_window, "edges": recent, "summary": summary}

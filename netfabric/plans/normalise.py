@@ -11,7 +11,6 @@ from netfabric.sources.junos_audit import normalise_junos_audit
 from netfabric.sources.panos import normalise_panos
 from netfabric.sources.proxmox import normalise_proxmox
 from netfabric.sources.srx import normalise_srx
-from netfabric.sources.syslog import KNOWN_DEVICES
 from netfabric.sources.unifi import normalise_unifi
 
 
@@ -29,7 +28,7 @@ def route_feeds(raw: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def normalise_events(raw: DataFrame, hash_key: bytes, devices: tuple[str, ...] | None = KNOWN_DEVICES) -> DataFrame:
+def normalise_events(raw: DataFrame, hash_key: bytes, devices: tuple[str, ...] | None = None) -> DataFrame:
     """Every feed normalised; no shuffle, batch and streaming alike."""
     feeds = route_feeds(raw)
     parts = [

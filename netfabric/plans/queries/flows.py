@@ -44,13 +44,14 @@ SELECT count(*) AS row_count, min(e.timestamp) AS earliest, max(e.timestamp) AS
   (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT event_action v FROM net_events)) AS actions,
   (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT event_outcome v FROM net_events)) AS outcomes,
   (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT event_provider v FROM net_events)) AS providers,
-  (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT observer_ingress_zone v FROM net_events UNION SELECT observer_egress_zone FROM net_events)) AS zones
+  (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT observer_ingress_zone v FROM net_events UNION SELECT observer_egress_zone FROM net_events)) AS zones,
+  false AS truncated
 FROM net_events e""")
 def describe_events(spark, sf_dir):
     df = op.describe(ad.events(spark, sf_dir))
     return df.select(
         "row_count", "earliest", "latest",
-        *[F.array_join(c, ",").alias(c) for c in ("actions", "outcomes", "providers", "zones")],
+        *[F.array_join(c, ",").alias(c) for c in ("actions", "outcomes", "providers", "zones")], "truncated",
     )
 
 

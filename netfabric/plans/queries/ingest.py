@@ -68,7 +68,7 @@ def structured_data_map(spark, sf_dir):
   observer_ingress_zone, observer_egress_zone, CASE WHEN n % 11 = 0 THEN '' ELSE 'vsrx-br0' || CAST(n % 3 + 1 AS VARCHAR) || '.lab' END AS observer_hostname,
   CASE WHEN n % 4 = 0 THEN '' ELSE user_name END AS user_name FROM b""")
 def srx(spark, sf_dir):
-    df = normalise_srx(lines.srx_lines(spark, sf_dir))
+    df = normalise_srx(lines.srx_lines(spark, sf_dir), ("vsrx-br01", "vsrx-br02", "vsrx-br03"))
     return df.select(
         "timestamp", "event_action", "event_outcome", "event_kind", _cats(), "source_ip", "source_port", "source_bytes", "destination_ip", "destination_port",
         "destination_bytes", "network_transport", "network_bytes", "rule_name", "observer_ingress_zone", "observer_egress_zone", "observer_hostname", "user_name",

@@ -127,10 +127,17 @@ def unused_rules(spark, sf_dir):
 SELECT v.device_name, v.rule_name, v.status, v.rule_name || ' on ' || v.device_name || ': action=' || v.action || ', enabled=' || CAST(v.enabled AS VARCHAR)
   || ', sessions_in_window=' || CAST(coalesce(t.s, 0) AS VARCHAR) || ', device_hit_count=' || coalesce(CAST(v.hit_count AS VARCHAR), 'none')
   || ', usage_status=' || v.status || '.' AS summary,
-  (SELECT count(*) FROM rule_history h WHERE h.device_name = v.device_name AND h.rule_name = v.rule_name) AS versions
-FROM v LEFT JOIN t USING (device_name, rule_name)""")
+  (SELECT count(*) FROM rule_history h WHERE h.device_name = v.device_name AND h.rule_name = v.rule_name) AS versions,
+  true AS found, (SELECT count(*) FROM rule_history h WHERE h.device_name = v.device_name AND h.rule_name = v.rule_name) AS version_count
+FROM v LEFT JOIN t USING (device_name, rule_name)
+UNION ALL SELECT device_name, rule_name || '-gone', NULL, rule_name || '-gone on ' || device_name || ': not_found.', 0, false, 0 FROM v""")
 def explain_rule(spark, sf_dir):
+    known = ad.rules(spark, sf_dir).select("device_name", "rule_name")
+    # Each rule is asked for again under a name that no configuration has.
+    asked = known.unionByName(known.withColumn("rule_name", F.concat("rule_name", F.lit("-gone"))))
     df = op.explain_rule(
-        ad.rules(spark, sf_dir), _policies(spark, sf_dir), _usage(spark, sf_dir), _versions(spark, sf_dir), AS_OF, **SPAN
+        asked, _policies(spark, sf_dir), _usage(spark, sf_dir), _versions(spark, sf_dir), AS_OF, recent_versions=None, **SPAN
     )
-    return df.select("device_name", "rule_name", "status", "summary", F.greatest(F.size("recent_versions"), F.lit(0)).alias("versions"))
+    versions = F.coalesce(F.size("recent_versions"), F.lit(0))
+    return df.select(
+        "device_name", "rule_name", "status", "summary", F.greatest(versions, F.lit(0)).alias("versions"), "found", "version_count")

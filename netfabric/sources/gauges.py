@@ -11,16 +11,10 @@ from netfabric import schemas
 from netfabric.functions.ids import DEFAULT_TENANT, text
 from netfabric.sources.snapshots import complete, lines_of, unwrap, xml_entries
 
-# Patterns of the health outputs.
-JUNOS_MEMORY = r"(?i)Memory utilization\s+(\d+)\s+percent"
-JUNOS_IDLE = r"(?i)Idle\s+(\d+)\s+percent"
-JUNOS_TEMP = r"(?i)^Temp\s+(.+?)\s+\S+\s+(-?\d+)\s+degrees C"
-TOP_IDLE = r"(?i)([\d.]+)\s*id"
-TOP_MEMORY = r"(?i)MiB Mem\s*:\s*([\d.]+)\s+total,\s*[\d.]+\s+free,\s*([\d.]+)\s+used"
-VM_MEMORY = r"Memory:[^()]*\(([\d.]+)%\)"
-VM_CPU = r"(?m)^\s*-\s*CPU:\s*([\d.]+)%"
-ALARM = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?: \w+)?)\s+(\S+)\s+(.+?)\s*$"
-ALARM_BANNER = r"(?i)alarms currently active|no alarms"
+# Labels of the health outputs.
+MEMORY_LABEL, IDLE_LABEL, TEMPERATURE_CLASS = "memory utilization", "idle", "temp"
+TOP_MEMORY_LABEL = "mib mem"
+ALARM_BANNERS = ("alarms currently active", "no alarms")
 ALARM_COMMANDS = ("show system alarms", "show chassis alarms")
 
 
@@ -45,32 +39,56 @@ def _rows(df: DataFrame, scope: str, gauges: Column, device: Column | None = Non
     return each.select(*[f.name for f in schemas.GAUGES.fields])
 
 
-def _group(body: Column, pattern: str, i: int = 1) -> Column:
-    return F.regexp_extract(body, pattern, i).try_cast("double")
+def _first_line(body: Column, wanted) -> Column:
+    """The first line, trimmed, that meets a condition."""
+    lines = F.transform(F.split(body, "\n"), lambda line: F.trim(line, F.lit(" \t\r")))
+    return F.get(F.filter(lines, wanted), F.lit(0))
+
+
+def _words(line: Column) -> Column:
+    return F.split(F.trim(line, F.lit(" \t\r")), r"\s+")
+
+
+def _labelled_percent(body: Column, label: str) -> tuple[Column, Column]:
+    """``(value, line)`` of ``<label> <number> percent``."""
+    n = len(label.split())
+    line = _first_line(body, lambda line: F.lower(line).startswith(label) & (F.lower(F.get(_words(line), F.lit(n + 1))) == "percent"))
+    return F.get(_words(line), F.lit(n)).try_cast("double"), line
 
 
 def routing_engine(snapshots: DataFrame) -> DataFrame:
-    body = F.col("body")
+    memory, memory_line = _labelled_percent(F.col("body"), MEMORY_LABEL)
+    idle, idle_line = _labelled_percent(F.col("body"), IDLE_LABEL)
     return _rows(snapshots, "device", F.array(
-        _gauge("memory", "mem_util_pct", _group(body, JUNOS_MEMORY), "percent", F.regexp_extract(body, JUNOS_MEMORY, 0)),
-        _gauge("cpu", "cpu_util_pct", percent(100.0 - _group(body, JUNOS_IDLE)), "percent", F.regexp_extract(body, JUNOS_IDLE, 0)),
+        _gauge("memory", "mem_util_pct", memory, "percent", memory_line), _gauge("cpu", "cpu_util_pct", percent(100.0 - idle), "percent", idle_line),
     ))
 
 
 def chassis_environment(snapshots: DataFrame) -> DataFrame:
-    rows = lines_of(snapshots).filter(F.col("trimmed").rlike(JUNOS_TEMP))
-    t = F.col("trimmed")
-    return _rows(rows, "device", F.array(
-        _gauge("temperature", "temp_celsius", _group(t, JUNOS_TEMP, 2), "celsius", t, F.trim(F.regexp_extract(t, JUNOS_TEMP, 1)))
+    """Rows ``Temp <sensor> <status> <n> degrees C / ...``."""
+    words = _words(F.col("trimmed"))
+    rows = lines_of(snapshots).withColumns({"words": words, "at": F.array_position(F.transform(words, F.lower), "degrees").cast("int")})
+    value = F.get("words", F.col("at") - 2).try_cast("double")
+    shaped = (F.lower(F.get("words", F.lit(0))) == TEMPERATURE_CLASS) & (F.col("at") >= 5) & (F.lower(F.get("words", F.col("at"))) == "c")
+    sensor = F.array_join(F.slice("words", F.lit(2), F.greatest(F.lit(0), F.col("at") - 4)), " ")
+    return _rows(rows.filter(shaped & value.isNotNull()), "device", F.array(
+        _gauge("temperature", "temp_celsius", value, "celsius", F.col("trimmed"), sensor)
     ))
 
 
 def system_resources(snapshots: DataFrame) -> DataFrame:
+    """The idle share and the memory line of ``top``: values before their labels, between commas."""
     body = unwrap(F.col("body"))
-    total, used = _group(body, TOP_MEMORY, 1), _group(body, TOP_MEMORY, 2)
+    items = F.transform(F.split(body, "[,:\n]"), lambda item: F.trim(item, F.lit(" \t\r")))
+    number = lambda item, label: F.trim(F.replace(F.lower(item), F.lit(label), F.lit(""))).try_cast("double")
+    idle = F.get(F.filter(items, lambda item: F.lower(item).endswith("id") & number(item, "id").isNotNull()), F.lit(0))
+    memory = _first_line(body, lambda line: F.lower(line).contains(TOP_MEMORY_LABEL))
+    parts = F.split(F.split_part(memory, F.lit(":"), F.lit(2)), ",")
+    part = lambda label: number(F.get(F.filter(parts, lambda p: F.lower(p).contains(label)), F.lit(0)), label)
+    total, used = part("total"), part("used")
     return _rows(snapshots, "device", F.array(
-        _gauge("cpu", "cpu_util_pct", percent(100.0 - _group(body, TOP_IDLE)), "percent", F.regexp_extract(body, TOP_IDLE, 0)),
-        _gauge("memory", "mem_util_pct", F.when(total > 0, percent(used / total * 100.0)), "percent", F.regexp_extract(body, TOP_MEMORY, 0)),
+        _gauge("cpu", "cpu_util_pct", percent(100.0 - number(idle, "id")), "percent", idle),
+        _gauge("memory", "mem_util_pct", F.when(total > 0, percent(used / total * 100.0)), "percent", memory),
     ))
 
 
@@ -91,7 +109,10 @@ def _stanzas(snapshots: DataFrame) -> DataFrame:
 
 def _usage(with_cpu: bool) -> Column:
     block = F.col("block")
-    cpu, mem = F.regexp_extract(block, VM_CPU, 1), F.regexp_extract(block, VM_MEMORY, 1)
+    cpu_line = _first_line(block, lambda line: F.regexp_replace(line, "^-\\s*", "").startswith("CPU:"))
+    mem_line = _first_line(block, lambda line: line.contains("Memory:") & line.contains("%)"))
+    cpu = F.trim(F.split_part(F.split_part(cpu_line, F.lit("CPU:"), F.lit(2)), F.lit("%"), F.lit(1)))
+    mem = F.trim(F.split_part(F.substring_index(F.split_part(mem_line, F.lit("Memory:"), F.lit(2)), "%)", 1), F.lit("("), F.lit(2)))
     gauges = [_gauge("memory", "mem_util_pct", percent(mem.try_cast("double")), "percent", F.concat(F.lit("mem="), mem.try_cast("double").cast("string"), F.lit("%")))]
     if with_cpu:
         gauges.insert(0, _gauge("cpu", "cpu_util_pct", percent(cpu.try_cast("double")), "percent", F.concat(F.lit("cpu="), cpu.try_cast("double").cast("string"), F.lit("%"))))
@@ -134,10 +155,17 @@ def alarms(snapshots: DataFrame) -> DataFrame:
     with alarm output: silence is not the absence of alarms.
     """
     keys = ["provider", "device", "collected_at"]
-    answered = snapshots.filter(F.col("body").rlike(ALARM_BANNER))
-    lines = lines_of(answered).withColumn("l", F.rtrim("line")).filter(F.col("l").rlike(ALARM)).select(
-        *keys, F.lower(F.regexp_extract("l", ALARM, 2)).alias("sensor"),
-        F.concat(F.regexp_extract("l", ALARM, 1), F.lit(" | "), F.trim(F.regexp_extract("l", ALARM, 3))).alias("raw"),
+    answered = snapshots.filter(reduce(lambda a, b: a | b, [F.lower("body").contains(banner) for banner in ALARM_BANNERS]))
+    rows = lines_of(answered).withColumn("words", _words(F.col("line")))
+    # Date, time, a zone in capitals where the device prints one, severity, description.
+    zone = F.get("words", F.lit(2))
+    skip = F.when((zone == F.upper(zone)) & zone.rlike("^[A-Z]+$"), 3).otherwise(2)
+    stamp = F.concat_ws(" ", F.get("words", F.lit(0)), F.get("words", F.lit(1)))
+    dated = F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")).isNotNull()
+    lines = rows.withColumn("skip", skip).filter(dated & (F.size("words") > F.col("skip") + 1) & ~F.col("line").startswith(" ")).select(
+        *keys, F.lower(F.get("words", F.col("skip"))).alias("sensor"),
+        F.concat(F.array_join(F.slice("words", F.lit(1), F.col("skip")), " "), F.lit(" | "), F.array_join(
+            F.slice("words", F.col("skip") + 2, F.size("words")), " ")).alias("raw"),
     ).distinct()
     each = _rows(lines, "device", F.array(_gauge("alarm", "alarm", F.lit(1.0), "count", F.col("raw"), F.col("sensor"))))
     counts = answered.select(*keys).distinct().join(lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "left")

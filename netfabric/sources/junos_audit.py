@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from netfabric.functions.net import ipv4_or_null
 from netfabric.sources import redact
+from netfabric.sources.logins import sshd_login
 from netfabric.sources.syslog import (
-    KNOWN_DEVICES, escaped_param, event_rows, ext_map, keep_if, known_device, param, parse_syslog_header, port, structured_data_map,
+    escaped_param, event_rows, ext_map, keep_if, known_device, param, parse_syslog_header, structured_data_map,
 )
 
 # Message ids with their category, action and outcome.
@@ -34,7 +35,6 @@ PLAIN_USER = (
     "UI_CFG_AUDIT_SET_SECRET", "UI_CFG_AUDIT_OTHER",
 )
 CHANGES = ("UI_CFG_AUDIT_SET", "UI_CFG_AUDIT_SET_SECRET", "UI_CFG_AUDIT_OTHER")
-ACCEPTED = r"Accepted \S+ for (\S+) from (\S+) port (\d+)"
 
 
 def audit_gate() -> Column:
@@ -43,7 +43,7 @@ def audit_gate() -> Column:
     return F.col("parsed") & (F.coalesce(F.col("msgid").isin(*AUDIT_EVENTS, *OTHER_KEPT), F.lit(False)) | accepted)
 
 
-def normalise_junos_audit(raw: DataFrame, hash_key: bytes, devices: tuple[str, ...] | None = KNOWN_DEVICES) -> DataFrame:
+def normalise_junos_audit(raw: DataFrame, hash_key: bytes, devices: tuple[str, ...] | None = None) -> DataFrame:
     """Audit lines to events, with secrets and failed users taken out of every field and of the line."""
     df = parse_syslog_header(raw)
     line = F.col("message")
@@ -65,7 +65,8 @@ def normalise_junos_audit(raw: DataFrame, hash_key: bytes, devices: tuple[str, .
     ident, body = F.col("id"), F.coalesce("body", F.lit(""))
     # The two failure ids are tested before the free-form "Accepted" line.
     ssh_ok = ~ident.isin(*HASHED_USER) & F.col("app").startswith("sshd") & body.startswith("Accepted ")
-    matched = ssh_ok & body.rlike(ACCEPTED)
+    login = sshd_login(body, "Accepted")
+    matched = ssh_ok & login.matched
 
     category, action, outcome = F.when(matched, "authentication"), F.when(matched, "auth_success"), F.when(matched, "success")
     for msgid, (cat, act, out) in AUDIT_EVENTS.items():
@@ -73,7 +74,7 @@ def normalise_junos_audit(raw: DataFrame, hash_key: bytes, devices: tuple[str, .
         category, action, outcome = category.when(hit, cat), action.when(hit, act), outcome.when(hit, out)
 
     failed_user = F.when(ident.isin(*HASHED_USER), F.col("user"))
-    user = F.when(matched, F.regexp_extract(body, ACCEPTED, 1)).when(ident.isin(*HASHED_USER), redact.hash_user(failed_user, hash_key)).when(
+    user = F.when(matched, login.user).when(ident.isin(*HASHED_USER), redact.hash_user(failed_user, hash_key)).when(
         ident.isin(*PLAIN_USER), F.col("user")
     )
     path, old, new = F.col("path"), F.col("old_value"), F.col("new_value")
@@ -94,10 +95,10 @@ def normalise_junos_audit(raw: DataFrame, hash_key: bytes, devices: tuple[str, .
         ("junos.sys.action", F.when(ident.isin("UI_CFG_AUDIT_SET", "UI_CFG_AUDIT_SET_SECRET"), param(f, "action"))),
         ("junos.sys.secret", F.when(ident == "UI_CFG_AUDIT_SET_SECRET", "true")),
     ]
-    peer = F.when(matched, F.regexp_extract(body, ACCEPTED, 2)).when(ident == "SSHD_LOGIN_FAILED", param(f, "source-address"))
+    peer = F.when(matched, login.address).when(ident == "SSHD_LOGIN_FAILED", param(f, "source-address"))
     return event_rows(
         df, "junos_sys", "juniper", timestamp=F.coalesce("header_ts", "received_at"),
         event_category=F.array(F.coalesce(category, F.lit("host"))), event_action=action, event_outcome=outcome,
-        source_ip=ipv4_or_null(peer), source_port=F.when(matched, port(F.regexp_extract(body, ACCEPTED, 3))),
+        source_ip=ipv4_or_null(peer), source_port=F.when(matched, login.port),
         observer_hostname=known_device(host, devices), user_name=user, ext=ext_map(*pairs), raw=clean,
     )

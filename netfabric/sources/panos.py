@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netfabric.functions.net import ipv4_or_null
-from netfabric.sources.syslog import KNOWN_DEVICES, event_rows, ext_map, known_device, parse_syslog_header, port
+from netfabric.sources.syslog import event_rows, ext_map, known_device, parse_syslog_header, port
 
 # Positions of the fields (from 0) and the actions that deny.
 COMMON = {
@@ -29,7 +29,7 @@ def _panw(name: str) -> str:
     return f"panw.panos.{name}"
 
 
-def normalise_panos(raw: DataFrame, devices: tuple[str, ...] | None = KNOWN_DEVICES) -> DataFrame:
+def normalise_panos(raw: DataFrame, devices: tuple[str, ...] | None = None) -> DataFrame:
     """Raw CSV lines to events.  The split is plain; quoted commas are not honoured."""
     df = parse_syslog_header(raw)
     # The payload starts at the first comma: its first field is empty.

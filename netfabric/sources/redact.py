@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from netfabric.functions.ids import hmac_sha256
 from netfabric.sources.syslog import found
 
-# What marks a configuration path or value as secret, and the marks left behind.
-SECRET_WORDS = (
-    "secret", "password", "pre-shared-key", "psk", r"\bkey\b", "authentication-key", "community", "ascii-text",
-    "hexadecimal", "simple-password", "auth-password", "privacy-password", "private",
-)
-SECRET_PATH = "|".join(SECRET_WORDS)
+# Which parts of a configuration path lead to a secret.  A part is what stands between
+# blanks, dashes and brackets: login and tunnel statements, key encodings, SNMP names.
+SECRET_PARTS = {"key": False, "psk": True, "password": True, "secret": True, "private": True, "hexadecimal": True, "community": True}
+SECRET_ENCODING = "ascii-text"
 ENCRYPTED = r"^\$[0-9]+\$"
 ENCRYPTED_ANYWHERE = r'\$[0-9]+\$[^\s"\\\]]+'
 # The name ends at the closing bracket too, so that its other mentions are found.
@@ -49,9 +47,22 @@ def redact_community(text: Column, path: Column) -> Column:
     return _scrub(text, community_name(path), REDACTED)
 
 
+def leads_to_secret(path: Column) -> Column:
+    """Whether a part of the path is ``key``, or holds one of the other words of ``SECRET_PARTS``."""
+    parts = F.split(F.lower(path), "[^a-z0-9_]+")
+
+    def telling(part: Column) -> Column:
+        hit = F.lit(False)
+        for word, inside in SECRET_PARTS.items():
+            hit = hit | (part.contains(word) if inside else part == word)
+        return hit
+
+    return F.exists(parts, telling) | F.lower(path).contains(SECRET_ENCODING)
+
+
 def is_secret(path: Column, value: Column) -> Column:
     """The value belongs under a secret-shaped path or is already encrypted."""
-    shaped = F.coalesce(F.lower(path).rlike(SECRET_PATH), F.lit(False)) | F.coalesce(value.rlike(ENCRYPTED), F.lit(False))
+    shaped = F.coalesce(leads_to_secret(path), F.lit(False)) | F.coalesce(value.rlike(ENCRYPTED), F.lit(False))
     return value.isNotNull() & shaped
 
 

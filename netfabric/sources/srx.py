@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netfabric.functions.net import ipv4_or_null
 from netfabric.sources.syslog import (
-    KNOWN_DEVICES, event_rows, keep_if, known_device, no_entries, parse_syslog_header, port, structured_data_map,
+    event_rows, keep_if, known_device, no_entries, parse_syslog_header, port, structured_data_map,
 )
 
 # Message ids of sessions and the transport numbers.
@@ -39,7 +39,7 @@ def _number(fields: Column, key: str, kind: str = "long") -> Column:
     return F.when(value.isNull(), F.lit(0).cast(kind)).otherwise(value.try_cast(kind))
 
 
-def normalise_srx(raw: DataFrame, devices: tuple[str, ...] | None = KNOWN_DEVICES) -> DataFrame:
+def normalise_srx(raw: DataFrame, devices: tuple[str, ...] | None = None) -> DataFrame:
     """Raw lines of the shared security port to events (a pure projection)."""
     df = parse_syslog_header(raw)
     df = keep_if(df, security_route(df)).withColumns({

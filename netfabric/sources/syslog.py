@@ -19,13 +19,6 @@ PAIR = r'([^\s="\[\]]++)="([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 # Field separators inside the one replacement that takes a header apart.
 _FS, _MODERN, _LEGACY = "\x1f", "\x1eA", "\x1eB"
 
-# Names of devices that may act as event observers.
-KNOWN_DEVICES = (
-    "panosvm", "vsrx-prod", "vsrx-wan-edge", "vsrx-core-a", "vsrx-core-b", "vsrx-dc", "vsrx-dc-n0", "vsrx-dc-n1",
-    "vsrx-dmz", "vsrx-campus-a", "vsrx-campus-b", "vsrx-isp-a", "vsrx-isp-b", "vsrx-ci",
-    *(f"vsrx-br{n:02d}" for n in range(1, 13)),
-)
-
 EMPTY_MAP = "map<string,string>"
 
 
@@ -103,10 +96,10 @@ def escaped_param(fields: Column, name: str) -> Column:
     return F.nullif(fields[name], F.lit(""))
 
 
-def known_device(hostname: Column, devices: tuple[str, ...] | None = KNOWN_DEVICES) -> Column:
-    """The host name when its first label is a known device, else ''.
+def known_device(hostname: Column, devices: tuple[str, ...] | None = None) -> Column:
+    """The host name when its first label is one of ``devices``, else ''.  Without a list every name stays.
 
-    The label must equal a known name, so a longer name with a known prefix fails.
+    For a list that is a table, see ``known_device_gate``.  The label must equal a known name, so a longer name with a known prefix fails.
     """
     host = F.coalesce(hostname, F.lit(""))
     if devices is None:

@@ -17,7 +17,6 @@ from netfabric.operators.metrics import BUCKET_SECONDS, CONNECTION_TUPLE
 from netfabric.operators.policy import USAGE_KEYS
 from netfabric.operators.upsert import upsert_table
 from netfabric.plans.normalise import normalise_events
-from netfabric.sources.syslog import KNOWN_DEVICES
 from netfabric.sources.writers import with_event_date
 
 # How late an event may be.
@@ -30,13 +29,13 @@ def _start(stream: DataFrame, checkpoint: str, handler: Callable[[DataFrame, int
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_normalised(raw: DataFrame, hash_key: bytes, devices: tuple[str, ...] | None = KNOWN_DEVICES) -> DataFrame:
+def stream_normalised(raw: DataFrame, hash_key: bytes, devices: tuple[str, ...] | None = None) -> DataFrame:
     """A stream of events from a stream of raw lines; stateless, so any sink in append mode works."""
     return normalise_events(raw, hash_key, devices)
 
 
 def start_normaliser(
-    raw: DataFrame, path: str, checkpoint: str, hash_key: bytes, devices: tuple[str, ...] | None = KNOWN_DEVICES, trigger: dict | None = None,
+    raw: DataFrame, path: str, checkpoint: str, hash_key: bytes, devices: tuple[str, ...] | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Raw lines to the event table.
 

@@ -46,6 +46,9 @@ CASES = {
 }
 
 
+DEVICES = ("vsrx-prod", *(f"vsrx-br{n:02d}" for n in range(1, 13)))
+
+
 @pytest.fixture(scope="module")
 def normalised(spark, at):
     rows = [(at("2026-06-05 13:00:00"), feed, line) for feed, line, _ in CASES.values()]
@@ -55,7 +58,7 @@ def normalised(spark, at):
     feeds = spark.createDataFrame([(n, f, m) for n, (f, m, _) in CASES.items()], "case string, feed string, message string").withColumn("received_at", F.lit("2026-06-05 13:00:00").cast("timestamp"))
     keyed = feeds.select("case", F.explode(F.array(F.col("feed"), F.lit("junos_sys"))).alias("f"), "received_at", "message").distinct()
     names = {r.id: r.case for r in keyed.select("case", event_id(F.col("f"), F.col("received_at"), F.col("message")).alias("id")).collect()}
-    return {names[r.event_id]: r for r in normalise_events(raw, KEY).collect()}
+    return {names[r.event_id]: r for r in normalise_events(raw, KEY, DEVICES).collect()}
 
 
 @pytest.mark.parametrize("case", CASES)
@@ -87,3 +90,9 @@ def test_long_structured_data_does_not_overflow(spark, at):
     df = spark.createDataFrame([(at("2026-06-05 13:00:00"), "srx", line)], "received_at timestamp, feed string, message string")
     row = normalise_events(df, KEY).first()
     assert row.event_action == "flow_session_close" and len(row.ext) == 1500
+
+
+def test_without_a_device_list_every_host_keeps_its_name(spark, at):
+    line = f'<14>1 2026-06-05T12:00:00Z edge-fw-01.corp RT_FLOW - RT_FLOW_SESSION_CLOSE {SD}a="b"]'
+    df = spark.createDataFrame([("srx", line, at("2026-06-05 12:00:00"))], "feed string, message string, received_at timestamp")
+    assert [r.observer_hostname for r in normalise_events(df, KEY).collect()] == ["edge-fw-01.corp"]
