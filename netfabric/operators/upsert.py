@@ -67,6 +67,36 @@ def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """Partition columns of a Parquet table, from the folders of its first partition."""
+    fs, at = _fs_path(spark, path)
+    found = []
+    while True:
+        folders = [s.getPath() for s in fs.listStatus(at) if s.isDirectory() and "=" in s.getPath().getName()]
+        if not folders:
+            return found
+        names = {f.getName().split("=", 1)[0] for f in folders}
+        if len(names) > 1:
+            raise ValueError(f"{path} mixes partition columns: {sorted(names)}")
+        found.append(names.pop())
+        at = folders[0]
+
+
+def touched_partitions(rows: DataFrame, partition_by: Sequence[str]) -> Column:
+    """A filter of literals on the partition columns, which prunes folders before the scan.
+
+    The driver sees the partitions that a batch touches: its days or hours, not its rows.
+    """
+    values = rows.select(*partition_by).distinct().collect()
+    wanted = F.lit(False)
+    for c in partition_by:
+        own = {r[c] for r in values}
+        hit = F.col(c).isin([v for v in own if v is not None])
+        hit = hit | F.col(c).isNull() if None in own else hit
+        wanted = hit if c == partition_by[0] else wanted & hit
+    return wanted
+
+
 def upsert_table(
     new: DataFrame, path: str, keys: Sequence[str], version: str | Sequence[str],
     partition_by: Sequence[str], tiebreak: Sequence[str] | None = None,
@@ -82,8 +112,7 @@ def upsert_table(
     if not path_exists(spark, path):
         latest_by_key(new, keys, version, tiebreak).write.partitionBy(*partition_by).parquet(path)
         return
-    touched = new.select(*partition_by).distinct()
-    current = spark.read.schema(new.schema).parquet(path).join(touched, list(partition_by), "left_semi")
+    current = spark.read.schema(new.schema).parquet(path).filter(touched_partitions(new, partition_by))
     merged = latest_by_key(current.unionByName(new), keys, version, tiebreak)
     staging = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex}"
     merged.write.partitionBy(*partition_by).parquet(staging)
@@ -214,8 +243,11 @@ def backfill_table(
     """Shift a slice of a day-partitioned table: stage, verify, then swap.
 
     Only the days the slice leaves or enters are rewritten.  Raises, leaving the
-    table as it was, when the staged row count or distinct ids differ.
+    table as it was, when the staged row count or distinct ids differ, and before
+    anything is written when the table has other partition columns.
     """
+    if (layout := partition_columns(spark, path)) != [date_column]:
+        raise ValueError(f"{path} is partitioned by {layout}, not by {date_column} alone")
     table = spark.read.parquet(path)
     hit = table.filter(predicate)
     moved_ts = F.col(ts) + F.expr(f"INTERVAL '{int(delta.total_seconds())}' SECOND")
