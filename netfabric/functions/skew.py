@@ -9,62 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-DEFAULT_SALTS = 16
-_SIZE_UNITS = {u: 1024.0**i for i, u in enumerate(("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB"))}
 
-
-def _bytes_conf(spark, key: str, default: str) -> int:
-    raw = str(spark.conf.get(key, default)).strip().lower()
-    units = {"b": 1, "k": 1024, "kb": 1024, "m": 1024**2, "mb": 1024**2, "g": 1024**3, "gb": 1024**3}
-    for suffix in sorted(units, key=len, reverse=True):
-        if raw.endswith(suffix):
-            return int(float(raw[: -len(suffix)]) * units[suffix])
-    return int(raw)
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """True when the optimizer's size bound for ``df`` is under the broadcast threshold."""
-    limit = _bytes_conf(df.sparkSession, "spark.sql.autoBroadcastJoinThreshold", "10485760")
-    if limit < 0:
-        return False
-    # Rendered as e.g. "sizeInBytes=12.3 KiB"; the raw number can have thousands of digits.
-    stats = df._jdf.queryExecution().optimizedPlan().stats().simpleString()
-    number, unit = stats.split("sizeInBytes=")[1].split(",")[0].split()
-    return float(number) * _SIZE_UNITS[unit] <= limit
-
-
-def _hashable(field: T.StructField) -> bool:
-    return "map<" not in field.dataType.simpleString() and "variant" not in field.dataType.simpleString()
-
-
-def row_salt(df: DataFrame, salts: int) -> Column:
-    """A salt from the row's own values, so a re-run task routes rows as before."""
-    names = [f.name for f in df.schema.fields if _hashable(f)]
-    return F.pmod(F.xxhash64(*[F.col(f"`{n}`") for n in names]), F.lit(salts)).cast("int")
-
-
-def lookup_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: str = "inner",
-    salts: int | None = None,
-) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: str = "inner") -> DataFrame:
     """Join ``big`` to a lookup side whose keys may be very unevenly used by ``big``.
 
-    Below the broadcast threshold this is a plain join, which Spark broadcasts.
-    Above it, rows of ``big`` are spread over ``salts`` buckets per key and the
-    lookup side is copied to each bucket, so no task receives a whole hot key.
-    Valid for ``inner``, ``left``, ``left_semi`` and ``left_anti``: every row of
-    ``big`` meets exactly one copy of the lookup side.
+    The optimizer broadcasts the lookup side if its size, which a written table has,
+    allows it.  Otherwise both sides are shuffled once, and adaptive execution splits
+    the partitions of ``big`` that turn out hot; it may do so for these join types, in
+    which every row of ``big`` is decided by the lookup side alone.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join does not support {how!r}")
-    if fits_broadcast(small):
-        return big.join(small, keys, how)
-    n = salts or int(big.sparkSession.conf.get("spark.netfabric.join.salts", str(DEFAULT_SALTS)))
-    salted_big = big.withColumn("_salt", row_salt(big, n))
-    copies = F.sequence(F.lit(0), F.lit(n - 1))
-    salted_small = small.withColumn("_salt", F.explode(copies))
-    return salted_big.join(salted_small, [*keys, "_salt"], how).drop("_salt")
+    return big.join(small, keys, how)
+
+
+def _hashable(field: T.StructField) -> bool:
+    return "map<" not in field.dataType.simpleString() and "variant" not in field.dataType.simpleString()
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

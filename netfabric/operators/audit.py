@@ -116,12 +116,18 @@ def verify_chain(audit: DataFrame) -> DataFrame:
 
     Rows without a hash predate hashing and are only checked for their writer.
     """
-    keyed = with_chain_key(audit)
-    chained = keyed.filter(text("row_hash") != "").withColumn("prev_hash", text("prev_hash"))
+    keyed = with_chain_key(audit).withColumn("prev_hash", text("prev_hash"))
+    # The log is parsed and hashed once; every check reads what came of it.
+    facts = cut_lineage(keyed.select(*CHAIN_KEYS, "row_hash", "prev_hash", (row_hash(keyed) != F.col("row_hash")).alias("edited")))
+    chained = facts.filter(text("row_hash") != "")
+    edits, missing = chained.filter("edited"), cut_lineage(missing_predecessors(chained).select(*CHAIN_KEYS, "row_hash"))
+    # Where every hash fits its row and every predecessor is there, links lead to the root:
+    # a cycle would need a hash that holds itself.
+    doubtful = edits.select(*CHAIN_KEYS).unionByName(missing.select(*CHAIN_KEYS)).distinct()
     found = {
-        "duplicate_row": duplicate_rows(chained), "content_edit": content_edits(chained),
-        "missing_predecessor": missing_predecessors(chained), "unreachable": unreachable_rows(chained),
-        "unidentified_writer": unidentified_writers(keyed), "fork": forks(keyed),
+        "duplicate_row": duplicate_rows(chained), "content_edit": edits, "missing_predecessor": missing,
+        "unreachable": unreachable_rows(cut_lineage(lookup_join(chained, doubtful, list(CHAIN_KEYS), "left_semi"))),
+        "unidentified_writer": unidentified_writers(facts), "fork": forks(facts),
     }
     tagged = [df.select(*CHAIN_KEYS, F.lit(kind).alias("type"), "row_hash") for kind, df in found.items()]
     return reduce(DataFrame.unionByName, tagged)
@@ -182,14 +188,17 @@ def append_chained(rows: DataFrame, tails: DataFrame, order: tuple[str, ...] = (
     A link needs the hash before it, so one chain is sequential by nature.
     Chains run side by side; a long one is cut into blocks of ``block_rows``
     that are linked one after another, each from the checkpointed tail of the
-    block before, so no task ever holds more than one block.  ``order`` must
-    make the rows of a chain distinct to give a repeatable result.
+    block before, so no task ever holds more than one block, and reading only its
+    own folder.  ``order`` must tell the rows of a chain apart, or the chain would
+    differ from run to run: rows that it leaves equal raise a ValueError.
     """
     keyed = with_chain_key(rows).drop("prev_hash", "row_hash")
+    if keyed.groupBy(*CHAIN_KEYS, *order).count().filter("count > 1").take(1):
+        raise ValueError(f"rows of one chain are equal in {order}; name columns that tell them apart")
     ranked = cut_lineage(with_rank(keyed, CHAIN_KEYS, order))
     bodies = cut_lineage(ranked.select(
         *CHAIN_KEYS, "rank", canonical(ranked).alias("body"), F.floor((F.col("rank") - 1) / block_rows).alias("_block")
-    ))
+    ), ["_block"])
     last_block = bodies.agg(F.max("_block")).first()[0]
     seeds = tails.select(*CHAIN_KEYS, F.col("row_hash").alias("seed"))
     linked = None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ TUNING_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
@@ -58,13 +60,14 @@ def _checkpoint_root(spark: SparkSession) -> str:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back without its history.
 
     The files survive the loss of any executor.  A written table also has a
     known size, which a plain checkpoint has not (it keeps the estimate of the
     plan it replaced), so joins against it can tell whether it may be broadcast.
+    With ``partition_by``, later filters on those columns read only their folders.
     """
     path = f"{_checkpoint_root(df.sparkSession).rstrip('/')}/netfabric-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netfabric.functions import canonical, ids, net
-from netfabric.functions.skew import fits_broadcast, lookup_join, top_rows, with_rank
+from netfabric.functions.skew import lookup_join, top_rows, with_rank
 from netfabric.functions.timeargs import TimeArgError, parse_time
 
 NASTY = ["plain", "", "a\x1f\\u001Fé\"😀\x0b/", "tab\tnl\n", "\\\\u001A\x1a\x7f"]
@@ -55,16 +55,14 @@ def test_time_arguments():
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_lookup_join_equals_plain_join_on_a_hot_key(spark, how):
+def test_shuffled_lookup_join_equals_broadcast_join_on_a_hot_key(spark, how):
     big = spark.range(3000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40)).alias("k"), F.col("id").alias("v"))
     small = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 7).alias("w"))
     plain = sorted(map(tuple, big.join(small, ["k"], how).collect()), key=str)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert not fits_broadcast(small)
-        salted = lookup_join(big, small, "k", how, salts=4)
-        assert sorted(map(tuple, salted.collect()), key=str) == plain
-        assert "_salt" not in salted.columns
+        shuffled = lookup_join(big, small, "k", how)
+        assert sorted(map(tuple, shuffled.collect()), key=str) == plain and shuffled.columns == big.join(small, ["k"], how).columns
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -84,3 +82,25 @@ def test_top_rows_limits_before_the_shuffle(spark):
     top = top_rows(df, ["k"], [F.col("v").desc()], 2)
     assert sorted(map(tuple, top.collect())) == [(0, 96), (0, 98), (1, 97), (1, 99)]
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_lookup_key_is_split_and_not_copied(spark):
+    """Half of all rows have one key and the lookup side is not broadcast."""
+    small_parts = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+    }
+    before = {k: spark.conf.get(k, None) for k in small_parts}
+    try:
+        for k, v in small_parts.items():
+            spark.conf.set(k, v)
+        ids = spark.range(0, 200_000, 1, 8)
+        big = ids.select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 1000).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        joined = lookup_join(big, spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w")), "k")
+        assert joined.agg(F.count("w"), F.sum("w")).first()[0] == 200_000
+        rows = joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count("w").alias("n"), F.max("v").alias("v"))
+        assert max(r.n for r in rows.collect()) < 100_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -160,6 +160,13 @@ def _calls(spark, at, n, server="s1"):
     return spark.createDataFrame(rows, "ts timestamp, principal string, tier string, tool string, args string, data_classes array<string>, decision string, row_count long, error string, client_name string, model_id string, actor_type string")
 
 
+def test_rows_that_the_order_leaves_equal_are_refused(spark, at):
+    none = spark.createDataFrame([], "tier string, server_id string, row_hash string")
+    calls = _calls(spark, at, 6)
+    with pytest.raises(ValueError, match="equal"):
+        au.append_chained(calls.withColumn("ts", F.lit("2026-06-05 12:00:00").cast("timestamp")), none)
+
+
 def test_chain_in_blocks_equals_one_block_and_verifies_clean(spark, at):
     calls = _calls(spark, at, 50).unionByName(_calls(spark, at, 3, "s2"))
     none = spark.createDataFrame([], "tier string, server_id string, row_hash string")
