@@ -88,7 +88,7 @@ def describe(events: DataFrame, tenant: str | None = None, max_values: int | Non
 
     ``max_values`` keeps the alphabetically first values of each kind, and ``truncated``
     says whether it left any out.  Values are made distinct and cut before they are
-    gathered; ``distinct_values`` gives them as rows where a column has very many.
+    gathered; ``column_values`` gives them as rows where a column has very many.
     """
     df = _tenant(events, tenant)
     kinds = {"actions": ("event_action",), "outcomes": ("event_outcome",), "providers": ("event_provider",),
@@ -110,7 +110,7 @@ def describe(events: DataFrame, tenant: str | None = None, max_values: int | Non
     )
 
 
-def distinct_values(events: DataFrame, columns: Sequence[str], tenant: str | None = None) -> DataFrame:
+def column_values(events: DataFrame, columns: Sequence[str], tenant: str | None = None) -> DataFrame:
     """``(column, value)``: every distinct value of some columns, however many."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
     return _tenant(events, tenant).select(F.explode(pairs).alias("p")).select("p.*").filter("value IS NOT NULL").distinct()

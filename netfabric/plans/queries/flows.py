@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from netfabric.operators import flows as op
+from netfabric.operators import upsert
 from netfabric.plans import adapter as ad
 from netfabric.plans.adapter import AS_OF, DUCK, SINCE, with_views
 from netfabric.plans.queries import REGISTRY
+from netfabric.session import shared_path
+from netfabric.sources import writers
 
 EV = with_views(DUCK, "net_events")
 WINDOW = f"e.timestamp >= TIMESTAMP '{SINCE}'"
@@ -25,6 +30,39 @@ def query_flows(spark, sf_dir):
     )
 
 
+@REGISTRY.add("query_flows_all", f"""{EV}
+SELECT {FLOW_COLS} FROM net_events e WHERE {WINDOW} AND e.timestamp <= TIMESTAMP '{AS_OF}'""")
+def query_flows_all(spark, sf_dir):
+    return op.query_flows(ad.events(spark, sf_dir), AS_OF, since=SINCE, limit=None)
+
+
+@REGISTRY.add("top_talkers_all", f"""{EV}
+SELECT e.source_ip AS ip, CAST(sum(e.network_bytes) AS BIGINT) AS bytes, count(*) AS flows FROM net_events e
+WHERE {WINDOW} AND e.source_ip IS NOT NULL GROUP BY e.source_ip""")
+def top_talkers_all(spark, sf_dir):
+    return op.top_talkers(ad.events(spark, sf_dir), AS_OF, since=SINCE, limit=None)
+
+
+@REGISTRY.add("column_values", f"""{EV}
+SELECT DISTINCT 'source_ip' AS "column", e.source_ip AS value FROM net_events e WHERE e.source_ip IS NOT NULL
+UNION SELECT DISTINCT 'event_action', e.event_action FROM net_events e WHERE e.event_action IS NOT NULL""")
+def column_values(spark, sf_dir):
+    return op.column_values(ad.events(spark, sf_dir), ["source_ip", "event_action"])
+
+
+@REGISTRY.add("event_table", f"""{EV}
+SELECT CAST(CAST(e.timestamp AS DATE) AS VARCHAR) AS event_date, e.event_provider AS provider, count(*) AS n, count(DISTINCT e.event_id) AS ids FROM net_events e GROUP BY ALL""")
+def event_table(spark, sf_dir):
+    """Events written to a table by day, a slice moved by a day and back, and read again."""
+    path = shared_path(spark, "events")
+    writers.write_events(ad.events(spark, sf_dir), path)
+    for hours in (24, -24):
+        upsert.backfill_table(spark, path, "timestamp", F.col("event_provider") == "juniper", timedelta(hours=hours))
+    events = spark.read.parquet(path)
+    return events.groupBy(F.col("event_date").cast("string").alias("event_date"), F.col("event_provider").alias("provider")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
 @REGISTRY.add("top_talkers", f"""{EV}
 SELECT e.source_ip AS ip, CAST(sum(e.network_bytes) AS BIGINT) AS bytes, count(*) AS flows FROM net_events e
 WHERE {WINDOW} AND e.source_ip IS NOT NULL GROUP BY e.source_ip ORDER BY bytes DESC NULLS LAST, ip LIMIT 20""")

@@ -285,6 +285,38 @@ def gauges_guests(spark, sf_dir):
     return gauges.hypervisor_guests(bodies(df, "proxmox", "list containers", F.lit("pve"), body)).select("device", "metric_name", "metric_value")
 
 
+@REGISTRY.add("gauges_nodes", """SELECT s_name AS device, 'mem_util_pct' AS metric_name, CAST(s_nationkey AS DOUBLE) + 0.25 AS metric_value FROM supplier WHERE s_suppkey % 4 <> 0""")
+def gauges_nodes(spark, sf_dir):
+    df = _table(spark, sf_dir, "supplier", "s_suppkey")
+    status = F.when(K % 4 == 0, "offline").otherwise("online")
+    body = s("[ok] Node: ", F.col("s_name"), "\n  - Status: ", status, "\n  - Memory: 10.0 GB / 64.0 GB (", F.col("s_nationkey"), ".25%)\n\n")
+    return gauges.hypervisor_nodes(bodies(df, "proxmox", "list nodes", F.lit("pve"), body)).select("device", "metric_name", "metric_value")
+
+
+@REGISTRY.add("gauges_environmentals", """SELECT 'pan-' || CAST(s_suppkey AS VARCHAR) AS device, 'Temperature ' || CAST(s_nationkey AS VARCHAR) AS sensor,
+  CAST(s_suppkey % 60 AS DOUBLE) + 0.5 AS metric_value FROM supplier""")
+def gauges_environmentals(spark, sf_dir):
+    df = _table(spark, sf_dir, "supplier", "s_suppkey")
+    body = s("<response><result><thermal><Slot1><entry><description>Temperature ", F.col("s_nationkey"), "</description><DegreesC>", K % 60,
+             ".5</DegreesC></entry><entry><description>broken</description><DegreesC>n/a</DegreesC></entry></Slot1></thermal></result></response>")
+    return gauges.environmentals(bodies(df, "paloalto", "show system environmentals", s("pan-", K), body)).select("device", "sensor", "metric_value")
+
+
+@REGISTRY.add("gauges_from_snapshots", """SELECT 'juniper' AS provider, count(*) AS n, CAST(sum(o_custkey % 101) + sum(100 - o_orderkey % 101) AS DOUBLE) AS total FROM orders
+UNION ALL SELECT 'proxmox', count(*), CAST(sum(s_nationkey) AS DOUBLE) + 0.25 * count(*) FROM supplier WHERE s_suppkey % 4 <> 0""")
+def gauges_from_snapshots(spark, sf_dir):
+    """The dispatcher over snapshots of two vendors; a truncated one is left out."""
+    orders, nodes = _table(spark, sf_dir, "orders", "o_orderkey"), _table(spark, sf_dir, "supplier", "s_suppkey")
+    engine = s("  Memory utilization  ", F.col("o_custkey") % 101, " percent\n    Idle   ", K % 101, " percent\n")
+    status = F.when(K % 4 == 0, "OFFLINE").otherwise("ONLINE")
+    node = s("Node: ", F.col("s_name"), "\n  - Status: ", status, "\n  - Memory: 1 GB / 2 GB (", F.col("s_nationkey"), ".25%)\n\n")
+    both = bodies(orders, "juniper", "show chassis routing-engine", s("fw-", K), engine).unionByName(
+        bodies(nodes, "proxmox", "list nodes", F.lit("pve"), node)).unionByName(
+        bodies(nodes, "proxmox", "list nodes", F.lit("pve"), node, F.lit(True)))
+    out = gauges.gauges_from_snapshots(both)
+    return out.groupBy("provider").agg((F.count(F.lit(1)) / F.when(F.col("provider") == "juniper", 2).otherwise(1)).cast("long").alias("n"), F.sum("metric_value").alias("total"))
+
+
 @REGISTRY.add("gauges_controller_devices", """SELECT s_name AS device, 'cpu_util_pct' AS metric_name, '' AS sensor, CAST(s_suppkey % 100 AS DOUBLE) AS metric_value FROM supplier
 UNION ALL SELECT s_name, 'temp_celsius', 'PHY', CAST(s_nationkey + 30 AS DOUBLE) FROM supplier""")
 def gauges_controller_devices(spark, sf_dir):

@@ -60,6 +60,11 @@ def _checkpoint_root(spark: SparkSession) -> str:
     )
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path, for files that all executors share, beside the checkpoints."""
+    return f"{_checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back without its history.
 
@@ -68,6 +73,6 @@ def cut_lineage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     plan it replaced), so joins against it can tell whether it may be broadcast.
     With ``partition_by``, later filters on those columns read only their folders.
     """
-    path = f"{_checkpoint_root(df.sparkSession).rstrip('/')}/netfabric-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "netfabric")
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
