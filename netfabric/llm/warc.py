@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import uuid
 from base64 import b32encode
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netfabric.session import _checkpoint_root, cut_lineage
+from netfabric.session import cut_lineage, shared_path
 
 VERSION = b"WARC/1.1"
 END = "\r\n\r\n"
@@ -260,7 +259,7 @@ def resolve(payloads: DataFrame) -> DataFrame:
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder for archives beside the checkpoints, which all executors share."""
-    return f"{_checkpoint_root(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return shared_path(spark, "warc")
 
 
 WARC_SQL = """
