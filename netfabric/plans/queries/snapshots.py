@@ -28,16 +28,23 @@ def _table(spark, sf_dir, name, key):
     return ad.table(spark, sf_dir, name).withColumn("k", F.col(key))
 
 
-K = F.col("k")
-MAC = s("02:00:00:00:", F.lpad((K % 90 + 10).cast("string"), 2, "0"), ":", F.lpad((K % 77 + 10).cast("string"), 2, "0"))
+# Functions, as a column needs a running session and this module is imported without one.
+def key() -> Column:
+    return F.col("k")
+
+
+def mac() -> Column:
+    return s("02:00:00:00:", F.lpad((key() % 90 + 10).cast("string"), 2, "0"), ":", F.lpad((key() % 77 + 10).cast("string"), 2, "0"))
+
+
 MAC_SQL = "'02:00:00:00:' || CAST({k} % 90 + 10 AS VARCHAR) || ':' || CAST({k} % 77 + 10 AS VARCHAR)"
 OBS = ("observation_type", "source_device", "subj_id", "obj_id")
 
 
 def _arp_bodies(spark, sf_dir):
     df = _table(spark, sf_dir, "orders", "o_orderkey")
-    body = s("MAC Address       Address         Interface     Flags\n", MAC, " 10.0.0.", F.col("o_custkey") % 250, " ge-0/0/", K % 8, ".0 none\n\nTotal entries: 1\n")
-    return bodies(df, "juniper", "show arp no-resolve", s("fw-", K % 5), body, K % 50 == 0)
+    body = s("mac() Address       Address         Interface     Flags\n", mac(), " 10.0.0.", F.col("o_custkey") % 250, " ge-0/0/", key() % 8, ".0 none\n\nTotal entries: 1\n")
+    return bodies(df, "juniper", "show arp no-resolve", s("fw-", key() % 5), body, key() % 50 == 0)
 
 
 ARP_ROWS = f"""SELECT 'arp_entry' AS observation_type, 'fw-' || CAST(o_orderkey % 5 AS VARCHAR) AS source_device, 'ip:10.0.0.' || CAST(o_custkey % 250 AS VARCHAR) AS subj_id,
@@ -60,17 +67,17 @@ def rejected_snapshots(spark, sf_dir):
   'if:host-' || CAST(c_custkey AS VARCHAR) || ':' || CASE WHEN c_custkey % 4 = 0 THEN 'unknown' ELSE 'Port ' || CAST(c_custkey % 48 AS VARCHAR) || ' ' || lower(c_mktsegment) END AS obj_id FROM customer""")
 def lldp_from_text(spark, sf_dir):
     df = _table(spark, sf_dir, "customer", "c_custkey")
-    port = F.when(K % 4 == 0, F.lit("")).otherwise(s("Port ", K % 48, " ", F.lower("c_mktsegment"), " "))
-    body = s("Local Interface    Parent Interface    Chassis Id     Port info    System Name\nge-0/0/", K, "  -  02:00:00:00:00:01  ", port, " host-", K, "\n")
-    return snapshots.lldp_from_text(bodies(df, "juniper", "show lldp neighbors", s("sw-", K % 7), body)).select(*OBS)
+    port = F.when(key() % 4 == 0, F.lit("")).otherwise(s("Port ", key() % 48, " ", F.lower("c_mktsegment"), " "))
+    body = s("Local Interface    Parent Interface    Chassis Id     Port info    System Name\nge-0/0/", key(), "  -  02:00:00:00:00:01  ", port, " host-", key(), "\n")
+    return snapshots.lldp_from_text(bodies(df, "juniper", "show lldp neighbors", s("sw-", key() % 7), body)).select(*OBS)
 
 
 @REGISTRY.add("mac_table_from_text", f"""SELECT 'mac_entry' AS observation_type, 'sw-' || CAST(c_custkey % 7 AS VARCHAR) AS source_device, 'mac:' || {MAC_SQL.format(k="c_custkey")} AS subj_id,
   'device:sw-' || CAST(c_custkey % 7 AS VARCHAR) AS obj_id, 'vlan' || CAST(c_nationkey AS VARCHAR) AS vlan FROM customer""")
 def mac_table_from_text(spark, sf_dir):
     df = _table(spark, sf_dir, "customer", "c_custkey")
-    body = s("MAC flags (S - static)\n\nVlan  MAC  address  age  interface\nvlan", F.col("c_nationkey"), "  ", MAC, "  D  -  ge-0/0/1.0\n")
-    out = snapshots.mac_table_from_text(bodies(df, "juniper", "show ethernet-switching table", s("sw-", K % 7), body))
+    body = s("mac() flags (S - static)\n\nVlan  mac()  address  age  interface\nvlan", F.col("c_nationkey"), "  ", mac(), "  D  -  ge-0/0/1.0\n")
+    out = snapshots.mac_table_from_text(bodies(df, "juniper", "show ethernet-switching table", s("sw-", key() % 7), body))
     return out.select(*OBS, F.col("attrs")["vlan"].alias("vlan"))
 
 
@@ -78,19 +85,19 @@ def mac_table_from_text(spark, sf_dir):
   'mac:' || {MAC_SQL.format(k="o_orderkey")} AS obj_id FROM orders WHERE o_orderkey % 6 <> 0""")
 def arp_from_xml(spark, sf_dir):
     df = _table(spark, sf_dir, "orders", "o_orderkey")
-    mac = F.when(K % 6 == 0, F.lit("(incomplete)")).otherwise(MAC)
-    xml = s("<response><result><entries><entry><status> c </status><ip>10.0.0.", F.col("o_custkey") % 250, "</ip><mac>", mac, "</mac><interface>ethernet1/", K % 9, "</interface></entry></entries></result></response>")
+    mac = F.when(key() % 6 == 0, F.lit("(incomplete)")).otherwise(mac())
+    xml = s("<response><result><entries><entry><status> c </status><ip>10.0.0.", F.col("o_custkey") % 250, "</ip><mac>", mac, "</mac><interface>ethernet1/", key() % 9, "</interface></entry></entries></result></response>")
     body = F.to_json(F.struct(xml.alias("result")))
-    return snapshots.arp_from_xml(bodies(df, "paloalto", "show arp all", s("pan-", K % 3), body)).select(*OBS)
+    return snapshots.arp_from_xml(bodies(df, "paloalto", "show arp all", s("pan-", key() % 3), body)).select(*OBS)
 
 
 @REGISTRY.add("lldp_from_xml", """SELECT 'lldp_neighbor' AS observation_type, 'pan-' || CAST(s_suppkey % 3 AS VARCHAR) AS source_device, 'if:pan-' || CAST(s_suppkey % 3 AS VARCHAR) || ':ethernet1/' || CAST(s_suppkey AS VARCHAR) AS subj_id,
   'if:' || CASE WHEN s_suppkey % 4 = 0 THEN 'unknown' ELSE s_name END || ':ge-' || CAST(s_suppkey AS VARCHAR) AS obj_id FROM supplier""")
 def lldp_from_xml(spark, sf_dir):
     df = _table(spark, sf_dir, "supplier", "s_suppkey")
-    system = F.when(K % 4 == 0, F.lit("")).otherwise(s("<system-name>", F.col("s_name"), "</system-name>"))
-    body = s('<r><entry name="ethernet1/', K, '">', system, "<port-id>ge-", K, "</port-id></entry></r>")
-    return snapshots.lldp_from_xml(bodies(df, "paloalto", "x", s("pan-", K % 3), body)).select(*OBS)
+    system = F.when(key() % 4 == 0, F.lit("")).otherwise(s("<system-name>", F.col("s_name"), "</system-name>"))
+    body = s('<r><entry name="ethernet1/', key(), '">', system, "<port-id>ge-", key(), "</port-id></entry></r>")
+    return snapshots.lldp_from_xml(bodies(df, "paloalto", "x", s("pan-", key() % 3), body)).select(*OBS)
 
 
 @REGISTRY.add("clients_from_json", f"""WITH c AS (SELECT c_custkey AS k, {MAC_SQL.format(k="c_custkey")} AS mac, c_nationkey AS v FROM customer)
@@ -100,8 +107,8 @@ def clients_from_json(spark, sf_dir):
     df = _table(spark, sf_dir, "customer", "c_custkey")
     uplink = s("02:FF:00:00:00:", 10 + F.col("c_nationkey"))
     row = F.struct(
-        F.upper(MAC).alias("mac"), s("10.0.0.", K % 250).alias("ip"), (K % 3 != 0).alias("is_wired"),
-        F.when((K % 5 != 0) & (K % 3 != 0), uplink).alias("sw_mac"), F.when((K % 5 != 0) & (K % 3 == 0), uplink).alias("ap_mac"), F.col("c_nationkey").alias("vlan"),
+        F.upper(mac()).alias("mac"), s("10.0.0.", key() % 250).alias("ip"), (key() % 3 != 0).alias("is_wired"),
+        F.when((key() % 5 != 0) & (key() % 3 != 0), uplink).alias("sw_mac"), F.when((key() % 5 != 0) & (key() % 3 == 0), uplink).alias("ap_mac"), F.col("c_nationkey").alias("vlan"),
     )
     body = F.to_json(F.struct(F.array(row).alias("result")))
     out = snapshots.clients_from_json(bodies(df, "unifi", "list active clients", F.lit("site"), body))
@@ -112,8 +119,8 @@ def clients_from_json(spark, sf_dir):
   CASE s_suppkey % 4 WHEN 0 THEN 'switch' WHEN 1 THEN 'ap' WHEN 2 THEN 'gateway' ELSE 'device' END AS role FROM supplier""")
 def devices_from_json(spark, sf_dir):
     df = _table(spark, sf_dir, "supplier", "s_suppkey")
-    model = F.when(K % 4 == 0, "USW-24").when(K % 4 == 1, "UAP-AC").when(K % 4 == 2, "UDM-Pro").otherwise("other")
-    body = F.to_json(F.array(F.struct(MAC.alias("mac"), F.col("s_name").alias("name"), model.alias("model"))))
+    model = F.when(key() % 4 == 0, "USW-24").when(key() % 4 == 1, "UAP-AC").when(key() % 4 == 2, "UDM-Pro").otherwise("other")
+    body = F.to_json(F.array(F.struct(mac().alias("mac"), F.col("s_name").alias("name"), model.alias("model"))))
     out = snapshots.devices_from_json(bodies(df, "unifi", "list devices", F.lit("site"), body))
     return out.select("observation_type", "subj_id", F.col("attrs")["name"].alias("name"), F.col("attrs")["role"].alias("role"))
 
@@ -123,9 +130,9 @@ UNION ALL SELECT 'vm_nic', 'mac:' || {MAC_SQL.format(k="c_custkey")}, 'device:pv
 def vms_from_snapshots(spark, sf_dir):
     df = _table(spark, sf_dir, "customer", "c_custkey")
     node = s("pve", F.col("c_nationkey"))
-    listing = bodies(df, "proxmox", "list vms", F.lit("pve"), s("[vm] ", F.col("c_name"), " (ID: ", K, ")\n  - Status: running\n  - Node: ", node, "\n"))
-    nic = s("virtio=", F.upper(MAC), ",bridge=vmbr", K % 3, ",tag=20")
-    configs = bodies(df, "proxmox", "vm config", s(node, "/", K), F.to_json(F.struct(nic.alias("net0"), F.lit("4").alias("cores"))))
+    listing = bodies(df, "proxmox", "list vms", F.lit("pve"), s("[vm] ", F.col("c_name"), " (ID: ", key(), ")\n  - Status: running\n  - Node: ", node, "\n"))
+    nic = s("virtio=", F.upper(mac()), ",bridge=vmbr", key() % 3, ",tag=20")
+    configs = bodies(df, "proxmox", "vm config", s(node, "/", key()), F.to_json(F.struct(nic.alias("net0"), F.lit("4").alias("cores"))))
     out = snapshots.vms_from_snapshots(listing, configs)
     return out.select("observation_type", "subj_id", "obj_id", F.col("attrs")["name"].alias("name"))
 
@@ -141,15 +148,15 @@ def firewall_inventory(spark, sf_dir):
 def _rule_bodies(spark, sf_dir):
     """Two rules per device: a zone-pair rule with several terms and a global one."""
     df = _table(spark, sf_dir, "part", "p_partkey")
-    pre = s("set security policies from-zone z", F.col("p_size") % 3, " to-zone z", F.col("p_size") % 4, " policy rule-", K, " ")
+    pre = s("set security policies from-zone z", F.col("p_size") % 3, " to-zone z", F.col("p_size") % 4, " policy rule-", key(), " ")
     action = F.when(F.col("p_size") % 2 == 0, "permit").otherwise("deny")
-    off = F.when(K % 9 == 0, F.lit("inactive: ")).otherwise(F.lit(""))
+    off = F.when(key() % 9 == 0, F.lit("inactive: ")).otherwise(F.lit(""))
     body = s(
-        pre, "match source-address any\n", pre, "match destination-address srv-", K, "\n", pre, "match destination-address all\n", off, pre, "match application ", F.split_part("p_type", F.lit(" "), F.lit(1)), "\n",
+        pre, "match source-address any\n", pre, "match destination-address srv-", key(), "\n", pre, "match destination-address all\n", off, pre, "match application ", F.split_part("p_type", F.lit(" "), F.lit(1)), "\n",
         pre, "then ", action, "\n", pre, "then log session-init\n", "set security policies global policy last match from-zone edge\nset security policies global policy last then reject\n",
-        F.when(K % 4 == 0, F.lit("set security policies global policy last match vlan 7\n")).otherwise(F.lit("")),
+        F.when(key() % 4 == 0, F.lit("set security policies global policy last match vlan 7\n")).otherwise(F.lit("")),
     )
-    return bodies(df, "juniper", "policies", s("fw-", K), body)
+    return bodies(df, "juniper", "policies", s("fw-", key()), body)
 
 
 RULE_ROWS = """SELECT 'fw-' || CAST(p_partkey AS VARCHAR) AS device_name, 'rule-' || CAST(p_partkey AS VARCHAR) AS rule_name, CASE WHEN p_size % 2 = 0 THEN 'allow' ELSE 'deny' END AS action,
@@ -174,12 +181,12 @@ UNION ALL SELECT 'pan-' || CAST(p_partkey AS VARCHAR), 'final', 'deny', '', '',
 def rules_from_xml(spark, sf_dir):
     df = _table(spark, sf_dir, "part", "p_partkey")
     xml = s(
-        "<config><zone><entry name='t'/></zone><rulebase><security><rules><entry name=\"r-", K, "\" uuid=\"u-", K, "\"><from><member>trust</member></from><destination><member>", F.col("p_brand"),
-        "</member><member> any </member></destination><action>allow</action>", F.when(K % 5 == 0, F.lit("<disabled>yes</disabled>")).otherwise(F.lit("")),
-        F.when(K % 3 == 0, F.lit("<schedule>night</schedule>")).otherwise(F.lit("<category><member>any</member></category>")),
+        "<config><zone><entry name='t'/></zone><rulebase><security><rules><entry name=\"r-", key(), "\" uuid=\"u-", key(), "\"><from><member>trust</member></from><destination><member>", F.col("p_brand"),
+        "</member><member> any </member></destination><action>allow</action>", F.when(key() % 5 == 0, F.lit("<disabled>yes</disabled>")).otherwise(F.lit("")),
+        F.when(key() % 3 == 0, F.lit("<schedule>night</schedule>")).otherwise(F.lit("<category><member>any</member></category>")),
         "</entry><entry name='final'><action>deny</action></entry></rules></security></rulebase></config>",
     )
-    out = rulebases.rules_from_xml(bodies(df, "paloalto", "config", s("pan-", K), xml))
+    out = rulebases.rules_from_xml(bodies(df, "paloalto", "config", s("pan-", key()), xml))
     return out.select(
         "device_name", "rule_name", "action", F.array_join("from_zone", ",").alias("from_zone"), F.array_join("dest_addresses", ",").alias("dest"), "position", "enabled",
         "match_unknown", "uuid",
@@ -188,9 +195,9 @@ def rules_from_xml(spark, sf_dir):
 
 def _hit_bodies(spark, sf_dir):
     df = _table(spark, sf_dir, "part", "p_partkey")
-    twice = F.when(K % 7 == 0, s("3 z1 z2 rule-", K, " 9 Permit\n")).otherwise(F.lit(""))
-    body = s("Logical system: root\nIndex From zone To zone Name Policy count Action\n1 z0 z1 rule-", K, " ", F.col("p_size"), " Permit\n2 z1 z1 last 0 Deny\n", twice)
-    return bodies(df, "juniper", "hits", s("fw-", K), body)
+    twice = F.when(key() % 7 == 0, s("3 z1 z2 rule-", key(), " 9 Permit\n")).otherwise(F.lit(""))
+    body = s("Logical system: root\nIndex From zone To zone Name Policy count Action\n1 z0 z1 rule-", key(), " ", F.col("p_size"), " Permit\n2 z1 z1 last 0 Deny\n", twice)
+    return bodies(df, "juniper", "hits", s("fw-", key()), body)
 
 
 @REGISTRY.add("hit_counts_from_text", """SELECT 'fw-' || CAST(p_partkey AS VARCHAR) AS device_name, 'rule-' || CAST(p_partkey AS VARCHAR) AS rule_name, CAST(p_size AS BIGINT) AS hit_count FROM part WHERE p_partkey % 7 <> 0
@@ -202,9 +209,9 @@ def hit_counts_from_text(spark, sf_dir):
 @REGISTRY.add("hit_counts_from_xml", """SELECT 'pan-' || CAST(p_partkey AS VARCHAR) AS device_name, 'r-' || CAST(p_partkey AS VARCHAR) AS rule_name, CAST(p_size AS BIGINT) AS hit_count FROM part WHERE p_partkey % 6 <> 0""")
 def hit_counts_from_xml(spark, sf_dir):
     df = _table(spark, sf_dir, "part", "p_partkey")
-    one = s("<entry name='r-", K, "'><latest>yes</latest><hit-count>", F.col("p_size"), "</hit-count></entry>")
-    xml = s("<r><vsys><entry name='vsys1'><rules>", one, F.when(K % 6 == 0, one).otherwise(F.lit("")), "<entry name='n'><x/></entry></rules></entry></vsys></r>")
-    return rulebases.hit_counts_from_xml(bodies(df, "paloalto", "hits", s("pan-", K), xml)).select("device_name", "rule_name", "hit_count")
+    one = s("<entry name='r-", key(), "'><latest>yes</latest><hit-count>", F.col("p_size"), "</hit-count></entry>")
+    xml = s("<r><vsys><entry name='vsys1'><rules>", one, F.when(key() % 6 == 0, one).otherwise(F.lit("")), "<entry name='n'><x/></entry></rules></entry></vsys></r>")
+    return rulebases.hit_counts_from_xml(bodies(df, "paloalto", "hits", s("pan-", key()), xml)).select("device_name", "rule_name", "hit_count")
 
 
 @REGISTRY.add("attach_hit_counts", """SELECT 'fw-' || CAST(p_partkey AS VARCHAR) AS device_name, 'rule-' || CAST(p_partkey AS VARCHAR) AS rule_name, CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_size AS BIGINT) END AS hit_count FROM part
@@ -223,10 +230,10 @@ def object_books_from_text(spark, sf_dir):
     a = "set security address-book global "
     body = s(
         a, "address A 10.", F.col("c_nationkey"), ".0.0/16\n", a, "address B dns-name host.example\n", a, "address-set S address A\n", a, "address-set S address B\n", a, "attach zone ", F.col("c_mktsegment"),
-        "\nset applications application web protocol tcp\nset applications application web destination-port ", K, "\n",
-        F.when(K % 4 == 0, F.lit("set applications application web term t1 protocol udp\n")).otherwise(F.lit("")), "set groups junos-defaults applications application junos-ssh protocol tcp\n",
+        "\nset applications application web protocol tcp\nset applications application web destination-port ", key(), "\n",
+        F.when(key() % 4 == 0, F.lit("set applications application web term t1 protocol udp\n")).otherwise(F.lit("")), "set groups junos-defaults applications application junos-ssh protocol tcp\n",
     )
-    return rulebases.object_books_from_text(bodies(df, "juniper", "objects", s("fw-", K), body)).select("device_name", "object_book")
+    return rulebases.object_books_from_text(bodies(df, "juniper", "objects", s("fw-", key()), body)).select("device_name", "object_book")
 
 
 @REGISTRY.add("object_books_from_xml", """SELECT 'pan-' || CAST(c_custkey AS VARCHAR) AS device_name, '{"address_groups": {"g": {"kind": "static", "members": ["a"]}}, "addresses": {"a": {"kind": "ip-netmask", "value": "10.0.0.'
@@ -235,15 +242,15 @@ FROM customer WHERE c_custkey % 8 <> 0 AND c_custkey % 11 <> 0""")
 def object_books_from_xml(spark, sf_dir):
     df = _table(spark, sf_dir, "customer", "c_custkey")
     parts = {
-        "address": s("<address><entry name='a'><ip-netmask>10.0.0.", K % 250, "</ip-netmask></entry></address>"),
+        "address": s("<address><entry name='a'><ip-netmask>10.0.0.", key() % 250, "</ip-netmask></entry></address>"),
         "address-group": F.lit("<address-group><entry name='g'><static><member>a</member></static></entry></address-group>"),
-        "service": s("<service><entry name='s'><protocol><udp><port>", K, "</port></udp></protocol></entry></service>"),
-        "service-group": F.lit("<service-group/>"), "schedule": F.when(K % 11 == 0, F.lit("<schedule><entry></schedule>")).otherwise(F.lit("<schedule/>")),
+        "service": s("<service><entry name='s'><protocol><udp><port>", key(), "</port></udp></protocol></entry></service>"),
+        "service-group": F.lit("<service-group/>"), "schedule": F.when(key() % 11 == 0, F.lit("<schedule><entry></schedule>")).otherwise(F.lit("<schedule/>")),
     }
     out = None
     for command, body in parts.items():
-        cut = (K % 8 == 0) if command == "service" else None
-        part = bodies(df, "paloalto", command, s("pan-", K), body, cut)
+        cut = (key() % 8 == 0) if command == "service" else None
+        part = bodies(df, "paloalto", command, s("pan-", key()), body, cut)
         out = part if out is None else out.unionByName(part)
     return rulebases.object_books_from_xml(out).select("device_name", "object_book")
 
@@ -254,8 +261,8 @@ def object_books_from_xml(spark, sf_dir):
 FROM orders, (SELECT 'mem_util_pct' AS n UNION ALL SELECT 'cpu_util_pct') m""")
 def gauges_routing_engine(spark, sf_dir):
     df = _table(spark, sf_dir, "orders", "o_orderkey")
-    body = s("Routing Engine status:\n  Memory utilization  ", F.col("o_custkey") % 101, " percent\n  CPU utilization:\n    Idle   ", K % 101, " percent\n")
-    out = gauges.routing_engine(bodies(df, "juniper", "show chassis routing-engine", s("fw-", K % 50), body))
+    body = s("Routing Engine status:\n  Memory utilization  ", F.col("o_custkey") % 101, " percent\n  CPU utilization:\n    Idle   ", key() % 101, " percent\n")
+    out = gauges.routing_engine(bodies(df, "juniper", "show chassis routing-engine", s("fw-", key() % 50), body))
     return out.select("device", "metric_name", "metric_value")
 
 
@@ -264,7 +271,7 @@ def gauges_environment(spark, sf_dir):
     df = _table(spark, sf_dir, "lineitem", "l_suppkey")
     q = F.floor("l_quantity")
     body = s("Class Item            Status  Measurement\nTemp Slot ", F.col("l_linenumber"), " CPU   OK   ", q, " degrees C / 99 degrees F\nFans Fan 1 OK\n")
-    return gauges.chassis_environment(bodies(df, "juniper", "show chassis environment", s("fw-", K), body)).select("device", "sensor", "metric_value")
+    return gauges.chassis_environment(bodies(df, "juniper", "show chassis environment", s("fw-", key()), body)).select("device", "sensor", "metric_value")
 
 
 @REGISTRY.add("gauges_system_resources", """SELECT 'pan-' || CAST(o_orderkey % 9 AS VARCHAR) AS device, m.n AS metric_name,
@@ -272,23 +279,23 @@ def gauges_environment(spark, sf_dir):
 WHERE m.n = 'cpu_util_pct' OR o_custkey % 4001 <= 4000""")
 def gauges_system_resources(spark, sf_dir):
     df = _table(spark, sf_dir, "orders", "o_orderkey")
-    body = F.to_json(F.struct(s("%Cpu(s): 3.0 us, ", K % 100, ".5 id, 0.0 wa\nMiB Mem :   4000.0 total,   12.5 free,   ", F.col("o_custkey") % 4001, ".0 used,  9 buff/cache\n").alias("result")))
-    return gauges.system_resources(bodies(df, "paloalto", "show system resources", s("pan-", K % 9), body)).select("device", "metric_name", "metric_value")
+    body = F.to_json(F.struct(s("%Cpu(s): 3.0 us, ", key() % 100, ".5 id, 0.0 wa\nMiB Mem :   4000.0 total,   12.5 free,   ", F.col("o_custkey") % 4001, ".0 used,  9 buff/cache\n").alias("result")))
+    return gauges.system_resources(bodies(df, "paloalto", "show system resources", s("pan-", key() % 9), body)).select("device", "metric_name", "metric_value")
 
 
 @REGISTRY.add("gauges_guests", """SELECT c_name AS device, 'cpu_util_pct' AS metric_name, least(CAST(c_custkey % 130 AS DOUBLE), 100.0::DOUBLE) AS metric_value FROM customer WHERE c_custkey % 3 <> 0
 UNION ALL SELECT c_name, 'mem_util_pct', CAST(c_nationkey AS DOUBLE) + 0.5 FROM customer WHERE c_custkey % 3 <> 0""")
 def gauges_guests(spark, sf_dir):
     df = _table(spark, sf_dir, "customer", "c_custkey")
-    status = F.when(K % 3 == 0, "STOPPED").otherwise("RUNNING")
-    body = s(F.col("c_name"), " (ID: ", K, ")\n  - Status: ", status, "\n  - CPU: ", K % 130, ".0%\n  - Memory: 1.0 GB / 2.0 GB (", F.col("c_nationkey"), ".5%)\n\n\n")
+    status = F.when(key() % 3 == 0, "STOPPED").otherwise("RUNNING")
+    body = s(F.col("c_name"), " (ID: ", key(), ")\n  - Status: ", status, "\n  - CPU: ", key() % 130, ".0%\n  - Memory: 1.0 GB / 2.0 GB (", F.col("c_nationkey"), ".5%)\n\n\n")
     return gauges.hypervisor_guests(bodies(df, "proxmox", "list containers", F.lit("pve"), body)).select("device", "metric_name", "metric_value")
 
 
 @REGISTRY.add("gauges_nodes", """SELECT s_name AS device, 'mem_util_pct' AS metric_name, CAST(s_nationkey AS DOUBLE) + 0.25 AS metric_value FROM supplier WHERE s_suppkey % 4 <> 0""")
 def gauges_nodes(spark, sf_dir):
     df = _table(spark, sf_dir, "supplier", "s_suppkey")
-    status = F.when(K % 4 == 0, "offline").otherwise("online")
+    status = F.when(key() % 4 == 0, "offline").otherwise("online")
     body = s("[ok] Node: ", F.col("s_name"), "\n  - Status: ", status, "\n  - Memory: 10.0 GB / 64.0 GB (", F.col("s_nationkey"), ".25%)\n\n")
     return gauges.hypervisor_nodes(bodies(df, "proxmox", "list nodes", F.lit("pve"), body)).select("device", "metric_name", "metric_value")
 
@@ -297,9 +304,9 @@ def gauges_nodes(spark, sf_dir):
   CAST(s_suppkey % 60 AS DOUBLE) + 0.5 AS metric_value FROM supplier""")
 def gauges_environmentals(spark, sf_dir):
     df = _table(spark, sf_dir, "supplier", "s_suppkey")
-    body = s("<response><result><thermal><Slot1><entry><description>Temperature ", F.col("s_nationkey"), "</description><DegreesC>", K % 60,
+    body = s("<response><result><thermal><Slot1><entry><description>Temperature ", F.col("s_nationkey"), "</description><DegreesC>", key() % 60,
              ".5</DegreesC></entry><entry><description>broken</description><DegreesC>n/a</DegreesC></entry></Slot1></thermal></result></response>")
-    return gauges.environmentals(bodies(df, "paloalto", "show system environmentals", s("pan-", K), body)).select("device", "sensor", "metric_value")
+    return gauges.environmentals(bodies(df, "paloalto", "show system environmentals", s("pan-", key()), body)).select("device", "sensor", "metric_value")
 
 
 @REGISTRY.add("gauges_from_snapshots", """SELECT 'juniper' AS provider, count(*) AS n, CAST(sum(o_custkey % 101) + sum(100 - o_orderkey % 101) AS DOUBLE) AS total FROM orders
@@ -307,10 +314,10 @@ UNION ALL SELECT 'proxmox', count(*), CAST(sum(s_nationkey) AS DOUBLE) + 0.25 *
 def gauges_from_snapshots(spark, sf_dir):
     """The dispatcher over snapshots of two vendors; a truncated one is left out."""
     orders, nodes = _table(spark, sf_dir, "orders", "o_orderkey"), _table(spark, sf_dir, "supplier", "s_suppkey")
-    engine = s("  Memory utilization  ", F.col("o_custkey") % 101, " percent\n    Idle   ", K % 101, " percent\n")
-    status = F.when(K % 4 == 0, "OFFLINE").otherwise("ONLINE")
+    engine = s("  Memory utilization  ", F.col("o_custkey") % 101, " percent\n    Idle   ", key() % 101, " percent\n")
+    status = F.when(key() % 4 == 0, "OFFLINE").otherwise("ONLINE")
     node = s("Node: ", F.col("s_name"), "\n  - Status: ", status, "\n  - Memory: 1 GB / 2 GB (", F.col("s_nationkey"), ".25%)\n\n")
-    both = bodies(orders, "juniper", "show chassis routing-engine", s("fw-", K), engine).unionByName(
+    both = bodies(orders, "juniper", "show chassis routing-engine", s("fw-", key()), engine).unionByName(
         bodies(nodes, "proxmox", "list nodes", F.lit("pve"), node)).unionByName(
         bodies(nodes, "proxmox", "list nodes", F.lit("pve"), node, F.lit(True)))
     out = gauges.gauges_from_snapshots(both)
@@ -321,8 +328,8 @@ def gauges_from_snapshots(spark, sf_dir):
 UNION ALL SELECT s_name, 'temp_celsius', 'PHY', CAST(s_nationkey + 30 AS DOUBLE) FROM supplier""")
 def gauges_controller_devices(spark, sf_dir):
     df = _table(spark, sf_dir, "supplier", "s_suppkey")
-    body = s('{"data":{"name":"', F.col("s_name"), '","system-stats":{"cpu":"', K % 100, '"},"temperatures":[{"name":"PHY","value":', F.col("s_nationkey") + 30, '},{"name":"bad","value":"x"}]}}')
-    return gauges.controller_devices(bodies(df, "unifi", "device", MAC, body)).select("device", "metric_name", "sensor", "metric_value")
+    body = s('{"data":{"name":"', F.col("s_name"), '","system-stats":{"cpu":"', key() % 100, '"},"temperatures":[{"name":"PHY","value":', F.col("s_nationkey") + 30, '},{"name":"bad","value":"x"}]}}')
+    return gauges.controller_devices(bodies(df, "unifi", "device", mac(), body)).select("device", "metric_name", "sensor", "metric_value")
 
 
 @REGISTRY.add("alarms", """WITH d AS (SELECT 'fw-' || CAST(o_orderkey AS VARCHAR) AS device, o_orderkey % 4 AS kind FROM orders)
@@ -332,7 +339,7 @@ def alarms(spark, sf_dir):
     df = _table(spark, sf_dir, "orders", "o_orderkey")
     one = "2024-01-29 10:00:00 UTC  Minor  Rescue configuration is not set\n"
     two = "2024-01-29 11:00:00 UTC  Major  Fan tray failure\n"
-    body = F.when(K % 4 == 0, F.lit("No alarms currently active\n")).when(K % 4 == 1, F.lit("1 alarms currently active\n" + one)).when(
-        K % 4 == 2, F.lit("2 alarms currently active\n" + one + two)).otherwise(F.lit("error: command not supported\n"))
-    both = bodies(df, "juniper", "show system alarms", s("fw-", K), body).unionByName(bodies(df, "juniper", "show chassis alarms", s("fw-", K), body))
+    body = F.when(key() % 4 == 0, F.lit("No alarms currently active\n")).when(key() % 4 == 1, F.lit("1 alarms currently active\n" + one)).when(
+        key() % 4 == 2, F.lit("2 alarms currently active\n" + one + two)).otherwise(F.lit("error: command not supported\n"))
+    both = bodies(df, "juniper", "show system alarms", s("fw-", key()), body).unionByName(bodies(df, "juniper", "show chassis alarms", s("fw-", key()), body))
     return gauges.alarms(both).select("device", "metric_name", "sensor", "metric_value")

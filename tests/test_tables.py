@@ -107,3 +107,11 @@ def test_no_registered_plan_has_a_cross_join(spark):
     for name in ("explain_rule", "ingest_status", "public_snapshot_edges", "alerts_for_ips", "tools_used", "select_pair", "append_changed_versions"):
         plan = q[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 160 and not set(o) - set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
