@@ -43,7 +43,7 @@ OBS = ("observation_type", "source_device", "subj_id", "obj_id")
 
 def _arp_bodies(spark, sf_dir):
     df = _table(spark, sf_dir, "orders", "o_orderkey")
-    body = s("mac() Address       Address         Interface     Flags\n", mac(), " 10.0.0.", F.col("o_custkey") % 250, " ge-0/0/", key() % 8, ".0 none\n\nTotal entries: 1\n")
+    body = s("MAC Address       Address         Interface     Flags\n", mac(), " 10.0.0.", F.col("o_custkey") % 250, " ge-0/0/", key() % 8, ".0 none\n\nTotal entries: 1\n")
     return bodies(df, "juniper", "show arp no-resolve", s("fw-", key() % 5), body, key() % 50 == 0)
 
 
@@ -76,7 +76,7 @@ def lldp_from_text(spark, sf_dir):
   'device:sw-' || CAST(c_custkey % 7 AS VARCHAR) AS obj_id, 'vlan' || CAST(c_nationkey AS VARCHAR) AS vlan FROM customer""")
 def mac_table_from_text(spark, sf_dir):
     df = _table(spark, sf_dir, "customer", "c_custkey")
-    body = s("mac() flags (S - static)\n\nVlan  mac()  address  age  interface\nvlan", F.col("c_nationkey"), "  ", mac(), "  D  -  ge-0/0/1.0\n")
+    body = s("MAC flags (S - static)\n\nVlan  MAC  address  age  interface\nvlan", F.col("c_nationkey"), "  ", mac(), "  D  -  ge-0/0/1.0\n")
     out = snapshots.mac_table_from_text(bodies(df, "juniper", "show ethernet-switching table", s("sw-", key() % 7), body))
     return out.select(*OBS, F.col("attrs")["vlan"].alias("vlan"))
 
@@ -85,8 +85,8 @@ def mac_table_from_text(spark, sf_dir):
   'mac:' || {MAC_SQL.format(k="o_orderkey")} AS obj_id FROM orders WHERE o_orderkey % 6 <> 0""")
 def arp_from_xml(spark, sf_dir):
     df = _table(spark, sf_dir, "orders", "o_orderkey")
-    mac = F.when(key() % 6 == 0, F.lit("(incomplete)")).otherwise(mac())
-    xml = s("<response><result><entries><entry><status> c </status><ip>10.0.0.", F.col("o_custkey") % 250, "</ip><mac>", mac, "</mac><interface>ethernet1/", key() % 9, "</interface></entry></entries></result></response>")
+    shown = F.when(key() % 6 == 0, F.lit("(incomplete)")).otherwise(mac())
+    xml = s("<response><result><entries><entry><status> c </status><ip>10.0.0.", F.col("o_custkey") % 250, "</ip><mac>", shown, "</mac><interface>ethernet1/", key() % 9, "</interface></entry></entries></result></response>")
     body = F.to_json(F.struct(xml.alias("result")))
     return snapshots.arp_from_xml(bodies(df, "paloalto", "show arp all", s("pan-", key() % 3), body)).select(*OBS)
 
