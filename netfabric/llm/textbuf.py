@@ -14,7 +14,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+#: Small enough that the arrays of a chunk stay in the cache, and many workers in memory.
+CHUNK_BYTES = 1 << 18
 #: Bases of the polynomial hashes, odd and so invertible modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
