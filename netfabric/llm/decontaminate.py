@@ -5,9 +5,13 @@
 2. A randomised SVD of the TF-IDF passages, made by Spark in blocks of passages,
    gives a latent space.
 3. Every window of every document is compared with all passages in that space.
+   A cosine falls as the corpus grows and as a leak spreads, so beside it every
+   passage is a candidate whose words the window's stretch holds as often as the
+   limits of step 4 need; nothing that those accept is lost before them.
 4. A candidate counts if the longest common subsequence of words covers most of
    the passage, or a good part of it together with its answer; so a passage that
-   was reworded in places is found as well.
+   was reworded in places is found as well.  The latter also needs the cosine or
+   a part of the passage's own weight, as common words alone meet it by chance.
 """
 
 from __future__ import annotations
@@ -32,9 +36,20 @@ COSINE = 0.2
 LCS_ALONE = 0.7
 LCS_WITH_ANSWER = 0.5
 ANSWER = 0.8
+#: Share of a passage's weight (squared, over its distinct terms) that a stretch has to hold if the cosine is lower than ``COSINE``
+#: and the subsequence than ``LCS_ALONE``; a verbatim copy has 1, chance matches of common words had 0.2 at most.
+WEIGHT = 0.25
 ANSWER_WORDS = 8
 #: Classes of term weights, by which a window's cosines are bounded before it is projected.
 LEVELS = (1.0, 2.0, 3.5, 5.0, 7.0, 9.0)
+#: Halves of a window's stretch before and after its first one.
+BEFORE, AFTER = WINDOW // STEP, 2 * WINDOW // STEP - 1
+#: Terms of at least so many passages of a block are counted by a matrix product, the others by their lists of passages.
+MANY = 8
+#: Windows whose words are counted at once.
+SLICE = 4096
+#: A passage has fewer words; words and words of the answer are counted in one number, the latter times this.
+CODE = 128
 #: Latent spaces are sent to the executors in groups of at most so many bytes.
 GROUP_BYTES = 128 << 20
 TO_WORD = np.array([textbuf.LOWER[b] if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(256)], np.uint8)
@@ -43,10 +58,28 @@ VECTOR = "term long, vector array<double>"
 MATCH = "doc_id long, item_id long, part int, cosine double, lcs_share double, answer_share double, first_word long"
 
 
+class Counts(NamedTuple):
+    """How often each passage has each term, in all and, times ``CODE``, in its answer.
+
+    Term ``t`` is row ``column[t]`` of ``dense``, or, if that is -1, has the passages ``passage[starts[t]:starts[t + 1]]``.
+    ``alone``, ``with_answer`` and ``answer`` are the fewest words with which a passage can reach the limits.
+    """
+
+    column: np.ndarray
+    dense: np.ndarray
+    starts: np.ndarray
+    passage: np.ndarray
+    code: np.ndarray
+    alone: np.ndarray
+    with_answer: np.ndarray
+    answer: np.ndarray
+
+
 class Space(NamedTuple):
     """A latent space: its terms in order, their weights and axes, and its passages.
 
     ``levels`` classes the terms by weight; ``mass`` has the root of each passage's share in each class.
+    ``counts`` says how often the passages have each term; ``own`` has the places of each passage's distinct terms.
     """
 
     terms: np.ndarray
@@ -59,6 +92,8 @@ class Space(NamedTuple):
     rare: float
     levels: np.ndarray
     mass: np.ndarray
+    counts: Counts
+    own: list[np.ndarray]
 
 
 def words_of(chunk: textbuf.Chunk) -> textbuf.Words:
@@ -225,7 +260,8 @@ def fit_spaces(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str
     idf = cut_lineage(terms.join(document_frequencies(docs, terms), "term", "left").select(
         "term", F.log(F.lit(1.0 + n) / (1.0 + F.coalesce("df", F.lit(0)))).alias("idf")))
     weighted = placed.select("item_id", "part", "block", F.explode("terms").alias("term")).distinct().join(idf, "term").withColumn("w", F.col("idf"))
-    rows = cut_lineage(weighted.filter("w > 0").groupBy("item_id", "part", "block").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("tw")).select(
+    # Terms and passages without weight stay: they add nothing to a cosine, and are still counted.
+    rows = cut_lineage(weighted.groupBy("item_id", "part", "block").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("tw")).select(
         "item_id", "part", "block", F.col("tw.term").alias("terms"), F.col("tw.w").alias("weights"))
         .join(placed.select("item_id", "part", F.col("terms").alias("words")), ["item_id", "part"]))
     spaces = []
@@ -244,19 +280,89 @@ def fit_spaces(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str
         levels, latent, mass = np.digitize(weight, LEVELS), [], []
         for t, w in zip(held.column("terms").to_pylist(), held.column("weights").to_pylist(), strict=True):
             w, at = np.array(w), np.searchsorted(term, np.array(t, np.int64).view(np.uint64))
-            latent.append(w @ vectors[at] / np.sqrt((w * w).sum()))
-            mass.append(np.sqrt(np.bincount(levels[at], w * w, minlength=len(LEVELS) + 1) / (w * w).sum()))
+            square = (w * w).sum() or 1.0
+            latent.append(w @ vectors[at] / np.sqrt(square))
+            mass.append(np.sqrt(np.bincount(levels[at], w * w, minlength=len(LEVELS) + 1) / square))
         words = [np.array(x, np.int64).view(np.uint64) for x in held.column("words").to_pylist()]
         spaces.append(Space(term, weight, vectors, np.array(latent, np.float32), words, held.column("item_id").to_numpy(),
-                            held.column("part").to_numpy(), float(np.log(1.0 + n)), levels, np.array(mass)))
+                            held.column("part").to_numpy(), float(np.log(1.0 + n)), levels, np.array(mass), counts_of(term, words),
+                            [np.searchsorted(term, np.unique(x)) for x in words]))
     return spaces
 
 
+def fewest(size: int, limit: float) -> int:
+    """The fewest of ``size`` words whose share reaches ``limit``."""
+    return next(c for c in range(size + 1) if c / size >= limit)
+
+
+def counts_of(terms: np.ndarray, words: list[np.ndarray]) -> Counts:
+    at = np.searchsorted(terms, np.concatenate(words))
+    passage = np.repeat(np.arange(len(words)), [len(x) for x in words])
+    code = np.concatenate([np.where(np.arange(len(x)) >= len(x) - ANSWER_WORDS, 1 + CODE, 1) for x in words])
+    pairs, own = np.unique(at * len(words) + passage, return_inverse=True)
+    code = np.bincount(own, code).astype(np.float32)
+    at, passage = pairs // len(words), pairs % len(words)
+    starts = np.searchsorted(at, np.arange(len(terms) + 1))
+    many = np.flatnonzero(np.diff(starts) >= MANY)
+    column = np.full(len(terms), -1)
+    column[many] = np.arange(len(many))
+    dense = np.zeros((len(many), len(words)), np.float32)
+    often = column[at] >= 0
+    dense[column[at[often]], passage[often]] = code[often]
+    sizes = [len(x) for x in words]
+    return Counts(column, dense, starts, passage, code, np.array([fewest(x, LCS_ALONE) for x in sizes]),
+                  np.array([fewest(x, LCS_WITH_ANSWER) for x in sizes]), np.array([fewest(min(x, ANSWER_WORDS), ANSWER) for x in sizes]))
+
+
+def holders(counts: Counts, half: np.ndarray, term: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(window, passage)`` of the stretches that have enough of a passage's words, in any order, to reach the limits.
+
+    ``half`` and ``term`` are the distinct terms of each half, ``row`` the row of each half.
+    """
+    n, passages = len(row), len(counts.alone)
+    column = counts.column[term]
+    few = column < 0
+    windows, found = [], []
+    for lo in range(0, n, SLICE):
+        hi = min(n, lo + SLICE)
+        a, b = np.searchsorted(half, [lo - BEFORE, hi + AFTER])
+        near, which, rare = half[a:b], term[a:b], few[a:b]
+        often = np.zeros((hi - lo, len(counts.dense)), np.float32)
+        reach = []
+        for shift in range(-BEFORE, AFTER + 1):
+            window = near - shift
+            ok = (window >= lo) & (window < hi)
+            ok[ok] = row[window[ok]] == row[near[ok]]
+            often[window[ok & ~rare] - lo, column[a:b][ok & ~rare]] = 1
+            reach.append((window[ok & rare] - lo) * len(counts.column) + which[ok & rare])
+        total = often @ counts.dense
+        pairs = np.unique(np.concatenate(reach))
+        window, which = pairs // len(counts.column), pairs % len(counts.column)
+        sizes = counts.starts[which + 1] - counts.starts[which]
+        at = np.repeat(counts.starts[which] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        cells = np.repeat(window, sizes) * passages + counts.passage[at]
+        total = total.ravel() + np.bincount(cells, counts.code[at], minlength=total.size)
+        total = total.astype(np.int16).reshape(hi - lo, passages)
+        k, p = np.nonzero(total % CODE >= counts.with_answer)
+        held, answer = total[k, p] % CODE, total[k, p] // CODE
+        enough = (held >= counts.alone[p]) | (answer >= counts.answer[p])
+        windows.append(k[enough] + lo)
+        found.append(p[enough])
+    return np.concatenate(windows), np.concatenate(found)
+
+
 def window_cosines(space: Space, w: textbuf.Words) -> Iterator[tuple[int, int, np.ndarray]]:
-    """``(row, first word, cosines with all passages)`` of the windows that reach ``COSINE`` with one of them.
+    """``(row, first word, cosines with all passages)`` of the windows that ``candidates`` finds."""
+    for row, first, cosines, _ in candidates(space, w):
+        yield row, first, cosines
 
-    Within a class of term weights, the shares of a window and of a passage bound what the
-    class adds to their cosine (Cauchy-Schwarz), so most windows need no projection.
+
+def candidates(space: Space, w: textbuf.Words, by_cosine: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(row, first word, cosines with all passages, passages to verify)`` of windows.
+
+    These are all windows whose stretch has enough words of a passage, and, ``by_cosine``, all that reach
+    ``COSINE`` with one; the latter alone have nothing to verify.  Within a class of term weights, the shares of a window and of a passage bound
+    what the class adds to their cosine (Cauchy-Schwarz), so most windows need no projection.
     """
     halves = -(-np.diff(w.bounds) // STEP)
     n, terms, classes = int(halves.sum()), len(space.terms), len(LEVELS) + 1
@@ -270,21 +376,27 @@ def window_cosines(space: Space, w: textbuf.Words) -> Iterator[tuple[int, int, n
     # A window is a half and the next one of its row; the last half alone is one only if there is no other.
     follows = np.append(False, row[1:] == row[:-1])
     hit = np.flatnonzero(at >= 0)
-    both = hit[follows[half[hit]]]
-    pairs = np.unique(np.concatenate([half[hit] * terms + at[hit], (half[both] - 1) * terms + at[both]]))
+    single = np.unique(half[hit] * terms + at[hit])
+    both = single[follows[single // terms]]
+    pairs = np.unique(np.concatenate([single, both - terms]))
     window, term = pairs // terms, pairs % terms
     known = np.bincount(window * classes + space.levels[term], space.idf[term] ** 2, minlength=n * classes).reshape(n, classes)
     other = np.bincount(half[at < 0], minlength=n) * space.rare**2
     mass = other + np.append(np.where(follows[1:], other[1:], 0.0), 0.0) + known.sum(axis=1)
-    usable = np.flatnonzero((mass > 0) & (np.append(follows[1:], False) | ~follows))
+    whole = np.append(follows[1:], False) | ~follows
+    usable = np.flatnonzero((mass > 0) & whole & by_cosine)
     usable = usable[known[usable].sum(axis=1) >= COSINE**2 * mass[usable]]
     bound = np.sqrt(known[usable] / mass[usable][:, None]) @ space.mass.T
+    usable = usable[(bound >= COSINE - 1e-6).any(axis=1)]
+    holder, passage = holders(space.counts, single // terms, single % terms, row)
+    holder, passage = holder[whole[holder]], passage[whole[holder]]
     starts = np.searchsorted(window, np.arange(n + 1))
-    for k in usable[(bound >= COSINE - 1e-6).any(axis=1)]:
+    for k in np.union1d(usable, holder):
         own = term[starts[k] : starts[k + 1]]
-        cosines = space.latent @ (space.idf[own].astype(np.float32) @ space.axes[own]) / np.sqrt(mass[k])
-        if cosines.max() >= COSINE:
-            yield row[k], (k - first_half[row[k]]) * STEP, cosines
+        cosines = space.latent @ (space.idf[own].astype(np.float32) @ space.axes[own]) / np.sqrt(mass[k] or 1.0)
+        held = passage[np.searchsorted(holder, k) : np.searchsorted(holder, k, "right")]
+        if len(held) or cosines.max() >= COSINE:
+            yield row[k], (k - first_half[row[k]]) * STEP, cosines, held
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -295,10 +407,16 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return int(best[-1])
 
 
-def verify(passage: np.ndarray, words: np.ndarray) -> tuple[float, float]:
-    """Shares of a passage, and of its answer (its last words), that a stretch of words has in order."""
+def weight_held(space: Space, k: int, words: np.ndarray) -> float:
+    """The share of a passage's weight that a stretch of words holds; 0 if the passage has none."""
+    weight = space.idf[space.own[k]] ** 2
+    return float(weight[np.isin(space.terms[space.own[k]], words)].sum() / (weight.sum() or 1.0))
+
+
+def verify(passage: np.ndarray, words: np.ndarray, least: float = LCS_WITH_ANSWER) -> tuple[float, float]:
+    """Shares of a passage, and of its answer (its last words), that a stretch of words has in order; 0 below ``least``."""
     # No subsequence is longer than what the passage shares with the stretch in any order.
-    if np.isin(passage, words).mean() < LCS_WITH_ANSWER:
+    if np.isin(passage, words).mean() < least:
         return 0.0, 0.0
     answer = passage[-ANSWER_WORDS:]
     return lcs(passage, words) / len(passage), lcs(answer, words) / len(answer)
@@ -335,15 +453,13 @@ def find_contamination(
                 for chunk in textbuf.chunks(batch.column("text")):
                     w = words_of(chunk)
                     for space in shared.value:
-                        for row, first, cosines in window_cosines(space, w):
-                            near = np.flatnonzero(cosines >= COSINE)
-                            if not len(near):
-                                continue
+                        for row, first, cosines, held in candidates(space, w, by_cosine=False):
                             own = w.hashes[w.bounds[row] : w.bounds[row + 1]]
                             stretch = own[max(0, first - WINDOW) : first + 2 * WINDOW]
-                            for k in near:
-                                share, answer = verify(space.words[k], stretch)
-                                if share >= LCS_ALONE or (share >= LCS_WITH_ANSWER and answer >= ANSWER):
+                            for k in held:
+                                akin = cosines[k] >= COSINE or weight_held(space, k, stretch) >= WEIGHT
+                                share, answer = verify(space.words[k], stretch, LCS_WITH_ANSWER if akin else LCS_ALONE)
+                                if share >= LCS_ALONE or (akin and share >= LCS_WITH_ANSWER and answer >= ANSWER):
                                     out.append((ids[chunk.lo + row], int(space.items[k]), int(space.parts[k]), float(cosines[k]), share, answer, int(first)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)],

@@ -314,6 +314,42 @@ def test_retrieval_recall_against_exact_cosines(spark, small, monkeypatch):
     assert near > 20 and found / near >= 0.95
 
 
+def test_verbatim_passages_are_found_however_large_the_corpus_and_the_leak(spark):
+    leak = " ".join(f"asked{i} of the" for i in range(8))
+    filler = " ".join(f"other{i}" for i in range(60))
+    marks = spark.createDataFrame([(1, leak), (2, "one item that no text holds at all")], "item_id long, text string")
+    text = F.concat(F.lit(filler + " of the "), F.when(F.col("id") % 3 == 0, leak).otherwise("end"), F.lit(" " + filler))
+    third = spark.range(3000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = decontaminate.find_contamination(third, marks).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, 1) for i in range(0, 3000, 3)} and {r.lcs_share for r in got} == {1.0}
+    every = third.filter("doc_id % 3 = 0")
+    assert decontaminate.find_contamination(every, marks).count() == 1000
+    few = "the of a to in is it"
+    one = F.when(F.col("id") == 77_777, F.lit(f"{filler} {' '.join(f'{w} rare{i}' for i, w in enumerate(few.split()))} {filler}")).otherwise(few)
+    large = spark.range(400_000).select(F.col("id").alias("doc_id"), one.alias("text"))
+    marks = spark.createDataFrame([(3, " ".join(f"{w} rare{i}" for i, w in enumerate(few.split())))], "item_id long, text string")
+    assert [(r.doc_id, r.lcs_share) for r in decontaminate.find_contamination(large, marks).collect()] == [(77_777, 1.0)]
+
+
+def test_every_stretch_with_most_of_a_passage_is_found(spark, small):
+    docs, marks = small("documents"), small("benchmark")
+    passages = [decontaminate.words_of(c).hashes for r in marks.collect() for c in textbuf.chunks(pa.array([r.text.lower()]))]
+    ids = [r.item_id for r in marks.collect()]
+    alone, either = set(), set()
+    for doc in docs.collect():
+        w = next(decontaminate.words_of(c).hashes for c in textbuf.chunks(pa.array([(doc.text or "").lower()])))
+        for first in range(0, max(1, len(w) - decontaminate.STEP), decontaminate.STEP):
+            stretch = w[max(0, first - decontaminate.WINDOW) : first + 2 * decontaminate.WINDOW]
+            for item, passage in zip(ids, passages, strict=True):
+                share, answer = decontaminate.verify(passage, stretch)
+                if share >= decontaminate.LCS_ALONE:
+                    alone.add((doc.doc_id, item))
+                if share >= decontaminate.LCS_WITH_ANSWER and answer >= decontaminate.ANSWER:
+                    either.add((doc.doc_id, item))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(docs, marks).collect()}
+    assert alone and alone <= got <= alone | either
+
+
 def test_common_subsequence():
     assert decontaminate.lcs(np.array([1, 2, 3, 4]), np.array([9, 1, 3, 9, 4])) == 3
     assert decontaminate.lcs(np.array([1]), np.array([], int)) == 0
