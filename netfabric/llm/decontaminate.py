@@ -50,7 +50,7 @@ MANY = 8
 SLICE = 4096
 #: A passage has fewer words; words and words of the answer are counted in one number, the latter times this.
 CODE = 128
-#: Latent spaces are sent to the executors in groups of at most so many bytes.
+#: Latent spaces are sent to the executors in groups, which end when they have so many bytes.
 GROUP_BYTES = 128 << 20
 TO_WORD = np.array([textbuf.LOWER[b] if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(256)], np.uint8)
 PASSAGE = "item_id long, part int, block int, terms array<long>"
@@ -246,12 +246,15 @@ def randomized_svd(rows: DataFrame, k: int) -> DataFrame:
     return small.mapInArrow(rotate, VECTOR)
 
 
-def fit_spaces(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> list[Space]:
-    """Latent spaces of the benchmark's passages, ``BLOCK`` passages each; texts of ``docs (id, text)`` are in lower case."""
+def fit_spaces(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Space]:
+    """Latent spaces of the benchmark's passages, ``BLOCK`` passages each; texts of ``docs (id, text)`` are in lower case.
+
+    Each is fitted when it is asked for, so the driver need not hold all of them.
+    """
     passages = cut_lineage(passages_of(benchmark, id_col, text_col))
     total, n = passages.count(), docs.count()
     if not total or not n:
-        return []
+        return
     blocks = -(-total // BLOCK)
     # A little above the mean, so that the hash rarely gives a block more passages than it has axes.
     blocks = blocks if blocks == 1 else -(-total * 5 // (BLOCK * 4))
@@ -264,7 +267,6 @@ def fit_spaces(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str
     rows = cut_lineage(weighted.groupBy("item_id", "part", "block").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("tw")).select(
         "item_id", "part", "block", F.col("tw.term").alias("terms"), F.col("tw.w").alias("weights"))
         .join(placed.select("item_id", "part", F.col("terms").alias("words")), ["item_id", "part"]))
-    spaces = []
     for block in range(blocks):
         own = rows.filter(F.col("block") == block)
         held = own.orderBy("item_id", "part").toArrow()
@@ -284,10 +286,24 @@ def fit_spaces(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str
             latent.append(w @ vectors[at] / np.sqrt(square))
             mass.append(np.sqrt(np.bincount(levels[at], w * w, minlength=len(LEVELS) + 1) / square))
         words = [np.array(x, np.int64).view(np.uint64) for x in held.column("words").to_pylist()]
-        spaces.append(Space(term, weight, vectors, np.array(latent, np.float32), words, held.column("item_id").to_numpy(),
-                            held.column("part").to_numpy(), float(np.log(1.0 + n)), levels, np.array(mass), counts_of(term, words),
-                            [np.searchsorted(term, np.unique(x)) for x in words]))
-    return spaces
+        yield Space(term, weight, vectors, np.array(latent, np.float32), words, held.column("item_id").to_numpy(),
+                    held.column("part").to_numpy(), float(np.log(1.0 + n)), levels, np.array(mass), counts_of(term, words),
+                    [np.searchsorted(term, np.unique(x)) for x in words])
+        del axes, vectors
+
+
+def grouped(spaces: Iterator[Space], group_bytes: int) -> Iterator[list[Space]]:
+    """Spaces in groups that end with the one that brings their axes to ``group_bytes``; a group is given away before the next is fitted."""
+    group, size = [], 0
+    for space in spaces:
+        group.append(space)
+        size += space.axes.nbytes
+        del space
+        if size >= group_bytes:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def fewest(size: int, limit: float) -> int:
@@ -434,18 +450,11 @@ def find_contamination(
     stays null.  Without documents or items there are no rows; extra columns are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text"))
-    spaces = fit_spaces(source, benchmark, item_col, item_text_col)
-    groups, room = [], 0
-    for space in spaces:
-        if not groups or space.axes.nbytes > room:
-            groups.append([])
-            room = group_bytes
-        groups[-1].append(space)
-        room -= space.axes.nbytes
     found = docs.sparkSession.createDataFrame([], MATCH)
     types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
-    for group in groups:
+    for group in grouped(fit_spaces(source, benchmark, item_col, item_text_col), group_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(group)
+        del group[:]
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -465,7 +474,9 @@ def find_contamination(
                     [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)],
                     ["doc_id", "item_id", "part", "cosine", "lcs_share", "answer_share", "first_word"])
 
-        found = found.unionByName(source.mapInArrow(run, MATCH))
+        # Written before the next group is fitted, so that this one can be released.
+        found = found.unionByName(cut_lineage(source.mapInArrow(run, MATCH)))
+        shared.destroy()
     best = F.max(F.struct("lcs_share", "cosine", "answer_share", -F.col("first_word"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", F.col("best.cosine").alias("cosine"), F.col("best.lcs_share").alias("lcs_share"),

@@ -1,5 +1,7 @@
 """Line dedup, language, toxicity, MinHash and decontamination against brute force, and on odd rows."""
 
+import gc
+import weakref
 import zlib
 from collections import defaultdict
 
@@ -350,6 +352,29 @@ def test_every_stretch_with_most_of_a_passage_is_found(spark, small):
     assert alone and alone <= got <= alone | either
 
 
+def test_one_group_of_spaces_is_held_at_a_time(spark, small, monkeypatch):
+    docs, marks = small("documents").limit(50), small("benchmark")
+    want = sorted(map(tuple, decontaminate.find_contamination(docs, marks).select("doc_id", "item_id").collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK", 4)
+    fit, made, alive, most = decontaminate.fit_spaces, [], [], []
+
+    def watched(*args):
+        for space in fit(*args):
+            axes = space.axes.copy()
+            made.append(1)
+            alive.append(weakref.ref(axes))
+            space = space._replace(axes=axes)
+            del axes
+            yield space
+            del space
+            gc.collect()
+            most.append(sum(r() is not None for r in alive))
+
+    monkeypatch.setattr(decontaminate, "fit_spaces", watched)
+    got = decontaminate.find_contamination(docs, marks, group_bytes=1).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, got)) == want and len(made) > 3 and max(most) <= 1
+
+
 def test_common_subsequence():
     assert decontaminate.lcs(np.array([1, 2, 3, 4]), np.array([9, 1, 3, 9, 4])) == 3
     assert decontaminate.lcs(np.array([1]), np.array([], int)) == 0
