@@ -25,6 +25,8 @@ from netfabric.session import cut_lineage
 #: Lengths of the byte n-grams; words are padded with one blank on either side.
 NGRAMS = (3, 4, 5)
 HASHES = 3
+#: In a language with fewer n-grams in all, each counts, however rare it is.
+THIN = 20_000
 UNKNOWN = "und"
 PRED_TYPE = "lang_pred string, score double"
 #: All ASCII that is not a letter ends a word; bytes of other characters are kept.
@@ -109,7 +111,7 @@ def train(
 
     The sample is drawn by a hash of the id, so its size, and with it the filter,
     has a bound that does not grow with the table.  An n-gram belongs to a
-    language that has it ``min_count`` times, and at ``min_share`` of the highest
+    language that has it ``min_count`` times, or once if all its texts together are short (``THIN``), and at ``min_share`` of the highest
     rate that any language has it at.  Rows with a null language teach nothing.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -123,7 +125,8 @@ def train(
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rates = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
     best = rates.groupBy("gram").agg(F.max("rate").alias("best"))
-    kept = rates.filter(F.col("n") >= min_count).join(best, "gram").filter(F.col("rate") >= min_share * F.col("best"))
+    enough = (F.col("n") >= min_count) | (F.col("total") < THIN)
+    kept = rates.filter(enough).join(best, "gram").filter(F.col("rate") >= min_share * F.col("best"))
     return build_filter(langs, kept.select("lang", "gram").toPandas(), bits_per_gram)
 
 

@@ -293,6 +293,15 @@ def test_whole_run_ends_in_shards(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "mixing", "sharding"]
 
 
+def test_a_language_with_two_short_documents_is_kept(spark, small, sf_dir):
+    rare = spark.createDataFrame([(-1, "今天早上下雨", "zh", "web", 6), (-2, "山水如畫", "zh", "web", 4)],
+                                 "doc_id long, text string, lang string, source string, n_chars int")
+    docs = small("documents").select("doc_id", "text", "lang", "source", "n_chars").unionByName(rare)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, sf_dir).collect()}
+    before = {r.doc_id for r in corpus_pipeline.identify_language(spark, small("documents"), sf_dir).collect()}
+    assert kept == before | {-1, -2}
+
+
 def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs, sf_dir):
     plain = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
