@@ -62,7 +62,7 @@ def gram_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndar
         # No blank inside, and not only blanks around one letter's place.
         ok = (blanks[at + size - 1] - blanks[at + 1] == 0) & (rows[at] == rows[at + size - 1])
         at = at[ok]
-        yield textbuf.span_hash(sums, at, at + size), rows[at]
+        yield textbuf.gram_hash(sums, at, at + size), rows[at]
 
 
 def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:

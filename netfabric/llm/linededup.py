@@ -117,8 +117,11 @@ class LineIndex:
     min_chars: int
 
 
-def line_spans(chunk: textbuf.Chunk) -> tuple[np.ndarray, ...]:
-    """Of each line: start and end, both hashes of its key, the key's code points; and the lines before each row."""
+def line_spans(chunk: textbuf.Chunk, min_chars: int) -> tuple[np.ndarray, ...]:
+    """Of each line: start and end, the two halves of its key's digest, the key's code points; and the lines before each row.
+
+    Keys of under ``min_chars`` code points have no digest.
+    """
     data, offsets = chunk.data, chunk.offsets
     breaks = np.flatnonzero(data == 10)
     starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
@@ -130,8 +133,11 @@ def line_spans(chunk: textbuf.Chunk) -> tuple[np.ndarray, ...]:
     right = np.where(left == ends, left, right)
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     low = textbuf.LOWER[data]
-    h1, h2 = (textbuf.span_hash(textbuf.running_hash(low, b), left, right, b).view(np.int64) for b in textbuf.BASES)
-    return starts, ends, h1, h2, chars[right] - chars[left], bounds
+    chars = chars[right] - chars[left]
+    keyed = np.flatnonzero(chars >= min_chars)
+    keys = np.zeros((len(starts), 2), np.int64)
+    keys[keyed] = textbuf.key_digests(low, left[keyed], right[keyed])
+    return starts, ends, keys[:, 0], keys[:, 1], chars, bounds
 
 
 def references(docs: DataFrame, id_col: str, text_col: str, min_chars: int, shards: int) -> DataFrame:
@@ -141,7 +147,7 @@ def references(docs: DataFrame, id_col: str, text_col: str, min_chars: int, shar
         for batch in batches:
             ids = batch.column("id").to_numpy()
             for chunk in textbuf.chunks(batch.column("text")):
-                _, _, h1, h2, chars, bounds = line_spans(chunk)
+                _, _, h1, h2, chars, bounds = line_spans(chunk, min_chars)
                 row = textbuf.owners(bounds)
                 at = np.flatnonzero(chars >= min_chars)
                 at = at[np.lexsort((h2[at], h1[at], row[at]))]
@@ -294,7 +300,7 @@ def drop_lines(
         for batch in batches:
             drops = batch.column("drops")
             for chunk in textbuf.chunks(batch.column("text")):
-                starts, ends, h1, _, chars, bounds = line_spans(chunk)
+                starts, ends, h1, _, chars, bounds = line_spans(chunk, index_chars)
                 data, texts, gone = chunk.data.tobytes(), [], []
                 for i in range(chunk.hi - chunk.lo):
                     own = drops[chunk.lo + i]

@@ -61,7 +61,7 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     for size in NGRAMS:
         at = np.arange(max(0, len(padded) - size + 1))
         at = at[blanks[at + size - 1] - blanks[at + 1] == 0]
-        found.append(textbuf.span_hash(sums, at, at + size))
+        found.append(textbuf.gram_hash(sums, at, at + size))
         words.append(word_of[at + 1])
     return (np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate(words), w.bounds
 
