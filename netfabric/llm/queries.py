@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netfabric.llm import decontaminate, langid, linededup, minhash, mixing, rangejoin, sharding, toolcalls, toxicity, warc
+from netfabric.llm import (
+    bpe, decontaminate, langid, linededup, minhash, mixing, phrases, rangejoin, runs, sharding, toolcalls, toxicity, warc,
+)
 from netfabric.session import prepare
 
 
@@ -74,6 +76,32 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "_lang.lang_pred", "_lang.score")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, F.col("text"))
+    return coded.select(
+        "doc_id", (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"),
+        F.sha2("_decoded", 256).alias("decoded_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.repeat_words(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    found = runs.find_runs(docs, F.col("text"), min_length=24, min_exponent=3).select("doc_id", "_found.*")
+    # Runs come by start, then period, and only a greater ratio replaces the one before.
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.concat_ws("", line), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(phrases.frequent_phrases(table(spark, sf_dir, "documents"), min_count=100, longest=5), top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -85,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_tool_calls": op9_tool_calls,
     "op10_language_id": op10_language_id,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES: dict[str, str] = {
@@ -92,4 +123,6 @@ ORACLES: dict[str, str] = {
     "op3_mixing": mixing.MIX_SQL,
     "op7_warc": warc.WARC_SQL,
     "op9_tool_calls": toolcalls.CALLS_SQL,
+    "op12_periodic_runs": runs.RUNS_SQL,
+    "op13_phrases": phrases.PHRASES_SQL,
 }
