@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from netfabric.llm import textbuf
 
 #: Pre-tokens that are looked up at once; a longer text is read in several blocks.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Merged pre-tokens that a worker remembers; at this number it starts anew.
 REMEMBERED = 1 << 18
 #: Keys of the perfect hash that share a displacement, on average.
@@ -163,6 +163,8 @@ class Vocabulary:
         self.tokens = sorted(ranks, key=ranks.__getitem__)
         self.ids = np.array([ranks[t] for t in self.tokens], np.uint32)
         self.whole = PerfectHash(self.tokens)
+        self.by_id = np.zeros(int(self.ids.max()) + 1, np.int64)
+        self.by_id[self.ids] = np.arange(len(self.ids))
         self.pattern, self.newer = pattern, unknown_to(r"[\p{L}\p{N}]")
         self._tools = None
 
@@ -208,8 +210,8 @@ class Vocabulary:
         ids, sizes = self.ids[key], np.ones(len(key), np.int64)
         misses, merged = np.flatnonzero(key < 0), []
         body = data.tobytes()
-        for i in misses.tolist():
-            piece = body[starts[i] : ends[i]]
+        for a, b in zip(starts[misses].tolist(), ends[misses].tolist(), strict=True):
+            piece = body[a:b]
             if (own := seen.get(piece)) is None:
                 own = merge(piece, ranks)
                 if len(seen) >= REMEMBERED:
@@ -252,18 +254,18 @@ class Vocabulary:
     def decode(self, ids: pa.Array) -> pa.Array:
         """The bytes of each row of packed ids; null is empty."""
         data, starts, ends = byte_spans(ids.fill_null(b"") if ids.null_count else ids)
-        data = data[starts[0] : ends[-1]] if len(ids) else data
-        key = self.by_id[data.view("<u4")]
-        sizes = self.whole.ends[key] - self.whole.starts[key]
-        body = self.whole.data[spread(self.whole.starts[key], sizes)]
-        at = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(ends - starts)]) // 4]
-        return packed(np.diff(at), body.tobytes())
-
-    @property
-    def by_id(self) -> np.ndarray:
-        at = np.zeros(int(self.ids.max()) + 1, np.int64)
-        at[self.ids] = np.arange(len(self.ids))
-        return at
+        own = data[starts[0] : ends[-1]].view("<u4") if len(ids) else data
+        edges, done, parts = np.concatenate([[0], np.cumsum(ends - starts)]) // 4, 0, []
+        at = np.zeros(len(edges), np.int64)
+        for lo in range(0, len(own), BLOCK):
+            key = self.by_id[own[lo : lo + BLOCK]]
+            sizes = self.whole.ends[key] - self.whole.starts[key]
+            parts.append(self.whole.data[spread(self.whole.starts[key], sizes)].tobytes())
+            here = (edges > lo) & (edges <= lo + BLOCK)
+            sums = np.cumsum(sizes)
+            at[here] = done + sums[edges[here] - lo - 1]
+            done += int(sums[-1])
+        return packed(np.diff(np.maximum.accumulate(at)), b"".join(parts))
 
 
 def packed(sizes: np.ndarray, body: bytes) -> pa.Array:

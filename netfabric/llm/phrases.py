@@ -39,7 +39,7 @@ SLACK = 2.5
 BITS_PER_PHRASE = 16
 MOST_BITS = 27
 SEGMENT = 1 << 15
-CHUNK = textbuf.CHUNK_BYTES * 16
+CHUNK = textbuf.CHUNK_BYTES * 4
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 #: What is neither a break nor a blank.
