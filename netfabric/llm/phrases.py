@@ -5,11 +5,14 @@
 2. One pass over all documents counts the proposed phrases and their negative border
    exactly: every phrase that occurs and whose two parts, without its last and without
    its first word, are proposed.
-3. Frequent phrases of the border were missed by the sample.  They are proposed too,
-   and further passes count what that adds to the border, until nothing is added.
-
-A phrase occurs at most as often as its parts, so nothing frequent lies outside.  The
-proposed set is sent to the tasks as a bit array of bounded size: a false hit counts a
+3. Frequent phrases of the border were missed by the sample.  What they would add to
+   the border, what that would add in turn and so on all holds one of them.  So if there
+   are any, a further pass counts every phrase that holds one and was not counted
+   before, which closes the border at once: a frequent phrase outside of both passes
+   would have a frequent part outside, down to one that was counted and proposed.
+
+A phrase occurs at most as often as its parts, so nothing frequent lies outside.  Sets
+of phrases are sent to the tasks as bit arrays of bounded size: a false hit counts a
 phrase too many, none is missed.  Counts are kept by the words themselves.
 """
 
@@ -34,7 +37,7 @@ UNKNOWN = "und"
 #: Share of the documents in the sample.
 SAMPLE = 0.125
 #: A phrase that is just frequent has as many occurrences in the sample, less so many standard deviations.
-SLACK = 2.5
+SLACK = 1.5
 #: Bits of the proposed set: 16 or more per phrase, at most 2^27 (16 MB).
 BITS_PER_PHRASE = 16
 MOST_BITS = 27
@@ -72,67 +75,114 @@ def longer(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
     return textbuf.mix(hashes * np.uint64(textbuf.BASE) ^ word)
 
 
-def lowered(texts: pa.Array) -> Iterator[tuple[textbuf.Chunk, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per chunk of rows: lower-cased bytes, and start, end, row and piece of each word."""
+def lowered(texts: pa.Array, lang: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per chunk of rows with words: lower-cased bytes, and start, end, language and piece of each word."""
     for chunk in textbuf.chunks(texts, CHUNK):
-        chunk = chunk._replace(data=textbuf.LOWER[chunk.data])
-        starts, ends, bounds = textbuf.word_spans(WORD[chunk.data], chunk.offsets)
+        data = textbuf.LOWER[chunk.data]
+        starts, ends, bounds = textbuf.word_spans(WORD[data], chunk.offsets)
+        if not len(starts):
+            continue
         row = textbuf.owners(bounds)
-        breaks = np.cumsum(BREAK[chunk.data])
-        yield chunk, starts, ends, row, (breaks[starts] if len(starts) else starts) + row
-
-
-def count_chunk(
-    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lang: np.ndarray, salt: np.ndarray, piece: np.ndarray,
-    proposed: Proposed | None, before: Proposed | None, sizes: range,
-) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
-    """``(size, lang, n, phrase)`` of the candidates of one chunk.
-
-    A candidate's two parts are candidates in ``proposed``; those that ``before`` had
-    made candidates too are left out.  ``lang`` and ``salt`` are by word.
-    """
-    width = ends - starts
-    first = np.cumsum(width + 1) - (width + 1)
-    spaced = np.full(int((width + 1).sum()), 0x20, np.uint8)
-    spaced[spread(first, width)] = data[spread(starts, width)]
-    edges = np.append(first, len(spaced))
-    # Words with their blank are as good as without: equal ones have equal codes.
-    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(spaced.tobytes())])
-    coded = column.dictionary_encode()
-    code, kinds = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-    word = textbuf.hash_spans(data, starts, ends)
-    n = len(starts)
-    at, gram, hashes = np.arange(n), lang * kinds + code, longer(salt, word)
-    known = np.zeros(n, bool) if before is None else np.ones(n, bool)
-    for size in range(1, sizes.stop):
+        # Breaks so far and rows so far: neither falls, so two words with one sum have no break or row between them.
+        yield data, starts, ends, lang[chunk.lo + row], np.cumsum(BREAK[data])[starts] + row
+
+
+class Chunk(NamedTuple):
+    """Words of some rows, lower-cased, each with a blank after it; codes are the same for equal words only."""
+
+    spaced: np.ndarray
+    edges: np.ndarray
+    lang: np.ndarray
+    piece: np.ndarray
+    code: np.ndarray
+    kinds: int
+    hashes: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lang: np.ndarray, piece: np.ndarray) -> Chunk:
+        width = ends - starts
+        first = np.cumsum(width + 1) - (width + 1)
+        spaced = np.full(int((width + 1).sum()), 0x20, np.uint8)
+        spaced[spread(first, width)] = data[spread(starts, width)]
+        edges = np.append(first, len(spaced))
+        column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(spaced.tobytes())])
+        coded = column.dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        return cls(spaced, edges, lang, piece, code, len(coded.dictionary), textbuf.hash_spans(data, starts, ends))
+
+    def phrases(self, at: np.ndarray, size: int) -> pa.Array:
+        wide = self.edges[at + size] - 1 - self.edges[at]
+        offsets = np.concatenate([[0], np.cumsum(wide)]).astype(np.int32)
+        body = self.spaced[spread(self.edges[at], wide)].tobytes()
+        return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+
+    def within(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Those of the starts ``at`` from which ``size`` words lie in one piece."""
+        at = at[at + size <= len(self.code)]
+        return at[self.piece[at] == self.piece[at + size - 1]]
+
+
+def candidates(chunk: Chunk, salt: np.ndarray, proposed: Proposed | None, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(size, starts, numbers)`` of all words and of the phrases whose two parts are proposed candidates; equal ones have equal numbers."""
+    n = len(chunk.code)
+    at, gram, hashes = np.arange(n), chunk.lang * chunk.kinds + chunk.code, longer(salt, chunk.hashes)
+    for size in range(1, longest + 1):
         if size > 1:
-            # Candidates start where this phrase and the next one, of a word less, are proposed.
+            inside = np.flatnonzero(proposed.holds(hashes))
             place = np.full(n + 1, -1, np.int64)
-            place[at[inside]] = np.flatnonzero(inside)
-            left = at[inside]
-            left = left[(left + size - 1 < n) & (place[left + 1] >= 0)]
-            left = left[piece[left] == piece[np.minimum(left + size - 1, n - 1)]]
-            here, last = place[left], left + size - 1
-            known = known_in[here] & known_in[place[left + 1]]
-            at, gram, hashes = left, gram[here] * kinds + code[last], longer(hashes[here], word[last])
+            place[at[inside]] = inside
+            at = chunk.within(at[inside], size)
+            at = at[place[at + 1] >= 0]
+            here, last = place[at], at + size - 1
+            gram, hashes = gram[here] * chunk.kinds + chunk.code[last], longer(hashes[here], chunk.hashes[last])
         if not len(at):
             return
-        _, one, gram, counts = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
-        if size in sizes:
-            new = ~known[one]
-            head, counts = at[one[new]], counts[new]
-            wide = edges[head + size] - 1 - edges[head]
-            offsets = np.concatenate([[0], np.cumsum(wide)]).astype(np.int32)
-            body = spaced[spread(edges[head], wide)].tobytes()
-            yield size, lang[head], counts, pa.Array.from_buffers(pa.string(), len(head), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
-        if size + 1 < sizes.stop:
-            inside = proposed.holds(hashes)
-            known_in = known & before.holds(hashes) if before is not None else np.zeros(len(at), bool)
-
-
-def count(docs: DataFrame, proposed: Proposed | None, sizes: range, before: Proposed | None = None) -> DataFrame:
+        if size > 1:
+            gram = np.unique(gram, return_inverse=True)[1]
+        yield size, at, gram
+
+
+def around(chunk: Chunk, salt: np.ndarray, missed: Proposed, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(size, mask)``: the starts of all phrases that hold a missed one."""
+    n = len(chunk.code)
+    holds, hashes = np.zeros(n, bool), salt
+    for size in range(1, longest + 1):
+        # A phrase holds a missed one if one of its two parts does, or is one itself, which has been counted.
+        if size > 1:
+            holds = holds | np.append(holds[1:], False)
+            yield size, holds
+        ahead = np.minimum(np.arange(n) + size - 1, n - 1)
+        hashes = longer(hashes, chunk.hashes[ahead])
+        own = chunk.within(np.flatnonzero(missed.holds(hashes)), size)
+        holds = holds.copy()
+        holds[own] = True
+
+
+def count_chunk(
+    chunk: Chunk, salt: np.ndarray, proposed: Proposed | None, missed: Proposed | None, sizes: range,
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
+    """``(size, lang, n, phrase)`` of the candidates of one chunk; with ``missed``, of what holds a missed phrase and is no candidate."""
+    if missed is None:
+        for size, at, gram in candidates(chunk, salt, proposed, sizes.stop - 1):
+            if size in sizes:
+                _, one, counts = np.unique(gram, return_index=True, return_counts=True)
+                yield size, chunk.lang[at[one]], counts, chunk.phrases(at[one], size)
+        return
+    counted = {size: at for size, at, _ in candidates(chunk, salt, proposed, sizes.stop - 1)}
+    for size, holds in around(chunk, salt, missed, sizes.stop - 1):
+        holds = holds.copy()
+        holds[counted.get(size, [])] = False
+        at = chunk.within(np.flatnonzero(holds), size)
+        gram = chunk.lang[at] * chunk.kinds + chunk.code[at]
+        for k in range(1, size):
+            gram = np.unique(gram, return_inverse=True)[1] * chunk.kinds + chunk.code[at + k]
+        _, one, counts = np.unique(gram, return_index=True, return_counts=True)
+        yield size, chunk.lang[at[one]], counts, chunk.phrases(at[one], size)
+
+
+def count(docs: DataFrame, proposed: Proposed | None, sizes: range, missed: Proposed | None = None) -> DataFrame:
     """``(lang, size, phrase, n)`` over all of ``docs (lang, text)``; with size 1, also rows of size 0 with all words of a language."""
-    shared = docs.sparkSession.sparkContext.broadcast((proposed, before))
+    shared = docs.sparkSession.sparkContext.broadcast((proposed, missed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, had = shared.value
@@ -140,14 +190,11 @@ def count(docs: DataFrame, proposed: Proposed | None, sizes: range, before: Prop
             coded = batch.column("lang").dictionary_encode()
             names, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
             salt = salts(names)
-            for chunk, starts, ends, row, piece in lowered(batch.column("text")):
-                if not len(starts):
-                    continue
-                lang = code[chunk.lo + row]
-                if 1 in sizes and had is None:
-                    total = np.bincount(lang, minlength=len(names))
+            for data, starts, ends, row, piece in lowered(batch.column("text"), code):
+                if 1 in sizes:
+                    total = np.bincount(row, minlength=len(names))
                     yield rows(names, 0, np.arange(len(names)), total, pa.array([""] * len(names)))
-                for size, own, n, phrase in count_chunk(chunk.data, starts, ends, lang, salt[lang], piece, wanted, had, sizes):
+                for size, own, n, phrase in count_chunk(Chunk.of(data, starts, ends, row, piece), salt[row], wanted, had, sizes):
                     yield rows(names, size, own, n, phrase)
 
     def rows(names: pa.Array, size: int, lang: np.ndarray, n: np.ndarray, phrase: pa.Array) -> pa.RecordBatch:
@@ -227,18 +274,14 @@ def frequent_phrases(
     texts = source.select("lang", "text")
     known = cut_lineage(sample_phrases(cut_lineage(source.filter(drawn).select("lang", "text")), least, longest))
     often = (F.col("n") >= min_count) | (F.col("size") == 0)
-    width = width_for(known.count())
-    proposed = propose(known, width)
+    proposed = propose(known, width_for(known.count()))
     frequent = cut_lineage(count(texts, proposed, range(1, longest + 1)).filter(often))
-    while True:
-        inner = frequent.filter((F.col("size") > 0) & (F.col("size") < longest)).select(*PHRASE)
-        missed = cut_lineage(inner.join(known, PHRASE, "left_anti"))
-        if not missed.take(1):
-            return frequent
-        known = cut_lineage(known.unionByName(missed))
-        wider = propose(known, width)
-        added = count(texts, wider, range(2, longest + 1), before=proposed).filter(often)
-        frequent, proposed = cut_lineage(frequent.unionByName(added)), wider
+    inner = frequent.filter((F.col("size") > 0) & (F.col("size") < longest)).select(*PHRASE)
+    missed = cut_lineage(inner.join(known, PHRASE, "left_anti"))
+    if not (n := missed.count()):
+        return frequent
+    added = count(texts, proposed, range(2, longest + 1), propose(missed, width_for(n))).filter(often)
+    return cut_lineage(frequent.unionByName(added))
 
 
 def collocations(frequent: DataFrame, top: int = 2000, absorbed_percent: int = 100) -> DataFrame:
