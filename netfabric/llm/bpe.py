@@ -277,7 +277,7 @@ def packed(sizes: np.ndarray, body: bytes) -> pa.Array:
 
 
 def coder(spark: SparkSession, vocabulary: Vocabulary):
-    """Two column functions: text to packed ids, and packed ids to bytes.  The vocabulary is sent to each executor once."""
+    """Column functions: text to packed ids, packed ids to bytes, and text to both.  The vocabulary is sent to each executor once."""
     shared = spark.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf("binary")
@@ -288,11 +288,16 @@ def coder(spark: SparkSession, vocabulary: Vocabulary):
     def decode(ids: pa.Array) -> pa.Array:
         return shared.value.decode(ids)
 
-    return encode, decode
+    @F.arrow_udf("ids binary, decoded binary")
+    def both(texts: pa.Array) -> pa.Array:
+        ids = shared.value.encode(texts)
+        return pa.StructArray.from_arrays([ids, shared.value.decode(ids)], ["ids", "decoded"])
+
+    return encode, decode, both
 
 
 def encode_and_decode(docs: DataFrame, vocabulary: Vocabulary, text: Column) -> DataFrame:
-    """``docs`` with ``_ids`` (packed ids of the whole text) and ``_decoded`` (the bytes they stand for).
+    """``docs`` with a ``_coded`` column of ``ids`` (packed ids of the whole text) and ``decoded`` (the bytes they stand for).
 
     A null or empty text has no ids and decodes to nothing.  Special tokens in a text
     are ordinary text.  Characters that the pattern does not match, if it leaves any,
@@ -300,5 +305,5 @@ def encode_and_decode(docs: DataFrame, vocabulary: Vocabulary, text: Column) ->
     empty table gives no rows, and the columns of ``docs`` stay, whatever their names.
     A text takes memory in proportion to its length, its pre-tokens only a block at a time.
     """
-    encode, decode = coder(docs.sparkSession, vocabulary)
-    return docs.withColumn("_ids", encode(text)).withColumn("_decoded", decode(F.col("_ids")))
+    # One function for both: of a chain of two, Spark would run the first one twice.
+    return docs.withColumn("_coded", coder(docs.sparkSession, vocabulary)[2](text))

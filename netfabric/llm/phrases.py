@@ -7,9 +7,8 @@
    its first word, are proposed.
 3. Frequent phrases of the border were missed by the sample.  What they would add to
    the border, what that would add in turn and so on all holds one of them.  So if there
-   are any, a further pass counts every phrase that holds one and was not counted
-   before, which closes the border at once: a frequent phrase outside of both passes
-   would have a frequent part outside, down to one that was counted and proposed.
+   are any, a further pass counts every phrase that holds one, was not counted
+   before and has no part that was found too rare, which closes the border at once.
 
 A phrase occurs at most as often as its parts, so nothing frequent lies outside.  Sets
 of phrases are sent to the tasks as bit arrays of bounded size: a false hit counts a
@@ -23,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,7 +37,7 @@ UNKNOWN = "und"
 #: Share of the documents in the sample.
 SAMPLE = 0.125
 #: A phrase that is just frequent has as many occurrences in the sample, less so many standard deviations.
-SLACK = 1.5
+SLACK = 2.0
 #: Bits of the proposed set: 16 or more per phrase, at most 2^27 (16 MB).
 BITS_PER_PHRASE = 16
 MOST_BITS = 27
@@ -48,7 +48,6 @@ BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 #: What is neither a break nor a blank.
 WORD = ~BREAK
 WORD[[0x20, 0x09]] = False
-COUNTED = "lang string, size int, phrase string, n long"
 PHRASE = ["lang", "size", "phrase"]
 
 
@@ -142,47 +141,49 @@ def candidates(chunk: Chunk, salt: np.ndarray, proposed: Proposed | None, longes
         yield size, at, gram
 
 
-def around(chunk: Chunk, salt: np.ndarray, missed: Proposed, longest: int) -> Iterator[tuple[int, np.ndarray]]:
-    """``(size, mask)``: the starts of all phrases that hold a missed one."""
+def extensions(chunk: Chunk, salt: np.ndarray, proposed: Proposed, frequent: Proposed, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(size, starts, numbers)`` of the phrases that are no candidates and whose two parts are frequent, or are extensions themselves.
+
+    Such a phrase holds one that is frequent and was not proposed, or it would be a candidate.
+    """
     n = len(chunk.code)
-    holds, hashes = np.zeros(n, bool), salt
-    for size in range(1, longest + 1):
-        # A phrase holds a missed one if one of its two parts does, or is one itself, which has been counted.
-        if size > 1:
-            holds = holds | np.append(holds[1:], False)
-            yield size, holds
-        ahead = np.minimum(np.arange(n) + size - 1, n - 1)
-        hashes = longer(hashes, chunk.hashes[ahead])
-        own = chunk.within(np.flatnonzero(missed.holds(hashes)), size)
-        holds = holds.copy()
-        holds[own] = True
+    counted = {size: at for size, at, _ in candidates(chunk, salt, proposed, longest)}
+    hashes = longer(salt, chunk.hashes)
+    gram, good = chunk.lang * chunk.kinds + chunk.code, np.flatnonzero(frequent.holds(hashes))
+    for size in range(2, longest + 1):
+        place = np.full(n + 1, -1, np.int64)
+        place[good] = good
+        at = chunk.within(good, size)
+        at = at[place[at + 1] >= 0]
+        if not len(at):
+            return
+        last = at + size - 1
+        hashes[at] = longer(hashes[at], chunk.hashes[last])
+        gram[at] = np.unique(gram[at] * chunk.kinds + chunk.code[last], return_inverse=True)[1]
+        place[:] = 0
+        place[counted.get(size, at[:0])] = 1
+        known = place[at] == 1
+        yield size, at[~known], gram[at[~known]]
+        good = at[~known | frequent.holds(hashes[at])]
 
 
 def count_chunk(
-    chunk: Chunk, salt: np.ndarray, proposed: Proposed | None, missed: Proposed | None, sizes: range,
+    chunk: Chunk, salt: np.ndarray, proposed: Proposed | None, frequent: Proposed | None, sizes: range,
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
-    """``(size, lang, n, phrase)`` of the candidates of one chunk; with ``missed``, of what holds a missed phrase and is no candidate."""
-    if missed is None:
-        for size, at, gram in candidates(chunk, salt, proposed, sizes.stop - 1):
-            if size in sizes:
-                _, one, counts = np.unique(gram, return_index=True, return_counts=True)
-                yield size, chunk.lang[at[one]], counts, chunk.phrases(at[one], size)
-        return
-    counted = {size: at for size, at, _ in candidates(chunk, salt, proposed, sizes.stop - 1)}
-    for size, holds in around(chunk, salt, missed, sizes.stop - 1):
-        holds = holds.copy()
-        holds[counted.get(size, [])] = False
-        at = chunk.within(np.flatnonzero(holds), size)
-        gram = chunk.lang[at] * chunk.kinds + chunk.code[at]
-        for k in range(1, size):
-            gram = np.unique(gram, return_inverse=True)[1] * chunk.kinds + chunk.code[at + k]
-        _, one, counts = np.unique(gram, return_index=True, return_counts=True)
-        yield size, chunk.lang[at[one]], counts, chunk.phrases(at[one], size)
-
-
-def count(docs: DataFrame, proposed: Proposed | None, sizes: range, missed: Proposed | None = None) -> DataFrame:
+    """``(size, lang, n, phrase)`` of the candidates of one chunk; with ``frequent``, of the extensions."""
+    if frequent is None:
+        found = candidates(chunk, salt, proposed, sizes.stop - 1)
+    else:
+        found = extensions(chunk, salt, proposed, frequent, sizes.stop - 1)
+    for size, at, gram in found:
+        if size in sizes:
+            _, one, counts = np.unique(gram, return_index=True, return_counts=True)
+            yield size, chunk.lang[at[one]], counts, chunk.phrases(at[one], size)
+
+
+def count(docs: DataFrame, proposed: Proposed | None, sizes: range, frequent: Proposed | None = None) -> DataFrame:
     """``(lang, size, phrase, n)`` over all of ``docs (lang, text)``; with size 1, also rows of size 0 with all words of a language."""
-    shared = docs.sparkSession.sparkContext.broadcast((proposed, missed))
+    shared = docs.sparkSession.sparkContext.broadcast((proposed, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, had = shared.value
@@ -193,15 +194,20 @@ def count(docs: DataFrame, proposed: Proposed | None, sizes: range, missed: Prop
             for data, starts, ends, row, piece in lowered(batch.column("text"), code):
                 if 1 in sizes:
                     total = np.bincount(row, minlength=len(names))
-                    yield rows(names, 0, np.arange(len(names)), total, pa.array([""] * len(names)))
-                for size, own, n, phrase in count_chunk(Chunk.of(data, starts, ends, row, piece), salt[row], wanted, had, sizes):
-                    yield rows(names, size, own, n, phrase)
+                    here = np.flatnonzero(total)
+                    yield rows(names, here, total[here], pa.array([""] * len(here)))
+                for _, own, n, phrase in count_chunk(Chunk.of(data, starts, ends, row, piece), salt[row], wanted, had, sizes):
+                    yield rows(names, own, n, phrase)
 
-    def rows(names: pa.Array, size: int, lang: np.ndarray, n: np.ndarray, phrase: pa.Array) -> pa.RecordBatch:
-        columns = [names.take(pa.array(lang)), pa.array(np.full(len(n), size, np.int32)), phrase, pa.array(n.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "n"])
+    def rows(names: pa.Array, lang: np.ndarray, n: np.ndarray, phrase: pa.Array) -> pa.RecordBatch:
+        # One key instead of two or three columns: a phrase has no tab.
+        key = pc.binary_join_element_wise(names.take(pa.array(lang)), phrase, "\t")
+        return pa.RecordBatch.from_arrays([key, pa.array(n.astype(np.int64))], ["key", "n"])
 
-    return docs.mapInArrow(run, COUNTED).groupBy(*PHRASE).agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    phrase = F.substring_index("key", "\t", -1)
+    size = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "))) + 1)
+    return counted.select(F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), size.alias("size"), phrase.alias("phrase"), "n")
 
 
 def propose(phrases: DataFrame, width: int) -> Proposed:
@@ -277,10 +283,9 @@ def frequent_phrases(
     proposed = propose(known, width_for(known.count()))
     frequent = cut_lineage(count(texts, proposed, range(1, longest + 1)).filter(often))
     inner = frequent.filter((F.col("size") > 0) & (F.col("size") < longest)).select(*PHRASE)
-    missed = cut_lineage(inner.join(known, PHRASE, "left_anti"))
-    if not (n := missed.count()):
+    if not inner.join(known, PHRASE, "left_anti").take(1):
         return frequent
-    added = count(texts, proposed, range(2, longest + 1), propose(missed, width_for(n))).filter(often)
+    added = count(texts, proposed, range(2, longest + 1), propose(inner, width_for(inner.count()))).filter(often)
     return cut_lineage(frequent.unionByName(added))
 
 

@@ -82,8 +82,8 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     coded = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, F.col("text"))
     return coded.select(
-        "doc_id", (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"),
-        F.sha2("_decoded", 256).alias("decoded_sha256"))
+        "doc_id", (F.octet_length("_coded.ids") / 4).cast("long").alias("n_tokens"), F.sha2("_coded.ids", 256).alias("ids_sha256"),
+        F.sha2("_coded.decoded", 256).alias("decoded_sha256"))
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
