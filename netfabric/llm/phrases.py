@@ -42,7 +42,7 @@ SLACK = 2.0
 BITS_PER_PHRASE = 16
 MOST_BITS = 27
 SEGMENT = 1 << 15
-CHUNK = textbuf.CHUNK_BYTES * 4
+CHUNK = textbuf.CHUNK_BYTES * 2
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 #: What is neither a break nor a blank.
