@@ -37,7 +37,7 @@ UNKNOWN = "und"
 #: Share of the documents in the sample.
 SAMPLE = 0.125
 #: A phrase that is just frequent has as many occurrences in the sample, less so many standard deviations.
-SLACK = 2.0
+SLACK = 0.5
 #: Bits of the proposed set: 16 or more per phrase, at most 2^27 (16 MB).
 BITS_PER_PHRASE = 16
 MOST_BITS = 27
