@@ -2,9 +2,10 @@
 
 1. Level by level, phrases that are frequent in a sample of documents at a lowered
    limit are proposed.
-2. One pass over all documents counts the proposed phrases and their negative border
-   exactly: every phrase that occurs and whose two parts, without its last and without
-   its first word, are proposed.
+2. The proposed phrases and their negative border, every phrase that occurs and whose
+   two parts, without its last and without its first word, are proposed, are counted
+   over all documents: first by 64-bit hashes, which are small to shuffle and can only
+   count too many, then, where a hash is frequent, exactly.
 3. Frequent phrases of the border were missed by the sample.  What they would add to
    the border, what that would add in turn and so on all holds one of them.  So if there
    are any, a further pass counts every phrase that holds one, was not counted
@@ -121,8 +122,8 @@ class Chunk(NamedTuple):
         return at[self.piece[at] == self.piece[at + size - 1]]
 
 
-def candidates(chunk: Chunk, salt: np.ndarray, proposed: Proposed | None, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(size, starts, numbers)`` of all words and of the phrases whose two parts are proposed candidates; equal ones have equal numbers."""
+def candidates(chunk: Chunk, salt: np.ndarray, proposed: Proposed | None, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(size, starts, numbers, hashes)`` of all words and of the phrases whose two parts are proposed candidates; equal ones have equal numbers."""
     n = len(chunk.code)
     at, gram, hashes = np.arange(n), chunk.lang * chunk.kinds + chunk.code, longer(salt, chunk.hashes)
     for size in range(1, longest + 1):
@@ -138,16 +139,16 @@ def candidates(chunk: Chunk, salt: np.ndarray, proposed: Proposed | None, longes
             return
         if size > 1:
             gram = np.unique(gram, return_inverse=True)[1]
-        yield size, at, gram
+        yield size, at, gram, hashes
 
 
-def extensions(chunk: Chunk, salt: np.ndarray, proposed: Proposed, frequent: Proposed, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(size, starts, numbers)`` of the phrases that are no candidates and whose two parts are frequent, or are extensions themselves.
+def extensions(chunk: Chunk, salt: np.ndarray, proposed: Proposed, frequent: Proposed, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(size, starts, numbers, hashes)`` of the phrases that are no candidates and whose two parts are frequent, or are extensions themselves.
 
     Such a phrase holds one that is frequent and was not proposed, or it would be a candidate.
     """
     n = len(chunk.code)
-    counted = {size: at for size, at, _ in candidates(chunk, salt, proposed, longest)}
+    counted = {size: at for size, at, *_ in candidates(chunk, salt, proposed, longest)}
     hashes = longer(salt, chunk.hashes)
     gram, good = chunk.lang * chunk.kinds + chunk.code, np.flatnonzero(frequent.holds(hashes))
     for size in range(2, longest + 1):
@@ -163,41 +164,67 @@ def extensions(chunk: Chunk, salt: np.ndarray, proposed: Proposed, frequent: Pro
         place[:] = 0
         place[counted.get(size, at[:0])] = 1
         known = place[at] == 1
-        yield size, at[~known], gram[at[~known]]
+        yield size, at[~known], gram[at[~known]], hashes[at[~known]]
         good = at[~known | frequent.holds(hashes[at])]
 
 
 def count_chunk(
     chunk: Chunk, salt: np.ndarray, proposed: Proposed | None, frequent: Proposed | None, sizes: range,
-) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
-    """``(size, lang, n, phrase)`` of the candidates of one chunk; with ``frequent``, of the extensions."""
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(size, start, n, hash)`` of each candidate of one chunk; with ``frequent``, of each extension."""
     if frequent is None:
         found = candidates(chunk, salt, proposed, sizes.stop - 1)
     else:
         found = extensions(chunk, salt, proposed, frequent, sizes.stop - 1)
-    for size, at, gram in found:
+    for size, at, gram, hashes in found:
         if size in sizes:
             _, one, counts = np.unique(gram, return_index=True, return_counts=True)
-            yield size, chunk.lang[at[one]], counts, chunk.phrases(at[one], size)
+            yield size, at[one], counts, hashes[one]
 
 
-def count(docs: DataFrame, proposed: Proposed | None, sizes: range, frequent: Proposed | None = None) -> DataFrame:
-    """``(lang, size, phrase, n)`` over all of ``docs (lang, text)``; with size 1, also rows of size 0 with all words of a language."""
-    shared = docs.sparkSession.sparkContext.broadcast((proposed, frequent))
+def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Chunk, np.ndarray]]:
+    """Per chunk of rows ``(lang, text)``: names of the languages, words, and each word's language as a hash."""
+    for batch in batches:
+        coded = batch.column("lang").dictionary_encode()
+        names, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        salt = salts(names)
+        for data, starts, ends, lang, piece in lowered(batch.column("text"), code):
+            yield names, Chunk.of(data, starts, ends, lang, piece), salt[lang]
+
+
+def count_hashes(docs: DataFrame, proposed: Proposed, sizes: range) -> DataFrame:
+    """``(hash, n)`` over all candidates of ``docs (lang, text)``: no less than the count of any phrase with that hash."""
+    shared = docs.sparkSession.sparkContext.broadcast(proposed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, chunk, salt in chunks_of(batches):
+            for _, _, n, hashes in count_chunk(chunk, salt, shared.value, None, sizes):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+
+    return docs.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def count(
+    docs: DataFrame, proposed: Proposed | None, sizes: range, frequent: Proposed | None = None, likely: Proposed | None = None,
+) -> DataFrame:
+    """``(lang, size, phrase, n)`` over all of ``docs (lang, text)``; with size 1, also rows of size 0 with all words of a language.
+
+    Candidates are counted, or with ``frequent`` extensions; with ``likely`` only those whose hash it holds.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((proposed, frequent, likely))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, had = shared.value
-        for batch in batches:
-            coded = batch.column("lang").dictionary_encode()
-            names, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-            salt = salts(names)
-            for data, starts, ends, row, piece in lowered(batch.column("text"), code):
-                if 1 in sizes:
-                    total = np.bincount(row, minlength=len(names))
-                    here = np.flatnonzero(total)
-                    yield rows(names, here, total[here], pa.array([""] * len(here)))
-                for _, own, n, phrase in count_chunk(Chunk.of(data, starts, ends, row, piece), salt[row], wanted, had, sizes):
-                    yield rows(names, own, n, phrase)
+        wanted, had, hoped = shared.value
+        for names, chunk, salt in chunks_of(batches):
+            if 1 in sizes:
+                total = np.bincount(chunk.lang, minlength=len(names))
+                here = np.flatnonzero(total)
+                yield rows(names, here, total[here], pa.array([""] * len(here)))
+            for size, at, n, hashes in count_chunk(chunk, salt, wanted, had, sizes):
+                if hoped is not None:
+                    keep = hoped.holds(hashes)
+                    at, n = at[keep], n[keep]
+                yield rows(names, chunk.lang[at], n, chunk.phrases(at, size))
 
     def rows(names: pa.Array, lang: np.ndarray, n: np.ndarray, phrase: pa.Array) -> pa.RecordBatch:
         # One key instead of two or three columns: a phrase has no tab.
@@ -210,8 +237,18 @@ def count(docs: DataFrame, proposed: Proposed | None, sizes: range, frequent: Pr
     return counted.select(F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), size.alias("size"), phrase.alias("phrase"), "n")
 
 
+def as_set(slots: DataFrame, width: int) -> Proposed:
+    """The bits of ``slots (slot)``, combined on the executors in segments of 4 KB."""
+    parts = slots.groupBy(F.expr(f"slot div {SEGMENT}").alias("part")).agg(F.expr(f"bitmap_construct_agg(slot % {SEGMENT})").alias("bits"))
+    bits = np.zeros((1 << width) // 8, np.uint8)
+    for row in parts.toLocalIterator():
+        own = np.frombuffer(bytes(row["bits"]), np.uint8)
+        bits[row["part"] * SEGMENT // 8 :][: len(own)] = own[: len(bits)]
+    return Proposed(bits, width)
+
+
 def propose(phrases: DataFrame, width: int) -> Proposed:
-    """The bits of ``phrases (lang, phrase)``, combined on the executors in segments of 4 KB."""
+    """The set of ``phrases (lang, phrase)``."""
 
     @F.arrow_udf("long")
     def slot(langs: pa.Array, texts: pa.Array) -> pa.Array:
@@ -226,13 +263,7 @@ def propose(phrases: DataFrame, width: int) -> Proposed:
             out[chunk.lo : chunk.hi] = (h >> np.uint64(64 - width)).astype(np.int64)
         return pa.array(out)
 
-    slots = phrases.select(slot("lang", "phrase").alias("slot"))
-    parts = slots.groupBy(F.expr(f"slot div {SEGMENT}").alias("part")).agg(F.expr(f"bitmap_construct_agg(slot % {SEGMENT})").alias("bits"))
-    bits = np.zeros((1 << width) // 8, np.uint8)
-    for row in parts.toLocalIterator():
-        own = np.frombuffer(bytes(row["bits"]), np.uint8)
-        bits[row["part"] * SEGMENT // 8 :][: len(own)] = own[: len(bits)]
-    return Proposed(bits, width)
+    return as_set(phrases.select(slot("lang", "phrase").alias("slot")), width)
 
 
 def width_for(phrases: int) -> int:
@@ -281,7 +312,10 @@ def frequent_phrases(
     known = cut_lineage(sample_phrases(cut_lineage(source.filter(drawn).select("lang", "text")), least, longest))
     often = (F.col("n") >= min_count) | (F.col("size") == 0)
     proposed = propose(known, width_for(known.count()))
-    frequent = cut_lineage(count(texts, proposed, range(1, longest + 1)).filter(often))
+    hashed = cut_lineage(count_hashes(texts, proposed, range(1, longest + 1)).filter(F.col("n") >= min_count).select("hash"))
+    width = width_for(hashed.count())
+    likely = as_set(hashed.select(F.shiftrightunsigned("hash", 64 - width).alias("slot")), width)
+    frequent = cut_lineage(count(texts, proposed, range(1, longest + 1), likely=likely).filter(often))
     inner = frequent.filter((F.col("size") > 0) & (F.col("size") < longest)).select(*PHRASE)
     if not inner.join(known, PHRASE, "left_anti").take(1):
         return frequent
