@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from netfabric.functions.ids import DEFAULT_TENANT, entity_edge_id, entity_id, t
 from netfabric.functions.net import lookup_form, segment
 from netfabric.functions.skew import lookup_join, top_rows
 from netfabric.functions.timeargs import window_filter
+from netfabric.session import shared_path
 
 TimeArg = str | datetime
 
@@ -25,6 +28,8 @@ ENTITY_COLUMNS = (
     "entity_id", "tenant_id", "kind", "name", "identifiers", "source", "identity_basis", "confidence",
     "attrs", "first_seen", "last_seen",
 )
+# Attributes of a configured rule that say nothing about what it matches, or are columns of their own.
+NO_CLAUSE = ("provider", "device_name", "action", "from_zone", "to_zone", "position", "enabled", "hit_count", "hit_count_collected_at")
 COMM_SETS = ("ports", "providers", "transports", "observer_hosts")
 
 
@@ -215,19 +220,16 @@ def governed_edges(resolved: DataFrame, tenant: str = DEFAULT_TENANT) -> DataFra
 # ---------------------------------------------------------------- map renderings
 
 def assets_as_entities(asset_rows: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Assets with the identifier map ``mac, ip, ip2, ip3 ...`` (addresses sorted)."""
-    ips = addresses.groupBy("entity_id").agg(
-        F.array_sort(F.collect_set("ip")).alias("ips"),
-        F.max(F.when(F.col("conflict") & F.col("mac").isNotNull(), F.col("ip"))).alias("_conflict"),
-    )
-    names = F.transform("ips", lambda _ip, i: F.when(i == 0, F.lit("ip")).otherwise(F.concat(F.lit("ip"), (i + 1).cast("string"))))
+    """Assets with one identifier each: the MAC, or else the address.
+
+    A device's addresses stay in the long table ``addresses`` and in the alias index;
+    a gateway may have very many.
+    """
+    conflicts = addresses.filter(F.col("conflict") & F.col("mac").isNotNull()).groupBy("entity_id").agg(F.max("ip").alias("_conflict"))
     empty = F.create_map().cast("map<string,string>")
-    mac = F.when(F.col("mac").isNotNull(), F.create_map(F.lit("mac"), F.col("mac"))).otherwise(empty)
+    identity = F.when(F.col("mac").isNotNull(), F.create_map(F.lit("mac"), F.col("mac"))).otherwise(F.create_map(F.lit("ip"), F.col("name")))
     conflict = F.when(F.col("_conflict").isNotNull(), F.create_map(F.lit("ip_conflict"), F.col("_conflict"))).otherwise(empty)
-    joined = asset_rows.join(ips, "entity_id")
-    return joined.withColumn("identifiers", F.map_concat(mac, F.map_from_arrays(names, F.col("ips")))).withColumn(
-        "attrs", conflict
-    ).select(*ENTITY_COLUMNS)
+    return asset_rows.join(conflicts, "entity_id", "left").withColumn("identifiers", identity).withColumn("attrs", conflict).select(*ENTITY_COLUMNS)
 
 
 def observed_as_entities(policies: DataFrame) -> DataFrame:
@@ -287,30 +289,60 @@ def reconcile_twins(
 
 # ---------------------------------------------------------------- lookups
 
-def find_entities(
-    entities: DataFrame, ids: DataFrame, *, best_only: bool = False, aliases: DataFrame | None = None,
-) -> DataFrame:
-    """Every entity matching each ``lookup`` by id or identifier value.
+class AliasIndex(NamedTuple):
+    """``(alias, kind, entity_id)`` stored twice: in buckets of the alias, for lookups, and of the entity, for its addresses."""
+
+    by_alias: DataFrame
+    by_entity: DataFrame
+
+
+def aliases(entities: DataFrame, addresses: DataFrame) -> DataFrame:
+    """``(alias, kind, entity_id)``: an entity's id, its identifiers, and every address of an asset."""
+    entry = F.transform(F.map_entries("identifiers"), lambda e: F.struct(e["value"].alias("alias"), e["key"].alias("kind")))
+    named = F.concat(F.array(F.struct(F.col("entity_id").alias("alias"), F.lit("id").alias("kind"))), entry)
+    own = entities.select("entity_id", F.explode(named).alias("_a")).select("_a.alias", "_a.kind", "entity_id")
+    held = addresses.select(F.col("ip").alias("alias"), F.lit("ip").alias("kind"), "entity_id")
+    return own.unionByName(held).filter(text("alias") != "").distinct()
+
+
+def store_alias_index(rows: DataFrame, buckets: int | None = None) -> AliasIndex:
+    """Write :func:`aliases` as two bucketed tables, so that a join on their key reads them where they lie.
+
+    Only the other side of such a join is shuffled, to the buckets.  ``buckets`` is
+    by default the number of shuffle partitions.
+    """
+    spark = rows.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def stored(key: str) -> DataFrame:
+        name = f"alias_index_{uuid.uuid4().hex}"
+        # Dealt out by the key first, each bucket is one file.
+        rows.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", shared_path(spark, "aliases")).saveAsTable(name)
+        return spark.table(name)
+
+    return AliasIndex(stored("alias"), stored("entity_id"))
+
+
+def find_entities(entities: DataFrame, index: AliasIndex, ids: DataFrame, *, best_only: bool = False) -> DataFrame:
+    """Every entity matching each ``lookup`` by id, identifier or address.
 
     With ``best_only`` just the head of the ranking by confidence, then recency.
-    ``aliases(entity_id, alias)`` adds identifiers kept outside the map, such as
-    the addresses of assets that have very many.
     """
-    scored = entities.select("entity_id", "confidence", "last_seen")
-    known = entities.select(
-        "entity_id", F.explode(F.concat(F.array("entity_id"), F.map_values("identifiers"))).alias("_alias")
-    )
-    if aliases is not None:
-        known = known.unionByName(aliases.select("entity_id", F.col("alias").alias("_alias")))
-    wanted = ids.select("lookup").distinct().withColumn("_alias", lookup_form("lookup"))
-    matched = lookup_join(known, wanted, "_alias").select("lookup", "entity_id").distinct()
-    hits = lookup_join(matched, scored, "entity_id")
+    wanted = ids.select("lookup").distinct().withColumn("alias", lookup_form("lookup"))
+    matched = lookup_join(index.by_alias.select("alias", "entity_id"), wanted, "alias").select("lookup", "entity_id").distinct()
+    hits = lookup_join(matched, entities.select("entity_id", "confidence", "last_seen"), "entity_id")
     if best_only:
         hits = top_rows(hits, ["lookup"], [F.col("confidence").desc(), F.col("last_seen").desc(), F.col("entity_id")])
     rest = [c for c in ENTITY_COLUMNS if c not in ("entity_id", "confidence", "last_seen")]
     return lookup_join(hits, entities.select("entity_id", *rest), "entity_id").select("lookup", *ENTITY_COLUMNS)
 
 
+def entity_addresses(index: AliasIndex, wanted: DataFrame) -> DataFrame:
+    """The columns of ``wanted``, which has an ``entity_id``, with one row per ``ip`` of the entity."""
+    held = index.by_entity.filter("kind = 'ip'").select("entity_id", F.col("alias").alias("ip"))
+    return lookup_join(held, wanted, "entity_id").select(*wanted.columns, "ip")
+
+
 def communication_between(
     edges: DataFrame, left: DataFrame, right: DataFrame, as_of: TimeArg, *, since: TimeArg = "now-24h",
     keys: Sequence[str] = ("pair_id",),
@@ -363,7 +395,11 @@ def governed_policies(gov_edges: DataFrame, entities: DataFrame, edge_ids: DataF
 
 
 def configured_policies(entities: DataFrame, edges: DataFrame, firewalls: DataFrame) -> DataFrame:
-    """Configured rules of each named firewall, one row per rule; ``firewalls(firewall)``."""
+    """Configured rules of each named firewall, one row per rule; ``firewalls(firewall)``.
+
+    ``clauses`` has all else that the rule matches on: addresses, applications, services,
+    negations, schedules and so on, by name; a rule without one of them matches any.
+    """
     walls = entities.filter(F.col("kind") == "firewall").select(
         F.col("entity_id").alias("src_id"), F.col("identifiers")["device_name"].alias("firewall")
     ).join(firewalls.select("firewall").distinct(), "firewall", "left_semi")
@@ -372,11 +408,12 @@ def configured_policies(entities: DataFrame, edges: DataFrame, firewalls: DataFr
     attrs = F.col("attrs")
     detail = entities.filter(F.col("kind") == "policy").select(
         "entity_id", F.col("name").alias("rule"), *[text(attrs[c]).alias(c) for c in ("action", "from_zone", "to_zone", "position")],
-        (text(attrs["enabled"]) == "true").alias("enabled"), F.col("source"), attrs.alias("attrs"),
+        (text(attrs["enabled"]) == "true").alias("enabled"), F.col("source"),
+        F.map_filter(attrs, lambda k, v: ~k.isin(*NO_CLAUSE) & (v != "")).alias("clauses"),
     )
     return owned.join(detail, "entity_id").select(
         "firewall", F.col("entity_id").alias("policy_id"), "rule", "action", "from_zone", "to_zone", "position", "enabled",
-        "source", "attrs",
+        "source", "clauses",
     )
 
 

@@ -246,7 +246,7 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "provider", "device_name", "rule_name", "action", F.array("from_zone").alias("from_zone"), F.array("to_zone").alias("to_zone"),
         F.array("source_address", F.lit("")).alias("source_addresses"), F.array(F.lit("any")).alias("dest_addresses"),
         F.array("application").alias("application"), F.array("application").alias("service"), "position", "enabled",
-        "hit_count", "hit_count_collected_at", "collected_at",
+        F.when(F.col("position") % 3 == 0, "true").alias("source_negated"), "hit_count", "hit_count_collected_at", "collected_at",
     )
 
 

@@ -22,15 +22,19 @@ hl AS (SELECT client, server, string_agg(fw, ',' ORDER BY fw) AS firewalls, coun
 cc AS (SELECT ho.client, ho.server, count(*) AS n FROM ho JOIN rules ON rules.device_name = ho.fw GROUP BY ALL),
 oc AS (SELECT ch.client, ch.server, count(DISTINCT (gov.provider, gov.rule)) AS n FROM ch JOIN btw b USING (client, server, client_id, server_id)
   JOIN gov ON gov.src_id = b.edge_id GROUP BY ALL)"""
+# Alerts on either address asked about, or on any address of the two entities.
+DETECTED = """dip AS (SELECT client, server, client AS ip FROM ch UNION SELECT client, server, server FROM ch
+  UNION SELECT ch.client, ch.server, a.ip FROM ch JOIN addr a ON a.entity_id = ch.client_id
+  UNION SELECT ch.client, ch.server, a.ip FROM ch JOIN addr a ON a.entity_id = ch.server_id),
+al AS (SELECT event_id, e.timestamp AS seen, coalesce(ids_signature, '') AS signature, coalesce(ids_severity, '') AS severity, source_ip, destination_ip
+  FROM net_events e WHERE event_provider = 'unifi' AND event_kind = 'alert'),
+det AS (SELECT d.client, d.server, event_id, seen AS timestamp, signature, severity, source_ip, destination_ip FROM dip d JOIN al ON al.source_ip = d.ip
+  UNION SELECT d.client, d.server, event_id, seen, signature, severity, source_ip, destination_ip FROM dip d JOIN al ON al.destination_ip = d.ip)"""
 
 
-@REGISTRY.add("explain_access", f"""{PAIRS}, {CHOSEN}
-SELECT ch.client, ch.server, ch.client_id, ch.server_id, ch.sessions, ch.bytes, coalesce(hl.firewalls, '') AS firewalls,
-  CASE WHEN hl.n IS NULL THEN 'no_path_firewall' ELSE 'provenance' END AS firewall_basis, CASE WHEN hl.n = 1 THEN hl.one END AS attributed_firewall,
-  CAST(coalesce(cc.n, 0) AS INT) AS coverage_configured, CAST(coalesce(oc.n, 0) AS INT) AS controls, true AS path_found, 1 AS hops
-FROM ch LEFT JOIN hl USING (client, server) LEFT JOIN cc USING (client, server) LEFT JOIN oc USING (client, server)""")
-def explain_access(spark, sf_dir):
-    seen, entities, gov = tables(spark, sf_dir)
+def _asked(spark, sf_dir):
+    """Access of every talking address pair."""
+    seen, entities, gov, index = tables(spark, sf_dir)
     events = ad.events(spark, sf_dir)
     edges = cut_lineage(to.flow_edges(to.flow_pairs(events, AS_OF, since=SINCE)))
     nodes = to.placeholder_nodes(edges, ad.graph_nodes(spark, sf_dir))
@@ -42,14 +46,54 @@ def explain_access(spark, sf_dir):
     ).drop("_ip")
     nodes = cut_lineage(nodes)
     pairs = seen.flows.select(F.col("src_ip").alias("client"), F.col("dst_ip").alias("server")).distinct()
-    df = op.explain_access(pairs, entities, cut_lineage(seen.communication), gov, nodes, edges, events, AS_OF, since=SINCE)
-    return df.select(
+    return op.explain_access(pairs, entities, index, cut_lineage(seen.communication), gov, nodes, edges, events, AS_OF, since=SINCE)
+
+
+@REGISTRY.add("explain_access", f"""{PAIRS}, {CHOSEN}, {DETECTED}
+SELECT ch.client, ch.server, ch.client_id, ch.server_id, ch.sessions, ch.bytes, coalesce(hl.firewalls, '') AS firewalls,
+  CASE WHEN hl.n IS NULL THEN 'no_path_firewall' ELSE 'provenance' END AS firewall_basis, CASE WHEN hl.n = 1 THEN hl.one END AS attributed_firewall,
+  CASE WHEN hl.n IS NULL THEN 'no_path_firewall' WHEN cc.n IS NULL THEN 'firewall_name_unmatched' ELSE 'topology' END AS configured_basis,
+  CAST(coalesce(cc.n, 0) AS BIGINT) AS coverage_configured, coalesce(dn.n, 0) AS detection_count, false AS detections_truncated,
+  true AS path_found, 1 AS hops
+FROM ch LEFT JOIN hl USING (client, server) LEFT JOIN cc USING (client, server)
+LEFT JOIN (SELECT client, server, count(*) AS n FROM det GROUP BY ALL) dn USING (client, server)""")
+def explain_access(spark, sf_dir):
+    return _asked(spark, sf_dir).answers.select(
         "client", "server", F.col("client_entity.entity_id").alias("client_id"), F.col("server_entity.entity_id").alias("server_id"),
-        "sessions", "bytes", F.array_join("firewalls", ",").alias("firewalls"), "firewall_basis", "attributed_firewall", "coverage_configured",
-        F.greatest(F.size("controls"), F.lit(0)).alias("controls"), F.col("topology_path.found").alias("path_found"), F.col("topology_path.hops").alias("hops"),
+        "sessions", "bytes", F.array_join("firewalls", ",").alias("firewalls"), "firewall_basis", "attributed_firewall", "configured_basis",
+        "coverage_configured", "detection_count", "detections_truncated", F.col("topology_path.found").alias("path_found"),
+        F.col("topology_path.hops").alias("hops"),
     )
 
 
+@REGISTRY.add("explain_access_controls", f"""{PAIRS}, {CHOSEN}
+SELECT DISTINCT ch.client, ch.server, CASE WHEN hl.n = 1 THEN hl.one END AS firewall, gov.provider AS vendor, gov.rule, 'observed' AS source,
+  CASE WHEN hl.n IS NULL THEN 'no_path_firewall' ELSE 'provenance' END AS firewall_basis
+FROM ch JOIN btw b USING (client, server, client_id, server_id) JOIN gov ON gov.src_id = b.edge_id LEFT JOIN hl USING (client, server)""")
+def explain_access_controls(spark, sf_dir):
+    return _asked(spark, sf_dir).controls
+
+
+@REGISTRY.add("explain_access_configured", f"""{PAIRS}, {CHOSEN}
+SELECT DISTINCT ho.fw AS firewall, r.rule_name AS rule, r.action, r.from_zone, r.to_zone, CAST(r.position AS VARCHAR) AS position, r.enabled,
+  'configured' AS source, concat('application=', r.application, ';dest_addresses=any;service=', r.application, ';source_addresses=', r.source_address,
+    CASE WHEN r.position % 3 = 0 THEN ';source_negated=true' ELSE '' END) AS clauses
+FROM ho JOIN rules r ON r.device_name = ho.fw""")
+def explain_access_configured(spark, sf_dir):
+    return _asked(spark, sf_dir).configured.drop("policy_id").withColumn("clauses", F.array_join(
+        F.transform(F.array_sort(F.map_entries("clauses")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"))
+
+
+@REGISTRY.add("explain_access_firewalls", f"""{PAIRS}, {CHOSEN} SELECT client, server, fw AS firewall FROM ho""")
+def explain_access_firewalls(spark, sf_dir):
+    return _asked(spark, sf_dir).firewalls
+
+
+@REGISTRY.add("explain_access_detections", f"""{PAIRS}, {CHOSEN}, {DETECTED} SELECT * FROM det""")
+def explain_access_detections(spark, sf_dir):
+    return _asked(spark, sf_dir).detections.select("client", "server", "event_id", "timestamp", "signature", "severity", "source_ip", "destination_ip")
+
+
 @REGISTRY.add("observed_by", f"""{ALL_STEPS}, lk AS (SELECT DISTINCT source_ip AS lookup FROM net_events),
 cand AS (SELECT l.lookup, a.entity_id, s.mac, s.last_seen, coalesce(s.mac, s.first_ip) AS name,
   row_number() OVER (PARTITION BY l.lookup ORDER BY CASE WHEN s.mac IS NULL THEN 0 ELSE 1 END DESC, s.last_seen DESC, a.entity_id) AS rn
@@ -60,7 +104,7 @@ ob AS (SELECT source_ip AS ip, observer_hostname FROM net_events WHERE observer_
 f AS (SELECT DISTINCT i.lookup, split_part(o.observer_hostname, '.', 1) AS fw FROM ips i JOIN ob o ON o.ip = i.ip)
 SELECT b.lookup, b.entity_id, b.name, (SELECT coalesce(string_agg(fw, ',' ORDER BY fw), '') FROM f WHERE f.lookup = b.lookup) AS firewalls FROM best b""")
 def observed_by(spark, sf_dir):
-    _, entities, _ = tables(spark, sf_dir)
+    _, entities, _, index = tables(spark, sf_dir)
     events = ad.events(spark, sf_dir)
     ids = events.select(F.col("source_ip").alias("lookup")).distinct()
-    return op.observed_by(entities, events, ids, AS_OF, since=SINCE).withColumn("firewalls", F.array_join("firewalls", ","))
+    return op.observed_by(entities, index, events, ids, AS_OF, since=SINCE).withColumn("firewalls", F.array_join("firewalls", ","))

@@ -58,10 +58,11 @@ def observed(spark, sf_dir):
 
 
 def tables(spark, sf_dir):
-    """The resolver, and its entity and governed_by tables as a job would store them."""
+    """The resolver, and its entity and governed_by tables and alias index as a job would store them."""
     seen = observed(spark, sf_dir)
     entities, governed = entity_tables(seen, resolve_policies(ad.rules(spark, sf_dir)))
-    return seen, cut_lineage(entities), cut_lineage(governed)
+    entities = cut_lineage(entities)
+    return seen, entities, cut_lineage(governed), op.store_alias_index(op.aliases(entities, seen.addresses))
 
 
 @REGISTRY.add("flow_vantage", f"{BASE}, {FLOWS} SELECT src_ip, dst_ip, observer_hostname, bytes, flows, rule_name, provider, transport, first_seen, last_seen FROM flows")
@@ -168,16 +169,16 @@ def _lookups(spark, sf_dir):
 
 @REGISTRY.add("find_entities", f"{LOOK} SELECT * FROM cand")
 def find_entities(spark, sf_dir):
-    _, entities, _ = tables(spark, sf_dir)
-    found = op.find_entities(entities, _lookups(spark, sf_dir))
+    _, entities, _, index = tables(spark, sf_dir)
+    found = op.find_entities(entities, index, _lookups(spark, sf_dir))
     return found.select("lookup", "entity_id", "confidence", "last_seen", "name")
 
 
 @REGISTRY.add("find_entity_best", f"""{LOOK}, r AS (SELECT *, row_number() OVER (PARTITION BY lookup ORDER BY confidence DESC, last_seen DESC, entity_id) AS rn FROM cand)
 SELECT lookup, entity_id, confidence, last_seen, name FROM r WHERE rn = 1""")
 def find_entity_best(spark, sf_dir):
-    _, entities, _ = tables(spark, sf_dir)
-    found = op.find_entities(entities, _lookups(spark, sf_dir), best_only=True)
+    _, entities, _, index = tables(spark, sf_dir)
+    found = op.find_entities(entities, index, _lookups(spark, sf_dir), best_only=True)
     return found.select("lookup", "entity_id", "confidence", "last_seen", "name")
 
 
@@ -213,20 +214,20 @@ def select_pair(spark, sf_dir):
 
 @REGISTRY.add("governed_policies", f"""{ALL_STEPS} SELECT DISTINCT src_id AS edge_id, dst_id AS policy_id, rule, provider AS vendor, 'observed' AS source FROM gov""")
 def governed_policies(spark, sf_dir):
-    seen, entities, gov = tables(spark, sf_dir)
+    seen, entities, gov, _ = tables(spark, sf_dir)
     return op.governed_policies(gov, entities, seen.communication.select("edge_id"))
 
 
 @REGISTRY.add("configured_policies", f"""{BASE} SELECT device_name AS firewall, {eid("'policy|' || provider || ':' || device_name || ':' || rule_name")} AS policy_id,
   rule_name AS rule, action, from_zone, to_zone, CAST(position AS VARCHAR) AS position, enabled, 'configured' AS source FROM rules""")
 def configured_policies(spark, sf_dir):
-    _, entities, gov = tables(spark, sf_dir)
+    _, entities, gov, _ = tables(spark, sf_dir)
     walls = ad.rules(spark, sf_dir).select(F.col("device_name").alias("firewall"))
-    return op.configured_policies(entities, gov, walls).drop("attrs")
+    return op.configured_policies(entities, gov, walls).drop("clauses")
 
 
 @REGISTRY.add("configured_policy_counts", f"{BASE} SELECT device_name AS firewall, count(*) AS count FROM rules GROUP BY device_name")
 def configured_policy_counts(spark, sf_dir):
-    _, entities, gov = tables(spark, sf_dir)
+    _, entities, gov, _ = tables(spark, sf_dir)
     walls = ad.rules(spark, sf_dir).select(F.col("device_name").alias("firewall"))
     return op.configured_policy_counts(op.configured_policies(entities, gov, walls))

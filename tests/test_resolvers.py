@@ -112,7 +112,44 @@ def test_assets_follow_segment_bindings(spark, at):
     assert edge["attrs"] == {"sessions": "3", "bytes": "15", "ports": "443,80", "providers": "juniper", "transports": "tcp,udp", "observer_hosts": "FW1,fw1.lab"}
     assert en.governed_edges(resolved).count() == 2
     entity = en.assets_as_entities(en.assets(addr), addr).filter("name = '02:aa'").first()
-    assert entity["identifiers"] == {"mac": "02:aa", "ip": "10.0.0.1", "ip2": "10.0.0.2"}
+    assert entity["identifiers"] == {"mac": "02:aa"}
+
+
+@pytest.fixture(scope="module")
+def gateway(spark, at):
+    """A gateway with many addresses, two plain hosts, and the alias index of the three."""
+    t = at("2026-06-05 12:00:00")
+    rows = [("gw", "fw1", f"10.{k // 250}.{k % 250}.1", "02:01", False, t, t) for k in range(600)] + [
+        ("a", "fw1", "10.9.9.9", None, False, t, t), ("b", "fw2", "10.9.9.9", None, False, t, at("2026-06-05 13:00:00"))]
+    addresses = spark.createDataFrame(rows, "entity_id string, segment string, ip string, mac string, conflict boolean, first_seen timestamp, last_seen timestamp")
+    entities = en.assets_as_entities(en.assets(addresses), addresses)
+    return entities, en.store_alias_index(en.aliases(entities, addresses), 4)
+
+
+def test_alias_index_finds_entities_by_id_mac_and_every_address(spark, gateway):
+    entities, index = gateway
+    ids = spark.createDataFrame([("gw",), ("02:01",), ("10.2.99.1",), ("10.9.9.9",), ("10.8.8.8",)], "lookup string")
+    found = {(r.lookup, r.entity_id) for r in en.find_entities(entities, index, ids).collect()}
+    assert found == {("gw", "gw"), ("02:01", "gw"), ("10.2.99.1", "gw"), ("10.9.9.9", "a"), ("10.9.9.9", "b")}
+    best = {r.lookup: r.entity_id for r in en.find_entities(entities, index, ids, best_only=True).collect()}
+    assert best["10.9.9.9"] == "b"
+    assert en.entity_addresses(index, entities.select("entity_id")).groupBy("entity_id").count().filter("entity_id = 'gw'").first()["count"] == 600
+    assert max(len(r.identifiers) for r in entities.collect()) == 1
+
+
+def test_alias_index_is_read_without_a_shuffle(spark, gateway):
+    _, index = gateway
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ids = spark.range(1000).select(F.concat(F.lit("10.0."), F.col("id").cast("string"), F.lit(".1")).alias("alias"))
+        plan = index.by_alias.join(ids, "alias")._jdf.queryExecution().executedPlan().toString()
+        owned = index.by_entity.join(ids.withColumnRenamed("alias", "entity_id"), "entity_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    # One exchange each, on the side of the ids.
+    assert plan.count("Exchange hashpartitioning") == 1 and owned.count("Exchange hashpartitioning") == 1
+    assert "SelectedBucketsCount: 4 out of 4" in plan
 
 
 def test_binding_conflicts(spark, at):
