@@ -42,7 +42,7 @@ def query_flows(
     events: DataFrame, as_of: TimeArg, *, src_ip: str | None = None, dst_ip: str | None = None,
     dst_port: int | None = None, action: str | None = None, outcome: str | None = None,
     provider: str | None = None, zone: str | None = None, since: TimeArg = "now-24h",
-    until: TimeArg = "now", limit: int | None = 100, tenant: str | None = None,
+    until: TimeArg = "now", limit: int | None = None, tenant: str | None = None,
     tiebreak: Sequence[str] = ("event_id",), date_column: str | None = None,
 ) -> DataFrame:
     """Newest matching events; every filter reaches the scan and the limit (``None``: all) is a top-k."""
@@ -64,7 +64,7 @@ def query_flows(
 
 def top_talkers(
     events: DataFrame, as_of: TimeArg, *, by: str = "bytes", side: str = "src",
-    since: TimeArg = "now-24h", until: TimeArg = "now", limit: int | None = 10, tenant: str | None = None,
+    since: TimeArg = "now-24h", until: TimeArg = "now", limit: int | None = None, tenant: str | None = None,
     date_column: str | None = None,
 ) -> DataFrame:
     """Addresses with the most bytes or flows; all of them with ``limit=None``."""
@@ -185,7 +185,7 @@ def alert_gate() -> Column:
 
 def recent_alerts(
     events: DataFrame, as_of: TimeArg, *, since: TimeArg = "now-24h", min_severity: str = "high",
-    providers: Sequence[str] = (), limit: int | None = 500, tenant: str | None = None,
+    providers: Sequence[str] = (), limit: int | None = None, tenant: str | None = None,
 ) -> DataFrame:
     """Newest alerts at or above a severity.  The floor is applied before the limit."""
     floor = SEVERITY_NUM.get(min_severity, SEVERITY_NUM["high"])
@@ -233,7 +233,7 @@ def _touching(events: DataFrame, ips: DataFrame, keys: Sequence[str]) -> DataFra
 
 def alerts_for_ips(
     events: DataFrame, ips: DataFrame, as_of: TimeArg, *, since: TimeArg = "now-24h",
-    keys: Sequence[str] = ("ip_key",), limit: int | None = 200, provider: str = "unifi",
+    keys: Sequence[str] = ("ip_key",), limit: int | None = None, provider: str = "unifi",
 ) -> DataFrame:
     """Newest detections per request that touch any of its addresses; all of them with ``limit=None``.
 

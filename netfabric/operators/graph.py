@@ -7,6 +7,8 @@ costs one round at most.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,70 +56,121 @@ def connected_components(edges: DataFrame, src: str = "src_id", dst: str = "dst_
             return labels.select("id", F.col("label").alias("component"))
 
 
+def _expand(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """``(root, node, parent)``: neighbours of the frontier, each once with the smallest frontier node beside it.
+
+    Hubs sit on the edge side; the frontier has a row per (root, node).
+    """
+    stepped = lookup_join(edges, frontier.select("root", F.col("node").alias("from")), "from")
+    return stepped.groupBy("root", F.col("to").alias("node")).agg(F.min("from").alias("parent"))
+
+
+def _next_level(edges: DataFrame, levels: list[DataFrame], active: DataFrame | None = None) -> DataFrame:
+    """The nodes one step beyond the last level, of the roots in ``active``.
+
+    Edges go both ways, so a neighbour of the last level lies in it, in the one before
+    or beyond both; older levels need no look.
+    """
+    last = levels[-1] if active is None else lookup_join(levels[-1], active, "root", "left_semi")
+    stepped = _expand(edges, last)
+    for level in levels[-2:]:
+        stepped = stepped.join(level.select("root", "node"), ["root", "node"], "left_anti")
+    return cut_lineage(stepped)
+
+
+def _as_edges(adjacency: DataFrame) -> DataFrame:
+    return cut_lineage(adjacency.select(F.col("src").alias("from"), F.col("dst").alias("to")))
+
+
+def _roots(ids: DataFrame, column: str) -> DataFrame:
+    rows = ids.select(F.col(column).alias("root")).distinct()
+    return cut_lineage(rows.select("root", F.col("root").alias("node"), F.lit(None).cast("string").alias("parent")))
+
+
 def within_depth(adjacency: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """``(start, node, hops)`` for every node at most ``depth`` steps from each start.
 
     ``adjacency(src, dst)`` holds both directions; ``starts(start)`` are node ids.
     """
-    adjacency = cut_lineage(adjacency)
-    reached = cut_lineage(
-        starts.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("hops"))
-    )
-    frontier = reached
-    for hop in range(1, depth + 1):
-        # Hubs sit on the edge side; the frontier is unique per (start, node).
-        stepped = _expand(adjacency, frontier.select("start", "node"), ["start"]).distinct()
-        frontier = cut_lineage(
-            stepped.join(reached.select("start", "node"), ["start", "node"], "left_anti")
-            .withColumn("hops", F.lit(hop))
-        )
-        if frontier.isEmpty():
+    edges = _as_edges(adjacency)
+    levels = [_roots(starts, "start")]
+    for _ in range(depth):
+        level = _next_level(edges, levels)
+        if level.isEmpty():
             break
-        reached = reached.unionByName(frontier)
-    return reached
-
-
-def _expand(adjacency: DataFrame, frontier: DataFrame, carry: list[str]) -> DataFrame:
-    """Neighbours of the frontier with its other columns carried along."""
-    edges = adjacency.select(F.col("src").alias("node"), F.col("dst").alias("_to"))
-    return lookup_join(edges, frontier, "node").select(*carry, F.col("_to").alias("node"))
+        levels.append(level)
+    # Every part of this union is a written table.
+    parts = [level.select(F.col("root").alias("start"), "node", F.lit(k).alias("hops")) for k, level in enumerate(levels)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def shortest_paths(adjacency: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(src, dst, path)`` for the pairs that are connected.
-
-    The side with fewer distinct nodes is the root side, and all roots advance
-    together, one hop per round; a root stops when its partners are found.
-    Among equally short paths the lexicographically smallest is kept: a best
-    path extends a best path of the node before (or, searched from the far end,
-    of the node after), so one path per (root, node) is enough.
+    """``(src, dst, path)`` for the pairs that are connected; of equally short paths the lexicographically smallest.
+
+    All pairs are searched together, from both ends: each round the side with the
+    smaller frontier takes a step, so that the levels reach about half of each distance
+    only.  Rounds keep nodes and parents, no paths.  A pair leaves when its ends meet,
+    or when either end has nothing left to reach.  Then the nodes that lie on a
+    shortest path are marked back from where the ends met, each with its smallest
+    successor, and the paths are put together from those by doubling.
     """
     wanted = cut_lineage(pairs.select("src", "dst").distinct())
-    sides = wanted.agg(F.count_distinct("src").alias("s"), F.count_distinct("dst").alias("d")).first()
-    backward = sides["d"] < sides["s"]
-    root, far = ("dst", "src") if backward else ("src", "dst")
-    asked = wanted.select(F.col(root).alias("root"), F.col(far).alias("node"))
-    edges = cut_lineage(adjacency.select(F.col("src").alias("node"), F.col("dst").alias("_to")))
-    frontier = cut_lineage(asked.select("root").distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path")))
-    reached = frontier.select("root", "node")
-    found = frontier.join(asked, ["root", "node"])
-    open_pairs = cut_lineage(asked.filter(F.col("root") != F.col("node")))
-    longer = F.concat(F.array("_to"), "path") if backward else F.concat("path", F.array("_to"))
+    same = wanted.filter("src = dst").select("src", "dst", F.array("src").alias("path"))
+    open_pairs = cut_lineage(wanted.filter("src <> dst"))
+    edges = _as_edges(adjacency)
+    sides = {"src": [_roots(open_pairs, "src")], "dst": [_roots(open_pairs, "dst")]}
+    sizes = {side: levels[0].count() for side, levels in sides.items()}
+    met: list[tuple[int, DataFrame]] = []
     while not open_pairs.isEmpty():
-        active = lookup_join(frontier, open_pairs.select("root").distinct(), "root", "left_semi")
-        stepped = (
-            lookup_join(edges, active, "node").select("root", F.col("_to").alias("node"), longer.alias("path"))
-            .groupBy("root", "node").agg(F.min("path").alias("path"))
-        )
-        frontier = cut_lineage(stepped.join(reached, ["root", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        # Every part of these unions is a written table.
-        reached = reached.unionByName(frontier.select("root", "node"))
-        hits = cut_lineage(frontier.join(open_pairs, ["root", "node"]).select("root", "node", "path"))
-        found = found.unionByName(hits)
-        open_pairs = cut_lineage(open_pairs.join(hits.select("root", "node"), ["root", "node"], "left_anti"))
-    return found.select(F.col("root").alias(root), F.col("node").alias(far), "path").select("src", "dst", "path")
+        side = "src" if sizes["src"] <= sizes["dst"] else "dst"
+        other = "dst" if side == "src" else "src"
+        level = _next_level(edges, sides[side], open_pairs.select(F.col(side).alias("root")).distinct())
+        sides[side].append(level)
+        sizes[side] = level.count()
+        # A node on both last levels is in the middle of a shortest path.
+        near = level.select(F.col("root").alias(side), "node").join(open_pairs, side)
+        far = sides[other][-1].select(F.col("root").alias(other), "node")
+        hits = cut_lineage(near.join(far, [other, "node"]).select("src", "dst", "node"))
+        met.append((len(sides["src"]) - 1, hits))
+        left = open_pairs.join(hits.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+        open_pairs = cut_lineage(left.join(level.select(F.col("root").alias(side)).distinct(), side, "left_semi").select("src", "dst"))
+    return same.unionByName(_paths(edges, sides, met))
+
+
+def _paths(edges: DataFrame, sides: dict[str, list[DataFrame]], met: list[tuple[int, DataFrame]]) -> DataFrame:
+    """Paths of the pairs in ``met``: how many steps from the source, and ``(src, dst, node)`` where the ends met."""
+    keys = ["src", "dst"]
+    every = reduce(DataFrame.unionByName, [hits for _, hits in met]) if met else None
+    if every is None or every.isEmpty():
+        return edges.select(F.col("from").alias("src"), F.col("from").alias("dst"), F.array("from").alias("path")).filter(F.lit(False))
+    links, marked = [], None
+    for step in range(len(sides["src"]) - 1, 0, -1):
+        here = [hits for steps, hits in met if steps == step] + ([marked] if marked is not None else [])
+        if not here:
+            continue
+        now = reduce(DataFrame.unionByName, [h.select(*keys, "node") for h in here]).distinct()
+        back = lookup_join(edges, now.withColumnRenamed("node", "to"), "to").groupBy(*keys, F.col("from").alias("node")).agg(F.min("to").alias("next"))
+        before = sides["src"][step - 1].select(F.col("root").alias("src"), "node")
+        marked = cut_lineage(back.join(before, ["src", "node"], "left_semi").select(*keys, "node", "next"))
+        links.append(marked)
+    # From where the ends met, the parents of the other side lead on; a node there has its smallest successor as parent.
+    onward = every.select(*keys, "node")
+    for level in reversed(sides["dst"][1:]):
+        step = onward.join(level.select(F.col("root").alias("dst"), "node", F.col("parent").alias("next")), ["dst", "node"])
+        linked = cut_lineage(step.select(*keys, "node", "next"))
+        links.append(linked)
+        onward = onward.join(linked.select(*keys, "node"), [*keys, "node"], "left_anti").unionByName(
+            linked.select(*keys, F.col("next").alias("node"))).distinct()
+    chains = reduce(DataFrame.unionByName, links).select(*keys, "node", "next", F.array("node").alias("run"))
+    chains = cut_lineage(chains)
+    while True:
+        ahead = chains.select(*keys, F.col("node").alias("next"), F.col("next").alias("_next"), F.col("run").alias("_run"))
+        doubled = chains.join(ahead, [*keys, "next"], "left")
+        chains = cut_lineage(doubled.select(
+            *keys, "node", F.coalesce("_next", "next").alias("next"), F.concat("run", F.coalesce("_run", F.array().cast("array<string>"))).alias("run")))
+        starts = chains.filter("node = src")
+        if starts.filter("next <> dst").isEmpty():
+            return starts.select(*keys, F.concat("run", F.array("dst")).alias("path"))
 
 
 def reaches_root(links: DataFrame, root: str = "") -> DataFrame:

@@ -181,7 +181,7 @@ def rule_usage_totals(rules: DataFrame, buckets: DataFrame, policies: DataFrame)
     )
 
 
-def rule_history(rules: DataFrame, versions: DataFrame, limit: int | None = 50) -> DataFrame:
+def rule_history(rules: DataFrame, versions: DataFrame, limit: int | None = None) -> DataFrame:
     """Newest versions of each requested rule; all of them with ``limit=None``."""
     keys = ["device_name", "rule_name"]
     rows = lookup_join(versions, rules.select(*keys).distinct(), keys)

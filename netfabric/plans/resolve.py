@@ -129,8 +129,7 @@ def public_metrics_run(
     for more in per_entity[1:]:
         leaders = leaders.unionByName(more)
     minted = me.mint_surrogates(leaders.select(F.col("ip").alias("real_value")), pseudonyms, "host", key, key_version, as_of)
-    # At most top_n surrogates per measure, so this lookup has a fixed bound.
-    names = F.broadcast(minted.select(F.col("real_value").alias("ip"), "surrogate"))
+    names = minted.select(F.col("real_value").alias("ip"), "surrogate")
     public = leaders.join(names, "ip").select("bucket_start", "surrogate", "metric", "value")
     return {
         "metrics": series.withColumn("tenant_id", F.lit(tenant)), "entities": public.withColumn("tenant_id", F.lit(tenant)),

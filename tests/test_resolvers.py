@@ -267,3 +267,37 @@ def test_results_do_not_depend_on_partitioning(spark):
             seen.append(sorted(map(str, q[name](spark, sf).collect())))
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert seen[0] == seen[1]
+
+
+def _path_by_force(edges, src, dst):
+    around = {}
+    for a, b in edges:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    level, seen = {src: [src]}, {src}
+    while level:
+        if dst in level:
+            return level[dst]
+        found = {}
+        for node, path in level.items():
+            for other in around.get(node, ()):
+                if other not in seen and (other not in found or [*path, other] < found[other]):
+                    found[other] = [*path, other]
+        seen |= set(found)
+        level = found
+    return None
+
+
+def test_paths_searched_from_both_ends_equal_brute_force(spark):
+    import random
+    rng = random.Random(3)
+    nodes = [f"n{k:02d}" for k in range(40)]
+    edges = [tuple(rng.sample(nodes[:34], 2)) for _ in range(44)] + [(nodes[34], nodes[35])] + [(f"c{k:02d}", f"c{k + 1:02d}") for k in range(11)]
+    pairs = [(a, b) for a in nodes[::3] for b in nodes[::4]] + [("c00", "c11"), ("c10", "c02"), ("c00", "n00"), ("gone", "n01"), ("n34", "n35")]
+    adj = gr.both_directions(spark.createDataFrame(edges, "src_id string, dst_id string"))
+    got = {(r.src, r.dst): r.path for r in gr.shortest_paths(adj, spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    want = {(a, b): _path_by_force(edges, a, b) for a, b in pairs}
+    assert got == {k: p for k, p in want.items() if p is not None}
+    reach = {(r.start, r.node): r.hops for r in gr.within_depth(adj, spark.createDataFrame([("n00",), ("c05",)], "start string"), 3).collect()}
+    near = {(a, b): len(p) - 1 for a in ("n00", "c05") for b in {x for e in edges for x in e} if (p := _path_by_force(edges, a, b)) and len(p) <= 4}
+    assert reach == near
