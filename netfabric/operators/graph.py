@@ -112,7 +112,7 @@ def shortest_paths(adjacency: DataFrame, pairs: DataFrame) -> DataFrame:
     only.  Rounds keep nodes and parents, no paths.  A pair leaves when its ends meet,
     or when either end has nothing left to reach.  Then the nodes that lie on a
     shortest path are marked back from where the ends met, each with its smallest
-    successor, and the paths are put together from those by doubling.
+    successor, and one row per pair walks along those.
     """
     wanted = cut_lineage(pairs.select("src", "dst").distinct())
     same = wanted.filter("src = dst").select("src", "dst", F.array("src").alias("path"))
@@ -120,6 +120,7 @@ def shortest_paths(adjacency: DataFrame, pairs: DataFrame) -> DataFrame:
     edges = _as_edges(adjacency)
     sides = {"src": [_roots(open_pairs, "src")], "dst": [_roots(open_pairs, "dst")]}
     sizes = {side: levels[0].count() for side, levels in sides.items()}
+    roots = dict(sizes)
     met: list[tuple[int, DataFrame]] = []
     while not open_pairs.isEmpty():
         side = "src" if sizes["src"] <= sizes["dst"] else "dst"
@@ -128,9 +129,10 @@ def shortest_paths(adjacency: DataFrame, pairs: DataFrame) -> DataFrame:
         sides[side].append(level)
         sizes[side] = level.count()
         # A node on both last levels is in the middle of a shortest path.
-        near = level.select(F.col("root").alias(side), "node").join(open_pairs, side)
-        far = sides[other][-1].select(F.col("root").alias(other), "node")
-        hits = cut_lineage(near.join(far, [other, "node"]).select("src", "dst", "node"))
+        # Pairs take the nodes of the end that has fewer of them, and look those up at the other.
+        few, many = (side, other) if sizes[side] * roots[other] <= sizes[other] * roots[side] else (other, side)
+        near = sides[few][-1].select(F.col("root").alias(few), "node").join(open_pairs, few)
+        hits = cut_lineage(near.join(sides[many][-1].select(F.col("root").alias(many), "node"), [many, "node"]).select("src", "dst", "node"))
         met.append((len(sides["src"]) - 1, hits))
         left = open_pairs.join(hits.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
         open_pairs = cut_lineage(left.join(level.select(F.col("root").alias(side)).distinct(), side, "left_semi").select("src", "dst"))
@@ -153,24 +155,23 @@ def _paths(edges: DataFrame, sides: dict[str, list[DataFrame]], met: list[tuple[
         before = sides["src"][step - 1].select(F.col("root").alias("src"), "node")
         marked = cut_lineage(back.join(before, ["src", "node"], "left_semi").select(*keys, "node", "next"))
         links.append(marked)
-    # From where the ends met, the parents of the other side lead on; a node there has its smallest successor as parent.
-    onward = every.select(*keys, "node")
-    for level in reversed(sides["dst"][1:]):
-        step = onward.join(level.select(F.col("root").alias("dst"), "node", F.col("parent").alias("next")), ["dst", "node"])
-        linked = cut_lineage(step.select(*keys, "node", "next"))
-        links.append(linked)
-        onward = onward.join(linked.select(*keys, "node"), [*keys, "node"], "left_anti").unionByName(
-            linked.select(*keys, F.col("next").alias("node"))).distinct()
-    chains = reduce(DataFrame.unionByName, links).select(*keys, "node", "next", F.array("node").alias("run"))
-    chains = cut_lineage(chains)
-    while True:
-        ahead = chains.select(*keys, F.col("node").alias("next"), F.col("next").alias("_next"), F.col("run").alias("_run"))
-        doubled = chains.join(ahead, [*keys, "next"], "left")
-        chains = cut_lineage(doubled.select(
-            *keys, "node", F.coalesce("_next", "next").alias("next"), F.concat("run", F.coalesce("_run", F.array().cast("array<string>"))).alias("run")))
-        starts = chains.filter("node = src")
-        if starts.filter("next <> dst").isEmpty():
-            return starts.select(*keys, F.concat("run", F.array("dst")).alias("path"))
+    # One row per pair walks from its source to where its ends met, and on by the parents of the other side.
+    walk = every.select(*keys).distinct().select(*keys, F.col("src").alias("node"), F.array("src").alias("path"))
+    for step, link in enumerate(reversed(links), 1):
+        ahead = walk.join(link, [*keys, "node"], "left")
+        walk = _stepped(ahead, keys, step)
+    for step, level in enumerate(reversed(sides["dst"][1:]), 1):
+        ahead = walk.join(level.select(F.col("root").alias("dst"), "node", F.col("parent").alias("next")), ["dst", "node"], "left")
+        walk = _stepped(ahead, keys, step)
+    return walk.select(*keys, "path")
+
+
+def _stepped(ahead: DataFrame, keys: list[str], step: int) -> DataFrame:
+    """Walks that took their next step, where they have one; written now and then, as a plan must stay short."""
+    moved = ahead.select(
+        *keys, F.coalesce("next", "node").alias("node"),
+        F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path"))
+    return moved if step % 6 else cut_lineage(moved)
 
 
 def reaches_root(links: DataFrame, root: str = "") -> DataFrame:
