@@ -238,21 +238,44 @@ def calls_in_trailing_window(audit: DataFrame, window_seconds: int = RATE_WINDOW
     )
 
 
-def tools_used(audit: DataFrame, intervals: DataFrame, slop_seconds: int = 0, bucket_seconds: int = 600) -> DataFrame:
+def dyadic_cover(lo: Column, hi: Column, levels: int = 41) -> Column:
+    """The unique smallest cover of whole numbers ``lo`` to ``hi`` by ranges ``[index 2^level, (index + 1) 2^level)``.
+
+    An array of ``(level, index)``, at most two of each level: the range of a level that
+    starts at an odd index on the left, and the one that ends at an odd index on the right.
+    """
+    size = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+    def pieces(k: Column) -> Column:
+        first, end = F.ceil(lo / size(k)).cast("long"), F.floor((hi + 1) / size(k)).cast("long")
+        left = F.when((first < end) & (first % 2 != 0), F.struct(k.alias("level"), first.alias("index")))
+        right = F.when((first < end) & (end % 2 != 0), F.struct(k.alias("level"), (end - 1).alias("index")))
+        return F.array(left, right)
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), pieces)), lambda p: p.isNotNull())
+
+
+def tools_used(audit: DataFrame, intervals: DataFrame, slop_seconds: int = 0) -> DataFrame:
     """Distinct allowed tools per ``(interval_id, principal, started, finished)``.
 
-    A range join on (principal, time bucket): intervals are copied to the
-    buckets they touch, and the exact bounds are checked on the match.
+    A range join on (principal, range): an interval of any length is covered by dyadic
+    ranges of about a second and up, ten years by under 60, and each call looks for the
+    range around it at every level that some interval uses.  The exact bounds are
+    checked on the match.
     """
     slop = F.expr(f"INTERVAL '{int(slop_seconds)}' SECOND")
     spans = intervals.select(
         "interval_id", "principal",
         F.date_trunc("millisecond", F.col("started") - slop).alias("_lo"), F.date_trunc("millisecond", F.col("finished") + slop).alias("_hi"),
     ).filter(F.col("_lo") <= F.col("_hi"))
-    bucket = lambda c: F.floor(F.unix_timestamp(c) / bucket_seconds)
-    spread = spans.withColumn("_bucket", F.explode(F.sequence(bucket("_lo"), bucket("_hi"))))
-    calls = audit.filter(F.col("decision") == "allow").select("principal", "tool", "ts").distinct().withColumn("_bucket", bucket("ts"))
-    hits = lookup_join(calls, spread, ["principal", "_bucket"]).filter(F.col("ts").between(F.col("_lo"), F.col("_hi")))
+    unit = lambda c: F.floor(F.unix_millis(c) / 1024)
+    covered = cut_lineage(spans.withColumn("_piece", F.explode(dyadic_cover(unit("_lo"), unit("_hi")))).select("*", "_piece.level", "_piece.index").drop("_piece"))
+    # At most one value per level.
+    levels = sorted(r["level"] for r in covered.select("level").distinct().collect())
+    calls = audit.filter(F.col("decision") == "allow").select("principal", "tool", "ts").distinct()
+    probes = calls.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumn(
+        "index", F.call_function("shiftright", unit("ts"), F.col("level")))
+    hits = lookup_join(probes, covered, ["principal", "level", "index"]).filter(F.col("ts").between(F.col("_lo"), F.col("_hi")))
     sets = hits.select("interval_id", "tool").distinct().groupBy("interval_id").agg(F.array_sort(F.collect_list("tool")).alias("tools"))
     return intervals.select("interval_id", "principal").join(sets, "interval_id", "left").withColumn(
         "tools", F.coalesce("tools", F.array().cast("array<string>"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from netfabric.functions.ids import DEFAULT_TENANT, hmac_sha256
 from netfabric.functions.skew import lookup_join, with_rank
+from netfabric.functions.siphash import siphash128
 from netfabric.functions.timeargs import parse_time, ts_lit, window_filter
 from netfabric.operators.upsert import latest_by_key
 
@@ -107,8 +108,7 @@ def top_entities(series: DataFrame, n: int = TOP_ENTITIES, entity: str = "ip") -
         series.groupBy(entity).agg(F.sum("value").alias("_total"))
         .orderBy(F.col("_total").desc(), entity).limit(n).select(entity)
     )
-    # At most n rows, so the broadcast has a fixed bound.
-    return series.join(F.broadcast(leaders), entity, "left_semi")
+    return lookup_join(series, leaders, entity, "left_semi")
 
 
 def surrogate(kind: str, real_value: Column | str, key: bytes, length: int = SURROGATE_BASE_LENGTH) -> Column:
@@ -171,17 +171,17 @@ def mint_surrogates(
     )
 
 
-def public_nodes(nodes: DataFrame, key: bytes) -> DataFrame:
-    """Publishable node columns only; ids are keyed hashes that still join."""
+def public_nodes(nodes: DataFrame, key: tuple[int, int]) -> DataFrame:
+    """Publishable node columns only; ids are keyed hashes that still join.  ``key`` is two unsigned longs."""
     return nodes.select(
-        hmac_sha256("node_id", key).alias("node_id"), "tenant_id", "kind", "first_seen", "last_seen"
+        siphash128("node_id", key).alias("node_id"), "tenant_id", "kind", "first_seen", "last_seen"
     )
 
 
-def public_edges(edges: DataFrame, key: bytes) -> DataFrame:
+def public_edges(edges: DataFrame, key: tuple[int, int]) -> DataFrame:
     return edges.select(
-        hmac_sha256("edge_id", key).alias("edge_id"), "tenant_id",
-        hmac_sha256("src_id", key).alias("src_id"), hmac_sha256("dst_id", key).alias("dst_id"),
+        siphash128("edge_id", key).alias("edge_id"), "tenant_id",
+        siphash128("src_id", key).alias("src_id"), siphash128("dst_id", key).alias("dst_id"),
         "edge_type", "layer", "first_seen", "last_seen", "confidence",
     )
 

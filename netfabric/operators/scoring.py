@@ -132,7 +132,9 @@ def score(questions: DataFrame, answers: DataFrame, references: DataFrame, obser
     predicate = F.coalesce(
         F.when(F.col("ptype") == "refusal", match_refusal(answer))
         .when(answer.isNull(), F.lit(False))
-        .when(F.col("ptype") == "expected_json", match_json(answer, F.col("expected")))
+        .when(F.col("ptype") == "expected_json", match_json(*[
+            # The Python function sees nothing of answers of other types.
+            F.when(F.col("ptype") == "expected_json", c) for c in (answer, F.col("expected"))]))
         .otherwise(by_reference),
         F.lit(False),
     )

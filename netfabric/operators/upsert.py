@@ -8,11 +8,13 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from netfabric.functions.canonical import ascii_json_string, spaced_json_object
 from netfabric.functions.ids import dedup_token, text
-from netfabric.functions.skew import _hashable, lookup_join
+from netfabric.functions.skew import _hashable, lookup_join, with_rank
 from netfabric.functions.timeargs import parse_time, ts_lit
+from netfabric.session import cut_lineage
 
 
 def latest_by_key(
@@ -204,6 +206,54 @@ def dedup_by_token(df: DataFrame, token: str = "token", first_by: Sequence[str]
     return picked.select(*[F.col(c) if c == token else F.col("_row")[c].alias(c) for c in df.columns])
 
 
+def dedup_in_window(blocks: DataFrame, token: str = "token", order: Sequence[str] = ("received_at",), window: int = 10_000) -> DataFrame:
+    """Blocks (rows) without those whose token is among the last ``window`` blocks that were kept before them.
+
+    A repeat beyond the window is kept and starts a new one.  ``order`` is the order of
+    arrival; blocks it leaves equal go by token.  Whether a block is kept depends on how
+    many were kept since its token was last seen, which depends on other tokens in turn,
+    so rounds go on until no decision changes: a block is decided once all before it
+    are.  In a round, each repeat points to the first one beyond its window, and those
+    on the way from a token's first block are found by doubling the pointers.
+    """
+    ranked = cut_lineage(with_rank(blocks, [], (*order, token), "_at"))
+    often = ranked.groupBy(token).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(token)
+    rows = cut_lineage(lookup_join(ranked.select(token, "_at"), often, token, "left_semi").withColumn("_kept", F.lit(True)))
+    while True:
+        placed = cut_lineage(_kept_before(rows))
+        beyond = Window.partitionBy(token).orderBy("_place").rangeBetween(window + 1, Window.unboundedFollowing)
+        first = F.min("_at").over(Window.partitionBy(token)) == F.col("_at")
+        jumps = cut_lineage(placed.select(token, "_at", F.min("_at").over(beyond).alias("_to"), first.alias("_on")))
+        tables = [jumps.filter("_to IS NOT NULL").select("_at", "_to")]
+        while not (ahead := cut_lineage(tables[-1].join(
+                tables[-1].select(F.col("_at").alias("_to"), F.col("_to").alias("_far")), "_to").select("_at", F.col("_far").alias("_to")))).isEmpty():
+            tables.append(ahead)
+        on_way = jumps.filter("_on").select("_at")
+        for table in reversed(tables):
+            on_way = cut_lineage(on_way.unionByName(on_way.join(table, "_at").select(F.col("_to").alias("_at"))).distinct())
+        now = cut_lineage(rows.join(on_way.withColumn("_new", F.lit(True)), "_at", "left").select(
+            token, "_at", F.coalesce("_new", F.lit(False)).alias("_kept"), (F.col("_kept") != F.coalesce("_new", F.lit(False))).alias("_moved")))
+        rows = now.select(token, "_at", "_kept")
+        if now.filter("_moved").isEmpty():
+            return ranked.join(rows.filter("NOT _kept").select("_at"), "_at", "left_anti").select(*blocks.columns)
+
+
+def _kept_before(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_place``: the kept blocks among all that arrived before each; all but those in ``rows`` are kept.
+
+    The drops before a block are those before its range of arrivals and those within it.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    span = max(1, -(-int(rows.agg(F.max("_at")).first()[0] or 1) // parts))
+    ranged = rows.withColumn("_range", F.floor(F.col("_at") / span))
+    drops = ranged.groupBy("_range").agg(F.count_if(~F.col("_kept")).alias("_n"))
+    # One row per range, of which there are as many as shuffle partitions.
+    before = drops.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    local = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    counted = ranged.withColumn("_here", F.coalesce(F.count_if(~F.col("_kept")).over(local), F.lit(0)))
+    return counted.join(before, "_range").withColumn("_place", F.col("_at") - 1 - F.col("_earlier") - F.col("_here")).drop("_range", "_earlier", "_here")
+
+
 def delete_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in ``ids``."""
     return lookup_join(df, ids.select(key).distinct(), key, "left_anti")

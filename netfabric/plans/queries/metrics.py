@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from netfabric.functions.siphash import INITIAL, LAST_MARK, ROTATIONS
 from netfabric.operators import liveness, metrics as op
 from netfabric.plans import adapter as ad
 from netfabric.plans.adapter import AS_OF, DUCK, SINCE, with_views
@@ -20,6 +21,35 @@ def _blob(data: bytes) -> str:
     return "'" + "".join(f"\\x{b:02X}" for b in data) + "'::BLOB"
 
 
+SIP_KEY = (506097522914230528, 1084818905618843912)
+
+
+def duck_siphash(message: str, key: tuple[int, int] = SIP_KEY) -> str:
+    """SipHash-2-4 of 128 bits over an ASCII text in SQL, a list of half rounds folded over the state."""
+    two64 = "18446744073709551616::HUGEINT"
+    start = "[" + ", ".join(f"{v ^ key[k % 2]}::HUGEINT" for k, v in enumerate(INITIAL)) + ", 0]"
+    powers = "[" + ", ".join(f"{256 ** j}::HUGEINT" for j in range(8)) + "]"
+    n = f"length({message})"
+    byte = f"CASE WHEN 8 * i + j < {n} THEN ord({message}[8 * i + j + 1]) WHEN j = 7 THEN {n} % 256 ELSE 0 END"
+    blocks = f"list_transform(range({n} // 8 + 1), lambda i: list_reduce(list_transform(range(8), lambda j: ({byte})::HUGEINT * {powers}[j + 1]), lambda x, y: x + y))"
+    steps = f"flatten(list_transform({blocks}, lambda m: [[0, m, 0, 0, 0], [1, 0, 0, 0, 0], [0, 0, 0, 0, 0], [1, 0, 0, m, 0]]))"
+    last = ", ".join(f"[{k % 2}::HUGEINT, 0, {LAST_MARK if k == 0 else 0}, 0, 0]" for k in range(8))
+
+    def rotate(x: str, bits: tuple[int, int] | int) -> str:
+        a, b = (bits, bits) if isinstance(bits, int) else bits
+        by = lambda f: f"(CASE WHEN t[1] = 0 THEN {f(a)} ELSE {f(b)} END)::HUGEINT"
+        return f"(({x}) * {by(lambda k: 1 << k)} % {two64} + ({x}) // {by(lambda k: 1 << (64 - k))})"
+
+    (a1, a2), (b1, b2) = ROTATIONS
+    pq, r, s = f"((s[1] + s[2]) % {two64})", "xor(s[3], t[3])", "xor(s[4], t[2])"
+    rs = f"(({r} + {s}) % {two64})"
+    state = f"[xor({rs}, t[4]), xor({rotate('s[2]', (a1, b1))}, {pq}), {rotate(pq, 32)}, xor({rotate(s, (a2, b2))}, {rs}), 0]"
+    folded = f"list_reduce(list_concat([{start}], {steps}, [{last}]), lambda s, t: {state})"
+    digits = lambda x: f"array_to_string(list_transform({powers}, lambda w: format('{{:02X}}', (({x}) // w % 256)::INTEGER)), '')"
+    # One element, so that the fold is written once.
+    return f"list_transform([{folded}], lambda v: {digits('xor(v[1], v[2])')} || {digits('xor(v[3], v[4])')})[1]"
+
+
 def duck_hmac(message: str, key: bytes = KEY) -> str:
     """HMAC-SHA256 in the check engine, from two plain SHA-256 calls."""
     padded = key.ljust(64, b"\0")
@@ -97,16 +127,16 @@ def mint_surrogates(spark, sf_dir):
 
 
 @REGISTRY.add("public_nodes", f"""{with_views(DUCK, "graph_nodes")}
-SELECT {duck_hmac("node_id")} AS node_id, tenant_id, kind, first_seen, last_seen FROM graph_nodes""")
+SELECT {duck_siphash("node_id")} AS node_id, tenant_id, kind, first_seen, last_seen FROM graph_nodes""")
 def public_nodes(spark, sf_dir):
-    return op.public_nodes(ad.graph_nodes(spark, sf_dir), KEY)
+    return op.public_nodes(ad.graph_nodes(spark, sf_dir), SIP_KEY)
 
 
 @REGISTRY.add("public_edges", f"""{with_views(DUCK, "graph_edges")}
-SELECT {duck_hmac("edge_id")} AS edge_id, tenant_id, {duck_hmac("src_id")} AS src_id, {duck_hmac("dst_id")} AS dst_id, edge_type, layer,
+SELECT {duck_siphash("edge_id")} AS edge_id, tenant_id, {duck_siphash("src_id")} AS src_id, {duck_siphash("dst_id")} AS dst_id, edge_type, layer,
   first_seen, last_seen, confidence FROM graph_edges""")
 def public_edges(spark, sf_dir):
-    return op.public_edges(ad.graph_edges(spark, sf_dir), KEY)
+    return op.public_edges(ad.graph_edges(spark, sf_dir), SIP_KEY)
 
 
 @REGISTRY.add("ratio_to_baseline", f"""{EV}, c AS (SELECT e.source_ip AS ip, count(*) FILTER (WHERE e.event_kind = 'alert') AS alerts,

@@ -121,6 +121,24 @@ def dedup_by_token(spark, sf_dir):
     return op.dedup_by_token(op.with_dedup_token(seg.unionByName(late))).select("token", "received_at")
 
 
+# Blocks of a few tokens each in turn, repeated near and far; the check walks them one by one.
+WINDOW_BLOCKS = 40
+
+
+@REGISTRY.add("dedup_in_window", f"""{with_views(DUCK, "audit_calls", recursive=True)},
+b AS (SELECT conv_id, turn, 'run-' || CAST(CASE WHEN conv_id % 3 = 0 THEN conv_id % 12 ELSE (conv_id * 7) % 180 END AS VARCHAR) AS token,
+  row_number() OVER (ORDER BY conv_id, turn) AS pos FROM audit_calls),
+w AS (SELECT 0::BIGINT AS pos, []::VARCHAR[] AS kept, false AS keep
+  UNION ALL SELECT b.pos, CASE WHEN list_contains(w.kept, b.token) THEN w.kept ELSE list_append(w.kept, b.token)[-{WINDOW_BLOCKS}:] END,
+    NOT list_contains(w.kept, b.token) FROM w JOIN b ON b.pos = w.pos + 1)
+SELECT b.conv_id, b.turn, b.token FROM w JOIN b USING (pos) WHERE w.keep""")
+def dedup_in_window(spark, sf_dir):
+    calls = ad.view(spark, sf_dir, "audit_calls")
+    name = F.when(F.col("conv_id") % 3 == 0, F.col("conv_id") % 12).otherwise((F.col("conv_id") * 7) % 180)
+    blocks = calls.select("conv_id", "turn", F.concat(F.lit("run-"), name.cast("string")).alias("token"))
+    return op.dedup_in_window(blocks, order=("conv_id", "turn"), window=WINDOW_BLOCKS)
+
+
 @REGISTRY.add("delete_ids", f"{EV} SELECT e.event_id, e.event_action FROM net_events e WHERE e.event_kind <> 'alert'")
 def delete_ids(spark, sf_dir):
     ev = ad.events(spark, sf_dir).select("event_id", "event_action", "event_kind")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from netfabric import schemas
 from netfabric.functions import ids
+from netfabric.functions.siphash import siphash128
 from netfabric.operators import audit as au
 from netfabric.operators import entities as en
 from netfabric.operators import graph as gr
@@ -184,7 +185,7 @@ def test_minted_surrogates_reuse_lengthen_and_follow_the_key_version(spark, at):
 def test_public_outputs_hold_only_allowed_columns(spark, at):
     t = at("2026-06-05 12:00:00")
     nodes = spark.createDataFrame([("n1", "t_main", "device", "secret", {"mac": "m"}, t, t, {})], "node_id string, tenant_id string, kind string, name string, identifiers map<string,string>, first_seen timestamp, last_seen timestamp, attrs map<string,string>")
-    assert me.public_nodes(nodes, b"k").columns == ["node_id", "tenant_id", "kind", "first_seen", "last_seen"]
+    assert me.public_nodes(nodes, (1, 2)).columns == ["node_id", "tenant_id", "kind", "first_seen", "last_seen"]
     edges = spark.createDataFrame([("e", "n1", "n2", t)], "edge_id string, src_id string, dst_id string, last_seen timestamp")
     allow = spark.createDataFrame([("secret", "primary", True)], "name string, site string, ollama boolean")
     snap = me.public_topology_snapshot(nodes, edges, allow, "2026-06-05 12:30:00", "salt")
@@ -269,6 +270,73 @@ def test_results_do_not_depend_on_partitioning(spark):
         assert seen[0] == seen[1]
 
 
+def _siphash_by_force(data, key):
+    mask = (1 << 64) - 1
+    rotl = lambda x, b: (x << b | x >> (64 - b)) & mask
+    v = [0x736F6D6570736575 ^ key[0], 0x646F72616E646F6D ^ key[1], 0x6C7967656E657261 ^ key[0], 0x7465646279746573 ^ key[1]]
+
+    def turn():
+        v[0] = (v[0] + v[1]) & mask; v[1] = rotl(v[1], 13) ^ v[0]; v[0] = rotl(v[0], 32)  # noqa: E702
+        v[2] = (v[2] + v[3]) & mask; v[3] = rotl(v[3], 16) ^ v[2]  # noqa: E702
+        v[0] = (v[0] + v[3]) & mask; v[3] = rotl(v[3], 21) ^ v[0]  # noqa: E702
+        v[2] = (v[2] + v[1]) & mask; v[1] = rotl(v[1], 17) ^ v[2]; v[2] = rotl(v[2], 32)  # noqa: E702
+
+    padded = data + bytes(7 - len(data) % 8) + bytes([len(data) % 256])
+    for k in range(0, len(padded), 8):
+        word = int.from_bytes(padded[k : k + 8], "little")
+        v[3] ^= word
+        turn()
+        turn()
+        v[0] ^= word
+    v[2] ^= 0xFF
+    for _ in range(4):
+        turn()
+    return v[0] ^ v[1], v[2] ^ v[3]
+
+
+def test_keyed_hash_equals_the_published_vectors_and_a_plain_loop(spark):
+    key = tuple(int.from_bytes(bytes(range(k, k + 8)), "little") for k in (0, 8))
+    # Published SipHash-2-4 values of the bytes 0, 1, 2 ... of each length under this key.
+    published = {0: 0x726FDB47DD0E0E31, 1: 0x74F839C593DC67FD, 2: 0x0D6C8009D9A94F5A, 3: 0x85676696D7FB7E2D, 4: 0xCF2794E0277187B7,
+                 5: 0x18765564CD99A68D, 6: 0xCBC9466E58FEE3CE, 7: 0xAB0200F58B01D137, 8: 0x93F5F5799A932462, 15: 0xA129CA6149BE45E5}
+    texts = ["".join(map(chr, range(n))) for n in published] + ["0123456789abcdef", "é" * 9, "x" * 300, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "id string").select("id", siphash128("id", key).alias("h"))
+    found = {r.id: r.h for r in rows.collect()}
+    assert found.pop(None) is None and len(found) == len(texts) - 1
+    for text, digits in found.items():
+        low, high = (int.from_bytes(bytes.fromhex(digits[k : k + 16]), "little") for k in (0, 16))
+        assert (low, high) == _siphash_by_force(text.encode(), key) and digits == digits.upper()
+        if text in texts[: len(published)]:
+            assert low ^ high == published[len(text)]
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("window", [1, 3, 20, 1000])
+def test_blocks_in_a_window_equal_a_walk(spark, window):
+    import random
+    rng = random.Random(window)
+    tokens = [rng.choice("abcdefghijklmnop"[: rng.choice([2, 5, 16])]) for _ in range(160)] + ["hot"] * 30
+    kept, want = [], []
+    for k, token in enumerate(tokens):
+        if token not in kept[-window:]:
+            kept.append(token)
+            want.append(k)
+    rows = spark.createDataFrame(list(enumerate(tokens)), "received_at long, token string")
+    assert sorted(r.received_at for r in up.dedup_in_window(rows, window=window).collect()) == want
+
+
+def test_dyadic_cover_is_exact_and_small(spark):
+    import random
+    rng = random.Random(7)
+    spans = [(a, a + rng.randint(0, 300)) for a in (rng.randint(0, 2000) for _ in range(200))] + [(0, 0), (1_700_000_000, 1_700_000_000 + 308_000_000)]
+    df = spark.createDataFrame(spans, "lo long, hi long").select("lo", "hi", au.dyadic_cover(F.col("lo"), F.col("hi")).alias("c"))
+    for r in df.collect():
+        pieces = sorted((p["index"] << p["level"], (p["index"] + 1) << p["level"]) for p in r.c)
+        assert pieces[0][0] == r.lo and pieces[-1][1] == r.hi + 1 and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:], strict=False))
+        # The last span is ten years in units of 1024 ms.
+        assert len(pieces) < 60
+
+
 def _path_by_force(edges, src, dst):
     around = {}
     for a, b in edges:
