@@ -3,11 +3,13 @@
 1. Benchmark items become passages; their terms are weighted by document
    frequencies over the whole corpus.
 2. A randomised SVD of the TF-IDF passages, made by Spark in blocks of passages,
-   gives a latent space.
-3. Every window of every document is compared with all passages in that space.
-   A cosine falls as the corpus grows and as a leak spreads, so beside it every
-   passage is a candidate whose words the window's stretch holds as often as the
-   limits of step 4 need; nothing that those accept is lost before them.
+   gives a latent space of a rank far below their number.
+3. Every window of every document is projected into it.  A passage is a candidate
+   where the window's projection on it, over the passage's own square, reaches a
+   limit: the share of the passage's weight that the window holds.  A verbatim copy
+   has 1 however large the corpus and however common the leak, which a cosine has
+   not.  The few passages of which the space keeps next to nothing are candidates
+   where the window holds enough of their words, counted exactly.
 4. A candidate counts if the longest common subsequence of words covers most of
    the passage, or a good part of it together with its answer; so a passage that
    was reworded in places is found as well.  The latter also needs the cosine or
@@ -29,9 +31,14 @@ from netfabric.session import cut_lineage
 
 WINDOW = 64
 STEP = 32
-#: Passages of one latent space; its rank covers all of them, so none is lost.
+#: Passages of one latent space, and its rank.
 BLOCK = 256
+RANK = 96
 OVERSAMPLE = 8
+#: Share of a passage's weight that a window has to hold, as the latent space sees it.  What it sees of unrelated passages is 0.1 or less.
+SHARE = 0.4
+#: Of a passage's square, the space has to keep so much for its shares to be trusted.
+KEPT = 0.1
 COSINE = 0.2
 LCS_ALONE = 0.7
 LCS_WITH_ANSWER = 0.5
@@ -40,10 +47,10 @@ ANSWER = 0.8
 #: and the subsequence than ``LCS_ALONE``; a verbatim copy has 1, chance matches of common words had 0.2 at most.
 WEIGHT = 0.25
 ANSWER_WORDS = 8
-#: Classes of term weights, by which a window's cosines are bounded before it is projected.
-LEVELS = (1.0, 2.0, 3.5, 5.0, 7.0, 9.0)
-#: Halves of a window's stretch before and after its first one.
-BEFORE, AFTER = WINDOW // STEP, 2 * WINDOW // STEP - 1
+#: Steps of a window: any passage lies in one whole, wherever it begins.
+SPAN = (WINDOW + STEP) // STEP + 1
+#: Steps of a window's stretch before and after its first one.
+BEFORE, AFTER = 1, SPAN
 #: Terms of at least so many passages of a block are counted by a matrix product, the others by their lists of passages.
 MANY = 8
 #: Windows whose words are counted at once.
@@ -76,10 +83,11 @@ class Counts(NamedTuple):
 
 
 class Space(NamedTuple):
-    """A latent space: its terms in order, their weights and axes, and its passages.
+    """A latent space: its terms in order, their weights and axes (times the weights), and its passages.
 
-    ``levels`` classes the terms by weight; ``mass`` has the root of each passage's share in each class.
-    ``counts`` says how often the passages have each term; ``own`` has the places of each passage's distinct terms.
+    A projected window times a column of ``latent`` is the share of that passage; 0 for those in ``poor``, of
+    which the space keeps too little.  ``counts`` says how often the poor passages have each term, ``own`` has
+    the places of each passage's distinct terms, ``square`` its weight.
     """
 
     terms: np.ndarray
@@ -90,9 +98,9 @@ class Space(NamedTuple):
     items: np.ndarray
     parts: np.ndarray
     rare: float
-    levels: np.ndarray
-    mass: np.ndarray
-    counts: Counts
+    square: np.ndarray
+    poor: np.ndarray
+    counts: Counts | None
     own: list[np.ndarray]
 
 
@@ -272,23 +280,27 @@ def fit_spaces(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str
         held = own.orderBy("item_id", "part").toArrow()
         if not held.num_rows:
             continue
-        k = held.num_rows + OVERSAMPLE
+        k = min(held.num_rows, RANK) + OVERSAMPLE
         axes = randomized_svd(own, k).join(idf, "term").toArrow().sort_by("term")
         term = axes.column("term").to_numpy().view(np.uint64)
         order = np.argsort(term)
         vectors = np.array(axes.column("vector").combine_chunks().flatten()).reshape(-1, k)[order].astype(np.float32)
         term = term[order]
         weight = axes.column("idf").to_numpy()[order]
-        levels, latent, mass = np.digitize(weight, LEVELS), [], []
+        latent, square = [], []
         for t, w in zip(held.column("terms").to_pylist(), held.column("weights").to_pylist(), strict=True):
             w, at = np.array(w), np.searchsorted(term, np.array(t, np.int64).view(np.uint64))
-            square = (w * w).sum() or 1.0
-            latent.append(w @ vectors[at] / np.sqrt(square))
-            mass.append(np.sqrt(np.bincount(levels[at], w * w, minlength=len(LEVELS) + 1) / square))
+            square.append(float((w * w).sum()))
+            latent.append(w @ vectors[at])
+        latent, square = np.array(latent), np.array(square)
+        kept = (latent * latent).sum(axis=1)
+        good = (kept > 0) & (kept >= KEPT * square)
+        latent = np.where(good[:, None], latent / np.where(good, kept, 1)[:, None], 0)
+        poor = np.flatnonzero(~good)
         words = [np.array(x, np.int64).view(np.uint64) for x in held.column("words").to_pylist()]
-        yield Space(term, weight, vectors, np.array(latent, np.float32), words, held.column("item_id").to_numpy(),
-                    held.column("part").to_numpy(), float(np.log(1.0 + n)), levels, np.array(mass), counts_of(term, words),
-                    [np.searchsorted(term, np.unique(x)) for x in words])
+        yield Space(term, weight, (vectors * weight[:, None]).astype(np.float32), np.ascontiguousarray(latent.T, np.float32), words,
+                    held.column("item_id").to_numpy(), held.column("part").to_numpy(), float(np.log(1.0 + n)), square, poor,
+                    counts_of(term, [words[p] for p in poor]) if len(poor) else None, [np.searchsorted(term, np.unique(x)) for x in words])
         del axes, vectors
 
 
@@ -367,52 +379,70 @@ def holders(counts: Counts, half: np.ndarray, term: np.ndarray, row: np.ndarray)
     return np.concatenate(windows), np.concatenate(found)
 
 
-def window_cosines(space: Space, w: textbuf.Words) -> Iterator[tuple[int, int, np.ndarray]]:
-    """``(row, first word, cosines with all passages)`` of the windows that ``candidates`` finds."""
-    for row, first, cosines, _ in candidates(space, w):
-        yield row, first, cosines
+class Windows(NamedTuple):
+    """Steps of ``STEP`` words: the row and first word of each, and its distinct known terms as ``step`` and ``term``, in order."""
 
+    row: np.ndarray
+    first: np.ndarray
+    step: np.ndarray
+    term: np.ndarray
 
-def candidates(space: Space, w: textbuf.Words, by_cosine: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(row, first word, cosines with all passages, passages to verify)`` of windows.
 
-    These are all windows whose stretch has enough words of a passage, and, ``by_cosine``, all that reach
-    ``COSINE`` with one; the latter alone have nothing to verify.  Within a class of term weights, the shares of a window and of a passage bound
-    what the class adds to their cosine (Cauchy-Schwarz), so most windows need no projection.
-    """
-    halves = -(-np.diff(w.bounds) // STEP)
-    n, terms, classes = int(halves.sum()), len(space.terms), len(LEVELS) + 1
-    if not n or not terms:
-        return
-    owner = textbuf.owners(w.bounds)
+def steps_of(space: Space, w: textbuf.Words) -> Windows:
+    steps = -(-np.diff(w.bounds) // STEP)
+    before = np.concatenate([[0], np.cumsum(steps)])
+    row, owner = textbuf.owners(before), textbuf.owners(w.bounds)
     at = lookup(space.terms, w.hashes)
-    first_half = np.concatenate([[0], np.cumsum(halves)])
-    row = textbuf.owners(first_half)
-    half = first_half[owner] + (np.arange(len(w.hashes)) - w.bounds[owner]) // STEP
-    # A window is a half and the next one of its row; the last half alone is one only if there is no other.
-    follows = np.append(False, row[1:] == row[:-1])
     hit = np.flatnonzero(at >= 0)
-    single = np.unique(half[hit] * terms + at[hit])
-    both = single[follows[single // terms]]
-    pairs = np.unique(np.concatenate([single, both - terms]))
-    window, term = pairs // terms, pairs % terms
-    known = np.bincount(window * classes + space.levels[term], space.idf[term] ** 2, minlength=n * classes).reshape(n, classes)
-    other = np.bincount(half[at < 0], minlength=n) * space.rare**2
-    mass = other + np.append(np.where(follows[1:], other[1:], 0.0), 0.0) + known.sum(axis=1)
-    whole = np.append(follows[1:], False) | ~follows
-    usable = np.flatnonzero((mass > 0) & whole & by_cosine)
-    usable = usable[known[usable].sum(axis=1) >= COSINE**2 * mass[usable]]
-    bound = np.sqrt(known[usable] / mass[usable][:, None]) @ space.mass.T
-    usable = usable[(bound >= COSINE - 1e-6).any(axis=1)]
-    holder, passage = holders(space.counts, single // terms, single % terms, row)
-    holder, passage = holder[whole[holder]], passage[whole[holder]]
-    starts = np.searchsorted(window, np.arange(n + 1))
-    for k in np.union1d(usable, holder):
-        own = term[starts[k] : starts[k + 1]]
-        cosines = space.latent @ (space.idf[own].astype(np.float32) @ space.axes[own]) / np.sqrt(mass[k] or 1.0)
-        held = passage[np.searchsorted(holder, k) : np.searchsorted(holder, k, "right")]
-        if len(held) or cosines.max() >= COSINE:
-            yield row[k], (k - first_half[row[k]]) * STEP, cosines, held
+    step = before[owner[hit]] + (hit - w.bounds[owner[hit]]) // STEP
+    pairs = np.unique(step * max(1, len(space.terms)) + at[hit])
+    return Windows(row, (np.arange(len(row)) - before[row]) * STEP, pairs // max(1, len(space.terms)), pairs % max(1, len(space.terms)))
+
+
+def shares(space: Space, at: Windows) -> np.ndarray:
+    """The share of each passage that the window from each step on holds, as the latent space sees it."""
+    n = len(at.row)
+    each = np.zeros((n, space.axes.shape[1]), np.float32)
+    if len(at.step):
+        starts = np.flatnonzero(np.append(True, at.step[1:] != at.step[:-1]))
+        each[at.step[starts]] = np.add.reduceat(space.axes[at.term], starts, axis=0)
+    total = each.copy()
+    for ahead in range(1, SPAN):
+        same = np.flatnonzero(at.row[ahead:] == at.row[:-ahead]) if n > ahead else np.zeros(0, int)
+        total[same] += each[same + ahead]
+    return total @ space.latent
+
+
+def candidates(space: Space, w: textbuf.Words) -> Iterator[tuple[int, int, int, float]]:
+    """``(row, first word, passage, share)`` of the windows in which a passage may lie; the best of steps side by side."""
+    at = steps_of(space, w)
+    if not len(at.row) or not len(space.terms):
+        return
+    share = shares(space, at)
+    if space.counts is not None:
+        own = (space.counts.column >= 0) | (np.diff(space.counts.starts) > 0)
+        near = np.flatnonzero(own[at.term])
+        step, passage = holders(space.counts, at.step[near], at.term[near], at.row)
+        share[step, space.poor[passage]] = SHARE
+    # A passage shows in some neighbouring windows; one that holds all of it has the most, and equal ones are all looked at.
+    padded = np.full((len(share) + 2, share.shape[1]), -1, np.float32)
+    padded[1:-1] = share
+    apart = np.flatnonzero(at.row[1:] != at.row[:-1]) + 1
+    better = padded[1:-1] >= SHARE
+    for neighbour, edge in ((padded[:-2], apart), (padded[2:], apart - 1)):
+        above = neighbour > padded[1:-1] * 1.02 + 0.02
+        above[edge] = False
+        better &= ~above
+    for step, passage in zip(*np.nonzero(better), strict=True):
+        yield int(at.row[step]), int(at.first[step]), int(passage), float(share[step, passage])
+
+
+def cosine_of(space: Space, passage: int, share: float, words: np.ndarray) -> float:
+    """The cosine of a window and a passage of which it holds ``share``; words that no passage has weigh most."""
+    at = lookup(space.terms, np.unique(words))
+    known = space.idf[at[at >= 0]]
+    mass = (known * known).sum() + np.count_nonzero(lookup(space.terms, words) < 0) * space.rare**2
+    return float(np.clip(share * np.sqrt(space.square[passage] / mass), 0, 1)) if mass else 0.0
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -462,14 +492,16 @@ def find_contamination(
                 for chunk in textbuf.chunks(batch.column("text")):
                     w = words_of(chunk)
                     for space in shared.value:
-                        for row, first, cosines, held in candidates(space, w, by_cosine=False):
+                        for row, first, k, seen in candidates(space, w):
                             own = w.hashes[w.bounds[row] : w.bounds[row + 1]]
-                            stretch = own[max(0, first - WINDOW) : first + 2 * WINDOW]
-                            for k in held:
-                                akin = cosines[k] >= COSINE or weight_held(space, k, stretch) >= WEIGHT
-                                share, answer = verify(space.words[k], stretch, LCS_WITH_ANSWER if akin else LCS_ALONE)
-                                if share >= LCS_ALONE or (akin and share >= LCS_WITH_ANSWER and answer >= ANSWER):
-                                    out.append((ids[chunk.lo + row], int(space.items[k]), int(space.parts[k]), float(cosines[k]), share, answer, int(first)))
+                            stretch = own[max(0, first - BEFORE * STEP) : first + (AFTER + 1) * STEP]
+                            if np.isin(space.words[k], stretch).mean() < LCS_WITH_ANSWER:
+                                continue
+                            cosine = cosine_of(space, k, seen, own[first : first + SPAN * STEP])
+                            akin = cosine >= COSINE or weight_held(space, k, stretch) >= WEIGHT
+                            share, answer = verify(space.words[k], stretch, LCS_WITH_ANSWER if akin else LCS_ALONE)
+                            if share >= LCS_ALONE or (akin and share >= LCS_WITH_ANSWER and answer >= ANSWER):
+                                out.append((ids[chunk.lo + row], int(space.items[k]), int(space.parts[k]), cosine, share, answer, first))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)],
                     ["doc_id", "item_id", "part", "cosine", "lcs_share", "answer_share", "first_word"])
