@@ -17,7 +17,7 @@ from netfabric.functions.canonical import (
 from netfabric.functions.ids import text
 from netfabric.functions.skew import lookup_join, with_rank
 from netfabric.operators.graph import reaches_root
-from netfabric.session import cut_lineage
+from netfabric.session import cut_lineage, shared_path
 
 # Chain key, hashed fields in order, actor types.
 CHAIN_KEYS = ("tier", "server_id")
@@ -200,17 +200,19 @@ def append_chained(rows: DataFrame, tails: DataFrame, order: tuple[str, ...] = (
         *CHAIN_KEYS, "rank", canonical(ranked).alias("body"), F.floor((F.col("rank") - 1) / block_rows).alias("_block")
     ), ["_block"])
     last_block = bodies.agg(F.max("_block")).first()[0]
+    if last_block is None:
+        return ranked.drop("rank").withColumn("prev_hash", F.lit("")).withColumn("row_hash", F.lit(""))
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "links")
     seeds = tails.select(*CHAIN_KEYS, F.col("row_hash").alias("seed"))
-    linked = None
-    for block in range(0, (last_block if last_block is not None else -1) + 1):
+    for block in range(last_block + 1):
         part = bodies.filter(F.col("_block") == block).join(seeds, list(CHAIN_KEYS), "left").select(
             *CHAIN_KEYS, "rank", "body", F.coalesce("seed", F.lit("")).alias("seed")
         )
-        done = cut_lineage(part.groupBy(*CHAIN_KEYS).applyInPandas(_block_linker(), _LINK_SCHEMA))
+        # A folder per block: the next one reads its tails from there, and all are read once at the end.
+        part.groupBy(*CHAIN_KEYS).applyInPandas(_block_linker(), _LINK_SCHEMA).write.parquet(f"{path}/block={block}")
+        done = spark.read.schema(_LINK_SCHEMA).parquet(f"{path}/block={block}")
         seeds = done.groupBy(*CHAIN_KEYS).agg(F.max_by("row_hash", "rank").alias("seed"))
-        linked = done if linked is None else linked.unionByName(done)
-    if linked is None:
-        return ranked.drop("rank").withColumn("prev_hash", F.lit("")).withColumn("row_hash", F.lit(""))
+    linked = spark.read.schema(f"{_LINK_SCHEMA}, block int").parquet(path).drop("block")
     return ranked.join(linked, [*CHAIN_KEYS, "rank"]).drop("rank")
 
 

@@ -8,12 +8,13 @@ costs one round at most.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netfabric.functions.skew import lookup_join
-from netfabric.session import cut_lineage
+from netfabric.session import cut_lineage, shared_path
 
 
 def both_directions(edges: DataFrame, src: str = "src_id", dst: str = "dst_id") -> DataFrame:
@@ -56,6 +57,57 @@ def connected_components(edges: DataFrame, src: str = "src_id", dst: str = "dst_
             return labels.select("id", F.col("label").alias("component"))
 
 
+class Components(NamedTuple):
+    """Components that grow: ``nodes (id, root, slot)`` at ``nodes_path``, by slot, and ``roots (root, component)``.
+
+    A node keeps the root it was given; what its root has since become is in ``roots``,
+    which has a row only for roots that were merged away.
+    """
+
+    nodes_path: str
+    roots: DataFrame
+    slots: int
+
+
+def empty_components(spark: SparkSession, slots: int = 64) -> Components:
+    path = shared_path(spark, "components")
+    spark.createDataFrame([], "id string, root string, slot int").write.partitionBy("slot").parquet(path)
+    return Components(path, spark.createDataFrame([], "root string, component string"), slots)
+
+
+def add_edges(known: Components, edges: DataFrame, src: str = "src_id", dst: str = "dst_id") -> Components:
+    """The components after a batch of edges.
+
+    The nodes of the batch alone are looked up, in their slots; components of the batch
+    are found on the graph of their present roots; and only the roots that lose their
+    name are written again, whatever the number of nodes below them.
+    """
+    spark = edges.sparkSession
+    slot = F.pmod(F.xxhash64("id"), F.lit(known.slots)).cast("int")
+    pairs = cut_lineage(edges.select(F.col(src).cast("string").alias("a"), F.col(dst).cast("string").alias("b")))
+    met = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("slot", slot))
+    touched = [r["slot"] for r in met.select("slot").distinct().collect()]  # at most ``slots`` numbers
+    stored = spark.read.schema("id string, root string, slot int").parquet(known.nodes_path).filter(F.col("slot").isin(touched))
+    placed = cut_lineage(met.join(stored, ["id", "slot"], "left"))
+    fresh = placed.filter("root IS NULL").select("id", F.col("id").alias("root"), "slot")
+    now = cut_lineage(placed.join(known.roots, "root", "left").select("id", F.coalesce("component", "root", "id").alias("root")))
+    ends = pairs.join(now.select(F.col("id").alias("a"), F.col("root").alias("src_id")), "a").join(
+        now.select(F.col("id").alias("b"), F.col("root").alias("dst_id")), "b").select("src_id", "dst_id")
+    merged = connected_components(ends).filter("id <> component").select(F.col("id").alias("root"), "component")
+    # Older rows that lead to a root merged just now lead on to where it went.
+    moved = known.roots.join(merged.select(F.col("root").alias("component"), F.col("component").alias("_to")), "component", "left")
+    roots = cut_lineage(moved.select("root", F.coalesce("_to", "component").alias("component")).unionByName(merged))
+    cut_lineage(fresh).write.mode("append").partitionBy("slot").parquet(known.nodes_path)
+    return Components(known.nodes_path, roots, known.slots)
+
+
+def component_labels(known: Components) -> DataFrame:
+    """``(id, component)`` of every node seen; the component is its smallest id."""
+    spark = known.roots.sparkSession
+    nodes = spark.read.schema("id string, root string, slot int").parquet(known.nodes_path)
+    return lookup_join(nodes, known.roots, "root", "left").select("id", F.coalesce("component", "root").alias("component"))
+
+
 def _expand(edges: DataFrame, frontier: DataFrame) -> DataFrame:
     """``(root, node, parent)``: neighbours of the frontier, each once with the smallest frontier node beside it.
 

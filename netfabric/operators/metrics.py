@@ -45,6 +45,7 @@ DENY_PROVIDERS = ("paloalto", "juniper")
 SURROGATE_PREFIX = {"host": "h_", "firewall": "fw_", "segment": "seg_", "port": "p_", "vmid": "vm_"}
 SURROGATE_BASE_LENGTH = 10
 DIGEST_LENGTH = 64
+SKETCH_PRECISION = 14
 BUCKET_SECONDS = 300
 LOOKBACK_HOURS = 1
 BASELINE_DAYS = 30
@@ -102,6 +103,31 @@ def entity_series(
     )
 
 
+def connection_sketches(
+    events: DataFrame, as_of: TimeArg, *, since: TimeArg = f"now-{LOOKBACK_HOURS}h", bucket_seconds: int = BUCKET_SECONDS,
+    tenant: str | None = DEFAULT_TENANT, precision: int = SKETCH_PRECISION,
+) -> DataFrame:
+    """``(bucket_start, sketch)``: the connections of each bucket as a sketch of a few kilobytes that merges.
+
+    Beside the exact :func:`metric_series`; coarser buckets come from the sketches by
+    :func:`roll_up_sketches`, without another scan of events.
+    """
+    tuple_hash = F.xxhash64(*[F.col(c) for c in CONNECTION_TUPLE])
+    df = _flow_events(events, tenant, since, as_of)
+    return df.groupBy(_bucket(bucket_seconds)).agg(F.hll_sketch_agg(tuple_hash, precision).alias("sketch"))
+
+
+def roll_up_sketches(sketches: DataFrame, bucket_seconds: int) -> DataFrame:
+    """Sketches of wider buckets; a connection seen in several counts once, as it would in a scan."""
+    start = F.timestamp_seconds(F.floor(F.unix_timestamp("bucket_start") / bucket_seconds) * bucket_seconds)
+    return sketches.groupBy(start.alias("bucket_start")).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketch_series(sketches: DataFrame) -> DataFrame:
+    """The estimated number of connections per bucket; the standard error is about 1.04 / 2^(precision / 2)."""
+    return sketches.select("bucket_start", F.lit("connections").alias("metric"), F.hll_sketch_estimate("sketch").alias("value"))
+
+
 def top_entities(series: DataFrame, n: int = TOP_ENTITIES, entity: str = "ip") -> DataFrame:
     """The buckets of the ``n`` entities with the largest total."""
     leaders = (

@@ -77,6 +77,18 @@ def metric_series_connections(spark, sf_dir):
     return op.metric_series(ad.events(spark, sf_dir), "connections", AS_OF, since=SINCE)
 
 
+@REGISTRY.add("connection_sketches", f"""{EV} SELECT date_trunc('day', e.timestamp) AS bucket_start, count(DISTINCT {CONN}) AS connections, true AS within
+FROM net_events e WHERE {FLOW} GROUP BY ALL""")
+def connection_sketches(spark, sf_dir):
+    """Days rolled up from sketches of buckets, beside the exact counts; within three hundredths of them."""
+    events = ad.events(spark, sf_dir)
+    days = op.roll_up_sketches(op.connection_sketches(events, AS_OF, since=SINCE), 86_400)
+    exact = op.metric_series(events, "connections", AS_OF, since=SINCE, bucket_seconds=86_400).select("bucket_start", F.col("value").cast("long").alias("connections"))
+    found = op.sketch_series(days).select("bucket_start", "value").join(exact, "bucket_start", "full")
+    near = F.coalesce(F.abs(F.col("value") - F.col("connections")) <= 1 + 0.03 * F.col("connections"), F.lit(False))
+    return found.select("bucket_start", "connections", near.alias("within"))
+
+
 ENTITY = f"""{EV}, s AS (SELECT {BUCKET} AS bucket_start, e.source_ip AS ip, CAST(sum(coalesce(e.network_bytes, 0)) AS DOUBLE) AS value
 FROM net_events e WHERE {FLOW} GROUP BY ALL)"""
 

@@ -369,3 +369,32 @@ def test_paths_searched_from_both_ends_equal_brute_force(spark):
     reach = {(r.start, r.node): r.hops for r in gr.within_depth(adj, spark.createDataFrame([("n00",), ("c05",)], "start string"), 3).collect()}
     near = {(a, b): len(p) - 1 for a in ("n00", "c05") for b in {x for e in edges for x in e} if (p := _path_by_force(edges, a, b)) and len(p) <= 4}
     assert reach == near
+
+
+def test_components_that_grow_equal_a_full_run_after_every_batch(spark):
+    import random
+    rng = random.Random(11)
+    edges = [(f"n{rng.randint(0, 60):02d}", f"n{rng.randint(0, 60):02d}") for _ in range(44)]
+    known, seen = gr.empty_components(spark, 8), []
+    for k in range(0, len(edges), 11):
+        batch = edges[k : k + 11]
+        seen += batch
+        known = gr.add_edges(known, spark.createDataFrame(batch, "src_id string, dst_id string"))
+        got = {r.id: r.component for r in gr.component_labels(known).collect()}
+        full = {r.id: r.component for r in gr.connected_components(spark.createDataFrame(seen, "src_id string, dst_id string")).collect()}
+        # A node with nothing but a loop is its own component here and has no row there.
+        assert got == {x: x for e in seen for x in e} | full
+    assert gr.component_labels(known).count() == len(got)
+
+
+def test_merged_sketches_estimate_distinct_connections(spark, at):
+    n, t = 100_000, at("2026-06-05 12:00:00")
+    flows = spark.range(2 * n).select(
+        F.lit("t_main").alias("tenant_id"), F.lit("flow_end").alias("event_action"), (F.lit(t) + F.expr("make_interval(0, 0, 0, 0, 0, cast(id % 50 as int))")).alias("timestamp"),
+        *[F.concat(F.lit(c), (F.col("id") % n).cast("string")).alias(c) for c in me.CONNECTION_TUPLE], F.lit(1).cast("long").alias("network_bytes"))
+    fine = me.connection_sketches(flows, "2026-06-06 00:00:00", since="2026-06-05 00:00:00", bucket_seconds=300)
+    assert fine.count() == 10
+    day = me.sketch_series(me.roll_up_sketches(fine, 86_400)).collect()
+    assert len(day) == 1 and abs(day[0]["value"] - n) <= 0.03 * n
+    whole = me.sketch_series(me.connection_sketches(flows, "2026-06-06 00:00:00", since="2026-06-05 00:00:00", bucket_seconds=86_400)).first()
+    assert abs(whole["value"] - day[0]["value"]) <= 0.01 * n
