@@ -67,7 +67,9 @@ def routing_engine(snapshots: DataFrame) -> DataFrame:
 def chassis_environment(snapshots: DataFrame) -> DataFrame:
     """Rows ``Temp <sensor> <status> <n> degrees C / ...``."""
     words = _words(F.col("trimmed"))
-    rows = lines_of(snapshots).withColumns({"words": words, "at": F.array_position(F.transform(words, F.lower), "degrees").cast("int")})
+    # The cheap test comes first, so that only rows of the class are split.
+    of_class = lines_of(snapshots).filter(F.lower(F.substring("trimmed", 1, len(TEMPERATURE_CLASS))) == TEMPERATURE_CLASS)
+    rows = of_class.withColumns({"words": words, "at": F.array_position(F.transform(words, F.lower), "degrees").cast("int")})
     value = F.get("words", F.col("at") - 2).try_cast("double")
     shaped = (F.lower(F.get("words", F.lit(0))) == TEMPERATURE_CLASS) & (F.col("at") >= 5) & (F.lower(F.get("words", F.col("at"))) == "c")
     sensor = F.array_join(F.slice("words", F.lit(2), F.greatest(F.lit(0), F.col("at") - 4)), " ")
@@ -103,7 +105,9 @@ def environmentals(snapshots: DataFrame) -> DataFrame:
 def _stanzas(snapshots: DataFrame) -> DataFrame:
     rows = snapshots.select("*", F.explode(F.split("body", r"\n\s*\n")).alias("block")).withColumn("block", F.trim(F.regexp_replace("block", r"^\s+|\s+\z", "")))
     header = F.trim(F.split_part("block", F.lit("\n"), F.lit(1)))
-    name = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(header, r"^\[\w+\]\s*", ""), r"^Node:\s*", "")), r"\s*\(ID:[^)]*\)\s*$", "")
+    untagged = F.when(header.startswith("["), F.ltrim(F.get(F.split(header, "]", 2), F.lit(1)))).otherwise(header)
+    bare = F.when(untagged.startswith("Node:"), F.substring(untagged, 6, 1_000_000)).otherwise(untagged)
+    name = F.when(bare.endswith(")"), F.split_part(bare, F.lit("(ID:"), F.lit(1))).otherwise(bare)
     return rows.withColumns({"name": F.trim(name), "status": F.upper(F.regexp_extract("block", r"Status:\s*(\S+)", 1))}).filter(F.col("name") != "")
 
 
