@@ -55,7 +55,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = warc.archive_folder(spark)
-    warc.write_archives(pages, folder, min_revisit=0)
+    warc.write_archives(pages, folder, min_revisit=0, null_ids=True)
     read = warc.resolve(warc.reassemble(warc.read_records(spark, folder)))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netfabric.functions.skew import with_rank
 from netfabric.llm.components import connected_components
 from netfabric.llm.groups import sorted_groups
 from netfabric.session import cut_lineage
@@ -179,9 +180,10 @@ def link_vectors(
     """``(vec_id, n_links, component_id, kept)``, one row per row of ``vectors``.
 
     Vectors of one label and length are linked if their cosine is ``cosine`` or more.
-    ``n_links`` counts the other ids linked directly.  Vectors that are null, empty, zero,
+    ``n_links`` counts the other points linked directly.  Vectors that are null, empty, zero,
     or have null or non-finite components, and those with a null label, link with nothing.
-    A null id has a null component and is not kept.  Rows that repeat an id count once.
+    A null id has a null component and is not kept.  Rows that repeat an id and its vector
+    count once; an id with several vectors stands for several points, each with its links.
     Equal vectors are one point of a class with a size, so copies cost nothing.  An empty
     table gives no rows; extra columns are ignored.
     """
@@ -190,15 +192,17 @@ def link_vectors(
     units = cut_lineage(unit_vectors(rows).withColumns({"hi": F.xxhash64("vector"), "lo": F.substring(F.md5("vector"), 1, 16)}))
     usable = units.filter("vector IS NOT NULL AND label IS NOT NULL AND id IS NOT NULL")
     alike = ["label", "dim", "hi", "lo"]
-    classes = cut_lineage(usable.groupBy(*alike, "id").agg(F.lit(1).alias("_one")).groupBy(*alike).agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    sizes = classes.select(F.col("rep").alias("id"), "label", "dim", "n")
-    points = cut_lineage(usable.select("id", "label", "dim", "vector").dropDuplicates(["id", "label", "dim"]).join(sizes, ["id", "label", "dim"]).select(
-        F.xxhash64("label", "dim").alias("cell"), F.lit(True).alias("home"), "id", "n", "vector"))
+    # Numbers in the order of the smallest ids, so that the first class of a component holds its smallest id.
+    classes = cut_lineage(with_rank(usable.groupBy(*alike, "id").agg(F.lit(1).alias("_one")).groupBy(*alike).agg(
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), [], ["rep", *alike], "class"))
+    sizes = classes.select(*alike, F.col("rep").alias("id"), "class", "n")
+    points = cut_lineage(usable.join(sizes, [*alike, "id"]).dropDuplicates(["class"]).select(
+        F.xxhash64("label", "dim").alias("cell"), F.lit(True).alias("home"), F.col("class").alias("id"), "n", "vector"))
     counts, edges = join_cells(cut_lineage(cells_of(points, radius)), cosine)
-    components = connected_components(edges)
-    found = classes.join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left").select(
-        *alike, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    names = classes.select(F.col("class").alias("component"), F.col("rep").alias("smallest"))
+    components = connected_components(edges).join(names, "component").select(F.col("id").alias("class"), "smallest")
+    found = classes.join(counts.withColumnRenamed("id", "class"), "class", "left").join(components, "class", "left").select(
+        *alike, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("smallest", "rep").alias("component"))
     joined = units.drop("vector").join(found, alike, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return joined.select(

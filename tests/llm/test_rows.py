@@ -1,5 +1,6 @@
 """Mixing, sharding, vectors, WARC, tool calls and the pipeline against brute force, and on odd rows."""
 
+import gzip
 import importlib.util
 import json
 import zlib
@@ -197,6 +198,14 @@ def test_vectors_of_odd_rows(spark):
     assert rangejoin.link_vectors(vectors.filter("false")).count() == 0
 
 
+def test_an_id_with_several_vectors_keeps_the_links_of_each(spark):
+    vectors = spark.createDataFrame(
+        [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [2.0, 0.01], 1), (3, [0.01, 1.0], 1), (1, [1.0, 0.0], 1), (4, [-1.0, 0.0], 1), (0, [1.0, 0.0], 2)],
+        "vec_id long, embedding array<float>, label int")
+    got = sorted(tuple(r) for r in rangejoin.link_vectors(vectors).collect())
+    assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
 # WARC
 
 def test_archives_come_back_as_written(spark, tmp_path):
@@ -232,6 +241,48 @@ def test_broken_records_say_what_is_wrong(spark, tmp_path):
     warc.write_archives(pages.filter("false"), str(tmp_path / "c"))
 
 
+def test_repeated_and_null_page_ids_have_a_record_each(spark, tmp_path):
+    long_a, long_b = "a" * 4000, "b" * 4000
+    rows = [(1, "u", "s"), (1, "u", "s"), (2, "u", "t"), (2, "u", "other"), (3, "u", long_a), (3, "u", long_a), (4, "u", long_a), (4, "u", long_b),
+            (5, "u", "s"), (None, "u", "s"), (None, "u", "alone"), (None, "v", "alone"), (4, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "r"), segment_bytes=1000, null_ids=True)
+    got = warc.resolve(warc.reassemble(warc.read_records(spark, str(tmp_path / "r")))).collect()
+    least = {}
+    for i, _, h in rows:
+        least[h or ""] = min((x for x, _, g in rows if (g or "") == (h or "") and x is not None), default=None)
+    want = [(i, len(h or ""), warc.digest_of((h or "").encode()), "response" if i == least[h or ""] else "revisit",
+             None if i == least[h or ""] else least[h or ""], None) for i, _, h in rows]
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want))
+
+
+def test_broken_headers_and_archives_give_error_rows(spark, tmp_path):
+    block = warc.HTTP_BARE + b"hello"
+    good = lambda i: warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:x-page:{i}>")], block) + b"\r\n\r\n"
+    bad = {
+        "length is missing": b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:7>\r\n\r\nxx\r\n\r\n",
+        "number is bad": b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:7>\r\nContent-Length: -4\r\n\r\nxx\r\n\r\n",
+        "id or type is missing": b"WARC/1.1\r\nContent-Length: 2\r\n\r\nxx\r\n\r\n",
+    }
+    folder = tmp_path / "broken"
+    folder.mkdir()
+    for i, text in enumerate(bad.values()):
+        (folder / f"part-{i}").write_bytes(good(10 * i) + text + good(10 * i + 1))
+    (folder / "part-cut").write_bytes(good(50) + b"WARC/1.1\r\nWARC-Type: resp")
+    (folder / "part-short").write_bytes(good(51) + good(52)[:-20])
+    packed = gzip.compress(good(60)) + gzip.compress(good(61))
+    (folder / "part-members").write_bytes(packed)
+    (folder / "part-gzip").write_bytes(gzip.compress(good(62)) + gzip.compress(good(63))[:30])
+    (folder / "part-noise").write_bytes(gzip.compress(good(64)) + b"noise")
+    got = warc.reassemble(warc.read_records(spark, str(folder))).collect()
+    assert sorted(r.record_id for r in got if r.error is None) == sorted(f"urn:x-page:{i}" for i in (0, 1, 10, 11, 20, 21, 50, 51, 60, 61, 62, 64))
+    assert all(bytes(r.payload) == b"hello" for r in got if r.error is None)
+    assert sorted(r.error for r in got if r.error) == sorted([
+        *bad, "header is cut off", "block is cut off", "archive is cut off", "header is cut off", "archive is damaged"])
+    told = warc.resolve(warc.reassemble(warc.read_records(spark, str(folder))))
+    assert told.filter("error IS NULL").count() == 12 and told.filter("error IS NOT NULL").count() == 8
+
+
 def test_chunked_framing():
     for payload in (b"", b"a", b"abc" * 5000):
         assert warc.dechunked(warc.chunked(payload, 7)) == payload
