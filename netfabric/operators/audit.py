@@ -17,6 +17,7 @@ from netfabric.functions.canonical import (
 from netfabric.functions.ids import text
 from netfabric.functions.skew import lookup_join, with_rank
 from netfabric.operators.graph import reaches_root
+from netfabric.operators.upsert import path_exists
 from netfabric.session import cut_lineage, shared_path
 
 # Chain key, hashed fields in order, actor types.
@@ -28,6 +29,7 @@ ISSUE_TYPES = (
     "duplicate_row", "content_edit", "missing_predecessor", "unreachable", "unidentified_writer", "fork",
 )
 LINK_BLOCK_ROWS = 50_000
+FACTS = "tier string, server_id string, row_hash string, prev_hash string, edited boolean, day string, digest string"
 RATE_WINDOW_SECONDS = 60
 
 
@@ -111,14 +113,23 @@ def forks(keyed: DataFrame) -> DataFrame:
     return lookup_join(tails, split.select(*CHAIN_KEYS), list(CHAIN_KEYS), "left_semi").select(*CHAIN_KEYS, "row_hash")
 
 
+def chain_facts(audit: DataFrame, *carried: str) -> DataFrame:
+    """``(tier, server_id, row_hash, prev_hash, edited)`` of each row: all that the checks read, and the only part that hashes content."""
+    keyed = with_chain_key(audit).withColumn("prev_hash", text("prev_hash"))
+    return keyed.select(*CHAIN_KEYS, "row_hash", "prev_hash", (row_hash(keyed) != F.col("row_hash")).alias("edited"), *carried)
+
+
 def verify_chain(audit: DataFrame) -> DataFrame:
     """Every issue found: ``(tier, server_id, type, row_hash)``.
 
     Rows without a hash predate hashing and are only checked for their writer.
     """
-    keyed = with_chain_key(audit).withColumn("prev_hash", text("prev_hash"))
     # The log is parsed and hashed once; every check reads what came of it.
-    facts = cut_lineage(keyed.select(*CHAIN_KEYS, "row_hash", "prev_hash", (row_hash(keyed) != F.col("row_hash")).alias("edited")))
+    return chain_issues(cut_lineage(chain_facts(audit)))
+
+
+def chain_issues(facts: DataFrame) -> DataFrame:
+    """The issues that the facts of all rows show."""
     chained = facts.filter(text("row_hash") != "")
     edits, missing = chained.filter("edited"), cut_lineage(missing_predecessors(chained).select(*CHAIN_KEYS, "row_hash"))
     # Where every hash fits its row and every predecessor is there, links lead to the root:
@@ -133,6 +144,60 @@ def verify_chain(audit: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, tagged)
 
 
+def block_digests(audit: DataFrame, key: str) -> DataFrame:
+    """``(day, digest, row_count)``: one block per UTC day of ``ts``, ``none`` for rows without one.
+
+    A row's digest is a keyed 64-bit hash of all its columns, twice; a block's is made
+    of the row count and the sums of both, so it neither depends on the order nor misses
+    repeats.  It tells changes from a log that nobody forges for a known ``key``.
+    """
+    content = F.to_json(F.struct(*sorted(audit.columns)), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    first, second = F.xxhash64(F.lit(key), content), F.xxhash64(content, F.lit(key))
+    # Halves are summed, as sums of whole hashes would overflow.
+    halves = [f(h) for h in (first, second) for f in (lambda h: F.shiftright(h, 32), lambda h: h.bitwiseAND(F.lit((1 << 32) - 1)))]
+    sums = audit.select(_day(audit).alias("day"), *[h.alias(f"h{i}") for i, h in enumerate(halves)]).groupBy("day").agg(
+        F.count(F.lit(1)).alias("row_count"), *[F.sum(f"h{i}").alias(f"h{i}") for i in range(len(halves))])
+    digest = F.sha2(F.concat_ws("-", F.lit(key), "row_count", *[f"h{i}" for i in range(len(halves))]), 256)
+    return sums.select("day", F.substring(digest, 1, 32).alias("digest"), "row_count")
+
+
+def _day(audit: DataFrame) -> Column:
+    return F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("none"))
+
+
+def _verified(spark, state: str) -> DataFrame:
+    return spark.read.schema(FACTS).parquet(state)
+
+
+def unverified_blocks(blocks: DataFrame, state: str) -> DataFrame:
+    """The blocks of :func:`block_digests` whose facts are not in the table at ``state``: new, changed or half written."""
+    if not path_exists(blocks.sparkSession, state):
+        return blocks
+    done = _verified(blocks.sparkSession, state).groupBy("day", "digest").agg(F.count(F.lit(1)).alias("row_count"))
+    return blocks.join(done, ["day", "digest", "row_count"], "left_anti")
+
+
+def verify_chain_onward(audit: DataFrame, state: str, key: str) -> DataFrame:
+    """The issues of :func:`verify_chain`, hashing only blocks that are new or changed since the last run.
+
+    Facts of verified rows lie in the table at ``state`` by day and digest of their
+    block, so a block that changed finds none under its new digest and is hashed again;
+    facts under an old digest are no longer read.  Links are checked over the facts of
+    all rows, as one may lead anywhere.  The folder belongs apart from the log: who may
+    write both and knows the key can forge.
+    """
+    spark = audit.sparkSession
+    blocks = cut_lineage(block_digests(audit, key))
+    todo = cut_lineage(unverified_blocks(blocks, state))
+    if todo.take(1) or not path_exists(spark, state):
+        rows = lookup_join(audit.withColumn("day", _day(audit)), todo.select("day", "digest"), ["day"])
+        facts = chain_facts(rows, "day", "digest")
+        # A few files per day, and several tasks for a long one.
+        facts.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "digest").parquet(state)
+    current = _verified(spark, state).join(blocks.select("day", "digest"), ["day", "digest"], "left_semi").drop("day", "digest")
+    return chain_issues(cut_lineage(current))
+
+
 def chain_report(audit: DataFrame, issues: DataFrame) -> DataFrame:
     """Rows, unhashed legacy rows and issue count per chain."""
     rows = with_chain_key(audit).groupBy(*CHAIN_KEYS).agg(

@@ -11,7 +11,7 @@ from netfabric.operators import audit as op
 from netfabric.plans import adapter as ad
 from netfabric.plans.adapter import DUCK, with_views
 from netfabric.plans.queries import REGISTRY
-from netfabric.session import cut_lineage
+from netfabric.session import cut_lineage, shared_path
 
 CALLS = with_views(DUCK, "audit_calls", recursive=True)
 
@@ -103,6 +103,14 @@ def verify_chain(spark, sf_dir):
     return op.verify_chain(_tampered(spark, sf_dir))
 
 
+@REGISTRY.add("verify_chain_onward", f"{TAMPERED} SELECT * FROM iss")
+def verify_chain_onward(spark, sf_dir):
+    """The log is verified as written, then tampered with and verified onward from there."""
+    state = shared_path(spark, "verified")
+    op.verify_chain_onward(_chained(spark, sf_dir).drop("server_id"), state, "digest-key")
+    return op.verify_chain_onward(_tampered(spark, sf_dir), state, "digest-key")
+
+
 @REGISTRY.add("chain_report", f"""{TAMPERED}, n AS (SELECT tier, server_id, count(*) AS issues FROM iss GROUP BY ALL)
 SELECT t.tier, t.server_id, count(*) AS row_count, count(*) FILTER (WHERE t.row_hash = '') AS legacy_unhashed, coalesce(any_value(n.issues), 0) AS issues,
   coalesce(any_value(n.issues), 0) = 0 AS ok FROM tm t LEFT JOIN n USING (tier, server_id) GROUP BY t.tier, t.server_id""")

@@ -218,6 +218,27 @@ def test_chain_in_blocks_equals_one_block_and_verifies_clean(spark, at):
     assert au.verify_chain(both).count() == 0 and au.chain_tails(au.with_chain_key(both)).count() == 2
 
 
+def test_verification_goes_on_from_verified_blocks(spark, at, tmp_path):
+    none = spark.createDataFrame([], "tier string, server_id string, row_hash string")
+    calls = _calls(spark, at, 12).withColumn("ts", F.col("ts") + F.make_interval(days=(F.col("row_count") % 4).cast("int")))
+    chain = au.append_chained(calls, none).select(*[c for c in calls.columns], "prev_hash", "row_hash").persist()
+    state, seen = str(tmp_path / "verified"), lambda df: sorted(tuple(r) for r in df.collect())
+    left = lambda df: {r.day for r in au.unverified_blocks(au.block_digests(df, "k"), state).collect()}
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "verified").rglob("*.parquet")}
+    days = {f"2026-06-{d:02d}" for d in (5, 6, 7, 8)}
+    assert left(chain) == days and seen(au.verify_chain_onward(chain, state, "k")) == [] and left(chain) == set()
+    before = files()
+    assert seen(au.verify_chain_onward(chain, state, "k")) == [] and files() == before  # nothing was hashed again
+    edit = chain.withColumn("tool", F.when(F.col("row_count") == 1, "x").otherwise(F.col("tool")))
+    assert left(edit) == {"2026-06-06"}
+    assert seen(au.verify_chain_onward(edit, state, "k")) == seen(au.verify_chain(edit)) != []
+    assert {f for f in files() if f not in before and "day=2026-06-06" not in f} == set() and before.items() <= files().items()
+    for other in (chain.filter("row_count % 4 <> 3").unionByName(chain.filter("row_count = 5")),
+                  chain.withColumn("data_classes", F.when(F.col("row_count") != 6, F.col("data_classes")))):
+        assert seen(au.verify_chain_onward(other, state, "k")) == seen(au.verify_chain(other))
+    assert au.verify_chain_onward(chain.filter("false"), str(tmp_path / "none"), "k").count() == 0
+
+
 def test_tampering_is_found(spark, at):
     none = spark.createDataFrame([], "tier string, server_id string, row_hash string")
     chain = au.append_chained(_calls(spark, at, 6), none)
