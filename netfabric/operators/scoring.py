@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from netfabric.functions.ids import text
 
@@ -39,36 +36,78 @@ def match_tolerance(agent: Column, reference: Column, tolerance: Column, toleran
     return F.coalesce(F.abs(agent - reference) <= allowed, F.lit(False))
 
 
+def _is_list(value: str) -> str:
+    return f"startswith(schema_of_variant({value}), 'ARRAY<')"
+
+
+def _is_object(value: str) -> str:
+    return f"startswith(schema_of_variant({value}), 'OBJECT<')"
+
+
+# SQL text, as one parsed expression is built far faster than hundreds of columns.
+#
+# How deep the brackets of a text nest, those in strings left out; null where one closes that was not open.
+_NESTING = r"""
+reduce(split(regexp_replace(regexp_replace(regexp_replace(document, r'(?s)\\.', ''), r'"[^"]*+"', ''), r'[^\[\]{}]++', ''), ''),
+  named_struct('now', 0, 'most', 0, 'least', 0),
+  (s, c) -> transform(array(s.now + CASE WHEN c IN ('[', '{') THEN 1 WHEN c IN (']', '}') THEN -1 ELSE 0 END),
+    now -> named_struct('now', now, 'most', greatest(s.most, now), 'least', least(s.least, now)))[0],
+  s -> IF(s.least = 0, s.most, NULL))"""
+
+# The one value of a text.  The parser stops after a value, so the text is read as the only item of a list.
+_PARSED = f"""
+transform(array(try_variant_get(try_parse_json('[' || document || ']'), '$', 'array<variant>')),
+  items -> IF(size(items) = 1 AND ({_NESTING}) IS NOT NULL, items[0], NULL))[0]"""
+
+# A scalar as (none, plain text, literal).  Whole numbers have no point, others are doubles; true and false count as 1 and 0.
+_SCALAR = """
+transform(array(named_struct('kind', schema_of_variant(v), 'said', to_json(v))), t -> CASE
+  WHEN t.kind = 'STRING' THEN named_struct('none', false, 'plain', try_variant_get(v, '$', 'string'), 'literal', t.said)
+  ELSE transform(array(CASE
+    WHEN t.kind = 'BOOLEAN' THEN IF(t.said = 'true', '1', '0')
+    WHEN t.kind = 'BIGINT' THEN t.said
+    ELSE coalesce(IF(try_cast(t.said AS DOUBLE) % 1 = 0 AND abs(try_cast(t.said AS DOUBLE)) < 1e38, CAST(try_cast(t.said AS DECIMAL(38, 0)) AS STRING), NULL),
+      CAST(try_cast(t.said AS DOUBLE) AS STRING), t.said, 'null') END),
+    x -> named_struct('none', x = 'null', 'plain', x, 'literal', x))[0] END)[0]"""
+
+# What a node (path, value, leaf) holds, as nodes; a finished node stays.  Key lengths keep paths apart whatever the keys hold.
+_CHILDREN = f"""
+CASE WHEN n.leaf IS NOT NULL THEN array(n)
+  WHEN {_is_object("n.value")} THEN transform(array(map_entries(try_variant_get(n.value, '$', 'map<string,variant>'))), fields -> IF(size(fields) > 0,
+    transform(fields, e -> named_struct('path', concat(n.path, '.', length(e.key), ':', e.key), 'value', e.value, 'leaf', CAST(NULL AS STRING))),
+    array(named_struct('path', n.path, 'value', CAST(NULL AS VARIANT), 'leaf', '{{}}'))))[0]
+  WHEN {_is_list("n.value")} THEN transform(array(try_variant_get(n.value, '$', 'array<variant>')), items -> IF(
+    exists(items, v -> coalesce({_is_list("v")} OR {_is_object("v")}, false)),
+    transform(items, (v, i) -> named_struct('path', concat(n.path, '[', i, ']'), 'value', v, 'leaf', CAST(NULL AS STRING))),
+    array(named_struct('path', n.path, 'value', CAST(NULL AS VARIANT), 'leaf', '[' || array_join(array_sort(transform(
+      transform(items, v -> {_SCALAR}), (r, i) -> named_struct('none', r.none, 'plain', r.plain, 'i', i, 'literal', r.literal))).literal, ',') || ']'))))[0]
+  ELSE array(named_struct('path', n.path, 'value', CAST(NULL AS VARIANT), 'leaf', transform(array(n.value), v -> {_SCALAR})[0].literal)) END"""
+
+_LEAVES = f"""
+transform(array({_PARSED}), parsed -> IF(parsed IS NULL, NULL, array_sort(transform(
+  reduce(sequence(0, {_NESTING}), array(named_struct('path', '', 'value', parsed, 'leaf', CAST(NULL AS STRING))),
+    (nodes, _) -> flatten(transform(nodes, n -> {_CHILDREN}))),
+  n -> named_struct('path', n.path, 'leaf', n.leaf)))))[0]"""
+
+
+def _of(document: Column, expression: str) -> Column:
+    return F.get(F.call_function("transform", F.array(document), F.expr(f"document -> {expression}")), F.lit(0))
+
+
+def parsed_json(document: Column) -> Column:
+    """The one JSON value of a text; null for other texts, those with anything after the value among them."""
+    return _of(document, _PARSED)
+
+
 def normal_json(document: Column) -> Column:
-    """JSON with sorted keys, lists of scalars sorted and equal numbers spelled alike.
+    """JSON as its sorted leaves, ``array<struct<path, leaf>>``; null where the text is not JSON.
 
-    Arrow-batched Python, because answers may nest to any depth.  The helpers
-    are local so that they travel with the plan and executors need no package.
+    Equal documents have equal leaves: keys in any order, lists of scalars in any order,
+    numbers by value.  A list of scalars and an empty object are one leaf each; lists that
+    hold objects or lists keep their order.  A level is opened per round, as many rounds as
+    the text is deep, all in one row of the JVM.
     """
-    def normal(value):
-        if isinstance(value, dict):
-            return {k: normal(v) for k, v in value.items()}
-        if isinstance(value, list):
-            items = [normal(v) for v in value]
-            if any(isinstance(v, (dict, list)) for v in items):
-                return items
-            return sorted(items, key=lambda v: (v is None, str(v)))
-        if isinstance(value, bool):
-            return int(value)
-        if isinstance(value, float) and value.is_integer():
-            return int(value)
-        return value
-
-    def one(doc):
-        try:
-            return None if doc is None else json.dumps(normal(json.loads(doc)), sort_keys=True)
-        except ValueError:
-            return None
-
-    def batch(documents: pd.Series) -> pd.Series:
-        return documents.map(one)
-
-    return F.pandas_udf(batch, T.StringType())(document)
+    return _of(document, _LEAVES)
 
 
 def match_json(agent: Column, expected: Column) -> Column:
@@ -77,7 +116,7 @@ def match_json(agent: Column, expected: Column) -> Column:
 
 def match_refusal(answer: Column) -> Column:
     """The answer is an object whose ``refusal`` is the JSON value true."""
-    flag = F.try_variant_get(F.try_parse_json(text(answer)), "$.refusal", "variant")
+    flag = F.try_variant_get(parsed_json(text(answer)), "$.refusal", "variant")
     return F.coalesce((F.schema_of_variant(flag) == "BOOLEAN") & (F.to_json(flag) == "true"), F.lit(False))
 
 
@@ -132,9 +171,7 @@ def score(questions: DataFrame, answers: DataFrame, references: DataFrame, obser
     predicate = F.coalesce(
         F.when(F.col("ptype") == "refusal", match_refusal(answer))
         .when(answer.isNull(), F.lit(False))
-        .when(F.col("ptype") == "expected_json", match_json(*[
-            # The Python function sees nothing of answers of other types.
-            F.when(F.col("ptype") == "expected_json", c) for c in (answer, F.col("expected"))]))
+        .when(F.col("ptype") == "expected_json", match_json(answer, F.col("expected")))
         .otherwise(by_reference),
         F.lit(False),
     )
