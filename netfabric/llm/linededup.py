@@ -28,8 +28,8 @@ MIN_DOCS = 3
 SLOTS = 4
 LOAD = 0.84
 KICKS = 500
-#: Filters are sent to the executors in groups of shards of at most so many bytes.
-GROUP_BYTES = 64 << 20
+#: About so many references of a shard meet a copy of its filter in one group.
+GROUP_REFS = 1_000_000
 DOCS_PER_SHARD = 100_000
 REF = "h1 long, h2 long, doc_id long"
 KEY = ["h1", "h2"]
@@ -242,49 +242,35 @@ def delete_documents(index: LineIndex, ids: DataFrame) -> LineIndex:
     return _recount(index, store(index.refs.join(ids, "doc_id", "left_anti")), gone)
 
 
-def dropped_keys(index: LineIndex, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def dropped_keys(index: LineIndex, group_refs: int = GROUP_REFS) -> DataFrame:
     """``(doc_id, h1)``: the keys that each document loses.
 
-    Groups of shards whose filters have ``group_bytes`` together are sent out one after
-    the other, and each group reads the references of its own shards.  What passes is
-    confirmed by the exact counts.
+    The references of a shard meet its filter in groups of about ``group_refs``, dealt by
+    document, so that the shard of a hot line is divided; a group holds one copy of the
+    filter, which is no larger than the keys of its shard.  What passes is confirmed by
+    the exact counts.
     """
-    spark = index.refs.sparkSession
-    sizes = sorted((r["shard"], r["n"]) for r in index.filters.select("shard", F.length("cells").alias("n")).collect())
-    groups, room = [], 0
-    for shard, n in sizes:
-        if not groups or n > room:
-            groups.append([])
-            room = group_bytes
-        groups[-1].append(shard)
-        room -= n
-    parts = []
-    for group in groups:
-        rows = index.filters.filter(F.col("shard").isin(group)).collect()
-        shared = spark.sparkContext.broadcast({r["shard"]: (r["buckets"], bytes(r["cells"])) for r in rows})
-
-        def probe(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            filters = {k: CuckooFilter(n, array("H", cells)) for k, (n, cells) in shared.value.items()}
-            for batch in batches:
-                shard, h1, h2 = (batch.column(c).to_numpy() for c in ("shard", *KEY))
-                hit = np.zeros(len(shard), bool)
-                for k in np.unique(shard):
-                    at = np.flatnonzero(shard == k)
-                    hit[at] = filters[int(k)].contains(h1[at], h2[at])
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[hit]) for c in (*KEY, "doc_id")], [*KEY, "doc_id"])
-
-        parts.append(index.refs.filter(F.col("shard").isin(group)).mapInArrow(probe, REF))
-    if not parts:
-        return spark.createDataFrame([], "doc_id long, h1 long")
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
+    parts = index.refs.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / group_refs).cast("int").alias("parts"))
+    of = ["shard", "part"]
+    refs = index.refs.join(parts.join(index.filters, "shard", "left_semi"), "shard").select(
+        "shard", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), *KEY, "doc_id")
+    filters = index.filters.join(parts, "shard").select(
+        "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "buckets", "cells")
+
+    def probe(held: pa.Table, own: pa.Table) -> pa.Table:
+        if not held.num_rows:
+            return held.select([*KEY, "doc_id"])
+        made = CuckooFilter(own.column("buckets")[0].as_py(), array("H", own.column("cells")[0].as_py()))
+        hit = made.contains(*(held.column(c).to_numpy() for c in KEY))
+        return held.select([*KEY, "doc_id"]).filter(pa.array(hit))
+
+    hits = refs.groupBy(*of).cogroup(filters.groupBy(*of)).applyInArrow(probe, REF)
     often = index.counts.filter(F.col("n_docs") >= index.min_docs).select(*KEY, "last_doc")
     return hits.join(often, KEY).filter("doc_id <> last_doc").select("doc_id", "h1")
 
 
 def drop_lines(
-    docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES,
+    docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text_col: str = "text", group_refs: int = GROUP_REFS,
 ) -> DataFrame:
     """``(doc_id, n_lines, n_dropped, kept_text)`` for every row of ``docs``.
 
@@ -293,7 +279,7 @@ def drop_lines(
     line.  Rows with one id count as one document; a row with a null id is not counted
     and loses nothing.  Extra columns are ignored; an empty table gives no rows.
     """
-    drops = dropped_keys(index, group_bytes).groupBy("doc_id").agg(F.collect_set("h1").alias("drops"))
+    drops = dropped_keys(index, group_refs).groupBy("doc_id").agg(F.collect_set("h1").alias("drops"))
     joined = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(drops, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

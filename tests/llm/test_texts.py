@@ -96,10 +96,10 @@ def test_lines_of_odd_rows(odd_docs, no_docs):
     assert dropped(no_docs, linededup.build_index(no_docs)) == []
 
 
-def test_lines_with_filters_sent_shard_by_shard(small):
+def test_lines_with_shards_divided_into_groups(small):
     docs = small("documents")
     index = linededup.build_index(docs, shards=8)
-    assert dropped(docs, index, group_bytes=1) == dropped(docs, index) == lines_by_hand([(r.doc_id, r.text) for r in docs.collect()])
+    assert dropped(docs, index, group_refs=50) == dropped(docs, index) == lines_by_hand([(r.doc_id, r.text) for r in docs.collect()])
 
 
 def test_inserted_and_deleted_documents_leave_the_index_as_built(small):
