@@ -251,8 +251,10 @@ def dropped_keys(index: LineIndex, group_refs: int = GROUP_REFS) -> DataFrame:
     the exact counts.
     """
     parts = index.refs.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / group_refs).cast("int").alias("parts"))
+    # A written table has a known size, so the references are not shuffled by shard to join it.
+    parts = cut_lineage(parts.join(index.filters, "shard", "left_semi"))
     of = ["shard", "part"]
-    refs = index.refs.join(parts.join(index.filters, "shard", "left_semi"), "shard").select(
+    refs = index.refs.join(parts, "shard").select(
         "shard", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), *KEY, "doc_id")
     filters = index.filters.join(parts, "shard").select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "buckets", "cells")
