@@ -44,8 +44,15 @@ def order_calls(calls: DataFrame) -> DataFrame:
 
 
 def argument_errors(arguments: Column, params: Column) -> Column:
-    """Sorted faults of an argument object under ``params``, an array of ``(param, type, required)``."""
-    kinds = F.transform_values(F.from_json(arguments, "map<string,variant>"), lambda _, v: F.schema_of_variant(v))
+    """Sorted faults of an argument object under ``params``, an array of ``(param, type, required)``.
+
+    A whole number is an integer however it is written (1, 1.0, 1e2), as JSON Schema has it.
+    """
+    def kind_of(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        return F.when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.when(F.to_json(v).try_cast("double") % 1 == 0, "BIGINT").otherwise(kind)).otherwise(kind)
+
+    kinds = F.transform_values(F.from_json(arguments, "map<string,variant>"), lambda _, v: kind_of(v))
     want = F.create_map(*[x for k, v in TYPES.items() for x in (F.lit(k), F.lit(f"^({v})$"))])
 
     def fault(p: Column) -> Column:

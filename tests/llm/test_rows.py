@@ -294,6 +294,16 @@ def test_chunked_framing():
 
 # Tool calls
 
+def test_whole_numbers_are_integers_however_written(spark):
+    texts = {"1": True, "1.0": True, "1e2": True, "-0.0": True, "1e20": True, "12345678901234567890": True, "1.5": False, "1e-1": False, '"1"': False, "true": False, "null": False, "[1]": False}
+    calls = spark.createDataFrame(
+        [("k", str(i), "f", f'{{"n":{t}}}', None) for i, t in enumerate(texts)], "conv_id string, call_id string, name string, arguments string, follows string")
+    results = spark.createDataFrame([], "conv_id string, call_id string, content string")
+    schemas = spark.createDataFrame([("f", "n", "integer", True)], "name string, param string, type string, required boolean")
+    got = {r.call_id: r.valid for r in toolcalls.link_calls(calls, results, schemas).collect()}
+    assert got == {str(i): ok for i, ok in enumerate(texts.values())}
+
+
 def test_calls_are_linked_ordered_and_checked(spark):
     calls = spark.createDataFrame([
         (1, "a", "search", '{"q": "x", "n": 3}', None), (1, "b", "search", '{"n":1.5,"q":"y"}', "a"), (1, "c", "search", '{"q":7,"extra":1}', "b"),
