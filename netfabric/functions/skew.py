@@ -24,6 +24,33 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how:
     return big.join(small, keys, how)
 
 
+# Rows of one key that meet in one block of a block join, on its left and on its right.
+LEFT_BLOCK, RIGHT_BLOCK = 10_000, 1_000
+
+
+def block_join(left: DataFrame, right: DataFrame, on: Sequence[str] | str) -> DataFrame:
+    """Inner join for keys that may have many rows on both sides.
+
+    The rows of a key are dealt into blocks on either side, and each pair of blocks
+    meets in its own shuffle key.  What is shuffled is the output divided by the size of
+    a block; the output itself streams out of the join.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    blocks = lambda df, size, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = blocks(left, LEFT_BLOCK, "_lefts").join(blocks(right, RIGHT_BLOCK, "_rights"), keys)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(df: DataFrame, own: str, others: str, block: str, copy: str) -> DataFrame:
+        rest = [F.col(f.name) for f in df.schema.fields if f.name not in keys and _hashable(f)]
+        placed = lookup_join(df, sizes, keys).withColumn(block, F.pmod(F.xxhash64(F.lit(0), *rest), F.col(own)).cast("int"))
+        copied = placed.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop("_lefts", "_rights")
+        return copied.repartition(parts, *keys, "_left", "_right")
+
+    met = dealt(left, "_lefts", "_rights", "_left", "_right").join(
+        dealt(right, "_rights", "_lefts", "_right", "_left"), [*keys, "_left", "_right"])
+    return met.drop("_left", "_right")
+
+
 def _hashable(field: T.StructField) -> bool:
     return "map<" not in field.dataType.simpleString() and "variant" not in field.dataType.simpleString()
 

@@ -139,6 +139,19 @@ def _roots(ids: DataFrame, column: str) -> DataFrame:
     return cut_lineage(rows.select("root", F.col("root").alias("node"), F.lit(None).cast("string").alias("parent")))
 
 
+def twin_classes(adjacency: DataFrame) -> DataFrame:
+    """``(id, class)``: vertices with the same neighbours share a class, named by its smallest id.
+
+    Such twins, as the hosts of one switch, are no neighbours of each other and are equally
+    far from everything else.  Classes are linked where their smallest ids are.  The
+    neighbours are told apart by their number and two hashes of 64 bits.
+    """
+    sides = cut_lineage(adjacency.groupBy(F.col("src").alias("id")).agg(
+        F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("dst")).alias("_a"), F.bit_xor(F.xxhash64(F.lit("twin"), "dst")).alias("_b")))
+    same = ["_n", "_a", "_b"]
+    return lookup_join(sides, sides.groupBy(*same).agg(F.min("id").alias("class")), same).select("id", "class")
+
+
 def within_depth(adjacency: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """``(start, node, hops)`` for every node at most ``depth`` steps from each start.
 

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from netfabric.functions.ids import DEFAULT_TENANT, graph_edge_id, node_id, text
 from netfabric.functions.net import MAC_PATTERN, MAC_PREFIX_PATTERN, is_mac, lookup_form
-from netfabric.functions.skew import lookup_join, top_rows
+from netfabric.functions.skew import block_join, lookup_join, top_rows
 from netfabric.functions.timeargs import window_filter
 from netfabric.operators.graph import (
-    both_directions, connected_components, shortest_paths, within_depth,
+    both_directions, connected_components, shortest_paths, twin_classes, within_depth,
 )
 from netfabric.operators.upsert import collapse_superseded, latest_by_key
+from netfabric.session import cut_lineage
 
 TimeArg = str | datetime
 
@@ -488,15 +489,38 @@ def neighbors(
 
     The radius counts edges of every layer; ``layer`` filters the edges returned.
     """
-    roots = find_node(nodes, ids).select("lookup", F.col("node_id").alias("start"))
+    roots = cut_lineage(find_node(nodes, ids).select("lookup", F.col("node_id").alias("start")).filter("start IS NOT NULL"))
     recent = edges.filter(window_filter("last_seen", since, None, as_of))
-    reach = within_depth(both_directions(recent), roots.select("start"), depth)
-    by_start = roots.join(reach, "start")
-    out_nodes = lookup_join(by_start.select("lookup", "hops", F.col("node").alias("node_id")), nodes, "node_id")
+    adjacency = cut_lineage(both_directions(recent))
+    # Twins lie in each other's reach from two steps on; nearer, every node is its own class.
+    linked = twin_classes(adjacency) if depth >= 2 else adjacency.select(F.col("src").alias("id"), F.col("src").alias("class")).distinct()
+    alone = roots.select(F.col("start").alias("id")).distinct().join(linked, "id", "left_anti")
+    classes = cut_lineage(linked.unionByName(alone.withColumn("class", F.col("id"))))
+    heads = classes.filter("id = class")
+    between = adjacency
+    for end in ("src", "dst"):
+        between = lookup_join(between, heads.select(F.col("id").alias(end)), end, "left_semi")
+    asked = lookup_join(roots, classes.select(F.col("id").alias("start"), "class"), "start")
+    reach = within_depth(between, asked.select(F.col("class").alias("start")), depth)
+    # The classes in reach of each lookup; their members are met only where the rows go out.
+    by_class = asked.withColumnRenamed("class", "_root").join(
+        reach.select(F.col("start").alias("_root"), F.col("node").alias("class"), "hops"), "_root").drop("_root")
+
+    placed = lookup_join(nodes, classes.withColumnRenamed("id", "node_id"), "node_id")
+    hops = F.when(F.col("node_id") == F.col("start"), F.lit(0)).when(F.col("hops") == 0, F.lit(2)).otherwise(F.col("hops"))
+    out_nodes = block_join(placed, by_class, "class").withColumn("hops", hops).select(
+        "node_id", "lookup", "hops", *[c for c in nodes.columns if c != "node_id"])
+
     shown = recent if layer is None else recent.filter(F.col("layer") == layer)
-    sources = lookup_join(shown, by_start.select("lookup", F.col("node").alias("src_id")), "src_id")
-    inside = by_start.select("lookup", F.col("node").alias("dst_id"))
-    return out_nodes, sources.join(inside, ["lookup", "dst_id"], "left_semi")
+    ends = shown
+    for end in ("src", "dst"):
+        ends = lookup_join(ends, classes.select(F.col("id").alias(f"{end}_id"), F.col("class").alias(f"_{end}")), f"{end}_id")
+    held = by_class.select("lookup", "class")
+    kinds = lookup_join(ends.select("_src", "_dst").distinct(), held.withColumnRenamed("class", "_src"), "_src")
+    inside = lookup_join(kinds, held.withColumnRenamed("class", "_dst"), ["lookup", "_dst"], "left_semi")
+    out_edges = block_join(ends, inside, ["_src", "_dst"]).select(
+        "lookup", "dst_id", "src_id", *[c for c in shown.columns if c not in ("src_id", "dst_id")])
+    return out_nodes, out_edges
 
 
 def find_path(

@@ -392,6 +392,58 @@ def test_paths_searched_from_both_ends_equal_brute_force(spark):
     assert reach == near
 
 
+@pytest.fixture(scope="module")
+def star(spark, at):
+    """Nodes and edges of two switches with 60 servers and hosts each, a chain between them, and a node without edges."""
+    pairs = [(f"{kind}{k:02d}", f"sw{k % 2}") for k in range(60) for kind in ("srv", "host")] + [("sw0", "core"), ("core", "sw1"), ("core", "core")]
+    names = sorted({x for p in pairs for x in p}) + ["lone"]
+    nodes = spark.createDataFrame([(n, n, {"name": n}, at("2026-06-05 11:00:00")) for n in names], "node_id string, name string, identifiers map<string,string>, last_seen timestamp")
+    edges = spark.createDataFrame([(f"{a}-{b}", a, b, "l2", at("2026-06-05 11:00:00")) for a, b in pairs], "edge_id string, src_id string, dst_id string, layer string, last_seen timestamp")
+    return pairs, names, nodes, edges
+
+
+def _balls(pairs, starts, depth):
+    around = {}
+    for a, b in pairs:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    out = {}
+    for s in starts:
+        hops = {s: 0}
+        for k in range(depth):
+            for n in [n for n, h in hops.items() if h == k]:
+                for m in around.get(n, ()):
+                    hops.setdefault(m, k + 1)
+        out |= {(s, n): h for n, h in hops.items()}
+    return out
+
+
+def _counted(monkeypatch):
+    written = []
+
+    def cut(df, *args):
+        from netfabric.session import cut_lineage
+        out = cut_lineage(df, *args)
+        written.append(out.count())
+        return out
+
+    for module in (gr, to):
+        monkeypatch.setattr(module, "cut_lineage", cut, raising=False)
+    return written
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 3])
+def test_edges_in_reach_are_whole_and_never_written_by_lookup(spark, star, monkeypatch, depth):
+    pairs, names, nodes, edges = star
+    written = _counted(monkeypatch)
+    starts = [n for n in names if n.startswith("srv")] + ["lone", "core"]
+    _, got = to.neighbors(nodes, edges, spark.createDataFrame([(s,) for s in starts], "lookup string"), "2026-06-05 12:00:00", depth=depth, layer="l2")
+    balls = _balls(pairs, starts, depth)
+    want = sorted((s, f"{a}-{b}") for s in starts for a, b in pairs if (s, a) in balls and (s, b) in balls)
+    assert sorted((r.lookup, r.edge_id) for r in got.collect()) == want
+    assert max(written) < 600  # 60 lookups with 60 nodes each in reach are 3,600
+
+
 def test_components_that_grow_equal_a_full_run_after_every_batch(spark):
     import random
     rng = random.Random(11)
