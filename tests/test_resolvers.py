@@ -444,6 +444,27 @@ def test_edges_in_reach_are_whole_and_never_written_by_lookup(spark, star, monke
     assert max(written) < 600  # 60 lookups with 60 nodes each in reach are 3,600
 
 
+@pytest.mark.parametrize("depth", [0, 1, 2, 3])
+def test_nodes_in_reach_are_whole_and_never_written_by_lookup(spark, star, monkeypatch, depth):
+    pairs, names, nodes, edges = star
+    written = _counted(monkeypatch)
+    starts = [n for n in names if n.startswith("srv")] + ["lone", "core"]
+    got, _ = to.neighbors(nodes, edges, spark.createDataFrame([(s,) for s in starts], "lookup string"), "2026-06-05 12:00:00", depth=depth)
+    rows = [(r.lookup, r.node_id, r.hops) for r in got.collect()]
+    assert sorted(rows) == sorted((s, n, h) for (s, n), h in _balls(pairs, starts, depth).items())
+    assert max(written) < 600
+
+
+def test_block_join_equals_a_plain_join(spark, monkeypatch):
+    from netfabric.functions import skew
+    monkeypatch.setattr(skew, "LEFT_BLOCK", 7)
+    monkeypatch.setattr(skew, "RIGHT_BLOCK", 3)
+    left = spark.createDataFrame([(k % 3 or None, k // 2) for k in range(60)], "key int, a int")
+    right = spark.createDataFrame([(k % 4 or None, k // 3) for k in range(40)], "key int, b int")
+    rows = lambda df: sorted(map(tuple, df.select("key", "a", "b").collect()))
+    assert rows(skew.block_join(left, right, "key")) == rows(left.join(right, "key"))
+
+
 def test_components_that_grow_equal_a_full_run_after_every_batch(spark):
     import random
     rng = random.Random(11)
