@@ -13,7 +13,7 @@ from netfabric.functions.skew import lookup_join, top_rows
 from netfabric.operators.entities import (
     AliasIndex, communication_between, configured_policies, entity_addresses, find_entities, governed_policies, select_pair, tagged_values,
 )
-from netfabric.operators.flows import alerts_for_ips, observers_for_ips
+from netfabric.operators.flows import alert_counts_for_ips, alerts_for_ips, observers_for_ips
 from netfabric.operators.topology import enforcement_points, find_path
 from netfabric.session import cut_lineage
 
@@ -117,15 +117,18 @@ def explain_access(
 
     end_ids = ok.select(*keys, F.explode(F.array("client_id", "server_id")).alias("entity_id")).distinct()
     asked_ips = ok.select(*keys, F.explode(F.array("client", "server")).alias("ip"))
-    ips = entity_addresses(index, end_ids).select(*keys, "ip").unionByName(asked_ips).filter(is_ipv4("ip")).distinct()
-    wanted = None if detection_limit is None else detection_limit + 1
-    alerts = alerts_for_ips(events, ips, as_of, since=since, keys=keys, limit=wanted)
+    ips = cut_lineage(entity_addresses(index, end_ids).select(*keys, "ip").unionByName(asked_ips).filter(is_ipv4("ip")).distinct())
     fields = ["event_id", "timestamp", "signature", "signature_id", "category", "severity", "source_ip", "destination_ip"]
-    detections = cut_lineage(alerts.select(*keys, *fields))
-    counted = detections.groupBy(*keys).agg(F.count(F.lit(1)).alias("_found"))
-    shown = F.col("_found") if detection_limit is None else F.least("_found", F.lit(detection_limit))
-    if detection_limit is not None:
-        detections = top_rows(detections, keys, [F.col("timestamp").desc(), F.col("event_id")], detection_limit)
+    if detection_limit is None:
+        # Every detection of every pair may be far more than the events: the rows are made where they are read, and counted without.
+        detections = alerts_for_ips(events, ips, as_of, since=since, keys=keys).select(*keys, *fields)
+        counted = alert_counts_for_ips(events, ips, as_of, since=since, keys=keys).withColumnRenamed("detections", "_found")
+        shown = F.col("_found")
+    else:
+        found_alerts = cut_lineage(alerts_for_ips(events, ips, as_of, since=since, keys=keys, limit=detection_limit + 1).select(*keys, *fields))
+        counted = found_alerts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_found"))
+        shown = F.least("_found", F.lit(detection_limit))
+        detections = top_rows(found_alerts, keys, [F.col("timestamp").desc(), F.col("event_id")], detection_limit)
     paths = find_path(nodes, edges, ok.select(F.col("client").alias("src_lookup"), F.col("server").alias("dst_lookup")), as_of, since=since).select(
         F.col("src_lookup").alias("client"), F.col("dst_lookup").alias("server"),
         F.struct("found", "path_nodes", "hops").alias("topology_path"),

@@ -465,6 +465,22 @@ def test_block_join_equals_a_plain_join(spark, monkeypatch):
     assert rows(skew.block_join(left, right, "key")) == rows(left.join(right, "key"))
 
 
+def test_all_alerts_are_counted_and_listed_without_a_shuffle_of_their_rows(spark, at):
+    from netfabric.operators import flows as fl
+    when = at("2026-06-05 11:00:00")
+    rows = [(f"e{k}", f"a{k % 3}", f"b{k % 4}" if k % 5 else None) for k in range(40)] + [("e1", "a1", "b1"), ("e2", "a0", "b3"), (None, "a1", "b1"), (None, "a2", None)]
+    events = spark.createDataFrame([(i, when, s, d, "unifi", "alert", {}) for i, s, d in rows],
+        "event_id string, timestamp timestamp, source_ip string, destination_ip string, event_provider string, event_kind string, ext map<string,string>")
+    asked = {"p": {"a0", "b1"}, "q": {"a1"}, "r": {"b3", "a2"}, "s": {"zz"}}
+    ips = spark.createDataFrame([(k, ip) for k, v in asked.items() for ip in sorted(v)], "k string, ip string")
+    want = {k: {i for i, s, d in rows if s in v or d in v} for k, v in asked.items()}
+    got = fl.alerts_for_ips(events, ips, "2026-06-05 12:00:00", keys=["k"])
+    found = [(r.k, r.event_id) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == {(k, i) for k, v in want.items() for i in v}
+    counts = fl.alert_counts_for_ips(events, ips, "2026-06-05 12:00:00", keys=["k"])
+    assert {r.k: r.detections for r in counts.collect()} == {k: len(v) for k, v in want.items() if v}
+
+
 def test_components_that_grow_equal_a_full_run_after_every_batch(spark):
     import random
     rng = random.Random(11)
