@@ -217,6 +217,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores: a file of narrow rows is read in few pieces, however long each row takes afterwards."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 # ---------------------------------------------------------------- typed forms for the operators
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

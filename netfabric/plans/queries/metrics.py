@@ -141,14 +141,14 @@ def mint_surrogates(spark, sf_dir):
 @REGISTRY.add("public_nodes", f"""{with_views(DUCK, "graph_nodes")}
 SELECT {duck_siphash("node_id")} AS node_id, tenant_id, kind, first_seen, last_seen FROM graph_nodes""")
 def public_nodes(spark, sf_dir):
-    return op.public_nodes(ad.graph_nodes(spark, sf_dir), SIP_KEY)
+    return op.public_nodes(ad.spread(ad.graph_nodes(spark, sf_dir)), SIP_KEY)
 
 
 @REGISTRY.add("public_edges", f"""{with_views(DUCK, "graph_edges")}
 SELECT {duck_siphash("edge_id")} AS edge_id, tenant_id, {duck_siphash("src_id")} AS src_id, {duck_siphash("dst_id")} AS dst_id, edge_type, layer,
   first_seen, last_seen, confidence FROM graph_edges""")
 def public_edges(spark, sf_dir):
-    return op.public_edges(ad.graph_edges(spark, sf_dir), SIP_KEY)
+    return op.public_edges(ad.spread(ad.graph_edges(spark, sf_dir)), SIP_KEY)
 
 
 @REGISTRY.add("ratio_to_baseline", f"""{EV}, c AS (SELECT e.source_ip AS ip, count(*) FILTER (WHERE e.event_kind = 'alert') AS alerts,

@@ -115,3 +115,13 @@ def test_queries_are_listed_without_a_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 160 and not set(o) - set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_rows_of_one_small_file_are_spread_before_their_ids_are_hashed(spark, tmp_path):
+    from netfabric.plans import adapter as ad
+    spark.range(500).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    one = ad.table(spark, str(tmp_path), "t")
+    assert one.rdd.getNumPartitions() == 1
+    wide = ad.spread(one)
+    assert wide.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in wide.collect()) == list(range(500))
