@@ -11,7 +11,7 @@ BS = chr(92)
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ad.view(spark, sf_dir, "net_events").withColumns({
+    return ad.spread(ad.view(spark, sf_dir, "net_events")).withColumns({
         "iso": F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "bsd": F.date_format("timestamp", "MMM dd HH:mm:ss"),
         "n": F.col("event_no"), "sent": F.coalesce("network_bytes", F.lit(0)), "got": F.col("event_no") % 1000,
     })

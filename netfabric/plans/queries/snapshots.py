@@ -25,7 +25,7 @@ def bodies(df: DataFrame, provider: str, command: str, device: Column, body: Col
 
 
 def _table(spark, sf_dir, name, key):
-    return ad.table(spark, sf_dir, name).withColumn("k", F.col(key))
+    return ad.spread(ad.table(spark, sf_dir, name)).withColumn("k", F.col(key))
 
 
 # Functions, as a column needs a running session and this module is imported without one.

@@ -13,6 +13,7 @@ from netfabric.functions.ids import DEFAULT_TENANT, text
 from netfabric.functions.net import OCTET
 from netfabric.functions.skew import lookup_join
 from netfabric.sources.snapshots import lines_of, unwrap
+from netfabric.sources.syslog import keep_if
 
 # The words that lead to a rule or an object, NULL for a name; match clauses, actions and application fields.
 RULES = ("security", "policies")
@@ -67,10 +68,12 @@ def rules_from_text(snapshots: DataFrame) -> DataFrame:
     rows = lines_of(snapshots).filter(F.col("trimmed").contains(RULES[1])).withColumn("inactive", F.col("trimmed").startswith("inactive:"))
     rows = rows.withColumn("l", F.when(F.col("inactive"), F.split(F.trim(F.substring("trimmed", 10, 1_000_000_000)), r"\s+")).otherwise(F.col("tok")))
     neighbours = F.zip_with("l", _after(F.col("l"), 1), lambda a, b: F.concat_ws(" ", a, b))
-    rows = rows.filter(F.get("l", F.lit(0)) == "set").withColumn("_at", F.array_position(neighbours, " ".join(RULES)).cast("int")).filter("_at > 0")
+    # Each step of the parse is kept by a filter that is not moved, so every line is taken apart once.
+    rows = keep_if(rows.withColumn("_at", F.array_position(neighbours, " ".join(RULES)).cast("int")), (F.get("l", F.lit(0)) == "set") & (F.col("_at") > 0))
     rows = rows.withColumn("w", F.slice("l", F.col("_at") + len(RULES), F.size("l")))
     w = F.col("w")
-    rows = rows.withColumns({"_zoned": _leads(w, ZONE_RULE), "_global": _leads(w, GLOBAL_RULE)}).filter("_zoned OR _global")
+    rows = rows.withColumns({"_zoned": _leads(w, ZONE_RULE), "_global": _leads(w, GLOBAL_RULE)})
+    rows = keep_if(rows, F.col("_zoned") | F.col("_global"))
     zoned = F.col("_zoned")
     part = lambda z, g: F.when(zoned, F.get(w, F.lit(z))).otherwise(F.lit("") if g is None else F.get(w, F.lit(g)))
     rows = rows.withColumns({
@@ -78,7 +81,8 @@ def rules_from_text(snapshots: DataFrame) -> DataFrame:
         "t": F.when(zoned, _after(w, len(ZONE_RULE))).otherwise(_after(w, len(GLOBAL_RULE))),
     })
     at = lambda i: F.coalesce(F.try_element_at(F.col("t"), F.lit(i)), F.lit(""))
-    head, second, third, n = at(1), at(2), at(3), F.size("t")
+    rows = rows.withColumns({"_head": at(1), "_second": at(2), "_third": at(3), "_n": F.size("t")})
+    head, second, third, n = (F.col(c) for c in ("_head", "_second", "_third", "_n"))
     is_match = head == "match"
     listed = is_match & second.isin(*MATCH_LISTS) & (n > 2)
     flagged = is_match & second.isin(*MATCH_FLAGS)
@@ -90,12 +94,14 @@ def rules_from_text(snapshots: DataFrame) -> DataFrame:
     action_map = F.create_map(*[F.lit(x) for p in ACTIONS.items() for x in p])
     grouped = rows.groupBy(*keys).agg(
         F.min("pos").alias("_first"), (~F.max("inactive")).alias("enabled"),
-        *[_ordered(listed & (second == clause), third).alias(f"m_{name}") for clause, name in MATCH_LISTS.items()],
+        F.array_sort(F.collect_list(F.when(listed, F.struct("pos", third.alias("v"), second.alias("clause"))))).alias("_listed"),
         *[F.max(flagged & (second == clause)).alias(name) for clause, name in MATCH_FLAGS.items()],
         F.coalesce(F.max_by(F.when(scheduled, second), F.when(scheduled, F.col("pos"))), F.lit("")).alias("scheduler_name"),
         F.coalesce(F.max_by(action_map[second], F.when(acted & second.isin(*ACTIONS), F.col("pos"))), F.lit("")).alias("action"),
         F.max(unknown).alias("_unknown"), _ordered(unknown & is_match, second).alias("unparsed_match"),
     )
+    values = lambda clause: F.transform(F.filter("_listed", lambda s: s["clause"] == clause), lambda s: s["v"])
+    grouped = grouped.withColumns({f"m_{name}": values(clause) for clause, name in MATCH_LISTS.items()})
     zones = lambda fixed, found: F.when(
         F.col("is_global"), F.when(F.size(found) > 0, F.col(found)).otherwise(F.array(F.lit("any")))
     ).otherwise(F.concat(F.array(fixed), F.col(found)))
@@ -234,65 +240,64 @@ def book_objects_from_text(snapshots: DataFrame) -> DataFrame:
     scope = F.coalesce(*[
         F.when(_leads(w, path), F.struct(book.alias("where"), F.lit(family).alias("family"), _after(w, len(path)).alias("t"))) for path, book, family in scopes
     ])
-    rows = rows.withColumn("_scope", scope).filter("_scope IS NOT NULL").select("*", "_scope.*")
+    rows = keep_if(rows.withColumn("_scope", scope), F.col("_scope").isNotNull()).select(*SNAPSHOT, "pos", "_scope.*")
     at = lambda i: F.coalesce(F.try_element_at(F.col("t"), F.lit(i)), F.lit(""))
-    n, head, name, third, fourth = F.size("t"), at(1), at(2), at(3), at(4)
-    base = [*SNAPSHOT, "where"]
+    rows = rows.withColumns({"_n": F.size("t"), **{f"_w{i}": at(i) for i in range(1, 7)}})
+    n, head, name, third, fourth = (F.col(c) for c in ("_n", "_w1", "_w2", "_w3", "_w4"))
     in_book, in_apps = F.col("family") == "address", F.col("family") == "application"
+    section = (
+        F.when(in_book & (head == "address") & (n >= 3) & (third != "description"), "addresses").when(in_book & (head == "address-set") & (n >= 4), "address_sets")
+        .when(in_book & (head == "attach") & (name == "zone") & (n >= 3), "attached_zones")
+        .when(in_apps & (head == "application-set") & (n >= 4), "application_sets").when(in_apps & (head == "application") & (n >= 3), "applications")
+    )
+    rows = keep_if(rows.withColumn("section", section), F.col("section").isNotNull())
+    is_address, is_zone, is_app = (F.col("section") == x for x in ("addresses", "attached_zones", "applications"))
 
     spec = (
         F.when(third == "dns-name", _pairs(kind=F.lit("unknown"), reason=F.lit("dns-name")))
-        .when((third == "range-address") & (n >= 5) & (at(5) == "to"), _pairs(kind=F.lit("range"), low=fourth, high=at(6)))
+        .when((third == "range-address") & (n >= 5) & (F.col("_w5") == "to"), _pairs(kind=F.lit("range"), low=fourth, high=F.col("_w6")))
         .when((third == "wildcard-address") & (n >= 4), _pairs(kind=F.lit("wildcard"), value=fourth))
         .when(third.rlike(NETWORK), _pairs(kind=F.lit("address"), value=third)).otherwise(_pairs(kind=F.lit("unknown"), reason=F.lit("unparsed")))
     )
-    addresses = rows.filter(in_book & (head == "address") & (n >= 3) & (third != "description")).groupBy(*base, name.alias("name")).agg(
-        F.max_by(spec, F.col("pos")).alias("spec")
-    ).withColumn("section", F.lit("addresses"))
-    member_kinds = F.when(in_book, third.isin("address", "address-set")).otherwise(third.isin("application", "application-set"))
-    in_set = F.when(in_book, head == "address-set").otherwise(head == "application-set") & (n >= 4)
-    sets = rows.filter(in_set).groupBy(*base, "family", name.alias("name")).agg(
-        F.concat(F.lit('{"members": '), _list(_ordered(member_kinds, fourth)), F.lit("}")).alias("spec")
-    ).withColumn("section", F.when(F.col("family") == "address", "address_sets").otherwise("application_sets")).drop("family")
-    zones = rows.filter(in_book & (head == "attach") & (name == "zone") & (n >= 3)).groupBy(*base).agg(
-        _list(_ordered(F.lit(True), third)).alias("spec")
-    ).withColumns({"section": F.lit("attached_zones"), "name": F.lit("")})
-
-    apps = rows.filter(in_apps & (head == "application") & (n >= 3))
-    flag = F.when(third == "term", "multi-term").when(~third.isin(*APPLICATION_FIELDS), "unrecognized-field")
-    fields = {f.replace("-", "_"): F.max_by(F.when(third == f, fourth), F.when(third == f, F.col("pos"))) for f in APPLICATION_FIELDS}
-    applications = apps.groupBy(*base, name.alias("name")).agg(
-        F.min_by(flag, F.when(flag.isNotNull(), F.col("pos"))).alias("_flag"), *[v.alias(f"_{k}") for k, v in fields.items()]
-    ).withColumn("spec", F.when(F.col("_flag").isNotNull(), _pairs(kind=F.lit("unknown"), reason=F.col("_flag"))).otherwise(
-        _pairs(kind=F.lit("application"), **{k: F.col(f"_{k}") for k in fields})
-    )).withColumn("section", F.lit("applications"))
-    columns = [*base, "section", "name", "spec"]
-    return addresses.select(*columns).unionByName(sets.select(*columns)).unionByName(zones.select(*columns)).unionByName(applications.select(*columns))
+    in_set = F.when(F.col("section") == "address_sets", third.isin("address", "address-set")).when(
+        F.col("section") == "application_sets", third.isin("application", "application-set"))
+    flag = F.when(is_app & (third == "term"), "multi-term").when(is_app & ~third.isin(*APPLICATION_FIELDS), "unrecognized-field")
+    fields = {f.replace("-", "_"): F.max_by(F.when(third == f, fourth), F.when(is_app & (third == f), F.col("pos"))) for f in APPLICATION_FIELDS}
+    # All sections are reduced in one pass over the lines.
+    grouped = rows.groupBy(*SNAPSHOT, "where", "section", F.when(is_zone, "").otherwise(name).alias("name")).agg(
+        F.max_by(F.when(is_address, spec), F.when(is_address, F.col("pos"))).alias("_address"),
+        _ordered(is_zone | in_set, F.when(is_zone, third).otherwise(fourth)).alias("_listed"),
+        F.min_by(flag, F.when(flag.isNotNull(), F.col("pos"))).alias("_flag"), *[v.alias(f"_{k}") for k, v in fields.items()],
+    )
+    shown = (
+        F.when(is_address, F.col("_address")).when(is_zone, _list(F.col("_listed")))
+        .when(~is_app, F.concat(F.lit('{"members": '), _list(F.col("_listed")), F.lit("}")))
+        .when(F.col("_flag").isNotNull(), _pairs(kind=F.lit("unknown"), reason=F.col("_flag")))
+        .otherwise(_pairs(kind=F.lit("application"), **{k: F.col(f"_{k}") for k in fields}))
+    )
+    return grouped.select(*SNAPSHOT, "where", "section", "name", shown.alias("spec"))
 
 
 def object_books_from_text(snapshots: DataFrame) -> DataFrame:
     """One canonical JSON object book per device snapshot."""
     objects = book_objects_from_text(snapshots)
-    app = F.col("section").isin("applications", "application_sets")
-    per_section = _collect_objects(objects.filter(~app & (F.col("section") != "attached_zones")), [*SNAPSHOT, "where", "section"], "name", "spec")
-    zones = objects.filter(F.col("section") == "attached_zones").select(*SNAPSHOT, "where", "section", F.col("spec").alias("_obj"))
-    shown = lambda name, empty: F.coalesce(F.max(F.when(F.col("section") == name, F.col("_obj"))), F.lit(empty))
-    books = per_section.unionByName(zones).groupBy(*SNAPSHOT, "where").agg(
-        F.concat(
-            F.lit('{"address_sets": '), shown("address_sets", "{}"), F.lit(', "addresses": '), shown("addresses", "{}"),
-            F.lit(', "attached_zones": '), shown("attached_zones", "[]"), F.lit("}"),
-        ).alias("spec")
+    app, custom = F.col("section").isin("applications", "application_sets"), F.col("where") == "custom"
+    # Zones are one row for each book, whose spec is the list itself.
+    whole = F.when(F.first("section") == "attached_zones", F.max("spec")).otherwise(_object(F.collect_list(F.struct(F.col("name").alias("k"), F.col("spec").alias("v")))))
+    sections = objects.groupBy(*SNAPSHOT, "where", "section").agg(whole.alias("_obj"))
+    of = lambda name: F.max(F.when(F.col("section") == name, F.col("_obj")))
+    names = ("address_sets", "addresses", "attached_zones", "application_sets", "applications")
+    books = sections.groupBy(*SNAPSHOT, app.alias("_app"), "where").agg(*[of(name).alias(name) for name in names])
+    book = F.concat(
+        F.lit('{"address_sets": '), F.coalesce("address_sets", F.lit("{}")), F.lit(', "addresses": '), F.coalesce("addresses", F.lit("{}")),
+        F.lit(', "attached_zones": '), F.coalesce("attached_zones", F.lit("[]")), F.lit("}"),
     )
-    address_books = _collect_objects(books, list(SNAPSHOT), "where", "spec").withColumn("part", F.lit("address_books"))
-    apps = _collect_objects(objects.filter(app), [*SNAPSHOT, "where", "section"], "name", "spec").withColumn(
-        "part", F.when(F.col("where") == "predefined", F.concat(F.lit("predefined_"), "section")).otherwise(F.col("section"))
-    )
-    parts = address_books.select(*SNAPSHOT, "part", "_obj").unionByName(apps.select(*SNAPSHOT, "part", "_obj"))
-    names = ("address_books", "application_sets", "applications", "predefined_application_sets", "predefined_applications")
-    whole = F.concat(F.lit("{"), F.concat_ws(", ", *[
-        F.concat(F.lit(f'"{p}": '), F.coalesce(F.max(F.when(F.col("part") == p, F.col("_obj"))), F.lit("{}"))) for p in names
-    ]), F.lit("}"))
-    grouped = parts.groupBy(*SNAPSHOT).agg(whole.alias("object_book"))
+    address_books = _object(F.collect_list(F.when(~F.col("_app"), F.struct(F.col("where").alias("k"), book.alias("v")))))
+    apps = lambda name, where: F.coalesce(F.max(F.when(F.col("_app") & where, F.col(name))), F.lit("{}"))
+    grouped = books.groupBy(*SNAPSHOT).agg(F.concat(
+        F.lit('{"address_books": '), address_books, F.lit(', "application_sets": '), apps("application_sets", custom), F.lit(', "applications": '), apps("applications", custom),
+        F.lit(', "predefined_application_sets": '), apps("application_sets", ~custom), F.lit(', "predefined_applications": '), apps("applications", ~custom), F.lit("}"),
+    ).alias("object_book"))
     return grouped.select(F.lit(DEFAULT_TENANT).alias("tenant_id"), "provider", F.col("device").alias("device_name"), "collected_at", "object_book")
 
 
