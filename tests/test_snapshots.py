@@ -234,3 +234,10 @@ def test_alarms_dedupe_and_real_zero(snap):
     assert rows(df, "device", "metric_name", "sensor", "metric_value") == [
         ("a", "active_alarm_count", "", 1.0), ("a", "alarm", "minor", 1.0), ("b", "active_alarm_count", "", 0.0),
     ]
+
+
+def test_lines_are_parsed_once_for_books(snap):
+    from netfabric.sources import rulebases
+    body = "set security address-book b address A 10.0.0.0/8\nset applications application web protocol tcp\n"
+    plan = rulebases.object_books_from_text(snap(("juniper", "fw", "x", body)).repartition(1))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1
