@@ -25,19 +25,33 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how:
 
 
 # Rows of one key that meet in one block of a block join, on its left and on its right.
-LEFT_BLOCK, RIGHT_BLOCK = 10_000, 1_000
+# The right ones are held in memory while the left ones stream by.
+LEFT_BLOCK, RIGHT_BLOCK = 10_000, 20_000
 
 
-def block_join(left: DataFrame, right: DataFrame, on: Sequence[str] | str) -> DataFrame:
+def block_sizes(left: DataFrame, right: DataFrame, on: Sequence[str] | str) -> DataFrame:
+    """Numbers of blocks on either side, ``_lefts`` and ``_rights``, for the keys of ``right``.
+
+    Keys that ``left`` lacks have one block there, so it may be a table that only
+    approximates the rows of a key.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    blocks = lambda df, size, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    met = blocks(right, RIGHT_BLOCK, "_rights").join(blocks(left, LEFT_BLOCK, "_lefts"), keys, "left")
+    return met.withColumn("_lefts", F.coalesce("_lefts", F.lit(1)))
+
+
+def block_join(left: DataFrame, right: DataFrame, on: Sequence[str] | str, sizes: DataFrame | None = None) -> DataFrame:
     """Inner join for keys that may have many rows on both sides.
 
     The rows of a key are dealt into blocks on either side, and each pair of blocks
     meets in its own shuffle key.  What is shuffled is the output divided by the size of
-    a block; the output itself streams out of the join.
+    a block; the output itself streams out of the join.  ``sizes`` are the blocks per key
+    where they are known; a written table of few keys spares both sides a shuffle.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    blocks = lambda df, size, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-    sizes = blocks(left, LEFT_BLOCK, "_lefts").join(blocks(right, RIGHT_BLOCK, "_rights"), keys)
+    if sizes is None:
+        sizes = block_sizes(left, right, keys)
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def dealt(df: DataFrame, own: str, others: str, block: str, copy: str) -> DataFrame:

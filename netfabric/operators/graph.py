@@ -149,7 +149,9 @@ def twin_classes(adjacency: DataFrame) -> DataFrame:
     sides = cut_lineage(adjacency.groupBy(F.col("src").alias("id")).agg(
         F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("dst")).alias("_a"), F.bit_xor(F.xxhash64(F.lit("twin"), "dst")).alias("_b")))
     same = ["_n", "_a", "_b"]
-    return lookup_join(sides, sides.groupBy(*same).agg(F.min("id").alias("class")), same).select("id", "class")
+    # Written, as its size tells whether the vertices must be shuffled to meet their class.
+    names = cut_lineage(sides.groupBy(*same).agg(F.min("id").alias("class")))
+    return lookup_join(sides, names, same).select("id", "class")
 
 
 def within_depth(adjacency: DataFrame, starts: DataFrame, depth: int) -> DataFrame:

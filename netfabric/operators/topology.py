@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from netfabric.functions.ids import DEFAULT_TENANT, graph_edge_id, node_id, text
 from netfabric.functions.net import MAC_PATTERN, MAC_PREFIX_PATTERN, is_mac, lookup_form
-from netfabric.functions.skew import block_join, lookup_join, top_rows
+from netfabric.functions.skew import block_join, block_sizes, lookup_join, top_rows
 from netfabric.functions.timeargs import window_filter
 from netfabric.operators.graph import (
     both_directions, connected_components, shortest_paths, twin_classes, within_depth,
@@ -489,32 +489,35 @@ def neighbors(
 
     The radius counts edges of every layer; ``layer`` filters the edges returned.
     """
-    roots = cut_lineage(find_node(nodes, ids).select("lookup", F.col("node_id").alias("start")).filter("start IS NOT NULL"))
+    # Only what the search for the start needs is shuffled, not whole nodes.
+    found = find_node(nodes.select("node_id", "identifiers", "last_seen"), ids)
+    roots = cut_lineage(found.select("lookup", F.col("node_id").alias("start")).filter("start IS NOT NULL"))
     recent = edges.filter(window_filter("last_seen", since, None, as_of))
     adjacency = cut_lineage(both_directions(recent))
     # Twins lie in each other's reach from two steps on; nearer, every node is its own class.
-    linked = twin_classes(adjacency) if depth >= 2 else adjacency.select(F.col("src").alias("id"), F.col("src").alias("class")).distinct()
-    alone = roots.select(F.col("start").alias("id")).distinct().join(linked, "id", "left_anti")
-    classes = cut_lineage(linked.unionByName(alone.withColumn("class", F.col("id"))))
-    heads = classes.filter("id = class")
+    classes = cut_lineage(
+        twin_classes(adjacency) if depth >= 2 else adjacency.select(F.col("src").alias("id"), F.col("src").alias("class")).distinct())
+    heads = cut_lineage(classes.filter("id = class"))
     between = adjacency
     for end in ("src", "dst"):
         between = lookup_join(between, heads.select(F.col("id").alias(end)), end, "left_semi")
-    asked = lookup_join(roots, classes.select(F.col("id").alias("start"), "class"), "start")
+    asked = cut_lineage(_with_class(roots, classes, "start", "class"))
     reach = within_depth(between, asked.select(F.col("class").alias("start")), depth)
     # The classes in reach of each lookup; their members are met only where the rows go out.
     by_class = asked.withColumnRenamed("class", "_root").join(
         reach.select(F.col("start").alias("_root"), F.col("node").alias("class"), "hops"), "_root").drop("_root")
 
-    placed = lookup_join(nodes, classes.withColumnRenamed("id", "node_id"), "node_id")
+    placed = _with_class(nodes, classes, "node_id", "class")
+    # Written, so that the nodes meet their number of blocks without a shuffle where the classes are few.
+    sizes = cut_lineage(block_sizes(classes, by_class, "class"))
     hops = F.when(F.col("node_id") == F.col("start"), F.lit(0)).when(F.col("hops") == 0, F.lit(2)).otherwise(F.col("hops"))
-    out_nodes = block_join(placed, by_class, "class").withColumn("hops", hops).select(
+    out_nodes = block_join(placed, by_class, "class", sizes).withColumn("hops", hops).select(
         "node_id", "lookup", "hops", *[c for c in nodes.columns if c != "node_id"])
 
     shown = recent if layer is None else recent.filter(F.col("layer") == layer)
     ends = shown
     for end in ("src", "dst"):
-        ends = lookup_join(ends, classes.select(F.col("id").alias(f"{end}_id"), F.col("class").alias(f"_{end}")), f"{end}_id")
+        ends = _with_class(ends, classes, f"{end}_id", f"_{end}")
     held = by_class.select("lookup", "class")
     kinds = lookup_join(ends.select("_src", "_dst").distinct(), held.withColumnRenamed("class", "_src"), "_src")
     inside = lookup_join(kinds, held.withColumnRenamed("class", "_dst"), ["lookup", "_dst"], "left_semi")
@@ -523,6 +526,12 @@ def neighbors(
     return out_nodes, out_edges
 
 
+def _with_class(df: DataFrame, classes: DataFrame, node: str, name: str) -> DataFrame:
+    """``df`` with the class of its ``node`` as ``name``; a node without a link is its own class."""
+    found = lookup_join(df, classes.select(F.col("id").alias(node), F.col("class").alias(name)), node, "left")
+    return found.withColumn(name, F.coalesce(name, node))
+
+
 def find_path(
     nodes: DataFrame, edges: DataFrame, pairs: DataFrame, as_of: TimeArg, *, layer: str = "any", since: TimeArg = DEFAULT_WINDOW,
 ) -> DataFrame:

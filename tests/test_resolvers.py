@@ -455,6 +455,28 @@ def test_nodes_in_reach_are_whole_and_never_written_by_lookup(spark, star, monke
     assert max(written) < 600
 
 
+def test_nodes_in_reach_are_shuffled_once_where_they_go_out(spark, star, tmp_path):
+    pairs, names, nodes, edges = star
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    stored = spark.read.parquet(str(tmp_path / "nodes"))
+    starts = [n for n in names if n.startswith("srv")] + ["lone"]
+    got, _ = to.neighbors(stored, edges, spark.createDataFrame([(s,) for s in starts], "lookup string"), "2026-06-05 12:00:00", depth=2)
+    physical = got._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("FileScan parquet [node_id#") == 1  # counting their blocks reads classes only
+    assert physical.count("Exchange hashpartitioning(class") == 2  # the blocks of either side, and nothing before them
+
+
+def test_a_loop_on_a_node_without_other_edges_is_in_its_reach(spark, at):
+    when = at("2026-06-05 11:00:00")
+    nodes = spark.createDataFrame([(n, {"name": n}, when) for n in ("x", "y", "a")], "node_id string, identifiers map<string,string>, last_seen timestamp")
+    edges = spark.createDataFrame([(i, s, d, "l2", when) for i, s, d in [("xx", "x", "x"), ("yy", "y", "y"), ("xn", "x", None), ("nn", None, None), ("ab", "a", "b")]],
+        "edge_id string, src_id string, dst_id string, layer string, last_seen timestamp")
+    for depth in (1, 2):
+        reach, inside = to.neighbors(nodes, edges, spark.createDataFrame([("x",), ("a",)], "lookup string"), "2026-06-05 12:00:00", depth=depth)
+        assert sorted((r.lookup, r.node_id, r.hops) for r in reach.collect()) == [("a", "a", 0), ("x", "x", 0)]
+        assert sorted((r.lookup, r.edge_id) for r in inside.collect()) == [("a", "ab"), ("x", "xx")]
+
+
 def test_block_join_equals_a_plain_join(spark, monkeypatch):
     from netfabric.functions import skew
     monkeypatch.setattr(skew, "LEFT_BLOCK", 7)
