@@ -3,15 +3,18 @@
 import gzip
 import importlib.util
 import json
+import pathlib
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netfabric.llm import langid, mixing, queries, rangejoin, sharding, toolcalls, warc
+from netfabric.llm import closepairs, langid, mixing, queries, rangejoin, sharding, toolcalls, warc
+from netfabric.session import _checkpoint_root
 
 
 # Mixing
@@ -206,6 +209,73 @@ def test_an_id_with_several_vectors_keeps_the_links_of_each(spark):
     assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
 
 
+def _directions(rng, n, dim=64):
+    v = rng.normal(size=(n, dim))
+    return v / np.sqrt((v * v).sum(axis=1))[:, None]
+
+
+@pytest.mark.parametrize("leaf,few", [(512, 1 << 18), (12, 1)])
+@pytest.mark.parametrize("dim", [1, 3, 40, 64])
+def test_pairs_of_codes_are_all_close_vectors_once(monkeypatch, leaf, few, dim):
+    monkeypatch.setattr(closepairs, "LEAF", leaf)
+    monkeypatch.setattr(closepairs, "FEW", few)
+    rng = np.random.default_rng(dim)
+    v = rng.normal(size=(500, dim))
+    v[250:] = v[:250] + 0.15 * rng.normal(size=(250, dim))
+    v[:30] = np.eye(dim)[np.arange(30) % dim]
+    if dim == 64:  # The transform turns these into one component, which is cut off.
+        signs = np.random.default_rng(dim).choice([-1.0, 1.0], dim)
+        v[30:60] = signs + 0.1 * rng.normal(size=(30, dim))
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    codes, moved = closepairs.codes_of(v)
+    assert dim < 64 or (moved > closepairs.usual_error(64)).sum() >= 30
+    for radius in (0.05, 0.2, 1.0):
+        for x, y in ((slice(0, 500), None), (slice(0, 300), slice(200, 500))):
+            other = x if y is None else y
+            args = (codes[x], moved[x], *((None, None) if y is None else (codes[y], moved[y])))
+            got = [(min(a, b), max(a, b), c) if y is None else (a, b, c) for h, g, sure, _ in closepairs.within(*args, radius)
+                   for a, b, c in zip(h.tolist(), g.tolist(), sure.tolist(), strict=True)]
+            true = {(a, b) for a, b in np.argwhere(np.sqrt(np.maximum(0, 2 - 2 * v[x] @ v[other].T)) <= radius).tolist() if y is not None or a < b}
+            assert len({p[:2] for p in got}) == len(got)
+            assert {p[:2] for p in got if p[2]} <= true <= {p[:2] for p in got}
+
+
+def test_codes_travel_and_vectors_stay(spark, monkeypatch):
+    monkeypatch.setattr(rangejoin, "BLOCK_BYTES", 70_000)  # nine blocks
+    rng = np.random.default_rng(5)
+    v = _directions(rng, 6000)
+    v[5000:] = v[:1000] + (0.05 * rng.random(1000))[:, None] * rng.normal(size=(1000, 64))
+    v = v.astype(np.float32)
+    vectors = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>").withColumn("label", F.lit(1))
+    folder = pathlib.Path(_checkpoint_root(spark).removeprefix("file:"))
+    kept = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before = kept()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in rangejoin.link_vectors(vectors).collect()}
+    assert kept() - before < v.nbytes  # was over ten times as much
+    u = v.astype(float)
+    u /= np.sqrt((u * u).sum(axis=1))[:, None]
+    at, to = np.nonzero(np.triu(u @ u.T >= 0.98, 1))
+    links, root = Counter([*at.tolist(), *to.tolist()]), list(range(6000))
+    for a, b in zip(at.tolist(), to.tolist(), strict=True):  # pairs of a vector and its copy, or chains by chance
+        p, q = min(root[a], root[b]), max(root[a], root[b])
+        root = [p if r == q else r for r in root]
+    assert len(at) > 300 and got == {i: (links[i], root[i]) for i in range(6000)}
+
+
+def test_dense_labels_are_compared_by_their_vectors(spark):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([_directions(rng, 1) + 0.0177 * rng.normal(size=(500, 64)), _directions(rng, 100)])
+    codes, moved = closepairs.codes_of(v[:500] / np.sqrt((v[:500] ** 2).sum(axis=1))[:, None])
+    block = rangejoin.Block()
+    block.names, block.codes, block.moved = np.ones((500, 4), np.int64), codes, moved
+    radius = float(np.sqrt(2 - 2 * 0.98))
+    assert pa.Table.from_batches(rangejoin.compare_blocks(1, block, None, radius)).column("kind").to_pylist() == [rangejoin.DENSE]
+    rows = [(i, x, i % 2 if i >= 500 else 0) for i, x in enumerate(v.tolist())] + [(7, v[7].tolist(), 0), (900, v[3].tolist(), 0), (901, v[550].tolist(), 0), (901, v[550].tolist(), 0)]
+    got = rangejoin.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == len(rows)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == links_by_hand([r for k, r in enumerate(rows) if r not in rows[:k]])
+
+
 # WARC
 
 def test_archives_come_back_as_written(spark, tmp_path):
