@@ -1,4 +1,4 @@
-"""Keyed SipHash-2-4 with 128 bits of output, over whole batches of values."""
+"""Keyed SipHash-2-4 with 128 bits of output, as a column expression over longs and over whole batches of values."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 INITIAL = (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)
 ROTATIONS = ((13, 16), (17, 21))
 LAST_MARK = 0xFF
+LOW = 0xFFFFFFFF
 
 
 def _rotate(a: np.ndarray, bits: int) -> np.ndarray:
@@ -46,12 +47,77 @@ def _digests(values: list[bytes], blocks: int, key: tuple[int, int]) -> list[str
     return [digits[k:k + 32] for k in range(0, len(digits), 32)]
 
 
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _add_columns(a: Column, b: Column) -> Column:
+    """a + b modulo 2^64, by halves, as a plain sum would overflow."""
+    low = a.bitwiseAND(F.lit(LOW)) + b.bitwiseAND(F.lit(LOW))
+    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(LOW)))
+
+
+def _rotate_column(a: Column, bits: int | Column) -> Column:
+    if isinstance(bits, int):
+        return F.shiftleft(a, bits).bitwiseOR(F.shiftrightunsigned(a, 64 - bits))
+    return F.call_function("shiftleft", a, bits).bitwiseOR(F.call_function("shiftrightunsigned", a, F.lit(64) - bits))
+
+
+def _blocks(value: Column) -> Column:
+    """Little-endian longs of the value's bytes, the last one with the length in its top byte."""
+    data = F.hex(F.encode(value, "UTF-8"))
+    n = F.octet_length(value)
+    whole = (n / 8).cast("int") * 8
+    rest = F.rpad(F.substr(data, whole * 2 + 1), F.lit(14), F.lit("0"))
+    padded = F.concat(F.substr(data, F.lit(1), whole * 2), rest, F.lpad(F.hex(n % 256), F.lit(2), F.lit("0")))
+
+    def block(k: Column) -> Column:
+        pairs = [F.substr(padded, k * 16 + 2 * j + 1, F.lit(2)) for j in reversed(range(8))]
+        return F.conv(F.concat(*pairs), 16, -10).cast("long")
+
+    return F.transform(F.sequence(F.lit(0), (n / 8).cast("int")), block)
+
+
 def siphash128(value: Column | str, key: tuple[int, int]) -> Column:
     """32 upper-case hex digits: the two halves v0 ^ v1 and v2 ^ v3, each with its low byte first.
 
     The exclusive or of both halves is the SipHash-2-4 of 64 bits.  ``key`` is two
-    unsigned longs.  Values with the same number of blocks are hashed together.
+    unsigned longs.  The state goes through one list of half rounds, in which the
+    roles of v0 and v2 change places, so every half round is the same expression.
     """
+    text = F.col(value) if isinstance(value, str) else value
+    zero = F.lit(0).cast("long")
+
+    def half(kind: int, before: Column = zero, mark: Column = zero, after: Column = zero) -> Column:
+        r1, r2 = ROTATIONS[kind]
+        return F.struct(
+            F.lit(r1).alias("r1"), F.lit(r2).alias("r2"), before.alias("before"), mark.alias("mark"), after.alias("after"))
+
+    def rounds(block: Column) -> Column:
+        return F.array(half(0, before=block), half(1), half(0), half(1, after=block))
+
+    last = [half(0, mark=F.lit(LAST_MARK).cast("long")), half(1)] + [half(k % 2) for k in range(6)]
+    steps = F.concat(F.flatten(F.transform(_blocks(text), rounds)), F.array(*last))
+    start = F.struct(*[F.lit(signed(v ^ key[k % 2])).cast("long").alias(name) for k, (v, name) in enumerate(zip(INITIAL, "pqrs", strict=True))])
+
+    def step(state: Column, now: Column) -> Column:
+        p, q = state["p"], state["q"]
+        r, s = state["r"].bitwiseXOR(now["mark"]), state["s"].bitwiseXOR(now["before"])
+        return F.struct(
+            _add_columns(r, s).bitwiseXOR(now["after"]).alias("p"), _rotate_column(q, now["r1"]).bitwiseXOR(_add_columns(p, q)).alias("q"),
+            _rotate_column(_add_columns(p, q), 32).alias("r"), _rotate_column(s, now["r2"]).bitwiseXOR(_add_columns(r, s)).alias("s"))
+
+    def low_first(a: Column) -> Column:
+        digits = F.lpad(F.hex(a), F.lit(16), F.lit("0"))
+        return F.concat(*[F.substring(digits, 15 - 2 * j, 2) for j in range(8)])
+
+    return F.reduce(steps, start, step, lambda v: F.concat(
+        low_first(v["p"].bitwiseXOR(v["q"])), low_first(v["r"].bitwiseXOR(v["s"]))))
+
+
+def siphash128_batched(value: Column | str, key: tuple[int, int]) -> Column:
+    """``siphash128`` in Arrow batches, faster over many rows; values with the same number of blocks are hashed together."""
     @F.pandas_udf("string")
     def hashed(values: pd.Series) -> pd.Series:
         out = np.full(len(values), None, dtype=object)

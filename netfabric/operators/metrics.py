@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from netfabric.functions.ids import DEFAULT_TENANT, hmac_sha256
 from netfabric.functions.skew import lookup_join, with_rank
-from netfabric.functions.siphash import siphash128
+from netfabric.functions.siphash import siphash128_batched
 from netfabric.functions.timeargs import parse_time, ts_lit, window_filter
 from netfabric.operators.upsert import latest_by_key
 
@@ -200,14 +200,14 @@ def mint_surrogates(
 def public_nodes(nodes: DataFrame, key: tuple[int, int]) -> DataFrame:
     """Publishable node columns only; ids are keyed hashes that still join.  ``key`` is two unsigned longs."""
     return nodes.select(
-        siphash128("node_id", key).alias("node_id"), "tenant_id", "kind", "first_seen", "last_seen"
+        siphash128_batched("node_id", key).alias("node_id"), "tenant_id", "kind", "first_seen", "last_seen"
     )
 
 
 def public_edges(edges: DataFrame, key: tuple[int, int]) -> DataFrame:
     return edges.select(
-        siphash128("edge_id", key).alias("edge_id"), "tenant_id",
-        siphash128("src_id", key).alias("src_id"), siphash128("dst_id", key).alias("dst_id"),
+        siphash128_batched("edge_id", key).alias("edge_id"), "tenant_id",
+        siphash128_batched("src_id", key).alias("src_id"), siphash128_batched("dst_id", key).alias("dst_id"),
         "edge_type", "layer", "first_seen", "last_seen", "confidence",
     )
 

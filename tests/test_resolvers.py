@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from netfabric import schemas
 from netfabric.functions import ids
-from netfabric.functions.siphash import siphash128
+from netfabric.functions.siphash import siphash128, siphash128_batched
 from netfabric.operators import audit as au
 from netfabric.operators import entities as en
 from netfabric.operators import graph as gr
@@ -332,6 +332,12 @@ def test_keyed_hash_equals_the_published_vectors_and_a_plain_loop(spark):
     assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_keyed_hash_of_batches_equals_the_column_expression(spark):
+    rows = spark.createDataFrame([("x" * n,) for n in (0, 1, 7, 8, 9, 15, 16, 40, 300)] + [("é" * 9,), (None,)], "id string")
+    hashed = rows.select(siphash128("id", (1, 2**63 + 5)).alias("a"), siphash128_batched("id", (1, 2**63 + 5)).alias("b")).collect()
+    assert all(r.a == r.b for r in hashed) and sum(r.a is None for r in hashed) == 1
+
+
 @pytest.mark.parametrize("window", [1, 3, 20, 1000])
 def test_blocks_in_a_window_equal_a_walk(spark, window):
     import random
