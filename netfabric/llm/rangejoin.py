@@ -305,22 +305,26 @@ def united(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def compare_blocks(cell: int, x: Block, y: Block | None, radius: float) -> Iterator[pa.RecordBatch]:
     """``LINK`` rows of two blocks, or of one: sure links of each point with a root, pairs left open, or that the cell is dense."""
-    names = x.names if y is None else np.concatenate([x.names, y.names])
-    shift = 0 if y is None else len(x.names)
-    links, roots, n = np.zeros(len(names), np.int64), np.arange(len(names)), names[:, 3]
-    looked, pairs, size = 0, max(1, len(x.names) * len(x.names if y is None else y.names)), len(names)
+    other, shift = (x, 0) if y is None else (y, len(x.names))
+    size, looked, pairs = shift + len(other.names), 0, len(x.names) * len(other.names)
+    links, roots = np.zeros(size, np.int64), np.arange(size, dtype=np.int32)
     open_, unsure, new, sure = 0, [], 0, []
 
+    def named(rows: np.ndarray) -> np.ndarray:
+        mine = rows < len(x.names)
+        out = np.empty((len(rows), 4), np.int64)
+        out[mine], out[~mine] = x.names[rows[mine]], other.names[rows[~mine] - shift]
+        return out
+
     def rows(kind: int, a: np.ndarray, b: np.ndarray, links: np.ndarray) -> pa.RecordBatch:
-        left, right = names[a], names[b]
+        left, right = named(a), named(b)
         numbers = [np.full(len(a), cell), *left.T, links, *right.T]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.ascontiguousarray(v, np.int64)) for v in numbers)], schema=LINK_SCHEMA)
 
     for h, g, certain, candidates in within(x.codes, x.moved, None if y is None else y.codes, None if y is None else y.moved, radius):
         looked += candidates
         if len(h):
-            g = g + shift
-            unsure.append(np.stack([h[~certain], g[~certain]]))
+            unsure.append(np.stack([h[~certain], g[~certain] + shift]))
             open_ += unsure[-1].shape[1]
         if open_ > OPEN_PAIRS * size or looked > max(LOOKED_PAIRS * size, LOOKED_SHARE * pairs):
             zero = np.zeros(1, np.int64)
@@ -328,9 +332,9 @@ def compare_blocks(cell: int, x: Block, y: Block | None, radius: float) -> Itera
             return
         if certain.any():
             h, g = h[certain], g[certain]
-            np.add.at(links, h, n[g])
-            np.add.at(links, g, n[h])
-            sure.append(np.stack([h, g]))
+            np.add.at(links, h, other.names[g, 3])
+            np.add.at(links, g + shift, x.names[h, 3])
+            sure.append(np.stack([h, g + shift]))
             new += len(h)
         if new > 1 << 18:
             roots, sure, new = united(roots, *np.concatenate(sure, axis=1)), [], 0
@@ -356,6 +360,7 @@ def compare_codes(met: DataFrame, radius: float) -> DataFrame:
                     yield from compare_blocks(cell, block, None, radius)
             elif task == (cell, i, c):
                 yield from compare_blocks(cell, held, block, radius)
+            del block  # before the next one is read
 
     return met.repartition("cell", "i", "c").sortWithinPartitions("cell", "i", "c", "o").mapInArrow(run, LINK)
 
